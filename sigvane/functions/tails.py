@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -71,17 +72,17 @@ def correlation_t(rho: np.ndarray, n: np.ndarray) -> np.ndarray:
         return rho * np.sqrt((n - 2) / ((rho + 1.0) * (1.0 - rho)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([z_two_sided(v) for v in z.astype(float)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_pvalue(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a rank correlation from t with n - 2 degrees of freedom."""
     r, size = rho.astype(float).to_numpy(), n.astype(float).to_numpy()

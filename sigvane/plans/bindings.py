@@ -54,7 +54,11 @@ COMPANIES_SQL = """companies AS (
 
 
 def entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items per (company, quarter)."""
+    """The staged line-item totals per (company, quarter); prices, reports and scores all read it."""
+    return staged(spark, sf_dir, "entity_quarters", _build_entity_quarters)
+
+
+def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     percent_off = F.round(F.col("l_discount") * 100).cast("long")
     net = cents * (100 - percent_off)

@@ -23,6 +23,7 @@ def local_session(cores: str = "*", app_name: str = "sigvane", shuffle_partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
