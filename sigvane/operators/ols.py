@@ -19,7 +19,15 @@ from pyspark.sql import types as T
 
 from sigvane import constants as K
 from sigvane.functions.tails import t_critical, t_two_sided, z_pvalue
-from sigvane.operators.ordering import attach_by_key, exact_quantiles, null_safe_join, prefix_sums
+from sigvane.operators.ordering import (
+    add_percentile_ranks,
+    attach_by_key,
+    average_rank_expr,
+    exact_quantiles,
+    null_safe_join,
+    prefix_sums,
+    value_ranks,
+)
 
 
 @dataclass(frozen=True)
@@ -62,7 +70,7 @@ def _totals(cells: DataFrame, keys: Sequence[str], variables: Sequence[str]) ->
     """Per key: rows, groups, means, and the within-group and total centred cross products."""
     n = F.col("_n")
     aggs = [F.sum(n).alias("n"), F.count(F.lit(1)).alias("groups")]
-    aggs += [(F.sum(n * F.col(f"_m_{v}")) / F.sum(n)).alias(f"_M_{v}") for v in variables]
+    aggs += [(F.sum(n * F.col(f"_m_{v}")) / F.sum(n)).alias(f"_all_{v}") for v in variables]
     for a, b in _pairs(variables):
         within = F.sum(n * F.col(f"_c_{a}_{b}"))
         between = F.sum(n * F.col(f"_m_{a}") * F.col(f"_m_{b}")) - F.sum(n * F.col(f"_m_{a}")) * F.sum(n * F.col(f"_m_{b}")) / F.sum(n)
@@ -110,7 +118,7 @@ def _errors(rows: DataFrame, keys: Sequence[str], specs: Sequence[Spec], y: str)
     """Sums over rows of squared residuals and of the leverage-corrected influence on the first coefficient."""
     aggs = []
     for i, spec in enumerate(specs):
-        mean = "_m_" if spec.absorb else "_M_"
+        mean = "_m_" if spec.absorb else "_all_"
         size = F.col("_n") if spec.absorb else F.col("n")
         x = [F.col(v) - F.col(f"{mean}{v}") for v in spec.regressors]
         k = len(x)
@@ -165,7 +173,7 @@ def hc3_regressions(
     rows = complete_rows(rows, [group, *variables]).select(*keys, group, *[F.col(v).cast("double").alias(v) for v in variables])
     cells = rows.groupBy(*keys, group).agg(*_moments(variables))
     solved = _solve_specs(_totals(cells, keys, variables).where(F.col("n") >= min_rows), specs, variables, y)
-    needed = ["n", *[f"_M_{v}" for v in variables], *[f"_s{i}" for i in range(len(specs))]]
+    needed = ["n", *[f"_all_{v}" for v in variables], *[f"_s{i}" for i in range(len(specs))]]
     per_cell = null_safe_join(cells.select(*keys, group, "_n", *[f"_m_{v}" for v in variables]), solved.select(*keys, *needed), keys)
     enriched = attach_by_key(rows, per_cell, [*keys, group], rows="_n")
     return _report(solved, _errors(enriched.where(F.col("n").isNotNull()), keys, specs, y), keys, specs, y)
@@ -195,8 +203,6 @@ def winsorize(df: DataFrame, columns: Sequence[str], by: str, low: float = 0.01,
 
 def rank_signals(base: DataFrame, signals: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """Rows (sample, signal, x, carried columns): ``x`` is the percentile rank of the signal in its sample."""
-    from sigvane.operators.ordering import average_rank_expr, value_ranks
-
     cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals])
     long = base.select(*carry, F.explode(cells).alias("_c")).select(*carry, "_c.*").where(F.col("value").isNotNull())
     ranks = value_ranks(long, ["sample", "signal"], "value")
@@ -275,8 +281,6 @@ def compare_samples(results: DataFrame) -> DataFrame:
 
 def placement(base: DataFrame, tickers: Sequence[str], signal: str, outcome: str = K.PRIMARY_OUTCOME) -> DataFrame:
     """Where the named tickers sit: value and percentile rank of signal and outcome in the full sample."""
-    from sigvane.operators.ordering import add_percentile_ranks
-
     rows = base.where(F.col("sample") == "full").select("ticker", signal, outcome)
     ranked = add_percentile_ranks(rows, [signal, outcome])
     return ranked.where(F.col("ticker").isin(list(tickers)))
@@ -308,8 +312,6 @@ def within_category(base: DataFrame, signal: str = "conc", min_rows: int = 20) -
 
 def complete_case(base: DataFrame, signals: Sequence[str], report: Sequence[str], sector: str = "sector") -> DataFrame:
     """Full spec on rows where every signal, the outcome and the controls are known."""
-    from sigvane.operators.ordering import add_percentile_ranks
-
     carried = ["sample", sector, K.PRIMARY_OUTCOME, *_CONTROLS]
     ranked = add_percentile_ranks(base.select(*carried, *signals), list(signals), by=["sample"])
     rows = complete_rows(ranked, [*carried, *[f"{s}_rk" for s in signals]])
@@ -336,18 +338,21 @@ def leave_one_out(base: DataFrame, signal: str = "conc", sector: str = "sector")
     ranked = rank_signals(base, [signal], ["sample", sector, y, *_CONTROLS])
     rows = complete_rows(ranked, [sector, *variables]).select("sample", F.col(sector).alias("_g"), *variables)
     cells = rows.groupBy("sample", "_g").agg(*_moments(variables))
-    # One row per (left-out sector, remaining sector) of already reduced cells.
-    left_out = cells.select("sample", F.col("_g").alias("left_out"))
-    kept = left_out.join(cells, "sample").where(F.col("_g") != F.col("left_out"))
-    solved = _solve_specs(_totals(kept, ["sample", "left_out"], variables), [spec], variables, y)
-    means = [F.col(f"_m_{v}") for v in variables]
-    per_cell = kept.select("sample", "left_out", "_g", "_n", *means).join(solved.select("sample", "left_out", "n", "_s0"), ["sample", "left_out"])
-    replicas = per_cell.groupBy("sample", "_g").agg(
-        F.max("_n").alias("_n"), F.collect_list(F.struct("left_out", "n", "_s0")).alias("_fits"), *[F.max(f"_m_{v}").alias(f"_m_{v}") for v in variables]
-    )
-    enriched = attach_by_key(rows, replicas, ["sample", "_g"], rows="_n")
-    each = enriched.select("sample", "_g", *variables, "_n", *means, F.explode("_fits").alias("_f")).select("*", "_f.*").drop("_f")
-    return _report(solved, _errors(each, ["sample", "left_out"], [spec], y), ["sample", "left_out"], [spec], y)
+    whole = _totals(cells, ["sample"], variables)
+    without = {
+        f"_w_{a}_{b}": F.col(f"_w_{a}_{b}") - F.col("_n") * F.col(f"_c_{a}_{b}") for a, b in _pairs(variables)
+    }
+    reduced = null_safe_join(cells, whole, ["sample"]).withColumns(without).withColumn("n", F.col("n") - F.col("_n"))
+    reduced = reduced.select("sample", F.col("_g").alias("left_out"), "n", *without, F.lit(None).cast("double").alias(f"_t_{y}_{y}"))
+    solved = _solve_specs(reduced, [spec], variables, y)
+    # One array per sample, as long as there are sectors.
+    fits = solved.groupBy("sample").agg(F.collect_list(F.struct("left_out", "n", "_s0")).alias("_fits"))
+    per_cell = null_safe_join(cells.select("sample", "_g", "_n", *[f"_m_{v}" for v in variables]), fits, ["sample"])
+    enriched = attach_by_key(rows, per_cell, ["sample", "_g"], rows="_n")
+    others = F.filter("_fits", lambda f: f["left_out"] != F.col("_g"))
+    each = enriched.select("sample", *variables, "_n", *[f"_m_{v}" for v in variables], F.explode(others).alias("_f"))
+    each = each.select("*", "_f.*").drop("_f")
+    return _report(solved, _errors(each, ["sample", "left_out"], [spec], y), ["sample", "left_out"], [spec], y).drop("r2")
 
 
 def summarize_leave_one_out(runs: DataFrame) -> DataFrame:
@@ -442,9 +447,9 @@ def _fit_cells(controls: list[str], min_obs: int):
         n = int(cells["_n"].sum())
 
         def warn(text: str) -> pd.DataFrame:
-            return pd.DataFrame([{"signal": signal, "outcome": outcome, "nobs": n, "warning": text}]).reindex(
-                columns=[c.split()[0] for c in _TERM_SCHEMA.split(", ")]
-            )
+            row = dict.fromkeys(c.split()[0] for c in _TERM_SCHEMA.split(", "))
+            row |= {"signal": signal, "outcome": outcome, "nobs": n, "warning": text}
+            return pd.DataFrame([row], dtype=object)
 
         if n < min_obs:
             return warn(f"Need at least {min_obs} observations for OLS; got {n}")
@@ -494,13 +499,14 @@ def _fit_cells(controls: list[str], min_obs: int):
         with np.errstate(divide="ignore", invalid="ignore"):
             t = beta / error
         reach = t_critical(df) * error
-        return pd.DataFrame(
+        table = pd.DataFrame(
             {
                 "signal": signal, "outcome": outcome, "term": names, "coefficient": beta, "std_error": error, "t_stat": t,
                 "p_value": [t_two_sided(v, df) for v in t], "conf_low": beta - reach, "conf_high": beta + reach,
                 "nobs": n, "r_squared": 1 - rss / total if total > 0 else None, "warning": None,
             }
         )
+        return table.astype({c: object for c in ("signal", "outcome", "term", "warning")})
 
     return fit
 

@@ -235,3 +235,113 @@ panel AS (
   SELECT *, CASE WHEN sector IS NOT NULL THEN fwd_return_1q - avg(fwd_return_1q) OVER (PARTITION BY sector, score_quarter) END
             AS fwd_excess_return_1q
   FROM raw_panel)"""
+
+
+# --- one vintage, one row per entity ---------------------------------------------------------------
+
+T0 = "2000-01-19"
+EXCLUDED = ["S1", "S2", "S3", "S5", "S8"]
+
+
+def vintage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the last quarter before t0, plus the impact score one quarter earlier as ``inv``."""
+    rows = scores(spark, sf_dir).where(F.col("score_quarter").isin("1999Q3", "1999Q4"))
+    now, before = F.col("score_quarter") == "1999Q4", F.col("score_quarter") == "1999Q3"
+    a, b, c, d = (F.max(F.when(now, F.col(x))) for x in K.SCORE_COLUMNS)
+    return rows.groupBy("company_id").agg(
+        ((a.cast("double") + b + c + d) / 4).alias("maturity_index"),
+        a.alias("adoption_score"), b.alias("proficiency_score"), c.alias("impact_score"), d.alias("conc"),
+        F.max(F.when(before, F.col("ai_impact_score"))).alias("inv"),
+    )
+
+
+def vintage_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the first quarter after t0 and controls of the quarters before it."""
+    q = entity_quarters(spark, sf_dir).withColumn("d", F.col("period_end").cast("string"))
+
+    def at(day: str, column: str):
+        return F.max(F.when(F.col("d") == day, F.col(column).cast("double")))
+
+    def price(day: str):
+        return (at(day, "cents") / F.lit(100.0)) / at(day, "quantity")
+
+    net = {d: at(d, "net") for d in ("1998-12-31", "1999-03-31", "1999-12-31", "2000-03-31")}
+    margin = {d: at(d, "net_n") / net[d] for d in ("1999-03-31", "2000-03-31")}
+    return q.groupBy("company_id").agg(
+        (net["2000-03-31"] / net["1999-03-31"] - 1).alias("rev_growth_yoy"),
+        (margin["2000-03-31"] - margin["1999-03-31"]).alias("op_margin_delta_yoy"),
+        (price("2000-06-30") / price("2000-03-31") - 1).alias("fwd_ret_4m"),
+        (net["1999-12-31"] / net["1998-12-31"] - 1).alias("prior_rev_growth_yoy"),
+        (at("1999-12-31", "net_n") / net["1999-12-31"]).alias("builder_rate"),
+        at("1999-12-31", "lines").cast("long").alias("n_matched"),
+    )
+
+
+def _build_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigvane.operators.cross_section import analysis_table
+
+    master = companies(spark, sf_dir).withColumnRenamed("market_cap", "mktcap_t0")
+    group = F.pmod(F.regexp_replace("industry", "NATION_", "").cast("int"), F.lit(4)) + 1
+    category = F.element_at(F.array(*[F.lit(c) for c in K.CATEGORIES]), group)
+    return analysis_table(
+        master.withColumn("category", category), vintage_scores(spark, sf_dir), vintage_outcomes(spark, sf_dir), key="company_id"
+    )
+
+
+def vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged wide analysis table."""
+    return staged(spark, sf_dir, "vintage", _build_cross_section)
+
+
+def _at(day: str, column: str) -> str:
+    return f"max(CASE WHEN CAST(period_end AS VARCHAR) = '{day}' THEN CAST({column} AS DOUBLE) END)"
+
+
+def _price_at(day: str) -> str:
+    return f"({_at(day, 'cents')} / CAST(100 AS DOUBLE)) / {_at(day, 'quantity')}"
+
+
+_NOW = "CASE WHEN score_quarter = '1999Q4' THEN {} END"
+VINTAGE_SQL = f"""{COMPANIES_SQL}, {ENTITY_QUARTERS_SQL}, {SCORES_SQL},
+vintage_scores AS (
+  SELECT company_id, (CAST(max({_NOW.format(K.SCORE_COLUMNS[0])}) AS DOUBLE) + max({_NOW.format(K.SCORE_COLUMNS[1])})
+           + max({_NOW.format(K.SCORE_COLUMNS[2])}) + max({_NOW.format(K.SCORE_COLUMNS[3])})) / 4 AS maturity_index,
+         max({_NOW.format(K.SCORE_COLUMNS[0])}) AS adoption_score, max({_NOW.format(K.SCORE_COLUMNS[1])}) AS proficiency_score,
+         max({_NOW.format(K.SCORE_COLUMNS[2])}) AS impact_score, max({_NOW.format(K.SCORE_COLUMNS[3])}) AS conc,
+         max(CASE WHEN score_quarter = '1999Q3' THEN ai_impact_score END) AS inv
+  FROM scores WHERE score_quarter IN ('1999Q3', '1999Q4') GROUP BY 1),
+vintage_outcomes AS (
+  SELECT company_id, {_at("2000-03-31", "net")} / {_at("1999-03-31", "net")} - 1 AS rev_growth_yoy,
+         {_at("2000-03-31", "net_n")} / {_at("2000-03-31", "net")} - {_at("1999-03-31", "net_n")} / {_at("1999-03-31", "net")} AS op_margin_delta_yoy,
+         ({_price_at("2000-06-30")}) / ({_price_at("2000-03-31")}) - 1 AS fwd_ret_4m,
+         {_at("1999-12-31", "net")} / {_at("1998-12-31", "net")} - 1 AS prior_rev_growth_yoy,
+         {_at("1999-12-31", "net_n")} / {_at("1999-12-31", "net")} AS builder_rate,
+         CAST({_at("1999-12-31", "lines")} AS BIGINT) AS n_matched
+  FROM entity_quarters GROUP BY 1),
+vintage AS (
+  SELECT c.company_id, c.ticker, c.company_name, c.sector, c.industry, c.market_cap AS mktcap_t0,
+         CASE CAST(replace(c.industry, 'NATION_', '') AS INTEGER) % 4 WHEN 0 THEN '{K.CATEGORIES[0]}' WHEN 1 THEN '{K.CATEGORIES[1]}'
+              WHEN 2 THEN '{K.CATEGORIES[2]}' ELSE '{K.CATEGORIES[3]}' END AS category,
+         s.* EXCLUDE (company_id), o.* EXCLUDE (company_id)
+  FROM companies c LEFT JOIN vintage_scores s USING (company_id) LEFT JOIN vintage_outcomes o USING (company_id))"""
+
+_EXCLUDED_LIST = ", ".join(f"'{t}'" for t in EXCLUDED)
+
+
+def _clip(c: str) -> str:
+    over = "OVER (PARTITION BY sample)"
+    return (
+        f"CASE WHEN {c} IS NOT NULL THEN greatest(quantile_cont({c}, 0.01) {over}, least(quantile_cont({c}, 0.99) {over}, {c})) END AS {c}"
+    )
+
+
+# The prepared table per sample, as the regressions read it.
+BASE_SQL = f"""{VINTAGE_SQL},
+tagged AS (SELECT 'full' AS sample, * FROM vintage
+           UNION ALL SELECT 'excluded', * FROM vintage WHERE ticker NOT IN ({_EXCLUDED_LIST})),
+base AS (
+  SELECT sample, company_id, ticker, company_name, sector, category, maturity_index, adoption_score, proficiency_score, impact_score, conc, inv,
+         CASE WHEN n_matched < 5 THEN NULL ELSE builder_rate END AS builder_rate, fwd_ret_4m, mktcap_t0,
+         CASE WHEN mktcap_t0 > 0 THEN ln(mktcap_t0) END AS log_mktcap,
+         {_clip("rev_growth_yoy")}, {_clip("op_margin_delta_yoy")}, {_clip("prior_rev_growth_yoy")}
+  FROM tagged)"""
