@@ -28,6 +28,7 @@ from sigvane.operators.ordering import (
     prefix_sums,
     value_ranks,
 )
+from sigvane.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,9 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _moments(variables: Sequence[str]) -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.avg(v).alias(f"_m_{v}") for v in variables]
-    for i, a in enumerate(variables):
-        aggs += [F.covar_pop(a, b).alias(f"_c_{a}_{b}") for b in variables[i:]]
-    return aggs
+    aggs = ["count(1) AS _n", *[f"avg({v}) AS _m_{v}" for v in variables]]
+    aggs += [f"covar_pop({a}, {b}) AS _c_{a}_{b}" for a, b in _pairs(variables)]
+    return [F.expr(a) for a in aggs]
 
 
 def _pairs(variables: Sequence[str]) -> list[tuple[str, str]]:
@@ -68,14 +67,12 @@ def _pairs(variables: Sequence[str]) -> list[tuple[str, str]]:
 
 def _totals(cells: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """Per key: rows, groups, means, and the within-group and total centred cross products."""
-    n = F.col("_n")
-    aggs = [F.sum(n).alias("n"), F.count(F.lit(1)).alias("groups")]
-    aggs += [(F.sum(n * F.col(f"_m_{v}")) / F.sum(n)).alias(f"_all_{v}") for v in variables]
+    aggs = ["sum(_n) AS n", "count(1) AS groups", *[f"sum(_n * _m_{v}) / sum(_n) AS _all_{v}" for v in variables]]
     for a, b in _pairs(variables):
-        within = F.sum(n * F.col(f"_c_{a}_{b}"))
-        between = F.sum(n * F.col(f"_m_{a}") * F.col(f"_m_{b}")) - F.sum(n * F.col(f"_m_{a}")) * F.sum(n * F.col(f"_m_{b}")) / F.sum(n)
-        aggs += [within.alias(f"_w_{a}_{b}"), (within + between).alias(f"_t_{a}_{b}")]
-    return cells.groupBy(*keys).agg(*aggs)
+        within = f"sum(_n * _c_{a}_{b})"
+        between = f"sum(_n * _m_{a} * _m_{b}) - sum(_n * _m_{a}) * sum(_n * _m_{b}) / sum(_n)"
+        aggs += [f"{within} AS _w_{a}_{b}", f"{within} + {between} AS _t_{a}_{b}"]
+    return cells.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
 _SOLUTION = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
@@ -99,57 +96,52 @@ def _solve(gram: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"beta": betas, "inverse": inverses})
 
 
-def _symmetric(prefix: str, a: str, b: str, order: Sequence[str]) -> Column:
-    first, second = (a, b) if order.index(a) <= order.index(b) else (b, a)
-    return F.col(f"{prefix}{first}_{second}")
+def _solve_specs(totals: DataFrame, specs: Sequence[Spec], variables: Sequence[str], y: str) -> DataFrame:
+    order = {v: i for i, v in enumerate(variables)}
 
+    def entry(side: str, a: str, b: str) -> str:
+        first, second = sorted((a, b), key=order.__getitem__)
+        return f"{side}{first}_{second}"
 
-def _solve_specs(totals: DataFrame, specs: Sequence[Spec], variables: Sequence[str], y: str) -> DataFrame:
-    out = totals
+    solutions = {}
     for i, spec in enumerate(specs):
         side = "_w_" if spec.absorb else "_t_"
-        gram = F.array(*[_symmetric(side, a, b, variables) for a in spec.regressors for b in spec.regressors])
-        target = F.array(*[_symmetric(side, a, y, variables) for a in spec.regressors])
-        out = out.withColumn(f"_s{i}", _solve(gram, target))
-    return out
+        gram = ", ".join(entry(side, a, b) for a in spec.regressors for b in spec.regressors)
+        target = ", ".join(entry(side, a, y) for a in spec.regressors)
+        solutions[f"_s{i}"] = _solve(F.expr(f"array({gram})"), F.expr(f"array({target})"))
+    return totals.withColumns(solutions)
 
 
 def _errors(rows: DataFrame, keys: Sequence[str], specs: Sequence[Spec], y: str) -> DataFrame:
     """Sums over rows of squared residuals and of the leverage-corrected influence on the first coefficient."""
     aggs = []
     for i, spec in enumerate(specs):
-        mean = "_m_" if spec.absorb else "_all_"
-        size = F.col("_n") if spec.absorb else F.col("n")
-        x = [F.col(v) - F.col(f"{mean}{v}") for v in spec.regressors]
+        mean, size = ("_m_", "_n") if spec.absorb else ("_all_", "n")
+        x = [f"({v} - {mean}{v})" for v in spec.regressors]
         k = len(x)
-        beta = [F.col(f"_s{i}.beta")[j] for j in range(k)]
-        inverse = [[F.col(f"_s{i}.inverse")[j * k + m] for m in range(k)] for j in range(k)]
-        residual = F.col(y) - F.col(f"{mean}{y}")
-        influence, leverage = F.lit(0.0), 1 / size
-        for j in range(k):
-            residual = residual - beta[j] * x[j]
-            influence = influence + inverse[0][j] * x[j]
-            for m in range(k):
-                leverage = leverage + inverse[j][m] * x[j] * x[m]
+
+        def inverse(j: int, m: int, i: int = i, k: int = k) -> str:
+            return f"_s{i}.inverse[{j * k + m}]"
+
+        residual = f"({y} - {mean}{y} - " + " - ".join(f"_s{i}.beta[{j}] * {x[j]}" for j in range(k)) + ")"
+        influence = "(" + " + ".join(f"{inverse(0, j)} * {x[j]}" for j in range(k)) + ")"
+        quadratic = " + ".join(f"{inverse(j, m)} * {x[j]} * {x[m]}" for j in range(k) for m in range(k))
         # A row alone in its group is fitted exactly and does not move the slopes.
-        corrected = F.when(size > 1, F.try_divide(influence * residual, 1 - leverage)).otherwise(F.lit(0.0))
-        aggs += [F.sum(residual * residual).alias(f"_rss{i}"), F.sum(corrected * corrected).alias(f"_var{i}")]
+        corrected = f"CASE WHEN {size} > 1 THEN try_divide({influence} * {residual}, 1 - 1D / {size} - ({quadratic})) ELSE 0D END"
+        aggs += [F.expr(f"sum({residual} * {residual}) AS _rss{i}"), F.expr(f"sum(pow({corrected}, 2)) AS _var{i}")]
     return rows.groupBy(*keys).agg(*aggs)
 
 
 def _report(solved: DataFrame, errors: DataFrame, keys: Sequence[str], specs: Sequence[Spec], y: str) -> DataFrame:
     joined = null_safe_join(solved, errors, keys)
-    results = F.array(
-        *[
-            F.struct(
-                F.lit(spec.name).alias("spec"),
-                F.col("n").alias("n"),
-                F.col(f"_s{i}.beta")[0].alias("coef"),
-                F.sqrt(f"_var{i}").alias("se"),
-                (1 - F.try_divide(F.col(f"_rss{i}"), F.col(f"_t_{y}_{y}"))).alias("r2"),
-            )
+    results = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('spec', '{spec.name}', 'n', n, 'coef', _s{i}.beta[0], 'se', sqrt(_var{i}), "
+            f"'r2', 1 - try_divide(_rss{i}, _t_{y}_{y}))"
             for i, spec in enumerate(specs)
-        ]
+        )
+        + ")"
     )
     flat = joined.select(*keys, F.explode(results).alias("_r")).select(*keys, "_r.*")
     flat = flat.withColumn("t", F.try_divide(F.col("coef"), F.col("se")))
@@ -172,7 +164,7 @@ def hc3_regressions(
     variables = list(dict.fromkeys([v for s in specs for v in s.regressors] + [y]))
     rows = complete_rows(rows, [group, *variables]).select(*keys, group, *[F.col(v).cast("double").alias(v) for v in variables])
     cells = rows.groupBy(*keys, group).agg(*_moments(variables))
-    solved = _solve_specs(_totals(cells, keys, variables).where(F.col("n") >= min_rows), specs, variables, y)
+    solved = materialize(_solve_specs(_totals(cells, keys, variables).where(F.col("n") >= min_rows), specs, variables, y))
     needed = ["n", *[f"_all_{v}" for v in variables], *[f"_s{i}" for i in range(len(specs))]]
     per_cell = null_safe_join(cells.select(*keys, group, "_n", *[f"_m_{v}" for v in variables]), solved.select(*keys, *needed), keys)
     enriched = attach_by_key(rows, per_cell, [*keys, group], rows="_n")
@@ -202,12 +194,15 @@ def winsorize(df: DataFrame, columns: Sequence[str], by: str, low: float = 0.01,
 
 
 def rank_signals(base: DataFrame, signals: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    """Rows (sample, signal, x, carried columns): ``x`` is the percentile rank of the signal in its sample."""
+    """Rows (sample, signal, x, carried columns): ``x`` is the percentile rank of the signal in its sample.
+
+    Written once, because a regression reads its rows twice.
+    """
     cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals])
     long = base.select(*carry, F.explode(cells).alias("_c")).select(*carry, "_c.*").where(F.col("value").isNotNull())
     ranks = value_ranks(long, ["sample", "signal"], "value")
     ranks = ranks.select("sample", "signal", "value", "count", (average_rank_expr() / F.col("total")).alias("x"))
-    return attach_by_key(long, ranks, ["sample", "signal", "value"]).drop("count")
+    return materialize(attach_by_key(long, ranks, ["sample", "signal", "value"]).drop("count"))
 
 
 def prepare_cross_section(table: DataFrame, exclude: Sequence[str] = (), samples: Sequence[str] = ("full",)) -> DataFrame:
@@ -344,7 +339,7 @@ def leave_one_out(base: DataFrame, signal: str = "conc", sector: str = "sector")
     }
     reduced = null_safe_join(cells, whole, ["sample"]).withColumns(without).withColumn("n", F.col("n") - F.col("_n"))
     reduced = reduced.select("sample", F.col("_g").alias("left_out"), "n", *without, F.lit(None).cast("double").alias(f"_t_{y}_{y}"))
-    solved = _solve_specs(reduced, [spec], variables, y)
+    solved = materialize(_solve_specs(reduced, [spec], variables, y))
     # One array per sample, as long as there are sectors.
     fits = solved.groupBy("sample").agg(F.collect_list(F.struct("left_out", "n", "_s0")).alias("_fits"))
     per_cell = null_safe_join(cells.select("sample", "_g", "_n", *[f"_m_{v}" for v in variables]), fits, ["sample"])
@@ -387,7 +382,7 @@ def permutation_test(
     cells = rows.groupBy("sample", "_g").agg(*_moments(variables))
     controls = Spec("controls", tuple(_CONTROLS), True)
     totals = _totals(cells, ["sample"], variables)
-    solved = _solve_specs(totals, [spec, controls], variables, y)
+    solved = materialize(_solve_specs(totals, [spec, controls], variables, y))
     per_cell = null_safe_join(
         cells.select("sample", "_g", "_n", *[f"_m_{v}" for v in variables]),
         solved.select("sample", "n", F.col("_s0.beta")[0].alias("_observed"), F.col("_s1.beta").alias("_b")),

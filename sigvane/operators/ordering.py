@@ -19,8 +19,8 @@ from sigvane import runtime
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; the right key columns are dropped."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    renamed = right.selectExpr(*[f"`{k}` AS `_r_{k}`" for k in keys], *[f"`{c}`" for c in right.columns if c not in keys])
+    condition = F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -77,14 +77,16 @@ def attach_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: st
     """
     keys = list(keys)
     payload = [c for c in table.columns if c not in keys]
-    hot = table.where(F.col(rows) > runtime.HOT_KEY_ROWS).withColumn("_hot", F.lit(True))
-    hot = hot.select(*keys, "_hot", *[F.col(c).alias(f"_hot_{c}") for c in payload])
-    cold = table.where(F.col(rows) <= runtime.HOT_KEY_ROWS).withColumn("_spread", F.lit(0))
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("int"))
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left").withColumn("_spread", spread)
+    names = [f"`{k}`" for k in keys]
+    limit = runtime.HOT_KEY_ROWS
+    hot = table.where(f"`{rows}` > {limit}").selectExpr(*names, "true AS _hot", *[f"`{c}` AS `_hot_{c}`" for c in payload])
+    cold = table.where(f"`{rows}` <= {limit}").selectExpr("*", "0 AS _spread")
+    everything = ", ".join(f"`{c}`" for c in df.columns)
+    spread = f"CASE WHEN _hot IS NULL THEN 0 ELSE 1 + CAST(pmod(xxhash64({everything}), 4096) AS INT) END AS _spread"
+    marked = null_safe_join(df, F.broadcast(hot), keys, "left").selectExpr("*", spread)
     joined = null_safe_join(marked, cold, [*keys, "_spread"], "left")
-    picked = [F.when(F.col("_hot").isNull(), F.col(c)).otherwise(F.col(f"_hot_{c}")).alias(c) for c in payload]
-    return joined.select(*df.columns, *picked)
+    picked = [f"CASE WHEN _hot IS NULL THEN `{c}` ELSE `_hot_{c}` END AS `{c}`" for c in payload]
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *picked)
 
 
 def average_rank_expr(before: str = "before", count: str = "count") -> Column:

@@ -17,8 +17,13 @@ SIGNALS = K.CROSS_SECTION_SIGNALS
 OUTCOMES = [K.PRIMARY_OUTCOME, *K.SECONDARY_OUTCOMES]
 
 
-def base(spark: SparkSession, sf_dir: str, samples: tuple[str, ...] = ("full", "excluded")) -> DataFrame:
-    return ols.prepare_cross_section(B.vintage(spark, sf_dir), B.EXCLUDED, samples)
+def _prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ols.prepare_cross_section(B.vintage(spark, sf_dir), B.EXCLUDED, ("full", "excluded"))
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged prepared table of both samples."""
+    return B.staged(spark, sf_dir, "prepared", _prepare)
 
 
 def _inverse(k: int) -> list[list[str]]:
@@ -158,7 +163,7 @@ def exclusion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM full_rows f LEFT JOIN a USING (ticker) LEFT JOIN b USING (ticker) WHERE f.ticker IN ({B._EXCLUDED_LIST})""",
 )
 def exclusion_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = ols.placement(base(spark, sf_dir, ("full",)), B.EXCLUDED, "conc")
+    placed = ols.placement(base(spark, sf_dir), B.EXCLUDED, "conc")
     return placed.select("ticker", count("conc"), *rounded("rev_growth_yoy", "conc_rk", "rev_growth_yoy_rk"))
 
 
@@ -434,7 +439,7 @@ def pooled_regression_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT signal, outcome, n_obs, round(ic, 6) AS ic, status, round({S.correlation_pvalue("ic", "n_obs")}, 6) AS p_value FROM ics""",
 )
 def cross_section_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = ic.ic_matrix(base(spark, sf_dir, ("full",)), SIGNALS, OUTCOMES)
+    result = ic.ic_matrix(base(spark, sf_dir).where(F.col("sample") == "full"), SIGNALS, OUTCOMES)
     return result.select("signal", "outcome", count("n_obs"), *rounded("ic", "p_value"), "status")
 
 
