@@ -15,11 +15,12 @@ def land_new_files(
     progress: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     pattern: str = "*.json",
+    one_per_file: bool = False,
 ) -> None:
     """Append the transformed rows of unseen JSON files to ``target`` and remember them in ``progress``.
 
-    The run ends when all present files are taken; an interrupted run resumes without duplicates.
+    Files hold JSON lines, or one document each.  The run ends when all present files are taken; an interrupted run resumes without duplicates.
     """
-    incoming = spark.readStream.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(source)
+    incoming = spark.readStream.schema(schema).option("multiLine", one_per_file).option("pathGlobFilter", pattern).json(source)
     sink = transform(incoming).writeStream.format("parquet").option("path", target).option("checkpointLocation", progress)
     sink.trigger(availableNow=True).start().awaitTermination()
