@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
-from sigvane.functions.text import strip
 
 
 def term_pattern(terms: Sequence[str]) -> str:
@@ -51,27 +50,19 @@ def excerpts(
     """
     keep = [c for c in documents.columns if c != text]
     rows = hit_spans(documents, text, terms).where(F.col("spans").isNotNull())
-    rows = rows.withColumns(
-        {
-            "_from": F.expr(f"transform(spans, s -> greatest(0, s.start - {radius}))"),
-            "_to": F.expr(f"transform(spans, s -> least(length(`{text}`), s.end + {radius}))"),
-        }
-    )
-    # Window ends never decrease, so an island starts where a window clears the one before it.
-    rows = rows.withColumns(
-        {
-            "_starts": F.expr("filter(_from, (s, i) -> i = 0 OR s > _to[i - 1])"),
-            "_ends": F.expr("filter(_to, (e, i) -> i = size(_to) - 1 OR _from[i + 1] > e)"),
-        }
-    )
-    rows = rows.withColumn(
-        "_chunks", F.transform(F.arrays_zip("_starts", "_ends"), lambda z: strip(F.substring(F.col(text), z["_starts"] + 1, z["_ends"] - z["_starts"])))
-    )
-    rows = rows.withColumn("_sizes", F.transform("_chunks", F.length))
-    total = "aggregate(slice(_sizes, 1, i + 1), 0, (a, b) -> a + b)"
-    rows = rows.withColumn("_kept", F.expr(f"filter(transform(_sizes, (n, i) -> IF({total} <= {budget}, i, NULL)), i -> i IS NOT NULL)"))
-    flat = rows.select(*keep, F.col(text), F.explode("_kept").alias("excerpt_index"), "_starts", "_chunks")
-    flat = flat.withColumns({"start": F.col("_starts")[F.col("excerpt_index")], "excerpt": F.col("_chunks")[F.col("excerpt_index")]})
+    # ``transform(array(x), v -> ...)[0]`` evaluates x once and names it v.  Window ends never decrease, so
+    # an island starts where a window clears the one before it.
+    windows = f"transform(spans, s -> named_struct('f', greatest(0, s.start - {radius}), 't', least(length(`{text}`), s.end + {radius})))"
+    islands = f"""transform(array({windows}), w -> arrays_zip(
+        transform(filter(w, (p, i) -> i = 0 OR p.f > get(w, i - 1).t), p -> p.f),
+        transform(filter(w, (p, i) -> i = size(w) - 1 OR get(w, i + 1).f > p.t), p -> p.t)))[0]"""
+    chunks = f"""transform({islands}, z -> named_struct(
+        'start', z.`0`, 'excerpt', regexp_replace(substring(`{text}`, z.`0` + 1, z.`1` - z.`0`), '(?U)^\\\\s+|\\\\s+$', '')))"""
+    kept = f"""transform(array({chunks}), c -> filter(
+        transform(c, (p, i) -> named_struct('excerpt_index', i, 'start', p.start, 'excerpt', p.excerpt,
+                  'total', aggregate(slice(c, 1, i + 1), 0, (a, x) -> a + length(x.excerpt)))),
+        r -> r.total <= {budget}))[0]"""
+    flat = rows.select(*keep, F.col(text), F.explode(F.expr(kept)).alias("_e")).select(*keep, F.col(text), "_e.*")
     before = F.lower(F.expr(f"substring(`{text}`, greatest(0, start - {lookback}) + 1, least(start, {lookback}))"))
     heading = F.try_element_at(F.regexp_extract_all(before, F.lit(r"(?U)item\s+(\d+a?b?)[.\s]"), F.lit(1)), F.lit(-1))
     names = F.create_map(*[F.lit(x) for pair in K.SECTION_NAMES.items() for x in pair])
@@ -82,7 +73,8 @@ def excerpts(
 def latest_of_form(filings: DataFrame, form: str = "10-K") -> DataFrame:
     """The first filing of a form in columnar arrays (newest first): accession, document and date."""
     zipped = F.arrays_zip("form", "accessionNumber", "primaryDocument", "filingDate")
-    first = F.filter(zipped, lambda f: f["form"] == form)[0]
+    first = F.filter(zipped, lambda f: f["form"] == form)
+    first = F.get(first, F.lit(0))
     others = [c for c in filings.columns if c not in ("form", "accessionNumber", "primaryDocument", "filingDate")]
     return filings.select(
         *others, first["accessionNumber"].alias("accession"), first["primaryDocument"].alias("document"), first["filingDate"].alias("filing_date")

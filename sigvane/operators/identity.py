@@ -170,7 +170,10 @@ def fuzzy_candidates(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY
     probes = probes.selectExpr("word", "m", "n", "d", "i", f"{start} AS p", f"{width} AS w").where("m >= w")
     probes = probes.selectExpr("word", "m", "n", "i", "w", "greatest(0, p - d) AS lo", "least(m - w, p + d) AS hi").where("hi >= lo")
     probes = probes.selectExpr("word", "n", "i", "explode(sequence(lo, hi)) AS at", "w").selectExpr("word", "n", "i", "substring(word, at + 1, w) AS piece")
-    return probes.distinct().join(pieces, ["n", "i", "piece"]).select("word", "name").distinct()
+    pairs = probes.distinct().join(pieces, ["n", "i", "piece"]).select("word", "name").distinct()
+    # The edit distance is at most the number of insertions and deletions the ratio allows.
+    allowed = f"CAST(floor((length(word) + length(name)) * {1 - cutoff!r}D + 1e-9D) AS INT)"
+    return pairs.where(f"levenshtein(word, name, {allowed}) >= 0")
 
 
 def fuzzy_match(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:

@@ -49,13 +49,16 @@ def flatten_scores(pages: DataFrame, content: str = "content") -> DataFrame:
         sources.append(F.coalesce(F.col(f"{at}.evidence.sourceType"), F.array().cast("array<string>")))
         subs.append(F.coalesce(F.col(f"{at}.subDimensions"), F.array().cast("array<struct<name:string,score:string>>")))
     all_sources, all_subs = F.concat(*sources), F.concat(*subs)
-    for name in K.SUB_DIMENSIONS:
-        # The last mention wins.
-        hits = F.filter(all_subs, lambda s, name=name: s["name"] == name)
-        columns.append(F.try_element_at(hits, F.lit(-1))["score"].try_cast("double").alias(f"sub_{name}"))
+
+    def last_score(name: str) -> Column:
+        hits = F.filter(all_subs, lambda s: s["name"] == name)
+        return F.try_element_at(hits, F.lit(-1))["score"].try_cast("double").alias(f"sub_{name}")
+
+    def mentions(name: str) -> Column:
+        return F.size(F.filter(all_sources, lambda s: F.coalesce(s == name, F.lit(False)))).alias(f"evidence_{name}")
+
     named = [s for s in K.EVIDENCE_SOURCES if s != "other"]
-    for name in named:
-        columns.append(F.size(F.filter(all_sources, lambda s, name=name: F.coalesce(s == name, F.lit(False)))).alias(f"evidence_{name}"))
+    columns += [last_score(n) for n in K.SUB_DIMENSIONS] + [mentions(n) for n in named]
     columns.append(F.size(F.filter(all_sources, lambda s: ~F.coalesce(s.isin(named), F.lit(False)))).alias("evidence_other"))
     for name, field in (("n_ai_apps_used", "aiAppsUsed"), ("n_impact_metrics", "impactMetrics"), ("n_initiatives", "initiatives")):
         columns.append(_count(F.col(f"{content}.{field}")).alias(name))

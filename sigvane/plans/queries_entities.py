@@ -257,7 +257,7 @@ page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date)
     "score_pages_flattened",
     "A8 B33 E8 H4 D9",
     f"""WITH {_PAGES}
-    SELECT company_id, year(d) * 4 + quarter(d) AS page_version, n_pages, a + 0.5 AS maturity_index, CAST(a AS DOUBLE) AS adoption_score, CAST(f AS DOUBLE) AS proficiency_score,
+    SELECT company_id, year(d) * 4 + quarter(d) AS page_version, n_pages, CAST(a + 0.5 AS DOUBLE) AS maturity_index, CAST(a AS DOUBLE) AS adoption_score, CAST(f AS DOUBLE) AS proficiency_score,
            CASE WHEN a >= 4 THEN 'high' ELSE 'low' END AS adoption_label, a AS adoption_n_evidence, 1 AS impact_n_missing_evidence,
            CASE WHEN i <> 3 THEN CAST(i AS DOUBLE) END AS "sub_leadershipDepth", CAST(NULL AS DOUBLE) AS "sub_repeatability",
            a // 3 + f // 3 + i // 3 AS evidence_sec, (a + 2) // 3 + (f + 2) // 3 + (i + 2) // 3 AS evidence_news,

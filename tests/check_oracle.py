@@ -35,6 +35,17 @@ def rows_of(columns, records):
     return sorted(tuple(canonical(r[i]) for i in order) for r in records)
 
 
+FAMILIES = {
+    "int": {"TINYINT", "SMALLINT", "INTEGER", "BIGINT", "int", "bigint", "smallint"},
+    "double": {"DOUBLE", "double"},
+    "text": {"VARCHAR", "string"},
+}
+
+
+def family(kind):
+    return next((f for f, kinds in FAMILIES.items() if str(kind) in kinds), str(kind))
+
+
 def compare(spark, con, name, run, sql, directory):
     start = time.time()
     df = run(spark, directory)
@@ -47,6 +58,10 @@ def compare(spark, con, name, run, sql, directory):
     expected = cursor.fetchall()
     if sorted(columns) != sorted(df.columns):
         return "COLUMNS", seconds, len(spark_rows), f"{sorted(set(columns) ^ set(df.columns))}"
+    expected_types = {d[0]: family(d[1]) for d in cursor.description}
+    wrong = {c: (t, expected_types[c]) for c, t in df.dtypes if family(t) != expected_types[c]}
+    if wrong and not all(v is None for r in expected for v in [r[columns.index(c)] for c in wrong]):
+        return "TYPES", seconds, len(spark_rows), str(wrong)
     left, right = rows_of(df.columns, [tuple(r) for r in spark_rows]), rows_of(columns, expected)
     if left == right:
         return "ok", seconds, len(left), ""
