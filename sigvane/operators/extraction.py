@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sigvane import constants as K
 from sigvane.functions import text as tx
+from sigvane.operators.ordering import prefix_sums
+from sigvane.runtime import materialize
 
 EVIDENCE_TYPE = "array<struct<evidence_id:string,text:string,start_char:int,end_char:int,source_section:string>>"
 SCORES_TYPE = "map<string,struct<score:int,confidence:double,evidence_ids:array<string>,rationale:string>>"
@@ -185,22 +187,29 @@ def extraction_quality(extractions: DataFrame, names: Sequence[str] = K.SIGNAL_N
         F.coalesce(F.avg(F.col("is_valid").cast("double")), F.lit(0.0)).alias("schema_validity_rate"),
         F.coalesce(F.avg((F.size("evidence") > 0).cast("double")), F.lit(0.0)).alias("evidence_coverage_rate"),
     )
-    scores = extractions.select(F.explode(F.map_values("signal_scores")).alias("s")).groupBy(F.col("s.confidence").alias("c")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.score").isNull()).alias("missing")
-    )
-    # Confidences take few distinct values, so the median is a weighted one over them.
-    known = scores.where(F.col("c").isNotNull())
-    return per_row.withColumns(
-        {
-            "missing_score_rate": scores.agg(F.coalesce(F.try_divide(F.sum("missing"), F.sum("n")), F.lit(0.0))).scalar(),
-            "confidence_count": known.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar(),
-            "confidence_mean": known.agg(F.try_divide(F.sum(F.col("c") * F.col("n")), F.sum("n"))).scalar(),
-            "confidence_median": known.agg(F.expr("percentile(c, 0.5, n)")).scalar(),
-            "confidence_min": known.agg(F.min("c")).scalar(),
-            "confidence_max": known.agg(F.max("c")).scalar(),
-            "duplicate_evidence_count": duplicate_evidence(extractions).agg(F.count(F.lit(1))).scalar(),
-        }
+    each = extractions.select(F.explode(F.map_values("signal_scores")).alias("s"))
+    counted = each.groupBy(F.col("s.confidence").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s.score").isNull()).alias("missing"))
+    scores = materialize(counted)
+    spread = _confidence_spread(scores)
+    return per_row.withColumn("_s", spread.select(F.struct("*")).scalar()).select(
+        "*", "_s.*", duplicate_evidence(extractions).agg(F.count(F.lit(1))).scalar().alias("duplicate_evidence_count")
+    ).drop("_s")
+
+
+def _confidence_spread(scores: DataFrame) -> DataFrame:
+    """Missing-score rate and confidence measures from (confidence, rows, missing scores) counts."""
+    ranks = prefix_sums(scores.where(F.col("c").isNotNull()), [], ["c"], weight="n", before="before", total="total")
+    middle = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
+    picks = [F.max(F.when((m >= F.col("before")) & (m < F.col("before") + F.col("n")), F.col("c"))) for m in middle]
+    known = ranks.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("confidence_count"),
+        F.try_divide(F.sum(F.col("c") * F.col("n")), F.sum("n")).alias("confidence_mean"),
+        ((picks[0] + picks[1]) / 2).alias("confidence_median"),
+        F.min("c").alias("confidence_min"),
+        F.max("c").alias("confidence_max"),
     )
+    rate = scores.agg(F.coalesce(F.try_divide(F.sum("missing"), F.sum("n")), F.lit(0.0))).scalar()
+    return known.withColumn("missing_score_rate", rate)
 
 
 def duplicate_evidence(extractions: DataFrame) -> DataFrame:

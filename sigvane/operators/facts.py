@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigvane import constants as K
 from sigvane.functions.numeric import safe_ratio, safe_return
 from sigvane.operators.pit import nearest_within
+from sigvane.runtime import materialize
 
 
 def _items(taxonomy: str, concept: str, unit: str | None = None) -> Column:
@@ -59,19 +60,21 @@ def shares_near(facts: DataFrame, t0: str, days: int = 45) -> DataFrame:
 
 def quarter_outcomes(facts: DataFrame, t0: str, concepts: Sequence[str] = K.REVENUE_CONCEPTS) -> DataFrame:
     """The first quarter ending after ``t0`` with its growth, margin and margin changes, and headcount."""
-    revenue = preferred_series(quarterly_series(facts, concepts), concepts)
-    income = quarterly_series(facts, [K.OPERATING_INCOME]).drop("concept")
+    # Written once: five lookups read the extracted series, none of them the nested facts again.
+    series = materialize(quarterly_series(facts, [*concepts, K.OPERATING_INCOME]))
+    income = series.where(F.col("concept") == K.OPERATING_INCOME).drop("concept")
+    revenue = materialize(preferred_series(series.where(F.col("concept") != K.OPERATING_INCOME), concepts))
     after = revenue.where(F.col("end") > F.lit(t0).cast("date"))
     target = after.groupBy("ticker").agg(F.min_by(F.struct("end", "val", "filed"), "end").alias("_q")).select(
         "ticker", F.col("_q.end").alias("q_end"), F.col("_q.val").alias("rev_q"), F.col("_q.filed").alias("rev_filed"),
         F.date_sub(F.col("_q.end"), 91).alias("_back1"), F.date_sub(F.col("_q.end"), 365).alias("_back4"),
     )
     rows = target
-    for series, at, days, name in (
+    for known, at, days, name in (
         (revenue, "_back1", 21, "prev"), (revenue, "_back4", 21, "yoy"),
         (income, "q_end", 5, "oq"), (income, "_back1", 21, "oprev"), (income, "_back4", 21, "oyoy"),
     ):
-        rows = nearest_within(rows, series, ["ticker"], at, "end", days, ["val"], name)
+        rows = nearest_within(rows, known, ["ticker"], at, "end", days, ["val"], name)
     margin = safe_ratio(F.col("oq_val"), F.col("rev_q"))
     rows = rows.select(
         "ticker", "q_end", "rev_q", "rev_filed", F.col("prev_val").alias("rev_prev"), F.col("yoy_val").alias("rev_yoy"),

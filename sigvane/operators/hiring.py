@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigvane.functions import text as tx
 from sigvane.operators.ic import spearman
 from sigvane.operators.ordering import add_percentile_rank, prefix_sums
+from sigvane.runtime import materialize
 
 
 def hiring_signal(postings: DataFrame, keys: Sequence[str] = ("ticker", "snapshot")) -> DataFrame:
@@ -135,17 +136,13 @@ def weighted_share(sample: DataFrame, flag: str = "is_ai_keyword_matched", weigh
 
 def sample_summary(full: DataFrame, sample: DataFrame, flag: str = "is_ai_keyword_matched") -> DataFrame:
     """One row per sampled bucket with its share, beside the totals."""
+    sample = materialize(sample)
     size = sample.agg(F.count(F.lit(1))).scalar()
-    shares = sample.groupBy("sampling_bucket").agg(F.count(F.lit(1)).alias("sampled"))
+    totals = full.agg(F.struct(F.count(F.lit(1)).alias("total_postings"), F.count_if(F.col(flag)).alias("ai_keyword_count"))).scalar()
+    shares = sample.groupBy("sampling_bucket").agg(F.count(F.lit(1)).alias("sampled")).withColumn("_t", totals)
     return shares.withColumns(
-        {
-            "sample_share": F.col("sampled") / size,
-            "sample_size": size,
-            "total_postings": full.agg(F.count(F.lit(1))).scalar(),
-            "ai_keyword_count": full.agg(F.count_if(F.col(flag))).scalar(),
-            "weighted_ai_share": weighted_share(sample, flag).scalar(),
-        }
-    )
+        {"sample_share": F.col("sampled") / size, "sample_size": size, "weighted_ai_share": weighted_share(sample, flag).scalar()}
+    ).select("*", "_t.*").drop("_t")
 
 
 def stratified_pilot(df: DataFrame, score: str, sector: str, tie: str, bands: Sequence[tuple[str, Column]], per_band: int = 4) -> DataFrame:

@@ -79,7 +79,8 @@ def attach_company_id(df: DataFrame, companies: DataFrame, strict: bool = True)
     if "ticker" not in out.columns:
         return out
     lookup = companies.select("ticker", F.col("company_id").alias("_mapped"))
-    mapped = out.join(lookup, "ticker", "left")
+    sizes = out.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count(F.lit(1)).alias("_rows"))
+    mapped = attach_by_key(out, sizes.join(lookup, "ticker"), ["ticker"], rows="_rows", unmatched=["ticker"]).drop("_rows")
     if "company_id" not in df.columns:
         return mapped.withColumnRenamed("_mapped", "company_id")
     complete = out.agg(F.coalesce(F.min(F.col("company_id").isNotNull()), F.lit(True)).alias("complete")).scalar()
@@ -87,7 +88,7 @@ def attach_company_id(df: DataFrame, companies: DataFrame, strict: bool = True)
 
 
 def unmatched_rows(companies: DataFrame, datasets: Mapping[str, DataFrame]) -> DataFrame:
-    """Per dataset: rows whose id or ticker is present but unknown, and the sorted unknown tickers."""
+    """Rows (dataset, ticker, unmatched_rows) whose id or ticker is present but unknown, one per ticker."""
     ids = companies.select(F.col("company_id").alias("_id"), F.lit(True).alias("_id_known")).where(F.col("_id").isNotNull()).distinct()
     tickers = companies.select(F.col("ticker").alias("_ticker"), F.lit(True).alias("_ticker_known")).where(F.col("_ticker").isNotNull()).distinct()
     reports = []
@@ -102,13 +103,7 @@ def unmatched_rows(companies: DataFrame, datasets: Mapping[str, DataFrame]) -> D
             ticker = F.col("_t")
             rows = rows.withColumn("_t", tx.normalize_ticker(F.col("ticker"))).join(tickers, ticker == F.col("_ticker"), "left")
             bad = bad | (ticker.isNotNull() & F.col("_ticker_known").isNull())
-        reports.append(
-            rows.agg(
-                F.lit(name).alias("dataset"),
-                F.coalesce(F.sum(F.when(bad, F.col("_rows"))), F.lit(0)).alias("unmatched_rows"),
-                F.sort_array(F.collect_set(F.when(bad, ticker))).alias("unmatched_tickers"),
-            )
-        )
+        reports.append(rows.where(bad).groupBy(F.lit(name).alias("dataset"), ticker.alias("ticker")).agg(F.sum("_rows").alias("unmatched_rows")))
     return q.union_violations(reports)
 
 
@@ -221,22 +216,26 @@ def resolve_entities(
     a_exact = a.selectExpr("norm", "ticker AS a_ticker", "cik AS a_cik", "gics_sector AS a_sector")
     b_exact = b.selectExpr("norm", "ticker AS b_ticker", "cik AS b_cik")
 
-    # Both lists are given as literals by the caller.
+    # Both lists are literals of the caller, so their joined rows are as few.
     listed = _literal_map(spark, private, "name", "private_as")
     chosen = _literal_map(spark, manual, "name", "manual_ticker")
-    by_ticker_a = members.groupBy(F.col("ticker").alias("manual_ticker")).agg(F.min(F.struct("ord", "cik", "gics_sector")).alias("ma"))
-    by_ticker_b = registry.groupBy(F.col("ticker").alias("manual_ticker")).agg(F.min(F.struct("ord", "cik")).alias("mb"))
-    rows = keyed.join(listed, "name", "left").join(chosen, "name", "left")
-    rows = rows.join(by_ticker_a, "manual_ticker", "left").join(by_ticker_b, "manual_ticker", "left")
+    wanted = list(manual.values())
+    by_ticker_a = members.where(F.col("ticker").isin(wanted)).groupBy(F.col("ticker").alias("manual_ticker")).agg(
+        F.min(F.struct("ord", "cik", "gics_sector")).alias("ma")
+    )
+    by_ticker_b = registry.where(F.col("ticker").isin(wanted)).groupBy(F.col("ticker").alias("manual_ticker")).agg(F.min(F.struct("ord", "cik")).alias("mb"))
+    chosen = chosen.join(by_ticker_a, "manual_ticker", "left").join(by_ticker_b, "manual_ticker", "left")
+    rows = keyed.join(F.broadcast(listed), "name", "left").join(F.broadcast(chosen), "name", "left")
     rows = rows.join(a_exact, "norm", "left").join(b_exact, "norm", "left")
 
     open_words = rows.where("private_as IS NULL AND manual_ticker IS NULL AND a_ticker IS NULL AND b_ticker IS NULL")
     words = open_words.select(F.col("norm").alias("word")).distinct()
+    # The tickers are joined to the few matches, not to the entities, whose unmatched rows have no key.
     fuzzy_a = fuzzy_match(words, a.select(F.col("norm").alias("name")), cutoff).selectExpr("word AS norm", "name AS fa")
+    fuzzy_a = fuzzy_a.join(a.selectExpr("norm AS fa", "ticker AS fa_ticker", "cik AS fa_cik", "gics_sector AS fa_sector"), "fa")
     fuzzy_b = fuzzy_match(words, b.select(F.col("norm").alias("name")), cutoff).selectExpr("word AS norm", "name AS fb")
+    fuzzy_b = fuzzy_b.join(b.selectExpr("norm AS fb", "ticker AS fb_ticker", "cik AS fb_cik"), "fb")
     rows = rows.join(fuzzy_a, "norm", "left").join(fuzzy_b, "norm", "left")
-    rows = rows.join(a.selectExpr("norm AS fa", "ticker AS fa_ticker", "cik AS fa_cik", "gics_sector AS fa_sector"), "fa", "left")
-    rows = rows.join(b.selectExpr("norm AS fb", "ticker AS fb_ticker", "cik AS fb_cik"), "fb", "left")
 
     def pick(private_v: str, manual_v: str, a_v: str, b_v: str, fa_v: str, fb_v: str, other: str) -> Column:
         return F.expr(
@@ -282,8 +281,8 @@ def flag_universe_duplicates(universe: DataFrame, order: str = "name") -> DataFr
     tickers = universe.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count(F.lit(1)).alias("_same_ticker"))
     place = F.struct((~F.col("in_coverage")).alias("late"), F.col(order).alias("o"), F.coalesce("company_id", F.lit("")).alias("i"), F.coalesce("ticker", F.lit("")).alias("t"))
     ciks = universe.where(F.col("cik").isNotNull()).groupBy("cik").agg(F.min(place).alias("_preferred"), F.count(F.lit(1)).alias("_same_cik"))
-    rows = attach_by_key(universe, tickers, ["ticker"], rows="_same_ticker")
-    rows = attach_by_key(rows, ciks, ["cik"], rows="_same_cik")
+    rows = attach_by_key(universe, tickers, ["ticker"], rows="_same_ticker", unmatched=["ticker"])
+    rows = attach_by_key(rows, ciks, ["cik"], rows="_same_cik", unmatched=["cik"])
     return rows.withColumns(
         {"ticker_dup": F.coalesce(F.col("_same_ticker") > 1, F.lit(False)), "share_class_dup": F.coalesce(place != F.col("_preferred"), F.lit(False))}
     ).drop("_same_ticker", "_preferred", "_same_cik")

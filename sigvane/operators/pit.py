@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sigvane import constants as K
 from sigvane.functions.calendar import quarter_label
 from sigvane.functions.numeric import mean_of, safe_difference, safe_log, safe_ratio, safe_return
+from sigvane.operators.ordering import attach_by_key
 
 # Order on equal dates: facts dated on the prediction date are known to the score.
 _PRICE, _REPORT_SEEN, _REPORT_END, _SCORE = 0, 1, 2, 3
@@ -182,8 +183,9 @@ def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str) ->
     known = F.col(value).isNotNull()
     for g in groups:
         known = known & F.col(g).isNotNull()
-    means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"))
-    return df.join(means, groups, "left").withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
+    means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
+    joined = attach_by_key(df, means, groups, rows="_rows", unmatched=groups)
+    return joined.withColumn(out, F.col(value) - F.col("_mean")).drop("_mean", "_rows")
 
 
 def build_panel(

@@ -224,7 +224,7 @@ def sector_neutral_ic_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     "F33",
     f"""WITH {B.PANEL_SQL}
     SELECT sector, round(regr_slope(fwd_return_1q, {K.COMPOSITE}), 8) AS slope,
-           round(regr_intercept(fwd_return_1q, {K.COMPOSITE}), 8) AS intercept, regr_count(fwd_return_1q, {K.COMPOSITE}) AS n
+           round(regr_intercept(fwd_return_1q, {K.COMPOSITE}), 8) AS intercept, CAST(regr_count(fwd_return_1q, {K.COMPOSITE}) AS BIGINT) AS n
     FROM panel GROUP BY 1""",
 )
 def trend_line(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,11 +415,10 @@ _ORPHANS = """orphans AS (SELECT CASE WHEN CAST(company_id AS INTEGER) % 3 <> 0
     "C11 C12",
     f"""WITH {B.COMPANIES_SQL}, {B.ENTITY_QUARTERS_SQL}, {B.PRICES_SQL}, {_ORPHANS},
     bad AS (SELECT * FROM orphans WHERE (company_id IS NOT NULL AND company_id NOT IN (SELECT company_id FROM companies)) OR ticker NOT IN (SELECT ticker FROM companies))
-    SELECT 'prices' AS dataset, count(*) AS unmatched_rows, array_to_string(list_sort(list(DISTINCT ticker)), ',') AS unmatched_tickers FROM bad""",
+    SELECT 'prices' AS dataset, ticker, count(*) AS unmatched_rows FROM bad GROUP BY 2""",
 )
 def unmatched_identifier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = identity.unmatched_rows(B.companies(spark, sf_dir), {"prices": _orphans(spark, sf_dir)})
-    return report.select("dataset", count("unmatched_rows"), F.array_join("unmatched_tickers", ",").alias("unmatched_tickers"))
+    return identity.unmatched_rows(B.companies(spark, sf_dir), {"prices": _orphans(spark, sf_dir)})
 
 
 @query(

@@ -85,19 +85,19 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "filings_latest_form",
     "J4",
-    """WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '10-K' ELSE '8-K' END AS form, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders)
-    SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS accession, 'doc' || o_orderkey AS document, d AS filing_date FROM f WHERE form = '10-K'
-    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY d DESC, o_orderkey DESC) = 1""",
+    f"""WITH {B.ENTITY_QUARTERS_SQL} SELECT company_id, 'A' || net AS accession, 'doc' || net AS document, CAST(period_end AS VARCHAR) AS filing_date FROM entity_quarters
+    WHERE quarter(period_end) = 4 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY period_end DESC) = 1""",
 )
 def filings_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as a customer's filings, newest first, in columnar arrays."""
-    o = B.table(spark, sf_dir, "orders").select(
-        "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "10-K").otherwise("8-K").alias("form")
+    """An entity's quarters as its filings, newest first, in columnar arrays: one filing per quarter."""
+    q = B.entity_quarters(spark, sf_dir)
+    filing = F.struct(
+        F.col("period_end").cast("string").alias("d"), F.col("net").cast("string").alias("n"), F.when(F.quarter("period_end") == 4, "10-K").otherwise("10-Q").alias("form")
     )
-    rows = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("d", "o_orderkey", "form")), False).alias("r"))
+    rows = q.groupBy("company_id").agg(F.sort_array(F.collect_list(filing), False).alias("r"))
     columnar = rows.select(
-        "o_custkey", F.col("r.form").alias("form"), F.transform("r.o_orderkey", lambda k: k.cast("string")).alias("accessionNumber"),
-        F.transform("r.o_orderkey", lambda k: F.concat(F.lit("doc"), k.cast("string"))).alias("primaryDocument"), F.col("r.d").alias("filingDate"),
+        "company_id", F.col("r.form").alias("form"), F.transform("r.n", lambda k: F.concat(F.lit("A"), k)).alias("accessionNumber"),
+        F.transform("r.n", lambda k: F.concat(F.lit("doc"), k)).alias("primaryDocument"), F.col("r.d").alias("filingDate"),
     )
     return excerpts.latest_of_form(columnar)
 
@@ -147,16 +147,16 @@ def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "verified_quotes",
     "F32",
-    """WITH c AS (SELECT d.doc_id, b.item_id, contains(d.text, b.text) AS found FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)
-    SELECT item_id, count(*) AS quotes, count(*) FILTER (found) AS verified FROM c GROUP BY 1""",
+    """WITH c AS (SELECT lang, text, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 11, 40)) ELSE substr(text, 11, 40) END AS quote FROM documents WHERE length(text) > 10)
+    SELECT lang, count(*) AS quotes, count(*) FILTER (contains(text, quote)) AS verified FROM c GROUP BY 1""",
 )
 def verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is said to quote the benchmark passages of its remainder class."""
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    quotes = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    claimed = docs.select("doc_id").join(quotes, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    checked = excerpts.verify_quotes(claimed, docs, "doc_id")
-    return checked.groupBy("item_id").agg(F.count(F.lit(1)).alias("quotes"), F.count_if("found").alias("verified"))
+    """One quote per document, every third one changed."""
+    docs = B.table(spark, sf_dir, "documents").where(F.length("text") > 10)
+    part = F.substring("text", 11, 40)
+    quotes = docs.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, F.upper(part)).otherwise(part).alias("quote"))
+    checked = excerpts.verify_quotes(quotes, docs, "doc_id")
+    return checked.groupBy("lang").agg(F.count(F.lit(1)).alias("quotes"), F.count_if("found").alias("verified"))
 
 
 _LINES = r"list_filter(string_split_regex(text, '\r\n|[\n\r]'), lambda l: trim(l) <> '' AND NOT regexp_matches(l, '(?i)stupid|privacy'))"
@@ -195,22 +195,22 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "model_replies",
     "J9 J10",
-    """SELECT conv_id, turn AS result_index, CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS is_company_match,
+    """SELECT conv_id, turn // 25 AS batch, turn % 25 AS result_index, CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS is_company_match,
        CASE WHEN role = 'assistant' THEN 'ai-builder' WHEN role = 'user' THEN 'non-ai' END AS ai_role_type, round(turn / 10.0, 6) AS confidence FROM conversations""",
 )
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as results; the reply is a fenced JSON array with one index too many."""
-    talk = B.table(spark, sf_dir, "conversations")
+    """Turns of a conversation as results in batches of 25; a reply is a fenced JSON array with one index too many."""
+    talk = B.table(spark, sf_dir, "conversations").withColumns({"batch": F.floor(F.col("turn") / 25), "place": (F.col("turn") % 25).cast("int")})
     label = F.when(F.col("role") == "assistant", "ai-builder").when(F.col("role") == "user", "something-else").otherwise("")
     answer = F.struct(
-        F.col("turn").alias("result_index"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 3 == 1).alias("is_company_match"), label.alias("ai_role_type"),
+        F.col("place").alias("result_index"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 3 == 1).alias("is_company_match"), label.alias("ai_role_type"),
         (F.col("turn") / F.lit(10.0)).alias("confidence"),
     )
-    stray = F.array(F.struct(F.lit(999).cast("long").alias("result_index"), F.lit(True).alias("is_company_match"), F.lit("ai-user").alias("ai_role_type"), F.lit(1.0).alias("confidence")))
-    replies = talk.groupBy("conv_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.concat(F.collect_list(answer), stray)), F.lit("\n```")).alias("reply"))
-    results = talk.select("conv_id", F.col("turn").cast("int").alias("result_index"))
-    rows = hiring.parse_replies(replies, results, ["conv_id"])
-    return rows.select("conv_id", count("result_index"), F.col("is_company_match").cast("int").alias("is_company_match"), "ai_role_type", *rounded("confidence"))
+    stray = F.array(F.struct(F.lit(999).alias("result_index"), F.lit(True).alias("is_company_match"), F.lit("ai-user").alias("ai_role_type"), F.lit(1.0).alias("confidence")))
+    replies = talk.groupBy("conv_id", "batch").agg(F.concat(F.lit("```json\n"), F.to_json(F.concat(F.collect_list(answer), stray)), F.lit("\n```")).alias("reply"))
+    results = talk.select("conv_id", "batch", F.col("place").alias("result_index"))
+    rows = hiring.parse_replies(replies, results, ["conv_id", "batch"])
+    return rows.select("conv_id", count("batch"), count("result_index"), F.col("is_company_match").cast("int").alias("is_company_match"), "ai_role_type", *rounded("confidence"))
 
 
 # --- extraction --------------------------------------------------------------------------------------------
