@@ -59,7 +59,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", min_o
     joined = null_safe_join(groups, moments, by, "left")
     too_few = F.col("n_obs") < min_obs
     constant = (F.col("_xx") <= 0) | (F.col("_yy") <= 0)
-    rho = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
+    rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
     return joined.select(
         *by,
         "n_obs",

@@ -14,6 +14,7 @@ from sigvane import constants as K
 from sigvane.functions import text as tx
 from sigvane.operators import quality as q
 from sigvane.operators.ordering import attach_by_key
+from sigvane.runtime import materialize
 
 
 def _normalized(df: DataFrame, key: str) -> DataFrame:
@@ -211,8 +212,9 @@ def resolve_entities(
     """
     spark = entities.sparkSession
     keyed = entities.withColumn("norm", tx.name_key(F.col("name")))
-    a = first_per_name(members, "member_name", "ord", ["ticker", "cik", "gics_sector"])
-    b = first_per_name(registry, "title", "ord", ["ticker", "cik"])
+    # Both name lists are read by the exact and the fuzzy steps.
+    a = materialize(first_per_name(members, "member_name", "ord", ["ticker", "cik", "gics_sector"]))
+    b = materialize(first_per_name(registry, "title", "ord", ["ticker", "cik"]))
     a_exact = a.selectExpr("norm", "ticker AS a_ticker", "cik AS a_cik", "gics_sector AS a_sector")
     b_exact = b.selectExpr("norm", "ticker AS b_ticker", "cik AS b_cik")
 
@@ -226,7 +228,7 @@ def resolve_entities(
     by_ticker_b = registry.where(F.col("ticker").isin(wanted)).groupBy(F.col("ticker").alias("manual_ticker")).agg(F.min(F.struct("ord", "cik")).alias("mb"))
     chosen = chosen.join(by_ticker_a, "manual_ticker", "left").join(by_ticker_b, "manual_ticker", "left")
     rows = keyed.join(F.broadcast(listed), "name", "left").join(F.broadcast(chosen), "name", "left")
-    rows = rows.join(a_exact, "norm", "left").join(b_exact, "norm", "left")
+    rows = materialize(rows.join(a_exact, "norm", "left").join(b_exact, "norm", "left"))
 
     open_words = rows.where("private_as IS NULL AND manual_ticker IS NULL AND a_ticker IS NULL AND b_ticker IS NULL")
     words = open_words.select(F.col("norm").alias("word")).distinct()

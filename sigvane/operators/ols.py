@@ -307,11 +307,10 @@ def within_category(base: DataFrame, signal: str = "conc", min_rows: int = 20) -
 
 def complete_case(base: DataFrame, signals: Sequence[str], report: Sequence[str], sector: str = "sector") -> DataFrame:
     """Full spec on rows where every signal, the outcome and the controls are known."""
-    carried = ["sample", sector, K.PRIMARY_OUTCOME, *_CONTROLS]
-    ranked = add_percentile_ranks(base.select(*carried, *signals), list(signals), by=["sample"])
-    rows = complete_rows(ranked, [*carried, *[f"{s}_rk" for s in signals]])
-    cells = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"{s}_rk").alias("x")) for s in report])
-    rows = rows.select(*carried, F.explode(cells).alias("_c")).select(*carried, "_c.*")
+    # A rank is known exactly where its signal is, so completeness is a property of the row.
+    whole = F.expr(" AND ".join(f"{s} IS NOT NULL" for s in signals))
+    flagged = base.withColumn("_whole", whole)
+    rows = rank_signals(flagged, report, ["sample", sector, K.PRIMARY_OUTCOME, *_CONTROLS, "_whole"]).where("_whole")
     return hc3_regressions(rows, ["sample", "signal"], sector, K.PRIMARY_OUTCOME, [LADDER[3]])
 
 
