@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def rows(df, *order):
