@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from sigvane import constants as K
 
 
+# Unicode whitespace, for TRIM
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.trim(c.cast("string"), F.lit(_SPACES))
+
+
+def collapse_spaces(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def is_missing(c: Column) -> Column:
@@ -26,7 +34,7 @@ def clean_text(c: Column) -> Column:
 
 def collapse_text(c: Column) -> Column:
     """Trimmed text with whitespace runs collapsed; empty becomes null."""
-    return F.nullif(F.regexp_replace(strip(c), r"(?U)\s+", " "), F.lit(""))
+    return F.nullif(collapse_spaces(strip(c)), F.lit(""))
 
 
 def normalize_ticker(c: Column) -> Column:
@@ -65,7 +73,7 @@ def name_key(c: Column) -> Column:
     text = F.replace(F.lower(strip(c)), F.lit("&"), F.lit(" and "))
     text = F.regexp_replace(text, r"[.,'’\-()]", " ")
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_])({suffixes})(?![\p{{L}}\p{{N}}_])", " ")
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(collapse_spaces(text))
 
 
 def to_price_ticker(c: Column) -> Column:
@@ -77,8 +85,8 @@ def from_price_ticker(c: Column) -> Column:
 
 
 def content_hash(*parts: Column) -> Column:
-    """SHA-256 of the lower-cased, whitespace-normalized parts joined by `` | ``."""
-    normalized = [F.coalesce(F.lower(collapse_text(p)), F.lit("")) for p in parts]
+    """SHA-256 of the lower-cased parts joined by `` | ``; parts are whitespace-normalized already."""
+    normalized = [F.coalesce(F.lower(p), F.lit("")) for p in parts]
     return F.sha2(F.concat_ws(" | ", *normalized), 256)
 
 
@@ -94,8 +102,8 @@ def keyword_pattern(keywords: Iterable[str]) -> str:
 
 
 def matches_keyword(title: Column, description: Column, keywords: Iterable[str] = K.POSTING_KEYWORDS) -> Column:
-    """Whether any keyword occurs in title or description, bounded by non-alphanumerics."""
-    pieces = [F.coalesce(collapse_text(c), F.lit("")) for c in (title, description)]
+    """Whether any keyword occurs in the whitespace-normalized title or description, bounded by non-alphanumerics."""
+    pieces = [F.coalesce(c, F.lit("")) for c in (title, description)]
     return F.lower(F.concat_ws(" ", *pieces)).rlike(keyword_pattern(keywords))
 
 
@@ -125,7 +133,7 @@ def html_to_text(c: Column) -> Column:
     text = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     text = F.regexp_replace(text, r"&[a-z#0-9]+;", " ")
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    return collapse_spaces(text)
 
 
 def strip_code_fence(c: Column) -> Column:

@@ -29,16 +29,25 @@ def _holds_any(c: Column, terms: Sequence[str]) -> Column:
     return found
 
 
-def evidence_quote(text: Column, terms: Sequence[str], limit: int = 300) -> Column:
-    """The first sentence holding a term, else the text's beginning; null when no term occurs."""
+def evidence_quote(text: Column, low: Column, terms: Sequence[str], limit: int = 300) -> Column:
+    """The first sentence holding a term, else the text's beginning; null when no term occurs.
+
+    ``low`` is the lower-cased text.
+    """
     sentences = F.filter(F.transform(F.split(tx.strip(text), r"\."), tx.strip), lambda s: s != "")
-    hits = F.filter(sentences, lambda s: _holds_any(F.concat(F.lit(" "), F.lower(s), F.lit(" ")), terms))
-    quote = F.substring(F.coalesce(F.get(hits, F.lit(0)), tx.strip(text)), 1, limit)
-    return F.when(_holds_any(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), terms), quote)
+    pairs = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.concat(F.lit(" "), F.lower(s), F.lit(" ")).alias("low")))
+    hits = F.filter(pairs, lambda p: _holds_any(p["low"], terms))
+    quote = F.substring(F.coalesce(F.get(hits, F.lit(0))["s"], tx.strip(text)), 1, limit)
+    return F.when(_holds_any(F.concat(F.lit(" "), low, F.lit(" ")), terms), quote)
 
 
 def _score(low: Column, base: int, keywords: Sequence[str], has_evidence: Column) -> Column:
-    matched = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k))
+    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]), lambda k: k.isNotNull())
+    # one-element array: the matches are found once and named
+    return F.transform(F.array(found), lambda matched: _signal(matched, base, has_evidence))[0]
+
+
+def _signal(matched: Column, base: int, has_evidence: Column) -> Column:
     n = F.size(matched)
     return F.when(
         ~has_evidence,
@@ -59,7 +68,8 @@ def extract_documents(
     rules: Mapping[str, tuple[int, Sequence[str]]] = K.SIGNAL_RULES,
 ) -> DataFrame:
     """Evidence span, signal scores and limitations per document, in one projection."""
-    rows = documents.withColumn("_quote", evidence_quote(F.col("text"), terms))
+    rows = documents.withColumn("_low", F.lower("text"))
+    rows = rows.withColumn("_quote", evidence_quote(F.col("text"), F.col("_low"), terms))
     place = F.instr(F.col("text"), F.col("_quote")) - 1
     has = F.col("_quote").isNotNull()
     span = F.struct(
@@ -69,8 +79,7 @@ def extract_documents(
         F.when(place >= 0, place + F.length("_quote")).alias("end_char"),
         F.lit(None).cast("string").alias("source_section"),
     )
-    low = F.lower("text")
-    scores = F.create_map(*[x for name, (base, words) in rules.items() for x in (F.lit(name), _score(low, base, words, has))])
+    scores = F.create_map(*[x for name, (base, words) in rules.items() for x in (F.lit(name), _score(F.col("_low"), base, words, has))])
     rows = rows.withColumns(
         {"evidence": F.when(has, F.array(span)).otherwise(F.array().cast(EVIDENCE_TYPE)).cast(EVIDENCE_TYPE), "signal_scores": scores.cast(SCORES_TYPE)}
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigvane import constants as K
 from sigvane.functions.tails import correlation_pvalue
+from sigvane.runtime import materialize
 from sigvane.operators.ordering import add_percentile_ranks, attach_by_key, null_safe_join, prefix_sums
 
 
@@ -22,12 +23,25 @@ def available(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def unpivot_pairs(df: DataFrame, by: Sequence[str], signals: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
     """Rows (by, signal, outcome, x, y), one per signal, outcome and input row."""
-    cells = [
-        F.struct(F.lit(s).alias("signal"), F.lit(o).alias("outcome"), F.col(s).cast("double").alias("x"), F.col(o).cast("double").alias("y"))
-        for s in signals
-        for o in outcomes
-    ]
-    return df.select(*by, F.explode(F.array(*cells)).alias("_cell")).select(*by, "_cell.*")
+    return _name_pairs(_number_pairs(df, by, signals, outcomes), signals, outcomes)
+
+
+def _number_pairs(df: DataFrame, by: Sequence[str], signals: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
+    """Rows (by, pair, x, y): the pair is a small number, so keys stay short in every shuffle."""
+    cells = ", ".join(
+        f"named_struct('pair', {i * len(outcomes) + j}, 'x', CAST(`{s}` AS DOUBLE), 'y', CAST(`{o}` AS DOUBLE))"
+        for i, s in enumerate(signals)
+        for j, o in enumerate(outcomes)
+    )
+    return df.select(*by, F.expr(f"explode(array({cells})) AS _cell")).select(*by, "_cell.*")
+
+
+def _name_pairs(df: DataFrame, signals: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
+    def names(values: Sequence[str]) -> str:
+        return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+    signal, outcome = f"{names(signals)}[pair DIV {len(outcomes)}] AS signal", f"{names(outcomes)}[pair % {len(outcomes)}] AS outcome"
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c != "pair"], signal, outcome)
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", min_obs: int = 3) -> DataFrame:
@@ -45,13 +59,13 @@ def spearman(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", min_o
     sides = F.array(F.struct(F.lit("x").alias("side"), F.col("_x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("_y").alias("value")))
     values = pairs.select(*by, "_n", F.explode(sides).alias("_v")).select(*by, "_n", "_v.*")
     counts = values.groupBy(*by, "side", "value").agg(F.sum("_n").alias("count"))
-    ranks = prefix_sums(counts, [*by, "side"], ["value"], weight="count")
+    ranks = materialize(prefix_sums(counts, [*by, "side"], ["value"], weight="count"))
     centred = F.col("before") + F.col("count") / F.lit(2.0) - F.col("total") / F.lit(2.0)
     for side, name in (("x", "_x"), ("y", "_y")):
         table = ranks.where(F.col("side") == side).select(
             *by, F.col("value").alias(name), "count", centred.alias(f"{name}_rank")
         )
-        pairs = attach_by_key(pairs, table, [*by, name]).drop("count")
+        pairs = attach_by_key(pairs, table, [*by, name], written=True).drop("count")
     rx, ry, n = F.col("_x_rank"), F.col("_y_rank"), F.col("_n")
     moments = pairs.groupBy(*by).agg(
         F.sum(n * rx * ry).alias("_xy"), F.sum(n * rx * rx).alias("_xx"), F.sum(n * ry * ry).alias("_yy")
@@ -77,9 +91,9 @@ def ic_by_quarter(
 ) -> DataFrame:
     """IC, p-value and status for every (signal, outcome, quarter); a null quarter is a group."""
     quarter = period_column(panel, quarter_col)
-    source = panel.withColumn("quarter", F.col(quarter))
-    long = unpivot_pairs(source, ["quarter"], available(panel, signals), available(panel, outcomes))
-    result = spearman(long, ["signal", "outcome", "quarter"], min_obs=min_obs)
+    signals, outcomes = available(panel, signals), available(panel, outcomes)
+    long = _number_pairs(panel.withColumn("quarter", F.col(quarter)), ["quarter"], signals, outcomes)
+    result = _name_pairs(spearman(long, ["pair", "quarter"], min_obs=min_obs), signals, outcomes)
     return result.withColumn("p_value", correlation_pvalue("ic", "n_obs"))
 
 
@@ -109,8 +123,9 @@ def summarize_ic(results: DataFrame) -> DataFrame:
 
 def ic_matrix(df: DataFrame, signals: Sequence[str], outcomes: Sequence[str], min_obs: int = 10) -> DataFrame:
     """Pooled IC and p-value per (signal, outcome), with significance stars."""
-    long = unpivot_pairs(df, [], available(df, signals), available(df, outcomes))
-    result = spearman(long, ["signal", "outcome"], min_obs=min_obs).withColumn("p_value", correlation_pvalue("ic", "n_obs"))
+    signals, outcomes = available(df, signals), available(df, outcomes)
+    ranked = spearman(_number_pairs(df, [], signals, outcomes), ["pair"], min_obs=min_obs)
+    result = _name_pairs(ranked, signals, outcomes).withColumn("p_value", correlation_pvalue("ic", "n_obs"))
     p = F.col("p_value")
     stars = F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
     return result.withColumn("stars", stars)

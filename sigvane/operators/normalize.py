@@ -176,8 +176,11 @@ def normalize_postings(df: DataFrame, keywords: Iterable[str] = K.POSTING_KEYWOR
     q.require_columns(df, required, "posting file")
     q.require_any_column(df, _IDS, "posting file")
     stamp, day = cal.parse_timestamp(F.col("collected_at")), cal.parse_optional_date(_column(df, "posting_date"))
-    texts = {c: tx.collapse_text(_column(df, c)) for c in ("title", "department", "location", "description", "source_url")}
-    rows = df.select(
+    parts = ("title", "department", "location", "description", "source_url")
+    # The cleaned texts are a step of their own: hash, keywords and output read them once each.
+    tidy = df.withColumns({c: tx.collapse_text(_column(df, c)) for c in parts})
+    texts = {c: F.col(c) for c in parts}
+    rows = tidy.select(
         tx.collapse_text(F.col("job_posting_id")).alias("job_posting_id"),
         tx.collapse_text(_column(df, "company_id")).alias("company_id"),
         tx.normalize_ticker(_column(df, "ticker")).alias("ticker"),

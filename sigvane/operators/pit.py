@@ -15,6 +15,7 @@ from sigvane import constants as K
 from sigvane.functions.calendar import quarter_label
 from sigvane.functions.numeric import mean_of, safe_difference, safe_log, safe_ratio, safe_return
 from sigvane.operators.ordering import attach_by_key
+from sigvane.runtime import materialize
 
 # Order on equal dates: facts dated on the prediction date are known to the score.
 _PRICE, _REPORT_SEEN, _REPORT_END, _SCORE = 0, 1, 2, 3
@@ -178,13 +179,16 @@ def point_in_time(scores: DataFrame, prices: DataFrame | None = None, reports: D
     return rows.select(*out)
 
 
-def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
-    """``value`` minus its group mean; rows with a null group or value get null."""
+def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str, written: bool = False) -> DataFrame:
+    """``value`` minus its group mean; rows with a null group or value get null.
+
+    ``df`` is read twice; say so when it is ``written`` already.
+    """
     known = F.col(value).isNotNull()
     for g in groups:
         known = known & F.col(g).isNotNull()
     means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
-    joined = attach_by_key(df, means, groups, rows="_rows", unmatched=groups)
+    joined = attach_by_key(df, means, groups, rows="_rows", unmatched=groups, written=written)
     return joined.withColumn(out, F.col(value) - F.col("_mean")).drop("_mean", "_rows")
 
 
@@ -234,7 +238,8 @@ def build_panel(
             "timing_warning": F.when(late, "score_available_at after prediction_date").otherwise(""),
         }
     )
-    rows = add_group_excess(rows, "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q")
+    # Written once, so the group means do not walk the timelines again.
+    rows = add_group_excess(materialize(rows), "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q", written=True)
     if strict:
         rows = rows.where(~F.col("timing_violation"))
     return rows.select(*PANEL_COLUMNS)

@@ -36,7 +36,7 @@ def signal_rank(panel: DataFrame, signal: str, peers: Sequence[str] = ("sector",
     table = value_ranks(panel, keys, signal)
     place = F.col("total") - F.col("before") - F.col("count") + 1
     table = table.select(*keys, signal, "count", place.alias("signal_rank"), F.col("total").alias("num_peers"))
-    return attach_by_key(panel.where(F.col(signal).isNotNull()), table, [*keys, signal]).drop("count")
+    return attach_by_key(panel.where(F.col(signal).isNotNull()), table, [*keys, signal], written=True).drop("count")
 
 
 def share_below(df: DataFrame, signal: str, peers: Sequence[str]) -> DataFrame:

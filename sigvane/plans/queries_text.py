@@ -12,7 +12,7 @@ from sigvane.operators import excerpts, extraction, hiring, profile
 from sigvane.plans import bindings as B
 from sigvane.plans.queries_panel import rounded
 from sigvane.plans.queries_signals import count
-from sigvane.plans.queries_tables import POSTINGS_SQL, postings
+from sigvane.plans.queries_tables import POSTING_WORDS, POSTINGS_SQL, raw_postings
 from sigvane.plans.registry import query
 from sigvane.sources import readers, sinks
 
@@ -29,8 +29,16 @@ _BUCKETS = f"""{POSTINGS_SQL}, bucketed AS (
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged (id, keyword flag, bucket) of every posting; sampling reads it several times."""
+    return B.staged(spark, sf_dir, "bucketed", _build_bucketed)
+
+
+def _build_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_postings(spark, sf_dir)
+    tidy = raw.select("job_posting_id", *[tx.collapse_text(F.col(c)).alias(c) for c in ("title", "description")])
+    flagged = tidy.withColumn("is_ai_keyword_matched", tx.matches_keyword(F.col("title"), F.col("description"), POSTING_WORDS))
     bucket = tx.sampling_bucket(F.col("is_ai_keyword_matched"), F.col("title"), F.col("description"), LEADERS, ENGINEERS)
-    return postings(spark, sf_dir).select("job_posting_id", "is_ai_keyword_matched", bucket.alias("sampling_bucket"))
+    return flagged.select("job_posting_id", "is_ai_keyword_matched", bucket.alias("sampling_bucket"))
 
 
 @query("sampling_buckets", "J2", f"WITH {_BUCKETS} SELECT job_posting_id, sampling_bucket FROM bucketed")
