@@ -99,7 +99,7 @@ def prior_growth(facts: DataFrame, t0: str, concepts: Sequence[str] = K.REVENUE_
     return rows.select("ticker", growth.alias("prior_rev_growth_yoy"), F.when(growth.isNotNull(), F.col("prior_q_end")).alias("prior_q_end"))
 
 
-def market_caps(facts: DataFrame, prices: DataFrame, fallback: DataFrame, t0: str) -> DataFrame:
+def market_caps(facts: DataFrame, prices: DataFrame, fallback: DataFrame, t0: str, fallback_source: str = "fallback_current") -> DataFrame:
     """Shares near ``t0`` times the price on the first date after it, else the fallback, with its source."""
     first_day = prices.where(F.col("price_date") > F.lit(t0).cast("date")).agg(F.min("price_date")).scalar()
     entry = prices.where(F.col("price_date") == first_day).select("ticker", F.col("adjusted_close").alias("_price"))
@@ -109,5 +109,5 @@ def market_caps(facts: DataFrame, prices: DataFrame, fallback: DataFrame, t0: st
     return rows.select(
         "ticker",
         F.coalesce(own, spare).alias("mktcap_t0"),
-        F.when(own.isNotNull(), "sec_shares_x_jan_price").when(spare.isNotNull(), "fallback_current").alias("mktcap_source"),
+        F.when(own.isNotNull(), "sec_shares_x_jan_price").when(spare.isNotNull(), fallback_source).alias("mktcap_source"),
     )

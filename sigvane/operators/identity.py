@@ -203,13 +203,15 @@ def resolve_entities(
     private: Mapping[str, str],
     manual: Mapping[str, str],
     cutoff: float = K.FUZZY_CUTOFF,
+    labels: tuple[str, str] = ("member", "registry"),
 ) -> DataFrame:
     """Match entities to tickers: private list, manual map, exact member, exact registry, fuzzy member,
     fuzzy registry, unmatched.
 
     ``entities`` has (company_id, name, sector); ``members`` (member_name, ticker, cik, gics_sector, ord);
-    ``registry`` (title, ticker, cik, ord).
+    ``registry`` (title, ticker, cik, ord).  ``labels`` name the two lists in ``match_method``.
     """
+    first, second = labels
     spark = entities.sparkSession
     keyed = entities.withColumn("norm", tx.name_key(F.col("name")))
     # Both name lists are read by the exact and the fuzzy steps.
@@ -257,13 +259,13 @@ def resolve_entities(
         pick(nothing, "ma.gics_sector", "a_sector", nothing, "fa_sector", nothing, nothing).alias("gics_sector"),
         pick("false", "ma IS NOT NULL", "true", "false", "true", "false", "false").alias("in_members"),
         pick(
-            "concat('private:', private_as)", "'manual'", "'member_exact'", "'registry_exact'",
-            "concat('member_fuzzy:', fa)", "concat('registry_fuzzy:', fb)", "'unmatched'",
+            "concat('private:', private_as)", "'manual'", f"'{first}_exact'", f"'{second}_exact'",
+            f"concat('{first}_fuzzy:', fa)", f"concat('{second}_fuzzy:', fb)", "'unmatched'",
         ).alias("match_method"),
     )
 
 
-def add_uncovered_members(resolved: DataFrame, members: DataFrame) -> DataFrame:
+def add_uncovered_members(resolved: DataFrame, members: DataFrame, label: str = "member") -> DataFrame:
     """Members whose ticker no entity took, appended as fill-in rows."""
     taken = resolved.select("ticker").where(F.col("ticker").isNotNull())
     fill = members.join(taken, "ticker", "left_anti")
@@ -271,7 +273,7 @@ def add_uncovered_members(resolved: DataFrame, members: DataFrame) -> DataFrame:
         fill.select(
             F.lit(None).cast("string").alias("company_id"), F.col("member_name").alias("name"), F.lit(None).cast("string").alias("sector"),
             F.lit(False).alias("in_coverage"), "ticker", "cik", "gics_sector", F.lit(True).alias("in_members"),
-            F.lit("member_fill_in").alias("match_method"),
+            F.lit(f"{label}_fill_in").alias("match_method"),
         )
     )
 

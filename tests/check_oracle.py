@@ -73,6 +73,7 @@ def compare(spark, con, name, run, sql, directory):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("-d", "--directory", default="/root/testdata/sf0.01")
+    parser.add_argument("--plans", help="file to write the executed plans to")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session("8")
@@ -87,6 +88,12 @@ def main() -> int:
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
         try:
+            if args.plans:
+                df = run(spark, args.directory)
+                df.collect()
+                with open(args.plans, "a") as out:
+                    out.write(f"=== {name}\n{df._jdf.queryExecution().executedPlan().toString()}\n")
+                continue
             status, seconds, rows, note = compare(spark, con, name, run, oracles.get(name), args.directory)
         except Exception as error:  # noqa: BLE001
             status, seconds, rows, note = "ERROR", 0.0, -1, f"{type(error).__name__}: {str(error)[:1500]}"
