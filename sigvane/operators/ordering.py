@@ -34,18 +34,18 @@ def prefix_sums(
 ) -> DataFrame:
     """Add, per ``by`` group, the weight on rows ordered strictly earlier and the group's total weight.
 
-    ``order`` must identify a row within its group.  Without ``weight`` every row counts one.
+    ``order`` must identify a row within its group.  Without ``weight`` every row counts one.  Adaptive
+    execution may merge neighbouring ranges when they are small; equal keys always share a range.
     """
     by = list(by)
-    width = runtime.shuffle_width(df.sparkSession)
     weight_col = F.lit(1).cast("long") if weight is None else F.col(weight)
     ranged = runtime.materialize(
         df.withColumn("_w", weight_col)
-        .repartitionByRange(width, *by, *order)
+        .repartitionByRange(*by, *order)
         .withColumn("_range", F.spark_partition_id())
     )
     ranges = ranged.groupBy(*by, "_range").agg(F.sum("_w").alias("_in_range"))
-    # At most `width` rows per group: one per range.
+    # One row per group and range it reaches into.
     group = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(

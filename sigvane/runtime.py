@@ -53,10 +53,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     _ensure_checkpoint_dir(spark)

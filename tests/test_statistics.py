@@ -20,10 +20,11 @@ def test_percentile_rank_with_ties_and_null(spark):
     assert [r["rk"] for r in rows(ranked, "id")] == [0.25, 0.625, 0.625, None, 1.0]
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 2])
-def test_hot_values_give_the_same_ranks(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "merge_ranges"), [(1_000_000, "true"), (2, "false")])
+def test_hot_values_give_the_same_ranks(spark, monkeypatch, hot, merge_ranges):
     """With a low threshold most values go through the broadcast side."""
     monkeypatch.setattr(runtime, "HOT_KEY_ROWS", hot)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge_ranges)
     random.seed(5)
     xs = [random.choice([1.0, 1.0, 1.0, 2.0, 3.5, None]) for _ in range(300)]
     known = sorted(x for x in xs if x is not None)
@@ -31,16 +32,20 @@ def test_hot_values_give_the_same_ranks(spark, monkeypatch, hot):
     for x, r in zip(xs, got, strict=True):
         expected = None if x is None else (known.index(x) + (known.count(x) + 1) / 2) / len(known)
         assert r["rk"] == (None if expected is None else pytest.approx(expected))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_prefix_sums_against_brute_force(spark):
+@pytest.mark.parametrize("merge_ranges", ["true", "false"])
+def test_prefix_sums_against_brute_force(spark, merge_ranges):
     random.seed(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge_ranges)
     data = [(random.choice(["a", "b", None]), i, random.randint(1, 5)) for i in range(200)]
     df = spark.createDataFrame(data, "g string, i int, w int")
     for r in rows(ordering.prefix_sums(df, ["g"], ["i"], weight="w")):
         group = [(i, w) for g, i, w in data if g == r["g"]]
         assert r["before"] == sum(w for i, w in group if i < r["i"])
         assert r["total"] == sum(w for _, w in group)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_quantile_sizes(spark):
