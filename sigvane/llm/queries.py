@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigvane.llm import line_dedup, packing, quality_classifier, quality_rules
+from sigvane.llm import lattice_lm, line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from sigvane.llm.common import id_remainder, table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_rules.*")
 
 
-QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op1_quality_classifier, op3_line_dedup, op7_packing, op9_quality_rules)}
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op1_quality_classifier, op3_line_dedup, op4_near_dedup, op7_packing, op9_quality_rules, op10_lattice_lm)}
 
 SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
