@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigvane.llm import lattice_lm, line_dedup, near_dedup, packing, quality_classifier, quality_rules
+from sigvane.llm import fingerprints, lattice_lm, line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from sigvane.llm.common import id_remainder, table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text").cast("binary"), 256).alias("kept_sha256"))
@@ -62,6 +66,6 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op1_quality_classifier, op3_line_dedup, op4_near_dedup, op7_packing, op9_quality_rules, op10_lattice_lm)}
+QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op1_quality_classifier, op2_fingerprints, op3_line_dedup, op4_near_dedup, op7_packing, op9_quality_rules, op10_lattice_lm)}
 
 SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
