@@ -12,9 +12,9 @@ the links that the texts themselves confirm are closed to classes.  Buckets that
 finished by comparing their members across classes, so that no link of a bucket is lost; buckets inside one class,
 however large, cost no further pair.
 
-Defined results: a text of one to four words is one shingle; a text without words (null, empty, white space) is
-alone in its class; rows with one id are one document; a null id has a null class; an empty table gives none.
-Other columns are not read.
+Defined results: a text of one to four words is one shingle; texts without words (null, empty, white space) are
+copies of one another and have no shingles; rows with one id are one document, in the class of each of its texts; rows
+without id get no row; an empty table gives none.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigvane.llm.common import MULTIPLIER, WordHashes, encoded, rolled, text_of, written
+from sigvane.llm.common import MULTIPLIER, WordHashes, encoded, free_name, rolled, text_of, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -102,21 +102,27 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for first in range(0, len(ids), 256):
-            out_ids, keys, sets = [], [], []
-            for doc_id, raw in zip(ids[first : first + 256], encoded(texts[first : first + 256]), strict=True):
-                found = shingles(raw, cache)
-                if len(found[0]):
-                    out_ids.append(doc_id)
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(raw.split())))
-                    sets.append(found)
-            if not sets:
-                continue
-            rows = signatures(sets, BANDS * ROWS).reshape(len(sets), BANDS, ROWS)
-            bands = rows[:, :, 0].copy()
-            for r in range(1, ROWS):
-                bands = _mixed(bands * MULTIPLIER + rows[:, :, r])
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, batch.column("doc_id").type), pa.array(keys, pa.binary()), bands], names=["doc_id", "words_key", "bands"])
+            ids_here, raws = ids[first : first + 256], list(encoded(texts[first : first + 256]))
+            sets = [shingles(raw, cache) for raw in raws]
+            keys = [xxhash.xxh3_128_digest(b" ".join(raw.split())) for raw in raws]
+            full = [i for i, found in enumerate(sets) if len(found[0])]
+            empty = [i for i, found in enumerate(sets) if not len(found[0])]
+            for part, width in ((full, BANDS), (empty, 0)):
+                bands = _bands([sets[i] for i in part]) if part and width else np.zeros(0, np.int64)
+                ends = pa.array(np.arange(len(part) + 1) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids_here[i] for i in part], batch.column("doc_id").type), pa.array([keys[i] for i in part], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands, pa.int64()))],
+                    names=["doc_id", "words_key", "bands"],
+                )
+
+
+def _bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """One number per set and band."""
+    rows = signatures(sets, BANDS * ROWS).reshape(len(sets), BANDS, ROWS)
+    bands = rows[:, :, 0].copy()
+    for r in range(1, ROWS):
+        bands = _mixed(bands * MULTIPLIER + rows[:, :, r])
+    return bands.reshape(-1).view(np.int64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -190,6 +196,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             labels = components(links.unionAll(more))
     of_copies = signed.join(firsts.select("words_key", "copy_of"), "words_key").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     placed = of_copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    found = placed.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
-    ids = rows.select("doc_id").distinct()
-    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    return placed.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class, one row per id (the smallest text).
+
+    Rows without id are copies of each other only where their texts are equal; one of those stays.
+    """
+    key, rank = free_name(docs, "text_key"), free_name(docs, "text_rank")
+    gone = classes(docs).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    same = Window.partitionBy("doc_id", key).orderBy(text_of())
+    keyed = left.withColumn(key, F.when(F.col("doc_id").isNull(), F.md5(text_of().cast("binary"))))
+    return keyed.withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1).select(*docs.columns)

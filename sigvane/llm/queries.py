@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigvane.llm import fingerprints, lattice_lm, line_dedup, near_dedup, packing, quality_classifier, quality_rules
-from sigvane.llm.common import id_remainder, table
+from sigvane.llm import chat, fingerprints, lattice_lm, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules
+from sigvane.llm.common import id_remainder, table, text_of
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,49 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+PSEUDONYM_KEY = "sf-tables"  # these tables are invented; a real key belongs in the caller's configuration
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return changed.select("doc_id", "text", "n_replaced")
+
+
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.rotate(table(spark, sf_dir, "conversations"))
+    return rendered.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
+
+
+PERSPECTIVES_SQL = f"""
+WITH turns AS (
+    SELECT DISTINCT conv_id, CAST(floor(coalesce(turn, 0) / {chat.PART_TURNS}.0) AS BIGINT) AS part, coalesce(turn, 0) AS turn,
+        replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS role,
+        replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS said
+    FROM conversations
+), speakers AS (
+    SELECT DISTINCT conv_id, part, role AS speaker FROM turns WHERE role <> 'system'
+), blocks AS (
+    SELECT conv_id, part, speaker, role = speaker AS ours, said || '<|im_end|>' AS body,
+        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+        row_number() OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, said) AS pos
+    FROM speakers JOIN turns USING (conv_id, part)
+), placed AS (
+    SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (
+        PARTITION BY conv_id, part, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opens
+    FROM blocks
+)
+SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+    string_agg(CAST(CAST(opens AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(opens + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (ours) AS mask
+FROM placed GROUP BY conv_id, part, speaker
+"""
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.code_documents(docs)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == text_of()).alias("exact"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -66,6 +109,12 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFunction] = {f.__name__: f for f in (op1_quality_classifier, op2_fingerprints, op3_line_dedup, op4_near_dedup, op7_packing, op9_quality_rules, op10_lattice_lm)}
+QUERIES: dict[str, QueryFunction] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_fingerprints, op3_line_dedup, op4_near_dedup, op5_pseudonyms,
+        op6_perspectives, op7_packing, op8_pieces, op9_quality_rules, op10_lattice_lm,
+    )
+}
 
-SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op6_perspectives": PERSPECTIVES_SQL}
