@@ -1,6 +1,7 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A text's weighted set is its five-word shingles with their counts.  Shingle d with weight w arrives at the registers
+A text's weighted set is its five-word shingles, each weighing 1 + log2(its count), so that a passage repeated many
+times in a text does not outweigh the rest of it.  Shingle d with weight w arrives at the registers
 at the times of a Poisson process of rate w, each arrival at a random register; a register keeps its first arrival.
 A shingle whose next arrival is later than every register's first one is done (early termination).  Two texts
 agree in a register with probability J = sum over common d of 1 / sum over e of max(x_e / x_d, y_e / y_d), the
@@ -9,8 +10,8 @@ probability Jaccard similarity; it is the plain one where all weights are equal.
 Texts with the same word sequence are one class before anything else; only the smallest id of each goes on.
 Signatures are cut into bands; in each bucket of a band every member is compared with the bucket's smallest id, and
 the links that the texts themselves confirm are closed to classes.  Buckets that then still hold several classes are
-finished by comparing their members across classes, so that no link of a bucket is lost; buckets inside one class,
-however large, cost no further pair.
+finished exactly, so that no link of a bucket is lost: their members meet in blocks of ``BLOCK``, and a block gives
+back only links that join two classes, never its pairs.  Buckets inside one class, however large, cost nothing more.
 
 Defined results: a text of one to four words is one shingle; texts without words (null, empty, white space) are
 copies of one another and have no shingles; rows with one id are one document, in the class of each of its texts; rows
@@ -31,6 +32,7 @@ from sigvane.llm.common import MULTIPLIER, WordHashes, encoded, free_name, rolle
 
 WORDS = 5
 SIMILARITY = 0.8
+BLOCK, SLICE = 512, 8192  # members of a bucket compared at once, shingles looked at together
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares no band with probability 3e-5
 
 
@@ -45,9 +47,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(raw: bytes, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, as sorted hashes, and their counts."""
+    """The distinct shingles of a text, as sorted hashes, and their weights."""
     words = cache.of(raw.split())
-    return np.unique(rolled(words, min(WORDS, len(words))) if len(words) else words, return_counts=True)
+    found, counts = np.unique(rolled(words, min(WORDS, len(words))) if len(words) else words, return_counts=True)
+    return found, 1 + np.log2(counts)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
@@ -55,7 +58,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.
     sizes = np.array([len(s) for s, _ in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     element = np.concatenate([s for s, _ in sets])
-    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    weight = np.concatenate([w for _, w in sets])
     first = np.full(len(sets) * registers, np.inf)
     kept = np.zeros(len(sets) * registers, np.uint64)
     time = np.zeros(len(element))
@@ -146,6 +149,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", similar("b", "a_text", "b_text").alias("similarity")).where(F.col("similarity") >= similarity).select("a", "b")
 
 
+def _block_links(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links that join the classes met in a block of a bucket, or in two blocks of it; exact, without listing pairs.
+
+    Counts of common shingles come from products of incidence matrices, a slice of the shingles at a time.
+    """
+    members, blocks = rows["member"].to_pylist(), rows["block"].to_numpy()
+    label_of, labels = np.unique(rows["label"].to_numpy(), return_inverse=True)
+    cache = WordHashes(100_000)
+    sets = [shingles(raw, cache) for raw in encoded(rows["text"].to_pylist())]
+    n, sizes = len(sets), np.array([len(s) for s, _ in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    weight = np.concatenate([w / w.sum() for _, w in sets]).astype(np.float32)
+    _, column, times = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True, return_counts=True)
+    met = times[column] > 1
+    owner, weight, column = owner[met], weight[met], (np.cumsum(times > 1) - 1)[column[met]]
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    weighted = np.array([w.max(initial=1) > 1 for _, w in sets])
+    # Of two members of different classes one at least is outside the largest class.
+    rest = np.flatnonzero(labels != np.bincount(labels).argmax())
+    common, mass, back = (np.zeros((len(rest), n)) for _ in range(3))
+    for first in range(0, int(column.max(initial=-1)) + 1, SLICE):
+        here = slice(*np.searchsorted(column, [first, first + SLICE]))
+        has = np.zeros((n, SLICE), np.float32)
+        has[owner[here], column[here] - first] = 1
+        common += has[rest] @ has.T
+        if weighted.any():
+            share = np.zeros((n, SLICE), np.float32)
+            share[owner[here], column[here] - first] = weight[here]
+            mass += share[rest] @ has.T
+            back += has[rest] @ share.T
+    apart = labels[rest][:, None] != labels[None, :]
+    if (rows["low"].to_numpy() != rows["high"].to_numpy()).any():
+        apart &= blocks[rest][:, None] != blocks[None, :]  # pairs of one block are looked at where the block is alone
+    plain = ~weighted[rest][:, None] & ~weighted[None, :]
+    near = apart & plain & (common >= similarity * (sizes[rest][:, None] + sizes[None, :] - common))
+    # The similarity never exceeds the share of either text's weight that lies on common shingles.
+    near |= apart & ~plain & (np.minimum(mass, back) >= similarity - 1e-4)
+    parent = list(range(len(label_of)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found: tuple[list, list] = ([], [])
+    for row, j in np.argwhere(near).tolist():
+        i = int(rest[row])
+        x, y = top(labels[i]), top(labels[j])
+        if x != y and (plain[row, j] or probability_jaccard(sets[i], sets[j]) >= similarity):
+            parent[x] = y
+            found[0].append(members[i])
+            found[1].append(members[j])
+    kind = rows["member"].type
+    return pa.table({"a": pa.array(found[0], kind), "b": pa.array(found[1], kind)})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the links, by minimum labels and label jumping.
 
@@ -183,17 +244,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = written(_verified(pairs, texts, similarity).unionAll(twice), "links")
     labels = components(links)
 
-    # Members of a bucket that are still apart: compared across classes.
+    # Buckets whose members are still apart (of two members, the one pair has been compared).
     placed = shared.join(labels.withColumnRenamed("node", "member"), "member", "left").select("band", "bucket", "member", F.coalesce("label", "member").alias("label"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "bucket")
-    apart = written(placed.join(mixed, ["band", "bucket"]), "apart")
-    if not apart.isEmpty():
-        ours = apart.select("band", "bucket", F.col("member").alias("a"), F.col("label").alias("a_label"))
-        theirs = apart.select("band", "bucket", F.col("member").alias("b"), F.col("label").alias("b_label"))
-        across = ours.join(theirs, ["band", "bucket"]).where("a > b AND a_label <> b_label").select("a", "b").distinct()
-        more = written(_verified(across.join(pairs, ["a", "b"], "left_anti"), texts, similarity), "more_links")
-        if not more.isEmpty():
-            labels = components(links.unionAll(more))
+    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
+    apart = placed.join(mixed.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "bucket"])
+    apart = apart.withColumn("block", F.pmod(F.xxhash64("member", "band"), "blocks").cast("int"))
+    dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "member", "label")
+    with_text = dealt.join(texts.withColumnRenamed("doc_id", "member"), "member")
+    more = with_text.groupBy("band", "bucket", "low", "high").applyInArrow(lambda rows: _block_links(rows, similarity), f"a {kind}, b {kind}")
+    more = written(more.distinct(), "more_links")
+    if not more.isEmpty():
+        labels = components(links.unionAll(more))
     of_copies = signed.join(firsts.select("words_key", "copy_of"), "words_key").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
     placed = of_copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     return placed.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
