@@ -66,13 +66,18 @@ def _pairs(variables: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def _totals(cells: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """Per key: rows, groups, means, and the within-group and total centred cross products."""
+    """Per key: rows, groups, means, and the within-group and total centred cross products.
+
+    Cell means are centred on the key's mean before they are multiplied, so a large common offset costs no digits.
+    """
+    key = Window.partitionBy(*keys)  # a key has one row per fixed-effect level
+    centre = {f"_d_{v}": F.col(f"_m_{v}") - F.sum(F.col("_n") * F.col(f"_m_{v}")).over(key) / F.sum("_n").over(key) for v in variables}
     aggs = ["sum(_n) AS n", "count(1) AS groups", *[f"sum(_n * _m_{v}) / sum(_n) AS _all_{v}" for v in variables]]
     for a, b in _pairs(variables):
         within = f"sum(_n * _c_{a}_{b})"
-        between = f"sum(_n * _m_{a} * _m_{b}) - sum(_n * _m_{a}) * sum(_n * _m_{b}) / sum(_n)"
+        between = f"sum(_n * _d_{a} * _d_{b}) - sum(_n * _d_{a}) * sum(_n * _d_{b}) / sum(_n)"
         aggs += [f"{within} AS _w_{a}_{b}", f"{within} + {between} AS _t_{a}_{b}"]
-    return cells.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    return cells.withColumns(centre).groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
 _SOLUTION = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])

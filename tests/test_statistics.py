@@ -282,3 +282,15 @@ def test_high_minus_low(spark):
     got = rows(summaries.high_minus_low(df, "s", "y"))[0]
     assert got["diff"] == pytest.approx(2.5)
     assert got["t"] == pytest.approx(2.5 / math.sqrt(2.0 / 2 + 0.5 / 2))
+
+
+def test_total_products_of_shifted_values(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    y = 0.5 * x + rng.normal(size=400)
+    groups = (np.arange(400) % 7).tolist()
+    df = spark.createDataFrame(list(zip(groups, (x + 1e8).tolist(), y.tolist(), strict=True)), "g int, x double, y double")
+    cells = df.withColumn("sample", ols.F.lit("all")).groupBy("sample", "g").agg(*ols._moments(["x", "y"]))
+    r = ols._totals(cells, ["sample"], ["x", "y"]).first()
+    expected = np.cov(x, y, bias=True) * 400
+    assert (r["_t_x_x"], r["_t_x_y"], r["_t_y_y"]) == pytest.approx((expected[0, 0], expected[0, 1], expected[1, 1]), rel=1e-6)
