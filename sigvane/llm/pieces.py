@@ -19,6 +19,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -55,28 +56,30 @@ class Pieces:
         size = model.get_piece_size()
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids: dict[int, int] = {}
-        raw = [b""] * size
+        self.raw = [b""] * size
         for i in range(size):
             name = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(name[3:5], 16)] = i
-                raw[i] = bytes([int(name[3:5], 16)])
+                self.raw[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.scores[name.replace(SPACE, " ")] = (model.get_score(i), i)
-                raw[i] = name.replace(SPACE, " ").encode()
+                self.raw[i] = name.replace(SPACE, " ").encode()
         self.byte_score = min((s for s, _ in self.scores.values() if s > UNLIKELY), default=0.0) - 10.0
         self.longest = max(map(len, self.scores), default=1)
         self.crossed = any(" " in p.lstrip(" ") or "\n" in p for p in self.scores)
         self.stops = {c for c in STOPS if not any(a.isalpha() and b == c for p in self.scores for a, b in zip(p, p[1:], strict=False))}
-        self.pool = np.frombuffer(b"".join(raw), np.uint8)
-        self.lengths = np.array([len(r) for r in raw])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.root = Node()
+
+    @cached_property
+    def root(self) -> Node:
+        """The tree, which only encoding needs."""
+        root = Node()
         for piece, (score, i) in self.scores.items():
-            node = self.root
+            node = root
             for character in piece:
                 node = node.after.setdefault(character, Node())
             node.score, node.ids = score, (i,)
+        return root
 
     def single(self, character: str) -> Node:
         """The node of a character; one without a piece of its own gets the ids of its bytes."""
@@ -221,13 +224,8 @@ class Encoder:
             return self.words[text] if text else b""
         return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
-        """The texts of consecutive runs of ids; ``ends`` holds the runs' borders."""
-        lengths = self.pieces.lengths[ids]
-        total = np.append(0, np.cumsum(lengths))
-        raw = self.pieces.pool[np.arange(total[-1]) + np.repeat(self.pieces.starts[ids] - total[:-1], lengths)].tobytes()
-        cuts = total[ends].tolist()
-        return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts, cuts[1:], strict=False)]
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.pieces.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
 
 
 _LOADED: dict[str | None, Encoder] = {}
@@ -262,8 +260,8 @@ def decode_column(ids: Column, path: str | None = None) -> Column:
         encoder = loaded(path)
         for batch in batches:
             batch = batch.fill_null([])
-            ends = batch.offsets.to_numpy()
-            yield pa.array(encoder.decode(batch.values.to_numpy(zero_copy_only=False), ends), pa.string())
+            ends, values = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
+            yield pa.array((encoder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)), pa.string(), size=len(batch))
 
     return decode(ids)
 
