@@ -116,8 +116,6 @@ FILING_TERMS = [
     "copilot",
 ]
 EXCERPT_RADIUS = 600
-EXCERPT_BUDGET = 45_000
-SECTION_LOOKBACK = 200_000
 SECTION_NAMES = {"1a": "risk_factors", "7": "mdna", "7a": "mdna", "1": "business"}
 
 EVIDENCE_TERMS = [" ai ", "artificial intelligence", "machine learning", "generative ai", "copilot"]

@@ -140,16 +140,20 @@ def strip_code_fence(c: Column) -> Column:
     return strip(F.regexp_replace(strip(c), r"(?m)^```(json)?|```$", ""))
 
 
-def snippet(raw_text: Column, title: Column, size: int = 500, boilerplate: str = K.BOILERPLATE_PATTERN) -> Column:
-    """Text without boilerplate lines, from the title's first occurrence on, cut to ``size``."""
+def snippet(
+    raw_text: Column, title: Column, size: int | None = None, boilerplate: str = K.BOILERPLATE_PATTERN, title_chars: int | None = None
+) -> Column:
+    """Text without boilerplate lines, from the title's first occurrence on.
+
+    ``title_chars`` looks for so many first characters of the title only, ``size`` cuts the result.
+    """
     lines = F.split(F.coalesce(raw_text, F.lit("")), r"\r\n|[\n\r]")
     kept = F.filter(lines, lambda line: (strip(line) != "") & ~line.rlike(f"(?i){boilerplate}"))
     text = F.array_join(kept, " ")
-    found = F.instr(
-        F.lower(text), F.substring(F.lower(F.coalesce(title, F.lit(""))), 1, 30)
-    )
-    start = F.when((F.length(F.coalesce(title, F.lit(""))) > 0) & (found > 1), found).otherwise(F.lit(1))
-    return F.substring(text, start, F.lit(size))
+    wanted = F.lower(F.coalesce(title, F.lit("")))
+    found = F.instr(F.lower(text), wanted if title_chars is None else F.substring(wanted, 1, title_chars))
+    start = F.when((F.length(wanted) > 0) & (found > 1), found).otherwise(F.lit(1))
+    return F.substring(text, start, F.length(text) if size is None else F.lit(size))
 
 
 def role_type(c: Column) -> Column:

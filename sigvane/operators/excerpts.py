@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sigvane import constants as K
 
+_HEADING = r"(?iuU)item\s+(\d+a?b?)[.\s]"
+
 
 def term_pattern(terms: Sequence[str]) -> str:
     word = r"[\p{L}\p{N}_]"
@@ -17,11 +19,12 @@ def term_pattern(terms: Sequence[str]) -> str:
 
 
 def hit_spans(documents: DataFrame, text: str, terms: Sequence[str], out: str = "spans") -> DataFrame:
-    """Array of (start, end) offsets, 0-based and end-exclusive, of every term hit.
+    """Array of (start, end) offsets, 0-based and end-exclusive, of every term hit; null without hits."""
+    return _match_spans(documents, text, term_pattern(terms), out)
 
-    Offsets are running lengths of the pieces between hits and of the hits themselves.
-    """
-    pattern = term_pattern(terms)
+
+def _match_spans(documents: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
+    """Offsets are running lengths of the pieces between matches and of the matches themselves."""
     rows = documents.withColumns(
         {
             "_gaps": F.transform(F.split(F.col(text), pattern, -1), F.length),
@@ -42,32 +45,41 @@ def excerpts(
     text: str = "text",
     terms: Sequence[str] = K.FILING_TERMS,
     radius: int = K.EXCERPT_RADIUS,
-    budget: int = K.EXCERPT_BUDGET,
-    lookback: int = K.SECTION_LOOKBACK,
+    budget: int | None = None,
 ) -> DataFrame:
-    """One row per excerpt: overlapping windows around hits merged, trimmed, kept in order until the
-    next one would exceed ``budget`` characters, and labelled with the section they start in.
+    """One row per excerpt: overlapping windows around hits merged, trimmed and labelled with the section
+    of the last heading before them.
+
+    With a ``budget`` excerpts are kept in order until the next one would exceed it in characters, and
+    ``n_dropped`` says how many of the document's were left out.
     """
     keep = [c for c in documents.columns if c != text]
     rows = hit_spans(documents, text, terms).where(F.col("spans").isNotNull())
+    rows = _match_spans(rows, text, _HEADING, "_headings").withColumn(
+        "_labels", F.transform(F.regexp_extract_all(F.col(text), F.lit(_HEADING), F.lit(1)), F.lower)
+    )
     # ``transform(array(x), v -> ...)[0]`` evaluates x once and names it v.  Window ends never decrease, so
     # an island starts where a window clears the one before it.
     windows = f"transform(spans, s -> named_struct('f', greatest(0, s.start - {radius}), 't', least(length(`{text}`), s.end + {radius})))"
     islands = f"""transform(array({windows}), w -> arrays_zip(
         transform(filter(w, (p, i) -> i = 0 OR p.f > get(w, i - 1).t), p -> p.f),
         transform(filter(w, (p, i) -> i = size(w) - 1 OR get(w, i + 1).f > p.t), p -> p.t)))[0]"""
-    chunks = f"""transform({islands}, z -> named_struct(
-        'start', z.`0`, 'excerpt', regexp_replace(substring(`{text}`, z.`0` + 1, z.`1` - z.`0`), '(?U)^\\\\s+|\\\\s+$', '')))"""
-    kept = f"""transform(array({chunks}), c -> filter(
-        transform(c, (p, i) -> named_struct('excerpt_index', i, 'start', p.start, 'excerpt', p.excerpt,
-                  'total', aggregate(slice(c, 1, i + 1), 0, (a, x) -> a + length(x.excerpt)))),
-        r -> r.total <= {budget}))[0]"""
-    flat = rows.select(*keep, F.col(text), F.explode(F.expr(kept)).alias("_e")).select(*keep, F.col(text), "_e.*")
-    before = F.lower(F.expr(f"substring(`{text}`, greatest(0, start - {lookback}) + 1, least(start, {lookback}))"))
-    heading = F.try_element_at(F.regexp_extract_all(before, F.lit(r"(?U)item\s+(\d+a?b?)[.\s]"), F.lit(1)), F.lit(-1))
+    chunks = f"""transform({islands}, (z, i) -> named_struct(
+        'excerpt_index', i, 'start', z.`0`, 'heading', get(_labels, size(filter(_headings, h -> h.end <= z.`0`)) - 1),
+        'excerpt', regexp_replace(substring(`{text}`, z.`0` + 1, z.`1` - z.`0`), '(?U)^\\\\s+|\\\\s+$', '')))"""
+    rows = rows.select(*keep, F.expr(chunks).alias("_chunks"))
+    dropped = []
+    if budget is not None:
+        fitting = f"""aggregate(_chunks, named_struct('total', 0L, 'n', 0), (a, x) -> named_struct(
+            'total', a.total + length(x.excerpt), 'n', a.n + IF(a.total + length(x.excerpt) <= {budget}, 1, 0)), a -> a.n)"""
+        rows = rows.withColumn("_n", F.expr(fitting))
+        rows = rows.withColumns({"n_dropped": F.size("_chunks") - F.col("_n"), "_chunks": F.slice("_chunks", F.lit(1), F.col("_n"))})
+        dropped = ["n_dropped"]
+    flat = rows.select(*keep, *dropped, F.explode("_chunks").alias("_e")).select(*keep, *dropped, "_e.*")
+    heading = F.col("heading")
     names = F.create_map(*[F.lit(x) for pair in K.SECTION_NAMES.items() for x in pair])
     section = F.when(heading.isNull(), "other").otherwise(F.coalesce(F.try_element_at(names, heading), F.concat(F.lit("item_"), heading)))
-    return flat.select(*keep, "excerpt_index", "start", section.alias("section"), "excerpt")
+    return flat.select(*keep, "excerpt_index", "start", section.alias("section"), "excerpt", *dropped)
 
 
 def latest_of_form(filings: DataFrame, form: str = "10-K") -> DataFrame:

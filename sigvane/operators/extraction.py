@@ -29,15 +29,17 @@ def _holds_any(c: Column, terms: Sequence[str]) -> Column:
     return found
 
 
-def evidence_quote(text: Column, low: Column, terms: Sequence[str], limit: int = 300) -> Column:
-    """The first sentence holding a term, else the text's beginning; null when no term occurs.
+def evidence_quote(text: Column, low: Column, terms: Sequence[str], limit: int | None = None) -> Column:
+    """The first sentence holding a term, else the whole text; null when no term occurs.
 
-    ``low`` is the lower-cased text.
+    ``low`` is the lower-cased text.  A ``limit`` cuts the quote to so many characters.
     """
     sentences = F.filter(F.transform(F.split(tx.strip(text), r"\."), tx.strip), lambda s: s != "")
     pairs = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.concat(F.lit(" "), F.lower(s), F.lit(" ")).alias("low")))
     hits = F.filter(pairs, lambda p: _holds_any(p["low"], terms))
-    quote = F.substring(F.coalesce(F.get(hits, F.lit(0))["s"], tx.strip(text)), 1, limit)
+    quote = F.coalesce(F.get(hits, F.lit(0))["s"], tx.strip(text))
+    if limit is not None:
+        quote = F.substring(quote, 1, limit)
     return F.when(_holds_any(F.concat(F.lit(" "), low, F.lit(" ")), terms), quote)
 
 
@@ -66,10 +68,11 @@ def extract_documents(
     documents: DataFrame,
     terms: Sequence[str] = K.EVIDENCE_TERMS,
     rules: Mapping[str, tuple[int, Sequence[str]]] = K.SIGNAL_RULES,
+    quote_limit: int | None = None,
 ) -> DataFrame:
     """Evidence span, signal scores and limitations per document, in one projection."""
     rows = documents.withColumn("_low", F.lower("text"))
-    rows = rows.withColumn("_quote", evidence_quote(F.col("text"), F.col("_low"), terms))
+    rows = rows.withColumn("_quote", evidence_quote(F.col("text"), F.col("_low"), terms, quote_limit))
     place = F.instr(F.col("text"), F.col("_quote")) - 1
     has = F.col("_quote").isNotNull()
     span = F.struct(
@@ -131,17 +134,21 @@ def parse_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def document_errors(documents: DataFrame) -> Column:
-    """Broken rules of a source document: type, date and text length."""
-    size = F.length(tx.strip(F.col("text")))
+    """Broken rules of a source document: type, date, empty text and missing id."""
     rules = {
         "source_type": ~tx.normalize_source_type(F.col("source_type")).isin(*K.SOURCE_TYPES),
         "source_date": F.col("source_date").cast("string").try_cast("date").isNull(),
-        "text_length": ~size.between(1, 12_000),
+        "text_length": F.length(tx.strip(F.col("text"))) < 1,
         "source_document_id": F.col("source_document_id").isNull(),
     }
     return _broken(rules)
 
 
+def document_warnings(long_text: int) -> Column:
+    """What is unusual about a valid document: a text of more than ``long_text`` characters."""
+    return _broken({"long_text": F.length(tx.strip(F.col("text"))) > long_text})
+
+
 def _broken(rules: Mapping[str, Column]) -> Column:
     named = F.array(*[F.when(F.coalesce(failed, F.lit(True)), F.lit(name)) for name, failed in rules.items()])
     return F.filter(named, lambda n: n.isNotNull())

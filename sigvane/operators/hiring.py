@@ -182,13 +182,28 @@ _REPLY = (
 )
 
 
-def parse_replies(replies: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _reply_items() -> Column:
+    return F.from_json(tx.strip_code_fence(F.col("reply")), _REPLY)
+
+
+def failed_replies(replies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The batches whose reply is missing or no JSON, with the reason and the reply as it came."""
+    reason = F.when(F.col("reply").isNull(), "no_reply").when(_reply_items().isNull(), "invalid_json")
+    return replies.select(*keys, reason.alias("error"), "reply").where(F.col("error").isNotNull())
+
+
+def parse_replies(replies: DataFrame, results: DataFrame, keys: Sequence[str], entity: Sequence[str] = ()) -> DataFrame:
     """Fenced JSON-array replies to classified results; indexes outside the batch are dropped.
 
     ``replies`` has the batch keys and ``reply``; ``results`` the same keys, ``result_index`` and the fields.
+    With ``entity``, some of the keys, an entity has no results while one of its batches is among the
+    ``failed_replies`` or has no reply row, so that no rate is computed on a part of them.
     """
-    items = F.from_json(tx.strip_code_fence(F.col("reply")), _REPLY)
-    answers = replies.select(*keys, F.explode(items).alias("_a")).select(*keys, "_a.*")
+    answers = replies.select(*keys, F.explode(_reply_items()).alias("_a")).select(*keys, "_a.*")
+    if entity:
+        unanswered = results.select(*keys).distinct().join(replies, keys, "left_anti").select(*entity)
+        failed = failed_replies(replies, keys).select(*entity).unionByName(unanswered)
+        answers = answers.join(failed, list(entity), "left_anti")
     joined = results.join(answers, [*keys, "result_index"])
     return joined.withColumns(
         {"is_company_match": F.coalesce("is_company_match", F.lit(False)), "ai_role_type": tx.role_type(F.col("ai_role_type"))}

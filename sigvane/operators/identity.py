@@ -81,7 +81,7 @@ def attach_company_id(df: DataFrame, companies: DataFrame, strict: bool = True)
         return out
     lookup = companies.select("ticker", F.col("company_id").alias("_mapped"))
     sizes = out.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count(F.lit(1)).alias("_rows"))
-    mapped = attach_by_key(out, sizes.join(lookup, "ticker"), ["ticker"], rows="_rows", unmatched=["ticker"]).drop("_rows")
+    mapped = attach_by_key(out, sizes.join(lookup, "ticker"), ["ticker"], unmatched=["ticker"]).drop("_rows")
     if "company_id" not in df.columns:
         return mapped.withColumnRenamed("_mapped", "company_id")
     complete = out.agg(F.coalesce(F.min(F.col("company_id").isNotNull()), F.lit(True)).alias("complete")).scalar()
@@ -285,8 +285,8 @@ def flag_universe_duplicates(universe: DataFrame, order: str = "name") -> DataFr
     tickers = universe.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.count(F.lit(1)).alias("_same_ticker"))
     place = F.struct((~F.col("in_coverage")).alias("late"), F.col(order).alias("o"), F.coalesce("company_id", F.lit("")).alias("i"), F.coalesce("ticker", F.lit("")).alias("t"))
     ciks = universe.where(F.col("cik").isNotNull()).groupBy("cik").agg(F.min(place).alias("_preferred"), F.count(F.lit(1)).alias("_same_cik"))
-    rows = attach_by_key(universe, tickers, ["ticker"], rows="_same_ticker", unmatched=["ticker"])
-    rows = attach_by_key(rows, ciks, ["cik"], rows="_same_cik", unmatched=["cik"])
+    rows = attach_by_key(universe, tickers, ["ticker"], unmatched=["ticker"])
+    rows = attach_by_key(rows, ciks, ["cik"], unmatched=["cik"])
     return rows.withColumns(
         {"ticker_dup": F.coalesce(F.col("_same_ticker") > 1, F.lit(False)), "share_class_dup": F.coalesce(place != F.col("_preferred"), F.lit(False))}
     ).drop("_same_ticker", "_preferred", "_same_cik")

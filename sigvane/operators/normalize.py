@@ -166,7 +166,7 @@ def flag_duplicates(df: DataFrame, entity: Column, content: str, order: list[str
     keyed = df.withColumn("_entity", entity)
     first = F.min(F.struct(*order)).alias("_first")
     groups = keyed.groupBy("_entity", content).agg(first, F.count(F.lit(1)).alias("_copies"))
-    marked = attach_by_key(keyed, groups, ["_entity", content], rows="_copies")
+    marked = attach_by_key(keyed, groups, ["_entity", content])
     return marked.withColumn(out, F.struct(*order) != F.col("_first")).drop("_entity", "_first", "_copies")
 
 

@@ -172,7 +172,7 @@ def hc3_regressions(
     solved = materialize(_solve_specs(_totals(cells, keys, variables).where(F.col("n") >= min_rows), specs, variables, y))
     needed = ["n", *[f"_all_{v}" for v in variables], *[f"_s{i}" for i in range(len(specs))]]
     per_cell = null_safe_join(cells.select(*keys, group, "_n", *[f"_m_{v}" for v in variables]), solved.select(*keys, *needed), keys)
-    enriched = attach_by_key(rows, per_cell, [*keys, group], rows="_n", written=True)
+    enriched = attach_by_key(rows, per_cell, [*keys, group])
     return _report(solved, _errors(enriched.where(F.col("n").isNotNull()), keys, specs, y), keys, specs, y)
 
 
@@ -207,7 +207,7 @@ def rank_signals(base: DataFrame, signals: Sequence[str], carry: Sequence[str])
     long = base.select(*carry, F.explode(cells).alias("_c")).select(*carry, "_c.*").where(F.col("value").isNotNull())
     ranks = value_ranks(long, ["sample", "signal"], "value")
     ranks = ranks.select("sample", "signal", "value", "count", (average_rank_expr() / F.col("total")).alias("x"))
-    return materialize(attach_by_key(long, ranks, ["sample", "signal", "value"], written=True).drop("count"))
+    return materialize(attach_by_key(long, ranks, ["sample", "signal", "value"]).drop("count"))
 
 
 def prepare_cross_section(table: DataFrame, exclude: Sequence[str] = (), samples: Sequence[str] = ("full",)) -> DataFrame:
@@ -347,7 +347,7 @@ def leave_one_out(base: DataFrame, signal: str = "conc", sector: str = "sector")
     # One array per sample, as long as there are sectors.
     fits = solved.groupBy("sample").agg(F.collect_list(F.struct("left_out", "n", "_s0")).alias("_fits"))
     per_cell = null_safe_join(cells.select("sample", "_g", "_n", *[f"_m_{v}" for v in variables]), fits, ["sample"])
-    enriched = attach_by_key(rows, per_cell, ["sample", "_g"], rows="_n", written=True)
+    enriched = attach_by_key(rows, per_cell, ["sample", "_g"])
     others = F.filter("_fits", lambda f: f["left_out"] != F.col("_g"))
     each = enriched.select("sample", *variables, "_n", *[f"_m_{v}" for v in variables], F.explode(others).alias("_f"))
     each = each.select("*", "_f.*").drop("_f")
@@ -392,7 +392,7 @@ def permutation_test(
         solved.select("sample", "n", F.col("_s0.beta")[0].alias("_observed"), F.col("_s1.beta").alias("_b")),
         ["sample"],
     )
-    enriched = attach_by_key(rows, per_cell, ["sample", "_g"], rows="_n", written=True)
+    enriched = attach_by_key(rows, per_cell, ["sample", "_g"])
     z = [F.col(c) - F.col(f"_m_{c}") for c in _CONTROLS]
     residual = F.col(y) - F.col(f"_m_{y}") - F.col("_b")[0] * z[0] - F.col("_b")[1] * z[1]
     fixed = enriched.select(

@@ -70,36 +70,20 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return runtime.materialize(prefix_sums(counts, by, [value], weight="count"))
 
 
-def attach_by_key(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], rows: str = "count", unmatched: Sequence[str] = (), written: bool = False
-) -> DataFrame:
-    """Left-join a unique-key ``table`` whose ``rows`` column says how many rows of ``df`` share each key.
+def attach_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], unmatched: Sequence[str] = ()) -> DataFrame:
+    """Left-join a unique-key ``table``; adaptive execution splits the rows of a hot key.
 
-    Rows of hot keys take their value from a broadcast of the hot entries only (bounded, see
-    ``runtime.HOT_KEY_ROWS``) and are spread over the shuffle; all others join normally.  Null keys match
-    null entries, except in the ``unmatched`` columns, where the table has no null: such rows are spread too.
-    A ``written`` table (see ``runtime.materialize``) is first asked whether it has any hot key at all.
+    Null keys match null entries, except in the ``unmatched`` columns, where the table has no null: such
+    rows are spread over the shuffle.
     """
     keys = list(keys)
     payload = [c for c in table.columns if c not in keys]
-    names = [f"`{k}`" for k in keys]
-    limit = runtime.HOT_KEY_ROWS
+    if not unmatched:
+        return null_safe_join(df, table, keys, "left").select(*df.columns, *payload)
     everything = ", ".join(f"`{c}`" for c in df.columns)
-    spread_out = f"1 + CAST(pmod(xxhash64({everything}), 4096) AS INT)"
-    if written and table.where(f"`{rows}` > {limit}").isEmpty():
-        if not unmatched:
-            return null_safe_join(df, table, keys, "left").select(*df.columns, *payload)
-        alone = " OR ".join(f"`{k}` IS NULL" for k in unmatched)
-        marked = df.selectExpr("*", f"CASE WHEN {alone} THEN {spread_out} ELSE 0 END AS _spread")
-        return null_safe_join(marked, table.selectExpr("*", "0 AS _spread"), [*keys, "_spread"], "left").select(*df.columns, *payload)
-    hot = table.where(f"`{rows}` > {limit}").selectExpr(*names, "true AS _hot", *[f"`{c}` AS `_hot_{c}`" for c in payload])
-    cold = table.where(f"`{rows}` <= {limit}").selectExpr("*", "0 AS _spread")
-    alone = " OR ".join(["_hot IS NOT NULL", *[f"`{k}` IS NULL" for k in unmatched]])
-    spread = f"CASE WHEN {alone} THEN {spread_out} ELSE 0 END AS _spread"
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left").selectExpr("*", spread)
-    joined = null_safe_join(marked, cold, [*keys, "_spread"], "left")
-    picked = [f"CASE WHEN _hot IS NULL THEN `{c}` ELSE `_hot_{c}` END AS `{c}`" for c in payload]
-    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *picked)
+    alone = " OR ".join(f"`{k}` IS NULL" for k in unmatched)
+    marked = df.selectExpr("*", f"CASE WHEN {alone} THEN 1 + CAST(pmod(xxhash64({everything}), 4096) AS INT) ELSE 0 END AS _spread")
+    return null_safe_join(marked, table.selectExpr("*", "0 AS _spread"), [*keys, "_spread"], "left").select(*df.columns, *payload)
 
 
 def average_rank_expr(before: str = "before", count: str = "count") -> Column:
@@ -110,7 +94,7 @@ def add_percentile_rank(df: DataFrame, value: str, out: str, by: Sequence[str] =
     """Average-tie rank divided by the non-null count: 1/n to 1, null stays null."""
     table = value_ranks(df, by, value)
     table = table.select(*by, value, "count", (average_rank_expr() / F.col("total")).alias(out))
-    return attach_by_key(df, table, [*by, value], unmatched=[value], written=True).drop("count")
+    return attach_by_key(df, table, [*by, value], unmatched=[value]).drop("count")
 
 
 def add_percentile_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str] = (), suffix: str = "_rk") -> DataFrame:
@@ -130,7 +114,7 @@ def add_percentile_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str]
     for v in values:
         part = table.where(F.col("_column") == v)
         part = part.select(*by, F.col("_value").alias("_key"), "count", F.col("_rank").alias(f"{v}{suffix}"))
-        out = attach_by_key(out.withColumn("_key", F.col(v).cast("double")), part, [*by, "_key"], unmatched=["_key"], written=True)
+        out = attach_by_key(out.withColumn("_key", F.col(v).cast("double")), part, [*by, "_key"], unmatched=["_key"])
         out = out.drop("count", "_key")
     return out
 

@@ -15,6 +15,7 @@ from sigvane import constants as K
 from sigvane.functions.calendar import quarter_label
 from sigvane.functions.numeric import mean_of, safe_difference, safe_log, safe_ratio, safe_return
 from sigvane.operators.ordering import attach_by_key
+from sigvane.operators.quality import duplicate_violations
 from sigvane.runtime import materialize
 
 # Order on equal dates: facts dated on the prediction date are known to the score.
@@ -179,17 +180,14 @@ def point_in_time(scores: DataFrame, prices: DataFrame | None = None, reports: D
     return rows.select(*out)
 
 
-def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str, written: bool = False) -> DataFrame:
-    """``value`` minus its group mean; rows with a null group or value get null.
-
-    ``df`` is read twice; say so when it is ``written`` already.
-    """
+def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
+    """``value`` minus its group mean; rows with a null group or value get null.  ``df`` is read twice."""
     known = F.col(value).isNotNull()
     for g in groups:
         known = known & F.col(g).isNotNull()
-    means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
-    joined = attach_by_key(df, means, groups, rows="_rows", unmatched=groups, written=written)
-    return joined.withColumn(out, F.col(value) - F.col("_mean")).drop("_mean", "_rows")
+    means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"))
+    joined = attach_by_key(df, means, groups, unmatched=groups)
+    return joined.withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def build_panel(
@@ -198,10 +196,13 @@ def build_panel(
     prices: DataFrame,
     reports: DataFrame,
     strict: bool = True,
+    unique: bool = True,
 ) -> DataFrame:
     """One row per (company, score quarter) with features, outcomes and the timing audit.
 
     Inputs are normalized tables with ``company_id``.  Group excess is taken before the strict filter.
+    Companies with several rows in a quarter after it are refused; without ``unique`` they stay, for
+    ``panel_key_violations`` to list.
     """
     prepared = scores.withColumn("score_available_at", F.col("available_at").cast("timestamp"))
     if "prediction_date" in scores.columns:
@@ -239,10 +240,20 @@ def build_panel(
         }
     )
     # Written once, so the group means do not walk the timelines again.
-    rows = add_group_excess(materialize(rows), "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q", written=True)
+    rows = add_group_excess(materialize(rows), "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q")
     if strict:
         rows = rows.where(~F.col("timing_violation"))
-    return rows.select(*PANEL_COLUMNS)
+    panel = rows.select(*PANEL_COLUMNS)
+    if unique:
+        repeated = [r["key"] for r in panel_key_violations(panel).limit(5).collect()]
+        if repeated:
+            raise ValueError(f"the panel has more than one row for some companies and quarters, such as {sorted(repeated)}")
+    return panel
+
+
+def panel_key_violations(panel: DataFrame) -> DataFrame:
+    """Companies with more than one row in a score quarter, as rows of a check."""
+    return duplicate_violations(panel, "duplicate_panel_key", ["company_id", "score_quarter"])
 
 
 def nearest_within(

@@ -87,7 +87,7 @@ def dedupe_entities(entities: DataFrame, pages: DataFrame) -> tuple[DataFrame, D
     real = rows.where(~test)
     winner = F.max_by("company_id", F.struct("_recent", (-F.col("ord")).alias("o"))).alias("kept_id")
     groups = real.groupBy("name").agg(winner, F.count(F.lit(1)).alias("_copies"))
-    judged = attach_by_key(real, groups, ["name"], rows="_copies")
+    judged = attach_by_key(real, groups, ["name"])
     kept = judged.where(F.col("company_id") == F.col("kept_id")).drop("_page_at", "_recent", "kept_id", "_copies")
     dropped = judged.where(F.col("company_id") != F.col("kept_id")).select(
         F.lit("drop_duplicate_name").alias("action"), "name", F.col("company_id").alias("id"), "kept_id"

@@ -668,10 +668,10 @@ def backtest_summary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as evidence of the entity their id points to; the first 60 characters are the excerpt."""
+    """Documents as evidence of the entity their id points to."""
     k = F.col("doc_id")
     return B.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("S"), (k % 97).cast("string")).alias("ticker"), k.cast("string").alias("source_document_id"), F.substring("text", 1, 60).alias("text")
+        F.concat(F.lit("S"), (k % 97).cast("string")).alias("ticker"), k.cast("string").alias("source_document_id"), "text"
     )
 
 
@@ -681,7 +681,7 @@ def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_LATEST}, ranked AS (SELECT ticker, score_quarter, rank() OVER (PARTITION BY sector, score_quarter ORDER BY {K.COMPOSITE} DESC) AS signal_rank,
           count(*) OVER (PARTITION BY sector, score_quarter) AS num_peers FROM panel WHERE {K.COMPOSITE} IS NOT NULL),
     spans AS (SELECT ticker, count(*) AS history_rows, min(score_quarter) AS first_period, max(score_quarter) AS last_period FROM panel GROUP BY 1),
-    ev AS (SELECT 'S' || (doc_id % 97) AS ticker, CAST(doc_id AS VARCHAR) AS d, substr(text, 1, 60) AS t FROM documents),
+    ev AS (SELECT 'S' || (doc_id % 97) AS ticker, CAST(doc_id AS VARCHAR) AS d, text AS t FROM documents),
     top AS (SELECT ticker, d, t FROM ev QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d, t) <= 5),
     e AS (SELECT ticker, string_agg(t, ' ## ' ORDER BY d, t) AS evidence FROM top GROUP BY 1)
     SELECT l.ticker, l.score_quarter, signal_rank, num_peers, history_rows, first_period, last_period, evidence

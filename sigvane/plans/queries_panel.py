@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
+from sigvane.operators import pit
 from sigvane.plans import bindings as B
 from sigvane.plans.registry import query
 
@@ -57,3 +58,16 @@ def panel_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
         "company_id", "ticker", "company_name", "sector", "industry", "score_quarter", *K.SCORE_COLUMNS,
         *rounded(K.COMPOSITE), *dates(*_DATES), *rounded(*_NUMBERS),
     )
+
+
+@query(
+    "panel_duplicate_keys",
+    "C9",
+    f"WITH {B.PANEL_SQL} SELECT company_id || '|' || score_quarter AS key, '2 rows' AS detail FROM panel WHERE CAST(company_id AS INTEGER) % 7 = 0",
+)
+def panel_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh company's scores come twice; the panel is built all the same and its repeated keys are listed."""
+    scores = B.scores(spark, sf_dir)
+    twice = scores.unionByName(scores.where(F.col("company_id").cast("int") % 7 == 0))
+    panel = B.build_panel(B.companies(spark, sf_dir), twice, B.prices(spark, sf_dir), B.reports(spark, sf_dir), unique=False)
+    return pit.panel_key_violations(panel).select("key", "detail")

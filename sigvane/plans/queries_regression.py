@@ -258,7 +258,7 @@ def placebo_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PERM_ROWS = f"""{B.BASE_SQL}, {_ranks_sql(["conc"], ["company_id", "sector", "rev_growth_yoy", *_CONTROLS])},
 obs AS (SELECT sample, company_id, sector, x, rev_growth_yoy AS y, log_mktcap, prior_rev_growth_yoy FROM ranked
         WHERE {_COMPLETE} AND rev_growth_yoy IS NOT NULL)"""
-_PERMUTATIONS = 200
+_PERMUTATIONS = 1000
 
 
 @query(
@@ -330,8 +330,8 @@ def line_regression_hc3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pooled panel regressions: the SQL inverts the full dummy matrix by sweeping --------------------
 
-_POOLED_SIGNALS = [K.COMPOSITE, "ai_adoption_score"]
-_POOLED_OUTCOMES = ["fwd_return_1q", "future_revenue_growth_qoq"]
+_POOLED_SIGNALS = K.DEFAULT_SIGNALS
+_POOLED_OUTCOMES = K.IC_OUTCOMES
 
 
 def pooled_sql(signals: list[str], outcomes: list[str], tail: str) -> str:

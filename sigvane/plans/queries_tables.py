@@ -303,7 +303,7 @@ def source_type_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "duplicate_documents",
-    "C7 C9",
+    "C7",
     "SELECT sha256(text) AS content, lang, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,17 +110,27 @@ def filings_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excerpts.latest_of_form(columnar)
 
 
-EXCERPT_TERMS = ["stupid", "mit"]
-_LENGTHS = "|".join(EXCERPT_TERMS)
-# Term positions from the character rows themselves.
-_HITS = f"""chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents
-    WHERE regexp_matches(text, '(?i)({_LENGTHS})')),
-near AS (SELECT doc_id, i, lower(c || coalesce(lead(c, 1) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') || coalesce(lead(c, 4) OVER w, '') || coalesce(lead(c, 5) OVER w, '')) AS six,
-              coalesce(lag(c, 1) OVER w, ' ') AS before, coalesce(lead(c, 3) OVER w, ' ') AS after3, coalesce(lead(c, 6) OVER w, ' ') AS after6
-         FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-hits AS (SELECT doc_id, i AS s, i + CASE WHEN six = 'stupid' THEN 6 ELSE 3 END AS e FROM near
-         WHERE NOT regexp_matches(before, '[\\p{{L}}\\p{{N}}_]') AND ((six = 'stupid' AND NOT regexp_matches(after6, '[\\p{{L}}\\p{{N}}_]'))
-               OR (six LIKE 'mit%' AND NOT regexp_matches(after3, '[\\p{{L}}\\p{{N}}_]'))))"""
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with three section headings: before them, after a third and after two thirds of the text."""
+    third = "CAST(length(text) DIV 3 AS INT)"
+    text = f"'Item 1. ' || substring(text, 1, {third}) || ' ITEM 1A ' || substring(text, {third} + 1, {third}) || ' item 7. ' || substring(text, 2 * {third} + 1)"
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text"))
+
+
+# The documents hold few of the real terms, so two of their own words are looked for as well.
+EXCERPT_TERMS = [*K.FILING_TERMS, "stupid", "mit"]
+_LONGEST = max(map(len, EXCERPT_TERMS))
+_WORD = r"[\p{L}\p{N}_]"
+# Term positions from the character rows themselves; a term inside a longer one is no hit of its own.
+_HITS = f"""filings AS (SELECT doc_id, length(text) // 3 AS third, 'Item 1. ' || substr(text, 1, length(text) // 3) || ' ITEM 1A ' || substr(text, length(text) // 3 + 1, length(text) // 3)
+      || ' item 7. ' || substr(text, 2 * (length(text) // 3) + 1) AS text FROM documents),
+chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM filings
+    WHERE regexp_matches(text, '(?i)\\b({"|".join(EXCERPT_TERMS)})\\b')),
+near AS (SELECT doc_id, i, lower(string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {_LONGEST} FOLLOWING)) AS ahead,
+              coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS before FROM chars),
+found AS (SELECT doc_id, i AS s, i + length(term) AS e FROM near, (SELECT unnest({EXCERPT_TERMS}) AS term)
+          WHERE starts_with(ahead, term) AND NOT regexp_matches(before, '{_WORD}') AND NOT regexp_matches(substr(ahead, length(term) + 1, 1), '{_WORD}')),
+hits AS (SELECT doc_id, s, e FROM found QUALIFY s >= coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))"""
 
 
 @query(
@@ -129,7 +139,7 @@ hits AS (SELECT doc_id, i AS s, i + CASE WHEN six = 'stupid' THEN 6 ELSE 3 END A
     f"WITH {_HITS} SELECT doc_id, count(*) AS hits, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM hits GROUP BY 1",
 )
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = excerpts.hit_spans(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", EXCERPT_TERMS).where("spans IS NOT NULL")
+    rows = excerpts.hit_spans(filings(spark, sf_dir), "text", EXCERPT_TERMS).where("spans IS NOT NULL")
     return rows.selectExpr(
         "doc_id", "CAST(size(spans) AS BIGINT) AS hits", "aggregate(spans, 0L, (a, s) -> a + s.start) AS starts", "aggregate(spans, 0L, (a, s) -> a + s.end) AS ends"
     )
@@ -138,31 +148,30 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "document_excerpts",
     "J5 J6 J7",
-    f"""WITH {_HITS}, wide AS (SELECT h.doc_id, greatest(0, s - 60) AS s, least(length(text), e + 60) AS e, text FROM hits h JOIN documents d USING (doc_id)),
-    marked AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) THEN 0 ELSE 1 END AS fresh FROM wide),
-    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM marked),
-    merged AS (SELECT doc_id, g, min(s) AS s, max(e) AS e, any_value(text) AS text FROM islands GROUP BY 1, 2),
-    chunks AS (SELECT doc_id, g, s, regexp_replace(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM merged)
-    SELECT doc_id, CAST(g - 1 AS BIGINT) AS excerpt_index, s AS start, 'other' AS section, excerpt FROM chunks
-    QUALIFY sum(length(excerpt)) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) <= 1500""",
+    f"""WITH {_HITS}, wide AS (SELECT h.doc_id, greatest(0, s - {K.EXCERPT_RADIUS}) AS s, least(length(text), e + {K.EXCERPT_RADIUS}) AS e, h.s AS hit_at FROM hits h JOIN filings d USING (doc_id)),
+    marked AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY hit_at) THEN 0 ELSE 1 END AS fresh FROM wide),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY hit_at ROWS UNBOUNDED PRECEDING) AS g FROM marked),
+    merged AS (SELECT doc_id, g, min(s) AS s, max(e) AS e FROM islands GROUP BY 1, 2)
+    SELECT doc_id, CAST(g - 1 AS BIGINT) AS excerpt_index, s AS start,
+           CASE WHEN s >= 25 + 2 * third THEN 'mdna' WHEN s >= 17 + third THEN 'risk_factors' WHEN s >= 7 THEN 'business' ELSE 'other' END AS section,
+           regexp_replace(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM merged JOIN filings USING (doc_id)""",
 )
 def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = excerpts.excerpts(docs, "text", EXCERPT_TERMS, radius=60, budget=1500)
+    rows = excerpts.excerpts(filings(spark, sf_dir), "text", EXCERPT_TERMS)
     return rows.select("doc_id", count("excerpt_index"), "start", "section", "excerpt")
 
 
 @query(
     "verified_quotes",
     "F32",
-    """WITH c AS (SELECT lang, text, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 11, 40)) ELSE substr(text, 11, 40) END AS quote FROM documents WHERE length(text) > 10)
+    """WITH c AS (SELECT lang, text, substr(text, length(text) // 2 + 1) || CASE WHEN doc_id % 3 = 0 THEN '?!' ELSE '' END AS quote FROM documents)
     SELECT lang, count(*) AS quotes, count(*) FILTER (contains(text, quote)) AS verified FROM c GROUP BY 1""",
 )
 def verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One quote per document, every third one changed."""
-    docs = B.table(spark, sf_dir, "documents").where(F.length("text") > 10)
-    part = F.substring("text", 11, 40)
-    quotes = docs.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, F.upper(part)).otherwise(part).alias("quote"))
+    """The second half of every document as its quote, every third one changed."""
+    docs = B.table(spark, sf_dir, "documents")
+    part = F.expr("substring(text, CAST(length(text) DIV 2 + 1 AS INT))")
+    quotes = docs.select("doc_id", "lang", F.concat(part, F.when(F.col("doc_id") % 3 == 0, "?!").otherwise("")).alias("quote"))
     checked = excerpts.verify_quotes(quotes, docs, "doc_id")
     return checked.groupBy("lang").agg(F.count(F.lit(1)).alias("quotes"), F.count_if("found").alias("verified"))
 
@@ -173,13 +182,15 @@ _LINES = r"list_filter(string_split_regex(text, '\r\n|[\n\r]'), lambda l: trim(l
 @query(
     "conversation_snippets",
     "J11",
-    f"""WITH t AS (SELECT conv_id, turn, array_to_string({_LINES}, ' ') AS body, substr(text, 20, 30) AS title FROM conversations),
+    f"""WITH t AS (SELECT conv_id, turn, array_to_string({_LINES}, ' ') AS body, split_part(text, '. ', 2) AS title FROM conversations),
     p AS (SELECT *, CASE WHEN length(title) > 0 THEN instr(lower(body), lower(title)) ELSE 0 END AS pos FROM t)
-    SELECT conv_id, turn, substr(body, CASE WHEN pos > 1 THEN pos ELSE 1 END, 100) AS snippet FROM p""",
+    SELECT conv_id, turn, substr(body, CASE WHEN pos > 1 THEN pos ELSE 1 END) AS snippet FROM p""",
 )
 def conversation_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn from its second sentence on, where it has one."""
     rows = B.table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", tx.snippet(F.col("text"), F.substring("text", 20, 30), 100, "stupid|privacy").alias("snippet"))
+    title = F.split_part("text", F.lit(". "), F.lit(2))
+    return rows.select("conv_id", "turn", tx.snippet(F.col("text"), title, boilerplate="stupid|privacy").alias("snippet"))
 
 
 # --- requests and replies --------------------------------------------------------------------------------
@@ -188,12 +199,12 @@ def conversation_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "request_batches",
     "J8",
-    """WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, doc_id, substr(text, 1, 30) AS t FROM documents),
+    """WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, doc_id, text AS t FROM documents),
     l AS (SELECT source, p // 25 AS batch, p % 25 AS i, '[' || (p % 25) || '] title: ' || t AS body FROM r)
     SELECT source, batch, count(*) AS results, md5('TARGET COMPANY: ' || source || chr(10) || chr(10) || 'RESULTS:' || chr(10) || string_agg(body, chr(10) ORDER BY i)) AS request FROM l GROUP BY 1, 2""",
 )
 def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 30).alias("t"))
+    docs = B.table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("t"))
     header = F.concat(F.lit("TARGET COMPANY: "), F.col("source"))
     body = F.concat(F.lit("["), F.col("result_index").cast("string"), F.lit("] title: "), F.col("t"))
     rows = hiring.request_batches(docs, "source", "doc_id", header, body)
@@ -204,10 +215,27 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     "model_replies",
     "J9 J10",
     """SELECT conv_id, turn // 25 AS batch, turn % 25 AS result_index, CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS is_company_match,
-       CASE WHEN role = 'assistant' THEN 'ai-builder' WHEN role = 'user' THEN 'non-ai' END AS ai_role_type, round(turn / 10.0, 6) AS confidence FROM conversations""",
+       CASE WHEN role = 'assistant' THEN 'ai-builder' WHEN role = 'user' THEN 'non-ai' END AS ai_role_type, round(turn / 10.0, 6) AS confidence FROM conversations
+       WHERE conv_id % 10 <> 7""",
 )
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as results in batches of 25; a reply is a fenced JSON array with one index too many."""
+    """Conversations with a broken reply have no results at all."""
+    replies, results = _replies(spark, sf_dir)
+    rows = hiring.parse_replies(replies, results, ["conv_id", "batch"], entity=["conv_id"])
+    return rows.select("conv_id", count("batch"), count("result_index"), F.col("is_company_match").cast("int").alias("is_company_match"), "ai_role_type", *rounded("confidence"))
+
+
+@query("failed_replies", "J9", "SELECT DISTINCT conv_id, turn // 25 AS batch, 'invalid_json' AS error FROM conversations WHERE conv_id % 10 = 7 AND turn // 25 = 0")
+def failed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = hiring.failed_replies(_replies(spark, sf_dir)[0], ["conv_id", "batch"])
+    return failed.select("conv_id", count("batch"), "error")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of a conversation as results in batches of 25; a reply is a fenced JSON array with one index too many.
+
+    The first reply to every tenth conversation breaks off.
+    """
     talk = B.table(spark, sf_dir, "conversations").withColumns({"batch": F.floor(F.col("turn") / 25), "place": (F.col("turn") % 25).cast("int")})
     label = F.when(F.col("role") == "assistant", "ai-builder").when(F.col("role") == "user", "something-else").otherwise("")
     answer = F.struct(
@@ -215,10 +243,11 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") / F.lit(10.0)).alias("confidence"),
     )
     stray = F.array(F.struct(F.lit(999).alias("result_index"), F.lit(True).alias("is_company_match"), F.lit("ai-user").alias("ai_role_type"), F.lit(1.0).alias("confidence")))
-    replies = talk.groupBy("conv_id", "batch").agg(F.concat(F.lit("```json\n"), F.to_json(F.concat(F.collect_list(answer), stray)), F.lit("\n```")).alias("reply"))
-    results = talk.select("conv_id", "batch", F.col("place").alias("result_index"))
-    rows = hiring.parse_replies(replies, results, ["conv_id", "batch"])
-    return rows.select("conv_id", count("batch"), count("result_index"), F.col("is_company_match").cast("int").alias("is_company_match"), "ai_role_type", *rounded("confidence"))
+    whole = F.concat(F.lit("```json\n"), F.to_json(F.concat(F.collect_list(answer), stray)), F.lit("\n```"))
+    cut = (F.col("conv_id") % 10 == 7) & (F.col("batch") == 0)
+    replies = talk.groupBy("conv_id", "batch").agg(whole.alias("reply"))
+    replies = replies.withColumn("reply", F.when(cut, F.expr("substring(reply, 1, length(reply) - 9)")).otherwise(F.col("reply")))
+    return replies, talk.select("conv_id", "batch", F.col("place").alias("result_index"))
 
 
 # --- extraction --------------------------------------------------------------------------------------------
@@ -262,8 +291,8 @@ def _rule_sql(name: str) -> str:
 
 _EXTRACTED = rf"""quoted AS (
   SELECT CAST(doc_id AS VARCHAR) AS source_document_id, doc_id, lower(text) AS low, text,
-         CASE WHEN {_any("' ' || lower(text) || ' '")} THEN substr(coalesce(list_filter(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), '.'),
-           lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '' AND {_any("' ' || lower(s) || ' '")})[1], regexp_replace(text, '^\s+|\s+$', '', 'g')), 1, 300) END AS quote FROM documents),
+         CASE WHEN {_any("' ' || lower(text) || ' '")} THEN coalesce(list_filter(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), '.'),
+           lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '' AND {_any("' ' || lower(s) || ' '")})[1], regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS quote FROM documents),
 extracted AS (
   SELECT source_document_id, doc_id, quote, CASE WHEN doc_id % 10 <> 0 THEN 'S' || (doc_id % 97) END AS ticker, instr(text, quote) - 1 AS start_char, instr(text, quote) - 1 + length(quote) AS end_char,
          {", ".join(_rule_sql(n) for n in K.SIGNAL_NAMES)} FROM quoted)"""
@@ -287,7 +316,7 @@ def evidence_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SHORT = "length(quote) < 5"
+_SHORT = "(length(quote) < 5 OR length(quote) > 500)"  # the record rule on spans, which reports and cuts nothing
 
 
 @query(
@@ -387,7 +416,8 @@ def source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     "documents_jsonl",
     "A10",
     """SELECT count(*) AS valid, count(*) FILTER (doc_id % 50 = 1) AS bad_json, CAST(sum(length(text)) AS BIGINT) AS characters, max(n) AS longest
-       FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(trim(text)) BETWEEN 1 AND 12000)""",
+              , count(*) FILTER (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 12000) AS long_texts
+       FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(trim(text)) > 0)""",
 )
 def documents_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON lines with some broken lines added; the reader keeps the good and counts the bad."""
@@ -395,9 +425,10 @@ def documents_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.scratch_path(spark, "documents")
     d.select(F.to_json(F.struct(*d.columns)).alias("value")).write.text(path)
     broken = F.col("source_document_id").cast("int") % 50 == 1
-    d.where(broken & F.length(F.trim("text")).between(1, 12_000)).select(F.lit('{"source_document_id": ').alias("value")).write.mode("append").text(path)
+    d.where(broken & (F.length(F.trim("text")) > 0)).select(F.lit('{"source_document_id": ').alias("value")).write.mode("append").text(path)
     good, bad = readers.read_documents(spark, path)
     wrong = bad.where(F.array_contains("errors", "invalid_json")).agg(F.count(F.lit(1))).scalar()
     return good.agg(
-        F.count(F.lit(1)).alias("valid"), wrong.alias("bad_json"), F.sum(F.length("text")).alias("characters"), F.max(F.length("text")).cast("long").alias("longest")
+        F.count(F.lit(1)).alias("valid"), wrong.alias("bad_json"), F.sum(F.length("text")).alias("characters"), F.max(F.length("text")).cast("long").alias("longest"),
+        F.count_if(F.array_contains("warnings", "long_text")).alias("long_texts"),
     )

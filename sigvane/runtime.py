@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A key held by more rows than this is treated as hot: its lookup row is broadcast instead of
-# shuffling the rows.  The broadcast holds at most (total rows / HOT_KEY_ROWS) entries.
-HOT_KEY_ROWS = 1_000_000
-
 
 def local_session(cores: str = "*", app_name: str = "sigvane", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; clusters bring their own."""

@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 
 from sigvane import schemas
 from sigvane.operators import normalize
-from sigvane.operators.extraction import document_errors
+from sigvane.operators.extraction import document_errors, document_warnings
 from sigvane.operators.ordering import prefix_sums
 
+LONG_TEXT = 12_000  # characters; longer texts are kept and reported
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A .csv or .parquet table; CSV columns are text unless a schema is given, so identifiers keep their zeros."""
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A .csv or .parquet table; CSV columns are text unless a schema is given, so identifiers keep their zeros.
+
+    CSV files are split among tasks; ``multi_line`` allows line breaks inside quotes, at the price of one task a file.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "parquet"):
         raise ValueError("table path must end with .csv or .parquet")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == "parquet":
         return reader.parquet(path)
-    return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return reader.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def load_scores(spark: SparkSession, path: str, available_at: str | None = None) -> DataFrame:
@@ -46,7 +51,7 @@ def load_companies(spark: SparkSession, path: str) -> DataFrame:
 def read_optional(spark: SparkSession, path: str, schema: str, label: str, missing: list[str]) -> DataFrame:
     """The table, or an empty one of ``schema`` with ``label`` appended to ``missing`` when there is no such path."""
     try:
-        return read_table(spark, path)
+        return read_table(spark, path, schema)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -80,7 +85,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid source documents of JSON-lines files, and the bad rows with file, line number and reason."""
+    """Valid source documents of JSON-lines files, and the bad rows with file, line number and reason.
+
+    Documents keep their whole text; those over ``LONG_TEXT`` characters carry a warning.
+    """
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     schema = schemas.DOCUMENTS + ", _corrupt string"
     parsed = lines.withColumn("_d", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
@@ -88,6 +96,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     reasons = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("invalid_json"))).otherwise(document_errors(rows))
     rows = rows.withColumn("errors", reasons)
     good = rows.where(F.size("errors") == 0).drop("file", "line_number", "_corrupt", "errors")
+    good = good.withColumn("warnings", document_warnings(LONG_TEXT))
     return good, rows.where(F.size("errors") > 0).select("file", "line_number", "errors")
 
 

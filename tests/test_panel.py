@@ -117,3 +117,12 @@ def test_horizon_returns_use_the_table_calendar(spark):
     assert common["A"]["fwd_ret_1m"] == pytest.approx(0.2) and common["B"]["fwd_ret_1m"] is None
     own = {r["ticker"]: r for r in rows(pit.horizon_returns(prices, "2025-01-19", [1], per_ticker=True))}
     assert own["B"]["fwd_ret_1m"] == pytest.approx(0.5)
+
+
+def test_panel_refuses_repeated_keys(inputs):
+    companies, scores, prices, reports = inputs
+    twice = scores.unionByName(scores.limit(1))
+    with pytest.raises(ValueError, match="more than one row"):
+        pit.build_panel(companies, twice, prices, reports)
+    found = rows(pit.panel_key_violations(pit.build_panel(companies, twice, prices, reports, unique=False)))
+    assert [r["detail"] for r in found] == ["2 rows"]

@@ -6,7 +6,6 @@ import pytest
 from conftest import rows
 
 from sigvane import constants as K
-from sigvane import runtime
 from sigvane.functions import tails
 from sigvane.operators import backtest, ic, ols, ordering, robustness, summaries
 
@@ -20,13 +19,12 @@ def test_percentile_rank_with_ties_and_null(spark):
     assert [r["rk"] for r in rows(ranked, "id")] == [0.25, 0.625, 0.625, None, 1.0]
 
 
-@pytest.mark.parametrize(("hot", "merge_ranges"), [(1_000_000, "true"), (2, "false")])
-def test_hot_values_give_the_same_ranks(spark, monkeypatch, hot, merge_ranges):
-    """With a low threshold most values go through the broadcast side."""
-    monkeypatch.setattr(runtime, "HOT_KEY_ROWS", hot)
+@pytest.mark.parametrize("merge_ranges", ["true", "false"])
+def test_hot_values_give_the_same_ranks(spark, merge_ranges):
+    """One value holds most rows, and a third of the rows is null."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge_ranges)
     random.seed(5)
-    xs = [random.choice([1.0, 1.0, 1.0, 2.0, 3.5, None]) for _ in range(300)]
+    xs = [random.choice([1.0] * 12 + [2.0, 3.5] + [None] * 7) for _ in range(900)]
     known = sorted(x for x in xs if x is not None)
     got = rows(ordering.add_percentile_rank(values(spark, xs), "x", "rk"), "id")
     for x, r in zip(xs, got, strict=True):

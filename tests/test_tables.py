@@ -336,6 +336,16 @@ def test_request_batches_and_replies(spark):
     assert [(r["result_index"], r["is_company_match"], r["ai_role_type"]) for r in parsed] == [(0, True, "non-ai")]
 
 
+def test_failed_replies_withhold_their_entity(spark):
+    good = '[{"result_index": 0, "ai_role_type": "ai-user"}]'
+    replies = spark.createDataFrame([("A", 0, good), ("A", 1, good[:-9]), ("B", 0, good), ("C", 0, None), ("D", 0, good)], "e string, batch int, reply string")
+    results = spark.createDataFrame([("A", 0, 0), ("A", 1, 0), ("B", 0, 0), ("C", 0, 0), ("D", 0, 0), ("D", 1, 0)], "e string, batch int, result_index int")
+    failed = rows(hiring.failed_replies(replies, ["e", "batch"]), "e")
+    assert [(r["e"], r["batch"], r["error"], r["reply"]) for r in failed] == [("A", 1, "invalid_json", good[:-9]), ("C", 0, "no_reply", None)]
+    assert [r["e"] for r in rows(hiring.parse_replies(replies, results, ["e", "batch"], entity=["e"]))] == ["B"]
+    assert sorted(r["e"] for r in rows(hiring.parse_replies(replies, results, ["e", "batch"]))) == ["A", "B", "D"]
+
+
 # --- functions, schemas, sources ------------------------------------------------------------------
 
 
@@ -356,7 +366,7 @@ def test_feature_tables_say_when_they_were_known():
 def test_tables_by_suffix(spark):
     path = runtime.scratch_path(spark, "t.csv")
     sinks.write_table(frame(spark, [{"cik": "0000000007", "text": 'a "b"\nc'}]), path)
-    assert rows(readers.read_table(spark, path)) == [{"cik": "0000000007", "text": 'a "b"\nc'}]
+    assert rows(readers.read_table(spark, path, multi_line=True)) == [{"cik": "0000000007", "text": 'a "b"\nc'}]
     with pytest.raises(ValueError, match="must end with"):
         readers.read_table(spark, "x.json")
     with pytest.raises(ValueError, match="must end with"):
@@ -383,6 +393,10 @@ def test_documents_jsonl(spark):
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
     docs, bad = readers.read_documents(spark, path)
     assert [r["source_document_id"] for r in rows(docs)] == ["d1"]
+    long = runtime.scratch_path(spark, "long")
+    spark.createDataFrame([(json.dumps(good | {"text": "x" * n}),) for n in (12_000, 50_000)], "value string").write.text(long)
+    kept = rows(readers.read_documents(spark, long)[0])
+    assert sorted((len(r["text"]), r["warnings"]) for r in kept) == [(12_000, []), (50_000, ["long_text"])]
     assert [(r["line_number"], r["errors"]) for r in rows(bad, "line_number")] == [(3, ["invalid_json"]), (4, ["source_type"]), (5, ["text_length"])]
 
 

@@ -42,7 +42,9 @@ def test_cap_stops_at_the_first_overflow(spark):
     """A later, shorter excerpt does not slip in after one that was too long."""
     text = "aaaa hit " + "b" * 15 + " " * 60 + "hit" + " " * 60
     both = rows(excerpts.excerpts(docs(spark, text), terms=["hit"], radius=20, budget=100))
-    assert [len(r["excerpt"]) for r in both] == [24, 3]
+    assert [(len(r["excerpt"]), r["n_dropped"]) for r in both] == [(24, 0), (3, 0)]
+    assert [(len(r["excerpt"]), r["n_dropped"]) for r in rows(excerpts.excerpts(docs(spark, text), terms=["hit"], radius=20, budget=24))] == [(24, 1)]
+    assert len(rows(excerpts.excerpts(docs(spark, ("hit" + " " * 60) * 2000), terms=["hit"], radius=20))) == 2000
     short_first = rows(excerpts.excerpts(docs(spark, text), terms=["hit"], radius=20, budget=4))
     assert [r["excerpt_index"] for r in short_first] == []
 
