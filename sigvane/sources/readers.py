@@ -40,8 +40,9 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
     return normalize.normalize_prices(read_table(spark, path)).strict("price file")
 
 
-def load_postings(spark: SparkSession, path: str) -> DataFrame:
-    return normalize.normalize_postings(read_table(spark, path)).strict("posting file")
+def load_postings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Descriptions hold line breaks, so their files are read whole unless the caller knows better."""
+    return normalize.normalize_postings(read_table(spark, path, multi_line=multi_line)).strict("posting file")
 
 
 def load_companies(spark: SparkSession, path: str) -> DataFrame:
