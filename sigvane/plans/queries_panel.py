@@ -49,7 +49,7 @@ SELECT company_id, ticker, company_name, sector, industry, score_quarter, {", ".
 FROM panel"""
 
 
-@query("panel_point_in_time", "A18 B13 B15 B23 B24 B25 B26 D4 D5 D6 D7 D8 E12 G9 G11 C14", PANEL_QUERY_SQL)
+@query("panel_point_in_time", "B13 B15 B23 B24 B25 B26 D4 D5 D6 D7 D8 E12 G9 G11 C14", PANEL_QUERY_SQL)
 def panel_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = B.build_panel(
         B.companies(spark, sf_dir), B.scores(spark, sf_dir), B.prices(spark, sf_dir), B.reports(spark, sf_dir)

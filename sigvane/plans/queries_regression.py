@@ -299,7 +299,7 @@ def leave_one_sector_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "leave_one_sector_out_summary",
-    "F26 F27",
+    "F26",
     f"""WITH {_LEFT_OUT} SELECT sample, arg_max(left_out, p) AS worst_sector, round(arg_max(coef, p), 6) AS worst_coef, round(max(p), 6) AS worst_p,
         count(CASE WHEN p < 0.05 THEN 1 END) AS n_significant, count(*) AS n_sectors FROM tested GROUP BY 1""",
 )
