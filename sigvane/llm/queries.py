@@ -62,7 +62,7 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = chat.rotate(table(spark, sf_dir, "conversations"))
+    rendered = chat.perspectives(table(spark, sf_dir, "conversations")).drop("starts_at")
     return rendered.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 

@@ -162,6 +162,38 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def plain_perspectives(turns):
+    """(conversation, speaker): the whole rendering and the learnt texts, in plain Python."""
+    out = {}
+    for conv in {t[0] for t in turns}:
+        said = sorted({t[1:] for t in turns if t[0] == conv})
+        for speaker in {r for _, r, _ in said} - {"system"}:
+            name = lambda r, s=speaker: "assistant" if r == s else r if r == "system" else f"user name={r}"
+            text = "".join(f"<|im_start|>{name(r)}\n{t}<|im_end|>\n" for _, r, t in said)
+            out[conv, speaker] = text, [f"{t}<|im_end|>" for _, r, t in said if r == speaker]
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 7, 256])
+def test_every_speaker_gets_the_whole_dialogue(spark, segment):
+    long = [(1, 0, "system", "be kind"), *[(1, k, "ann" if k % 2 else "bob", f"line {k} é") for k in range(1, 600)], (1, 5, "once", "here")]
+    sparse = [(2, 1000 * k, "ann" if k % 2 else "bob", f"at {k}") for k in range(4)] + [(None, -3, "ann", "x"), (None, 900, "cid", "y"), (3, 0, "system", "alone")]
+    df = spark.createDataFrame(long + sparse, "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in sorted(chat.perspectives(df, segment).collect(), key=lambda r: r["part"]):
+        text, spans = got.setdefault((r["conv_id"], r["speaker"]), ("", []))
+        assert r["starts_at"] == len(text) and r["n_turns"] <= segment
+        got[r["conv_id"], r["speaker"]] = text + r["text"], spans + [(m["start"], m["end"]) for m in r["mask"]]
+    assert {k: (text, [text[a:b] for a, b in spans]) for k, (text, spans) in got.items()} == plain_perspectives(long + sparse)
+
+
+def test_the_query_renders_long_and_sparse_conversations_whole(spark, tmp_path):
+    turns = [(1, 1000 * k, "ann" if k % 2 else "bob", f"at {k}") for k in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = entrypoint.queries()["op6_perspectives"](spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["speaker"]): r["text"] for r in out} == {k: text for k, (text, _) in plain_perspectives(turns).items()}
+
+
 def test_first_fit_decreasing_takes_the_leftmost_room():
     rng = random.Random(5)
     for n in (0, 1, 2, 37, 300):
