@@ -331,8 +331,8 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covered entities: part names as they are, misspelt (a letter doubled), or not to be found."""
-    p = B.table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    """All parts as covered entities: names with a suffix, misspelt (a letter doubled), or not to be found."""
+    p = B.table(spark, sf_dir, "part")
     k = F.col("p_partkey") % 12
     name = F.concat("p_name", F.lit(" "), "p_brand")
     shown = F.when(k == 3, F.concat(F.substring(name, 1, 4), F.substring(name, 4, 60))).when(k == 9, F.concat(F.lit("Unlisted "), name)).otherwise(F.concat(name, F.lit(" Group")))
@@ -353,7 +353,9 @@ b AS (SELECT lower(p_name || ' ' || p_brand) AS norm, min(p_partkey) AS pk FROM
     FROM n LEFT JOIN a USING (norm) LEFT JOIN b USING (norm) WHERE n.k NOT IN (3, 9) AND (a.pk IS NOT NULL OR b.pk IS NOT NULL)""",
 )
 def entity_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identity.resolve_entities(_covered(spark, sf_dir), _members(spark, sf_dir), _registry(spark, sf_dir), {}, {})
+    # The thirds and the exact rows are those of the SQL; entity_resolution_full keeps every part and row.
+    third = _covered(spark, sf_dir).where(F.col("company_id").cast("int") % 3 == 0)
+    rows = identity.resolve_entities(third, _members(spark, sf_dir), _registry(spark, sf_dir), {}, {})
     return rows.where(F.col("match_method").endswith("_exact") & ~(F.col("company_id").cast("int") % 12).isin(3, 9)).select("company_id", "ticker", "match_method")
 
 

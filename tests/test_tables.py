@@ -255,6 +255,42 @@ def test_resolution_order(spark):
     assert got["3"]["in_members"] and got["3"]["cik"] == "0000000002"
 
 
+def test_resolution_queries_cover_every_part(spark):
+    import __spark_entry__ as entrypoint
+
+    sf_dir = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand").collect()
+    lists = ({}, {})  # even keys are members, odd ones the registry; the first key of a name counts
+    for key, name, brand in sorted(parts):
+        lists[key % 2].setdefault(f"{name} {brand}".lower(), f"{'PR'[key % 2]}{key}")
+
+    def expected(key, name, manual=()):
+        shown = f"Unlisted {name}" if key % 12 == 9 else name[:4] + name[3:] if key % 12 == 3 else name
+        if shown in manual:
+            return manual[shown]
+        word = " ".join(shown.lower().split())
+        for label, names in zip(("member", "registry"), lists, strict=True):
+            if word in names:
+                return names[word], f"{label}_exact"
+        for label, names in zip(("member", "registry"), lists, strict=True):
+            found = brute_force_match([word], list(names), K.FUZZY_CUTOFF).get(word)
+            if found:
+                return names[found], f"{label}_fuzzy:{found}"
+        return None, "unmatched"
+
+    listed = {"Unlisted small ring Brand#2": (None, "private:private"), "Unlisted red bolt Brand#1": ("P2", "manual")}
+    full = entrypoint.queries()["entity_resolution_full"](spark, sf_dir).collect()
+    covered = [r for r in full if r["in_coverage"]]
+    assert len(covered) == len(parts)
+    assert {r["company_id"]: (r["ticker"], r["match_method"]) for r in covered} == {str(k): expected(k, f"{n} {b}", listed) for k, n, b in parts}
+    taken = {r["ticker"] for r in covered}
+    assert sorted(r["ticker"] for r in full if not r["in_coverage"]) == sorted(f"P{k}" for k, _, _ in parts if k % 2 == 0 and f"P{k}" not in taken)
+
+    methods = [(expected(k, f"{n} {b}")) for k, n, b in parts]
+    counts = {r["match_method"]: r["entities"] for r in entrypoint.queries()["universe_match_counts"](spark, sf_dir).collect()}
+    assert counts == {m: sum(x[1].split(":")[0] == m for x in methods) for m in {x[1].split(":")[0] for x in methods}}
+
+
 def test_duplicate_flags(spark):
     u = spark.createDataFrame(
         [(None, "Z", "T1", "1", False), ("a", "A", "T2", "1", True), ("b", "B", "T3", "1", True), ("c", "C", "T3", None, True), (None, "D", None, None, True)],
