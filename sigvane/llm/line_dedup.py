@@ -11,7 +11,8 @@ code points are never dropped.  Of the others, all lines in documents other than
 holding it) go.
 
 Defined results: a null or empty text is one empty line; rows with one id are one document (equal rows keep equal
-lines); a null id counts as the largest; an empty table gives an empty result.  Other columns pass through.
+lines); each row without an id is a document of its own, after all ids and in the order in which these rows are
+written aside; an empty table gives an empty result.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import runtime
-from sigvane.llm.common import free_name, text_of
+from sigvane.llm.common import free_name, text_of, written
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_CHARS = 10
 NO_ID = (1 << 63) - 1
-KEYS = "h1 long, h2 long, owner long"
+KEYS = "h1 long, h2 long, owner long, place long"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -43,19 +44,21 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 def _keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, owners = [], []
-        for owner, text in zip(batch.column("owner").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        digests, owners, places = [], [], []
+        for owner, place, text in zip(*[batch.column(c).to_pylist() for c in ("owner", "place", "text")], strict=True):
             found = {line_key(line, min_chars) for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
             found.discard(None)
             digests.extend(found)
             owners.extend([owner] * len(found))
+            places.extend([place] * len(found))
         pairs = pa.py_buffer(b"".join(digests))
         both = pa.Array.from_buffers(pa.int64(), 2 * len(digests), [None, pairs]).to_numpy().reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(owners, pa.int64())], names=["h1", "h2", "owner"])
+        columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(owners, pa.int64()), pa.array(places, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "owner", "place"])
 
 
 class LineRuns:
-    """The runs, newest level first.  Each holds (h1, h2, owner), bucketed and sorted by (h1, h2), keys unique over all runs."""
+    """The runs, newest level first.  Each holds (h1, h2, owner, place), bucketed and sorted by (h1, h2), keys unique over all runs."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark = spark
@@ -92,7 +95,7 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE {name}")  # the files stay until the checkpoint folder is cleared
 
     def close(self) -> DataFrame:
-        """All (h1, h2, owner), read by path; the table names are given back."""
+        """All (h1, h2, owner, place), read by path; the table names are given back."""
         runs = [run for level in self.levels for run in level]
         self._forget(runs)
         if not runs:
@@ -106,11 +109,19 @@ def _limits(ids: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def owned_keys(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, owner) for every line key of the documents, by way of the runs."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("owner"), text_of().alias("text"))
+def _placed(docs: DataFrame, owner: str, place: str) -> DataFrame:
+    """``docs`` with the id as ``owner`` and ``place`` -1; a row without an id has the largest owner and a place of its own."""
+    number = F.col("doc_id").cast("long")
+    known = docs.where(number.isNotNull()).withColumns({owner: number, place: F.lit(-1).cast("long")})
+    # Written, so that every reading finds the same places.
+    alone = written(docs.where(number.isNull()).withColumn(place, F.monotonically_increasing_id()), "rows_without_id")
+    return known.union(alone.withColumn(owner, F.lit(NO_ID)).select(known.columns))
+
+
+def owned_keys(rows: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, owner, place) for every line key of the (owner, place, text), by way of the runs."""
     limits = _limits(rows.select("owner"), batches) if batches > 1 else []
-    runs = LineRuns(docs.sparkSession, fanout)
+    runs = LineRuns(rows.sparkSession, fanout)
     for low, high in zip([None, *limits], [*limits, None], strict=True):
         batch = rows
         if low is not None:
@@ -118,14 +129,17 @@ def owned_keys(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: in
         if high is not None:
             batch = batch.where(F.col("owner") <= high)
         keys = batch.mapInArrow(lambda parts: _keys(parts, min_chars), KEYS)
-        runs.add(keys.groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
+        first = keys.groupBy("h1", "h2").agg(F.min(F.struct("owner", "place")).alias("first"))
+        runs.add(first.select("h1", "h2", "first.owner", "first.place"))
     return runs.close()
 
 
 def drop_repeated_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with a struct column ``line_dedup`` of (text, n_lines, n_dropped): what is left and the counts."""
-    name, key, keys = (free_name(docs, c) for c in ("line_dedup", "line_owner", "line_keys"))
-    owned = owned_keys(docs, batches, fanout, min_chars).groupBy(F.col("owner").alias(key)).agg(F.collect_list("h1").alias(keys))
+    name, key, place, keys = (free_name(docs, c) for c in ("line_dedup", "line_owner", "line_place", "line_keys"))
+    rows = _placed(docs, key, place)
+    owned = owned_keys(rows.select(F.col(key).alias("owner"), F.col(place).alias("place"), text_of().alias("text")), batches, fanout, min_chars)
+    owned = owned.groupBy(F.col("owner").alias(key), F.col("place").alias(place)).agg(F.collect_list("h1").alias(keys))
 
     @F.arrow_udf("text string, n_lines long, n_dropped long")
     def kept(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -143,8 +157,7 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_
             yield pa.array(rows, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
 
     return (
-        docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-        .join(owned, key, "left")
+        rows.join(owned, [key, place], "left")
         .withColumn(name, kept(text_of(), F.col(keys)))
-        .drop(key, keys)
+        .drop(key, place, keys)
     )

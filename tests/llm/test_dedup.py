@@ -56,6 +56,18 @@ def test_lines_stay_in_their_smallest_document(spark, batches, fanout):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    shared = "a line that every row without an id holds"
+    rows = [(1, "held by the document with an id"), *[(None, f"{shared}\nheld by the document with an id\nonly in row {i:04d}") for i in range(40)], (None, shared), (None, shared)]
+    docs = frame(spark, rows)
+    out = line_dedup.drop_repeated_lines(docs).collect()
+    assert Counter(line for r in out for line in r["line_dedup_"]["text"].split("\n") if line) == Counter({line for _, t in rows for line in t.split("\n")})
+    assert len(out) == len(rows) and sum(r["line_dedup_"]["n_dropped"] for r in out) == 41 + 40
+    placed = line_dedup._placed(docs, "owner", "place")
+    held = line_dedup.owned_keys(placed.select("owner", "place", "text")).groupBy("owner", "place").count().agg(F.max("count")).first()[0]
+    assert held <= 3
+
+
 def test_no_lines_of_no_documents(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
 
