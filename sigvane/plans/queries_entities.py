@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigvane import constants as K
 from sigvane.operators import backtest, cross_section, facts, hiring, identity, pit, profile, universe
 from sigvane.operators.ic import unpivot_pairs
+from sigvane.operators.ordering import prefix_sums
 from sigvane.plans import bindings as B
 from sigvane.plans import sql_text as S
 from sigvane.plans.queries_panel import dates, rounded, rounded_sql
@@ -717,10 +718,10 @@ def latest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def identifier_history_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of a nation hold its code one after the other for 200 days each; orders find the holder of their day."""
-    place = F.expr("CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT)")
     start = F.lit("1995-01-01").cast("date")
-    history = B.table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("identifier"), F.col("s_suppkey").cast("string").alias("company_id"), place.alias("k")
+    suppliers = prefix_sums(B.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], ["s_suppkey"])
+    history = suppliers.select(
+        F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("identifier"), F.col("s_suppkey").cast("string").alias("company_id"), (F.col("before") + 1).cast("int").alias("k")
     )
     history = history.select("identifier", "company_id", F.date_add(start, (F.col("k") - 1) * 200).alias("valid_from"), F.date_add(start, F.col("k") * 200).alias("valid_to"))
     orders = B.table(spark, sf_dir, "orders").join(B.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

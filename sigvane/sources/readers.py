@@ -116,11 +116,34 @@ def new_rows(incoming: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return incoming.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def valid_identifiers(facts: DataFrame, history: DataFrame, date: str, identifier: str = "identifier") -> DataFrame:
-    """Facts with the company that held their identifier on the date (validity is [from, to), open when null)."""
-    held = history.select(F.col("identifier").alias("_i"), F.col("company_id").alias("held_by"), "valid_from", "valid_to")
-    day = F.col(date)
-    inside = (F.coalesce("valid_from", F.lit("0001-01-01").cast("date")) <= day) & (day < F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
-    return facts.join(held, (F.col(identifier) == F.col("_i")) & inside, "left").drop("_i", "valid_from", "valid_to")
+_LEVELS = 6  # cells of 1, 16, ... 16^5 days
+
+
+def _cells(history: DataFrame) -> DataFrame:
+    """(_i, held_by, _level, _cell): every validity span as the few aligned cells that make it up."""
+    first, last = "coalesce(valid_from, DATE '0001-01-01')", "coalesce(valid_to, DATE '9999-12-31')"
+    spans = history.selectExpr("identifier AS _i", "company_id AS held_by", f"unix_date({first}) AS a", f"unix_date({last}) AS b", f"explode(sequence(0, {_LEVELS - 1})) AS _level")
+    wide = spans.selectExpr(
+        "*", "ceil(a / pow(16D, _level)) AS lo", "floor(b / pow(16D, _level)) AS hi",
+        "16 * ceil(a / pow(16D, _level + 1)) AS up", "16 * floor(b / pow(16D, _level + 1)) AS down",
+    )
+
+    def between(low: str, high: str) -> str:
+        return f"if({low} < {high}, sequence({low}, {high} - 1), CAST(array() AS array<bigint>))"
 
+    # What the next wider cells hold is left to them.
+    cells = f"if(_level < {_LEVELS - 1} AND up < down, concat({between('lo', 'up')}, {between('down', 'hi')}), {between('lo', 'hi')})"
+    return wide.selectExpr("_i", "held_by", "_level", f"explode({cells}) AS _cell")
 
+
+def valid_identifiers(facts: DataFrame, history: DataFrame, date: str, identifier: str = "identifier") -> DataFrame:
+    """Facts with the company that held their identifier on the date (validity is [from, to), open when null).
+
+    A day lies in one cell of every width and a span is cut into cells without overlap, so the join is by equal keys
+    and makes no pair that is not in the result.
+    """
+    days = facts.select(F.col(identifier).alias("_i"), F.col(date).cast("date").alias("_d")).where("_i IS NOT NULL AND _d IS NOT NULL").distinct()
+    probes = days.selectExpr("_i", "_d", f"explode(sequence(0, {_LEVELS - 1})) AS _level")
+    probes = probes.selectExpr("_i", "_d", "_level", "floor(unix_date(_d) / pow(16D, _level)) AS _cell")
+    held = probes.join(_cells(history), ["_i", "_level", "_cell"]).select("_i", "_d", "held_by")
+    return facts.join(held, (F.col(identifier) == F.col("_i")) & (F.col(date).cast("date") == F.col("_d")), "left").drop("_i", "_d")

@@ -291,6 +291,24 @@ def test_resolution_queries_cover_every_part(spark):
     assert counts == {m: sum(x[1].split(":")[0] == m for x in methods) for m in {x[1].split(":")[0] for x in methods}}
 
 
+def test_identifier_spans_join_by_cells(spark):
+    days = [date(1, 1, 1), date(1969, 12, 31), date(1995, 1, 1), date(1995, 7, 20), date(2001, 8, 1), date(2400, 2, 29), date(9999, 12, 30), date(9999, 12, 31), None]
+    ends = [date(1969, 12, 31), date(1995, 1, 1), date(1995, 1, 2), date(1996, 3, 4), date(2020, 1, 1), date(9999, 12, 31), None]
+    history = [(i, f"{i}{a}{b}", a, b) for i in "AB" for a in ends for b in ends] + [("D", "d", None, None), (None, "n", None, None)]
+    facts = [(n, i, d) for n, (i, d) in enumerate((i, d) for i in ("A", "B", "C", "D", None) for d in days)]
+    facts += [(100 + n, "A", date.fromordinal(date(1994, 12, 1).toordinal() + n)) for n in range(500)]
+    expected = []
+    for n, i, d in facts:
+        holders = [c for j, c, a, b in history if i is not None and i == j and d is not None and (a or date(1, 1, 1)) <= d < (b or date(9999, 12, 31))]
+        expected += [(n, c) for c in holders or [None]]
+    spans = spark.createDataFrame(history, "identifier string, company_id string, valid_from date, valid_to date")
+    got = readers.valid_identifiers(spark.createDataFrame(facts, "n long, identifier string, day date"), spans, "day")
+    assert got.columns == ["n", "identifier", "day", "held_by"]
+    assert sorted(((r["n"], r["held_by"]) for r in got.collect()), key=str) == sorted(expected, key=str)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("<" in line for line in joins)  # no range test on pairs of one identifier
+
+
 def test_duplicate_flags(spark):
     u = spark.createDataFrame(
         [(None, "Z", "T1", "1", False), ("a", "A", "T2", "1", True), ("b", "B", "T3", "1", True), ("c", "C", "T3", None, True), (None, "D", None, None, True)],
