@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # no stage but the second can be said in SQL; the tests hold each against a brute-force version
+ORACLE_SQL = None  # no stage but the second can be said in SQL; the tests hold line dedup and near dedup in a row against brute force; no plain version of the whole chain exists
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date)
 
 @query(
     "score_pages_flattened",
-    "A8 B33 E8 H4 D9",
+    "B33 E8 H4 D9",
     f"""WITH {_PAGES}
     SELECT company_id, year(d) * 4 + quarter(d) AS page_version, n_pages, CAST(a + 0.5 AS DOUBLE) AS maturity_index, CAST(a AS DOUBLE) AS adoption_score, CAST(f AS DOUBLE) AS proficiency_score,
            CASE WHEN a >= 4 THEN 'high' ELSE 'low' END AS adoption_label, a AS adoption_n_evidence, 1 AS impact_n_missing_evidence,

@@ -116,7 +116,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "normalize_postings",
-    "A4 B4 B10 B21 B30 B31 H2 J1 B1 B7",
+    "B4 B10 B21 B30 B31 H2 J1 B1 B7",
     f"""WITH {POSTINGS_SQL} SELECT job_posting_id, ticker, title, department, CAST(length(description) AS BIGINT) AS description_length, raw_hash,
         CAST(collected_at AS VARCHAR) AS collected_at, is_active, is_ai_keyword_matched, is_likely_duplicate FROM postings""",
 )
@@ -203,7 +203,7 @@ def financial_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "normalize_scores",
-    "A1 B9 B12 B16 B18 E1",
+    "B9 B12 B16 B18 E1",
     f"""WITH {B.ENTITY_QUARTERS_SQL}, {B.SCORES_SQL}, t AS (SELECT *, CAST(company_id AS INTEGER) % 25 AS k FROM scores)
     SELECT 'S' || company_id AS ticker, CAST(snapshot_date AS VARCHAR) AS snapshot_date, score_quarter,
            CASE WHEN k NOT IN (7, 8, 9) THEN ai_adoption_score END AS ai_adoption_score, ai_hiring_score, 1 AS available_at_assumption,

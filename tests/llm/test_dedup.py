@@ -120,6 +120,21 @@ def test_one_document_of_each_class_stays(spark):
     assert Counter(ids) == Counter([*set(brute_classes(rows).values()), None])
 
 
+def test_pipeline_dedup_stages_equal_a_plain_chain(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(i, f"{t}\nthe same last line in all") for i, t in near_rows() if i is not None] + [r for r in LINES if r[0] == 9]
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = dict(corpus_pipeline.STAGES[1:3])
+    for stage in out.values():
+        docs = stage(spark, docs, sf_dir)
+    left = {i: t for i, t, _, _ in kept_lines(rows)}
+    stay = set(brute_classes(list(left.items())).values())
+    assert sorted(docs.collect()) == sorted((i, t, len(t)) for i, t in left.items() if i in stay)
+    assert len(stay) < len(rows)
+
+
 def test_probability_jaccard_is_its_definition():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -40,3 +40,9 @@ def test_every_query_names_what_it_covers():
 
     assert all(q.covers for q in QUERIES.values())
     assert set(entrypoint.oracle_sql()) <= set(entrypoint.queries())
+
+
+def test_no_query_claims_a_file_source_that_it_does_not_read():
+    from sigvane.plans.catalog import QUERIES
+
+    assert not {"A1", "A4", "A8"} & {c for q in QUERIES.values() for c in q.covers}
