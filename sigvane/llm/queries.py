@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL: op1 to op10 and the pipeline."""
+"""The registered queries of this subpackage and their SQL: op1 to op13 and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigvane.llm import chat, fingerprints, lattice_lm, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules
+from sigvane.llm import (
+    chat, divergence, filter_audit, fingerprints, lattice_lm, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, substring_dedup,
+)
 from sigvane.llm.common import id_remainder, table, text_of
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -109,12 +111,123 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2(F.col("substring_dedup.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SUBSTRING_DEDUP_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents
+), windows AS (
+    SELECT doc_id, s, ws[s:s + {substring_dedup.WINDOW - 1}] AS win
+    FROM (SELECT doc_id, ws, UNNEST(range(1, len(ws) - {substring_dedup.WINDOW - 2})) AS s FROM words WHERE len(ws) >= {substring_dedup.WINDOW})
+), later AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT DISTINCT doc_id, UNNEST(range(s, s + {substring_dedup.WINDOW})) AS pos FROM later
+), listed AS (
+    SELECT doc_id, UNNEST(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words
+), judged AS (
+    SELECT listed.*, covered.pos IS NOT NULL AS gone FROM listed LEFT JOIN covered USING (doc_id, pos)
+), sums AS (
+    SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN sums USING (doc_id)
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SOURCE_DIVERGENCE_SQL = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+), words AS (
+    SELECT r, lang, source, UNNEST(ts) AS term FROM docs
+), often AS (
+    SELECT lang, term, count(*) AS m FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCUMENTS}
+), totals AS (
+    SELECT lang, count(*) AS v, sum(m) AS n FROM often GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS c FROM words JOIN often USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+    SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+), grid AS (
+    SELECT sizes.lang, sizes.source, often.term, coalesce(c, 0) AS c,
+        1 + ({divergence.SCALE}::HUGEINT * (coalesce(c, 0) + {divergence.PRIOR}))::HUGEINT // (sizes.n + {divergence.PRIOR} * v)::HUGEINT AS p,
+        1 + ({divergence.SCALE}::HUGEINT * (m + {divergence.PRIOR}))::HUGEINT // (totals.n + {divergence.PRIOR} * v)::HUGEINT AS q
+    FROM sizes JOIN often USING (lang) JOIN totals USING (lang) LEFT JOIN counts ON counts.lang = sizes.lang AND counts.source = sizes.source AND counts.term = often.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM grid WHERE c > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, CAST(place AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR place <= {divergence.TOP_TERMS}
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+FILTER_AUDIT_SQL = r"""
+WITH letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), said AS (
+    SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents
+), failures AS (
+    SELECT part, doc_id, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask
+    FROM texts
+), masks AS (
+    SELECT part, mask, count(*) AS n, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM failures LEFT JOIN said USING (doc_id) GROUP BY part, mask
+), met AS (
+    SELECT part, filter_order, step, n, good, toxic, mask,
+        contains(mask, filter_order[step]) AS fails, regexp_matches(mask, '[' || filter_order[1:step - 1] || '-]') AS gone
+    FROM masks, orders, range(1, 6) steps(step)
+), cells AS (
+    SELECT part, filter_order, step, filter_order[step] AS letter, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+    FROM met GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM cells
+"""
+
+
 QUERIES: dict[str, QueryFunction] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_fingerprints, op3_line_dedup, op4_near_dedup, op5_pseudonyms,
         op6_perspectives, op7_packing, op8_pieces, op9_quality_rules, op10_lattice_lm,
+        op11_substring_dedup, op12_source_divergence, op13_filter_audit,
     )
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op6_perspectives": PERSPECTIVES_SQL}
+SQL: dict[str, str] = {
+    "op3_line_dedup": LINE_DEDUP_SQL, "op6_perspectives": PERSPECTIVES_SQL, "op11_substring_dedup": SUBSTRING_DEDUP_SQL,
+    "op12_source_divergence": SOURCE_DIVERGENCE_SQL, "op13_filter_audit": FILTER_AUDIT_SQL,
+}
