@@ -32,13 +32,25 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+FORGET = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, forget: bool = False) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read back.
 
-    Cuts the lineage, keeps the columns prunable, and survives the executors that wrote it.
+    Cuts the lineage, keeps the columns prunable, and survives the executors that wrote it.  ``forget`` lets Spark
+    delete the shuffle files of the write when it has ended, instead of when the driver collects its garbage.
     """
     path = runtime.scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FORGET, None)
+    if forget:
+        conf.set(FORGET, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if forget:
+            conf.set(FORGET, before) if before is not None else conf.unset(FORGET)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,13 @@ through the index.  Backward search extends a window from its last word to its f
 is left, no window across what was read is found twice, and the search goes on behind it; where WINDOW words have
 been read, the matching statistic reaches the threshold, and the first row of the interval tells the earliest place.
 
-Words are the runs of characters other than ASCII white space, unchanged.  The 65 534 most frequent words travel as 16 bits, the others as 60 bits
-of a hash, so the result is exact but for words that agree in all 60.
+Words are the runs of characters other than ASCII white space, unchanged.  The 32 768 most frequent words travel as 16
+bits, the others as 44 bits of a hash; two windows are taken for equal when they differ only in words that agree in all
+44, which a pair of different rare words does once in 2e13.
+
+A window of nothing but frequent anchors is a segment of its own, dealt by all its words, so no frequent phrase makes a
+large shard.  An anchor counts as frequent from a 16 384th of all anchors; for corpora where that is more than a task
+can hold, ``anchor`` takes more words.
 
 Defined results: a null or empty text has no words; kept words are joined by one space; documents are ordered by id, those
 with one id or none by a hash of their text, rows without id last; rows with one id and one text are one document and
@@ -22,73 +27,148 @@ get one result; an empty table gives an empty result.  Ids must be integers.  Ot
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigvane.llm.common import WordHashes, free_name, rolled, text_of, written
+from sigvane.llm.common import free_name, rolled, text_of, written
 
 WINDOW, ANCHOR = 20, 4
-FREQUENT = 65_534  # words of 16 bits; two codes are left
-SEPARATOR, RARE = 0xFFFE, 0xFFFF
+FREQUENT = 1 << 15  # words of one unit of 16 bits
+RARE, SEPARATOR = 1 << 15, 0xFFFF  # the other words have 14 bits in a unit from RARE on and 15 bits in each of the next two
 BUCKET_BITS, HOT_SHARE = 18, 2.0**-14  # anchors are counted in so many buckets; a larger share of all is frequent
-CHUNK, SHARD, LANE = 8 << 20, 1 << 20, 12  # bytes of text cut at once, words of a shard, windows searched in turn
+CHUNK, STRETCH = 8 << 20, 1 << 20  # bytes of text cut at once, and hashed at once
+SHARD, LANE = 1 << 20, 12  # words of a shard, windows searched in turn
+SLOT_BITS = 20
 NO_ID = (1 << 63) - 1
 
 SEGMENTS = "shard int, owner long, tie int, start int, stop int, words binary"
 HITS = "owner long, tie int, start int, stop int"
 
 
-def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTERS = np.random.default_rng(WINDOW).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+RATIO = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of RATIO and of its inverse modulo 2**64."""
+    return _powers(RATIO, n), _powers(pow(RATIO, -1, 1 << 64), n)
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the words and a 64-bit hash of each, from differences of one running sum over the bytes.
+
+    A long text is taken in stretches that end between words.
+    """
+    letters = np.frombuffer(raw, np.uint8)
+    full = ~SPACES[letters]
+    edges = np.flatnonzero(np.diff(full, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.empty(len(starts), np.uint64)
+    word = 0
+    while word < len(starts):
+        first = starts[word]
+        behind = max(int(np.searchsorted(ends, first + STRETCH, "right")), word + 1)
+        size = int(ends[behind - 1] - first)
+        up, down = powers(STRETCH) if size <= STRETCH else (_powers(RATIO, size), _powers(pow(RATIO, -1, 1 << 64), size))
+        sums = np.append(np.uint64(0), np.cumsum(LETTERS[letters[first : first + size]] * up[:size]))
+        from_, to = starts[word:behind] - first, ends[word:behind] - first
+        hashes[word:behind] = (sums[to] - sums[from_]) * down[from_]
+        word = behind
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(29)
+    return starts, hashes
+
+
+def _counted(hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once with its sum; those of most sum where they are many."""
+    order = np.argsort(hashes)
+    hashes, times = hashes[order], times[order]
+    new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    hashes, times = hashes[new], np.add.reduceat(times, new) if len(new) else times
+    if len(hashes) > 4 * FREQUENT:
+        most = np.argpartition(-times, 2 * FREQUENT)[: 2 * FREQUENT]
+        hashes, times = hashes[most], times[most]
+    return hashes, times
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch], anchor: int = ANCHOR) -> Iterator[pa.RecordBatch]:
     """A task's most frequent words and its anchors by bucket, at most FREQUENT + 2**BUCKET_BITS rows."""
-    hashes, words, anchors = WordHashes(), Counter(), np.zeros(1 << BUCKET_BITS, np.int64)
+    words, times, anchors = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
-        for raw in batch.column("text").cast(pa.binary()).to_pylist():
-            found = raw.split()
-            words.update(found)
-            here = rolled(hashes.of(found), ANCHOR) >> np.uint64(64 - BUCKET_BITS)
-            np.add.at(anchors, here, 1)
-        if len(words) > 8 * FREQUENT:
-            words = Counter(dict(words.most_common(2 * FREQUENT)))
-    top, seen = words.most_common(FREQUENT), np.flatnonzero(anchors)
+        for part in _chunks([raw] for raw in batch.column("text").cast(pa.binary()).to_pylist()):
+            _, found = words_of(b"\n".join(raw for raw, in part))
+            anchors += np.bincount(rolled(found, anchor) >> np.uint64(64 - BUCKET_BITS), minlength=len(anchors))
+            words, times = _counted(np.append(words, found), np.append(times, np.ones(len(found), np.int64)))
+    most = np.argsort(-times)[:FREQUENT]
+    seen = np.flatnonzero(anchors)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array([w for w, _ in top] + [None] * len(seen), pa.binary()), pa.array([None] * len(top) + seen.tolist(), pa.int32()),
-            pa.array([n for _, n in top] + anchors[seen].tolist(), pa.int64()),
+            pa.array([False] * len(most) + [True] * len(seen)), pa.array(np.append(words[most].view(np.int64), seen)), pa.array(np.append(times[most], anchors[seen])),
         ],
-        names=["word", "bucket", "n"],
+        names=["anchor", "key", "n"],
     )
 
 
-def survey(texts: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
-    """The most frequent words, a mark for each bucket of frequent anchors, and the number of anchors.
+def _chunks(rows: Iterable[Sequence]) -> Iterator[list]:
+    """Rows, the text last in each, in runs of about CHUNK bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def survey(texts: DataFrame, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the most frequent words, a mark for each bucket of frequent anchors, and the number of anchors.
 
     Words and marks only make segments short and shards even; any other choice gives the same result.
     """
-    counted = texts.mapInArrow(_surveyed, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lambda batches: _surveyed(batches, anchor), "anchor boolean, key long, n long").groupBy("anchor", "key").agg(F.sum("n").alias("n"))
     counted = written(counted, "survey")
-    words = counted.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
-    buckets = counted.where(F.col("bucket").isNotNull()).select("bucket", "n").toArrow()  # at most 2**BUCKET_BITS rows
+    words = counted.where("NOT anchor").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()
+    buckets = counted.where("anchor").select("key", "n").toArrow()  # at most 2**BUCKET_BITS rows
     anchors = np.zeros(1 << BUCKET_BITS, np.int64)
-    anchors[buckets["bucket"].to_numpy()] = buckets["n"].to_numpy()
+    anchors[buckets["key"].to_numpy()] = buckets["n"].to_numpy()
     total = int(anchors.sum())
-    return words["word"].to_pylist(), anchors > HOT_SHARE * total, total
+    return words["key"].to_numpy().view(np.uint64), anchors > HOT_SHARE * total, total
 
 
-class Codes(dict):
-    """Words as bytes: 16 bits for the frequent ones, RARE and four times 15 bits of a hash for the others."""
+class Codes:
+    """Words as 16-bit units: one for a frequent word, three with bits of the hash for the others."""
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__((w, i.to_bytes(2, "little")) for i, w in enumerate(frequent))
+    def __init__(self, frequent: np.ndarray):
+        self.hashes = np.append(frequent, np.uint64(0))
+        self.slots = np.full(1 << SLOT_BITS, len(frequent), np.int32)  # of words that share a slot the last one has it
+        self.slots[(frequent >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = np.arange(len(frequent))
 
-    def __missing__(self, word: bytes) -> bytes:
-        value = xxhash.xxh3_64_intdigest(word)
-        return np.array([RARE, *[value >> s & 0x7FFF for s in (45, 30, 15, 0)]], "<u2").tobytes()
+    def units(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all words, and where those of each begin and the last ones end."""
+        code = self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        rare = (self.hashes[code] != hashes) | (code == len(self.hashes) - 1)
+        at = np.append(0, np.cumsum(np.where(rare, 3, 1)))
+        units = np.empty(at[-1], "<u2")
+        units[at[:-1]] = code
+        first, value = at[:-1][rare], hashes[rare]
+        units[first] = RARE + (value >> np.uint64(30) & np.uint64(0x3FFF)).astype(np.int64)
+        units[first + 1] = value >> np.uint64(15) & np.uint64(0x7FFF)
+        units[first + 2] = value & np.uint64(0x7FFF)
+        return units, at
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,29 +189,29 @@ def _merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
     return owner[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def cut(rows: list[tuple[int, int, bytes]], codes: Codes, hashes: WordHashes, hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+def cut(rows: list[tuple[int, int, bytes]], codes: Codes, hot: np.ndarray, shards: int, anchor: int = ANCHOR) -> Iterator[pa.RecordBatch]:
     """Segments of some documents (owner, tie, text): each distinct one with its first place, and the intervals of the later ones."""
     rows = sorted(set(rows))
-    words = [raw.split() for _, _, raw in rows]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = [w for some in words for w in some]
-    if len(flat) < WINDOW:
+    starts, hashes = words_of(b"\n".join(raw for _, _, raw in rows))
+    if len(hashes) < WINDOW:
         return
+    ends = np.cumsum([len(raw) + 1 for _, _, raw in rows])
+    document = np.searchsorted(ends, starts, "right")
+    sizes = np.bincount(document, minlength=len(rows))
     first_word = np.cumsum(sizes) - sizes
-    document = np.repeat(np.arange(len(rows)), sizes)
-    anchors = rolled(hashes.of(flat), ANCHOR)
+    anchors = rolled(hashes, anchor)
     order = anchors >> np.uint64(1) | hot[(anchors >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
-    least = sliding_least(order, WINDOW - ANCHOR + 1)
+    least = sliding_least(order, WINDOW - anchor + 1)
+    least = np.where(least >> np.uint64(63) > 0, rolled(hashes, WINDOW), least)
     inside = document[: len(least)] == document[WINDOW - 1 :]
     begins = inside & np.append(True, (least[1:] != least[:-1]) | ~inside[:-1] | (document[1 : len(least)] != document[: len(least) - 1]))
     begins = np.flatnonzero(begins)
     if not len(begins):
         return
     # A segment ends with the last window before the next segment or the end of the document.
-    behind = np.minimum(np.append(begins[1:], len(flat)), (first_word + sizes)[document[begins]] - WINDOW + 1) + WINDOW - 1
-    pieces = list(map(codes.__getitem__, flat))
-    at = np.append(0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
-    buffer = b"".join(pieces)
+    behind = np.minimum(np.append(begins[1:], len(hashes)), (first_word + sizes)[document[begins]] - WINDOW + 1) + WINDOW - 1
+    units, at = codes.units(hashes)
+    buffer, at = units.tobytes(), 2 * at
     seen: set[bytes] = set()
     sent, data, again = [], [], []
     for k, (a, b) in enumerate(zip(at[begins].tolist(), at[behind].tolist(), strict=True)):
@@ -164,8 +244,10 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, width: int):
         self.text = text
-        self.rows = self._sorted(text, width).astype(np.int32)
-        last = text[self.rows - 1]  # before the first place stands the last one, a separator
+        rows, groups = self._sorted(text, width)
+        last = text[rows - 1].astype(np.uint32)  # before the first place stands the last one, a separator
+        self.first = rows.astype(np.int32)  # at the start of a group of equal windows: its earliest place
+        self.first[groups] = np.minimum.reduceat(self.first, groups)
         self.levels = max(int(text.max(initial=1)).bit_length(), 1)
         self.starts = np.append(0, np.cumsum(np.bincount(text, minlength=1 << self.levels)))
         self.words, self.samples, self.zeros = [], [], []
@@ -181,23 +263,25 @@ class FMIndex:
         self.offsets = self.starts[:-1] - self._down(np.zeros(len(symbols), np.int64), symbols)
 
     @staticmethod
-    def _sorted(text: np.ndarray, width: int) -> np.ndarray:
-        """Places by their first ``width`` symbols, equal ones by place; several ranks are compared in one key."""
-        ranks, have, order = text.astype(np.int64), 1, np.argsort(text, kind="stable")
+    def _sorted(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places by their first ``width`` symbols, and where each group of equal ones begins; several ranks are compared in one key."""
+        ranks, have = text.astype(np.int64), 0
         while have < width:
             bits = max(int(ranks.max()).bit_length(), 1)
-            parts = min(62 // bits, -(-width // have))
+            one = max(have, 1)
+            parts = min(62 // bits, -(-width // one))
             key = np.zeros(len(text), np.int64)
             for part in range(parts):
-                shift = min(part * have, width - have)
+                shift = min(part * one, width - one)
                 key <<= bits
                 key[: len(text) - shift] |= ranks[shift:]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
+            new = np.append(True, ordered[1:] != ordered[:-1])
             ranks = np.empty(len(text), np.int64)
-            ranks[order] = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
-            have = min(parts * have, width)
-        return order
+            ranks[order] = np.cumsum(new) - 1
+            have = min(parts * one, width)
+        return order, np.flatnonzero(new)
 
     def _down(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The places in the last level of the matrix, rank by rank."""
@@ -228,7 +312,7 @@ class FMIndex:
             alone = high - low == 1
             whole = ~alone & (length == width)
             if whole.any():
-                found.append((at[whole], self.rows[low[whole]]))
+                found.append((at[whole], self.first[low[whole]]))
             at = np.where(alone, place + 1, np.where(whole, at + 1, at))
             length[alone | whole] = 0
             on = at <= end
@@ -242,18 +326,20 @@ class FMIndex:
 def symbols(data: list[bytes]) -> np.ndarray:
     """Segments one behind the other as numbers from 1 on, a 0 behind each."""
     units = np.frombuffer(SEPARATOR.to_bytes(2, "little").join([*data, b""]), "<u2").astype(np.int64)
-    rare = np.flatnonzero(units == RARE)
-    units[units == SEPARATOR] = -1
+    rare = np.flatnonzero((units >= RARE) & (units < SEPARATOR))
+    value = (units[rare] << 15 | units[rare + 1]) << 15 | units[rare + 2]
+    units[rare] = RARE
+    stay = np.ones(len(units), bool)
+    stay[rare + 1] = stay[rare + 2] = False
+    units = units[stay]
+    here = np.zeros(SEPARATOR + 1, np.int64)
+    here[units] = 1
+    here[RARE:] = 0
+    rank = np.cumsum(here)
+    found = np.where(units == SEPARATOR, 0, rank[units])
     if len(rare):
-        value = np.zeros(len(rare), np.int64)
-        for k in range(1, 5):
-            value = value << 15 | units[rare + k]
-        units[rare] = value + (1 << 16)
-        gone = np.ones(len(units), bool)
-        for k in range(1, 5):
-            gone[rare + k] = False
-        units = units[gone]
-    return np.unique(units, return_inverse=True)[1]
+        found[units == RARE] = rank[-1] + 1 + np.unique(value, return_inverse=True)[1]
+    return found
 
 
 def _searched(rows: pa.Table) -> pa.Table:
@@ -287,35 +373,29 @@ def _searched(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate([f[k] for f in found]).astype(kind)) for k, kind in enumerate(kinds)], names=["owner", "tie", "start", "stop"])
 
 
-def earlier_intervals(rows: DataFrame) -> DataFrame:
+def earlier_intervals(rows: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """(owner, tie, start, stop) of words in windows that start earlier too, for rows of (owner, tie, text); intervals may overlap."""
-    frequent, hot, total = survey(rows.select("text"))
+    frequent, hot, total = survey(rows.select("text"), anchor)
     shards = 1 + 3 * total // SHARD
     shipped = rows.sparkSession.sparkContext.broadcast((frequent, hot))  # at most FREQUENT words and 2**BUCKET_BITS marks
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, marks, hashes = Codes(shipped.value[0]), shipped.value[1], WordHashes()
-        held, size = [], 0
-        for batch in batches:
-            for row in zip(batch.column("owner").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size > CHUNK:
-                    yield from cut(held, codes, hashes, marks, shards)
-                    held, size = [], 0
-        yield from cut(held, codes, hashes, marks, shards)
+        codes, marks = Codes(shipped.value[0]), shipped.value[1]
+        columns = ([*zip(b.column("owner").to_pylist(), b.column("tie").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)] for b in batches)
+        for part in _chunks(row for rows in columns for row in rows):
+            yield from cut(part, codes, marks, shards, anchor)
 
     return rows.mapInArrow(segments, SEGMENTS).groupBy("shard").applyInArrow(_searched, HITS)
 
 
-def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with a struct column ``substring_dedup`` of (text, n_words, n_removed): the kept words and the counts."""
     name, owner, tie, hits = (free_name(docs, c) for c in ("substring_dedup", "passage_owner", "passage_tie", "passage_hits"))
     rows = docs.withColumns(
         {owner: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tie: F.expr("CAST(pmod(xxhash64(coalesce(CAST(text AS STRING), '')), 2147483647) AS INT)")}
     )
-    found = earlier_intervals(rows.select(F.col(owner).alias("owner"), F.col(tie).alias("tie"), text_of().alias("text")))
-    found = written(found, "passages").groupBy(F.col("owner").alias(owner), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("start", "stop")).alias(hits))
+    found = earlier_intervals(rows.select(F.col(owner).alias("owner"), F.col(tie).alias("tie"), text_of().alias("text")), anchor)
+    found = written(found, "passages", forget=True).groupBy(F.col("owner").alias(owner), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("start", "stop")).alias(hits))
 
     @F.arrow_udf("text string, n_words long, n_removed long")
     def kept(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def some_documents():
 
 def passages_removed(spark, rows):
     """Word by word, with the order of documents that the docstring gives."""
-    key = {t or "": r["k"] for r in spark.createDataFrame([(t,) for t in {t for _, t, _, _ in rows}], "t string").selectExpr("t", "CAST(pmod(xxhash64(coalesce(t, '')), 2147483647) AS INT) AS k").collect() for t in [r["t"]]}
+    texts = spark.createDataFrame([(t,) for t in {t or "" for _, t, _, _ in rows}], "t string")
+    key = {r["t"]: r["k"] for r in texts.selectExpr("t", "CAST(pmod(xxhash64(t), 2147483647) AS INT) AS k").collect()}
     documents = {(substring_dedup.NO_ID if i is None else i, key[t or ""]): (t or "").encode().split() for i, t, _, _ in rows}
     seen, gone = set(), {d: set() for d in documents}
     for d in sorted(documents):
@@ -65,10 +67,10 @@ def test_passages_that_start_earlier_go(spark):
     assert {"owner", "passage_tie", "substring_dedup"} <= set(found.columns)
 
 
-@pytest.mark.parametrize(("chunk", "shard", "lane"), [(300, 500, 3), (1 << 20, 1 << 20, 12)])
-def test_passages_do_not_depend_on_chunks_shards_and_lanes(spark, monkeypatch, chunk, shard, lane):
-    """In one process: the functions that the tasks run, with small chunks and shards."""
-    rng = random.Random(chunk)
+@pytest.mark.parametrize(("stretch", "shard", "lane"), [(300, 500, 3), (1 << 20, 1 << 20, 12)])
+def test_passages_do_not_depend_on_stretches_shards_and_lanes(spark, monkeypatch, stretch, shard, lane):
+    """In one process: the functions that the tasks run, seven documents at a time."""
+    rng = random.Random(stretch)
     texts = []
     for i in range(60):
         words = [f"v{rng.randrange(4 if i % 3 else 500)}" for _ in range(rng.randrange(120))]
@@ -77,13 +79,11 @@ def test_passages_do_not_depend_on_chunks_shards_and_lanes(spark, monkeypatch, c
             words[rng.randrange(len(words) + 1) : 0] = other[rng.randrange(len(other) + 1) :]
         texts.append(" ".join(words))
     rows = [(i, t, "", "") for i, t in enumerate(texts)]
-    for name, value in (("CHUNK", chunk), ("SHARD", shard), ("LANE", lane)):
+    for name, value in (("SHARD", shard), ("LANE", lane), ("STRETCH", stretch)):
         monkeypatch.setattr(substring_dedup, name, value)
-    frequent = [w for w, _ in Counter(w for t in texts for w in t.encode().split()).most_common(100)]
-    codes, hashes, hot = substring_dedup.Codes(frequent), substring_dedup.WordHashes(), np.zeros(1 << substring_dedup.BUCKET_BITS, bool)
-    import pyarrow as pa
-
-    batches = [b for i in range(0, 60, 7) for b in substring_dedup.cut([(k, 0, t.encode()) for k, t in enumerate(texts)][i : i + 7], codes, hashes, hot, 1 + 60 * 60 // shard)]
+    _, hashes = substring_dedup.words_of(" ".join(texts).encode())
+    codes, hot = substring_dedup.Codes(np.unique(hashes)[:100]), np.zeros(1 << substring_dedup.BUCKET_BITS, bool)
+    batches = [b for i in range(0, 60, 7) for b in substring_dedup.cut([(k, 0, t.encode()) for k, t in enumerate(texts)][i : i + 7], codes, hot, 1 + 60 * 60 // shard)]
     table = pa.Table.from_batches(batches)
     gone = defaultdict(set)
     for s in set(table["shard"].to_pylist()):
@@ -117,13 +117,25 @@ def test_index_finds_what_is_there(letters):
 
 
 def test_rare_words_keep_their_places_among_frequent_ones():
-    codes = substring_dedup.Codes([b"a", b"b"])
-    pieces = [b"".join(codes[w] for w in line.split()) for line in (b"a rare b", b"rare", b"b other rare a")]
+    words = substring_dedup.words_of
+    codes = substring_dedup.Codes(words(b"a b")[1])
+    pieces = [codes.units(words(line)[1])[0].tobytes() for line in (b"a rare b", b"rare", b"b other rare a")]
     found = substring_dedup.symbols(pieces).tolist()
     assert [x == 0 for x in found] == [False, False, False, True, False, True, False, False, False, False, True]
     assert found[1] == found[4] == found[8] != found[7] and found[0] == found[9] and found[2] == found[6]
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 20])
+def test_equal_words_have_equal_hashes(monkeypatch, stretch):
+    monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+    raw = " ".join(["a", "ab", "b", "", "ba", "a", "x" * 50, "ab\tab\x0bé\x1f", "é\x1f", "x" * 50 + "y"] * 3).encode()
+    starts, hashes = substring_dedup.words_of(raw)
+    listed = raw.split()
+    assert [raw[s : s + len(w)] for s, w in zip(starts, listed, strict=True)] == listed
+    assert len({(w, int(h)) for w, h in zip(listed, hashes, strict=True)}) == len(set(listed)) == len(set(hashes.tolist()))
+    assert len(substring_dedup.words_of(b" \n")[0]) == len(substring_dedup.words_of(b"")[0]) == 0
+
+
 def divergences(rows, least, top):
     term = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
     lowered = [(lang or "", source or "", ["".join(c.lower() if c.isascii() else c for c in t) for t in term.findall(text or "")]) for _, text, lang, source in rows]
