@@ -7,15 +7,16 @@ A shingle whose next arrival is later than every register's first one is done (e
 agree in a register with probability J = sum over common d of 1 / sum over e of max(x_e / x_d, y_e / y_d), the
 probability Jaccard similarity; it is the plain one where all weights are equal.
 
-Texts with the same word sequence are one class before anything else; only the smallest id of each goes on.
-Signatures are cut into bands; in each bucket of a band every member is compared with the bucket's smallest id, and
+Texts with the same word sequence are one node before anything else, and only one of them goes on.
+Signatures are cut into bands; in each bucket of a band every node is compared with the bucket's first, and
 the links that the texts themselves confirm are closed to classes.  Buckets that then still hold several classes are
 finished exactly, so that no link of a bucket is lost: their members meet in blocks of ``BLOCK``, and a block gives
 back only links that join two classes, never its pairs.  Buckets inside one class, however large, cost nothing more.
 
 Defined results: a text of one to four words is one shingle; texts without words (null, empty, white space) are
-copies of one another and have no shingles; rows with one id are one document, in the class of each of its texts; rows
-without id get no row; an empty table gives none.  Other columns are not read.
+copies of one another and have no shingles; rows with one id are one document, which puts the classes of its texts together;
+each row without id is a document of its own, behind all ids, in the class of its text (``classes``: one row for equal
+texts, and no class_id where no member has an id); an empty table gives none.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigvane.llm.common import MULTIPLIER, WordHashes, encoded, free_name, rolled, text_of, written
@@ -103,9 +104,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
         for first in range(0, len(ids), 256):
-            ids_here, raws = ids[first : first + 256], list(encoded(texts[first : first + 256]))
+            ids_here, hashes_here, raws = ids[first : first + 256], hashes[first : first + 256], list(encoded(texts[first : first + 256]))
             sets = [shingles(raw, cache) for raw in raws]
             keys = [xxhash.xxh3_128_digest(b" ".join(raw.split())) for raw in raws]
             full = [i for i, found in enumerate(sets) if len(found[0])]
@@ -114,9 +115,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = _bands([sets[i] for i in part]) if part and width else np.zeros(0, np.int64)
                 ends = pa.array(np.arange(len(part) + 1) * width, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids_here[i] for i in part], batch.column("doc_id").type), pa.array([keys[i] for i in part], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands, pa.int64()))],
-                    names=["doc_id", "words_key", "bands"],
-                )
+                    [
+                        pa.array([ids_here[i] for i in part], batch.column("doc_id").type), pa.array([hashes_here[i] for i in part], pa.int64()),
+                        pa.array([keys[i] for i in part], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands, pa.int64())),
+                    ],
+                    names=["doc_id", "text_hash", "words_key", "bands"],
+                )
 
 
 def _bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -143,8 +147,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 out.append(probability_jaccard(shingles(left, cache), last_set))
             yield pa.array(out, pa.float64())
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
     both = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
     return both.select("a", "b", similar("b", "a_text", "b_text").alias("similarity")).where(F.col("similarity") >= similarity).select("a", "b")
 
@@ -224,24 +228,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class) and copy_of (the smallest id with the same words), one row per id."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("text"))
+def _some_id(docs: DataFrame) -> Column:
+    """The id, any value where it is null: ``_text_hash`` tells the two apart."""
+    return F.coalesce(F.col("doc_id"), F.lit(0).cast(dict(docs.dtypes)["doc_id"]))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(text_of(), F.col("doc_id").isNull())
+
+
+def _classed(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, words_key), and nodes (words_key, first, class_first): the first (unnamed, doc_id, text_hash) of the node and of its class."""
     kind = dict(docs.dtypes)["doc_id"]
-    signed = written(rows.mapInArrow(_signed, f"doc_id {kind}, words_key binary, bands array<long>"), "signatures")
-    firsts = signed.groupBy("words_key").agg(F.min("doc_id").alias("copy_of"), F.min_by("bands", "doc_id").alias("bands"))
-    firsts = written(firsts, "firsts")
-    buckets = written(firsts.select(F.col("copy_of").alias("member"), F.posexplode("bands").alias("band", "bucket")).distinct(), "buckets")
+    rows = docs.select("doc_id", _text_hash().alias("text_hash"), text_of().alias("text"))
+    signed = written(rows.mapInArrow(_signed, f"doc_id {kind}, text_hash long, words_key binary, bands array<long>"), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    firsts = signed.groupBy("words_key").agg(F.min(place).alias("first"), F.any_value("bands").alias("bands"))
+    firsts = written(firsts.select(F.monotonically_increasing_id().alias("node"), "*"), "firsts")
+    buckets = written(firsts.select(F.col("node").alias("member"), F.posexplode("bands").alias("band", "bucket")).distinct(), "buckets")
     leaders = written(
         buckets.groupBy("band", "bucket").agg(F.min("member").alias("leader"), F.max("member").alias("last")).where(F.col("last") > F.col("leader")).drop("last"), "leaders"
     )
     shared = written(buckets.join(leaders.hint("merge"), ["band", "bucket"]), "shared")
-    texts = rows.join(shared.select(F.col("member").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    wanted = firsts.join(shared.select(F.col("member").alias("node")).distinct().hint("merge"), "node", "left_semi")
+    wanted = wanted.select("node", F.coalesce("first.doc_id", F.lit(0).cast(kind)).alias("some_id"), "first.text_hash")
+    texts = rows.select(_some_id(docs).alias("some_id"), "text_hash", "text").join(wanted.hint("merge"), ["some_id", "text_hash"])
+    texts = written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     pairs = shared.where(F.col("member") > F.col("leader")).select(F.col("member").alias("a"), F.col("leader").alias("b")).distinct()
-    same_id = signed.join(firsts.select("words_key", "copy_of"), "words_key").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
-    twice = same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b < c").select(F.col("c").alias("a"), "b")
-    links = written(_verified(pairs, texts, similarity).unionAll(twice), "links")
+    links = written(_verified(pairs, texts, similarity).unionAll(_same_id(signed, firsts)), "links")
     labels = components(links)
 
     # Buckets whose members are still apart (of two members, the one pair has been compared).
@@ -251,24 +265,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     apart = apart.withColumn("block", F.pmod(F.xxhash64("member", "band"), "blocks").cast("int"))
     dealt = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "member", "label")
-    with_text = dealt.join(texts.withColumnRenamed("doc_id", "member"), "member")
-    more = with_text.groupBy("band", "bucket", "low", "high").applyInArrow(lambda rows: _block_links(rows, similarity), f"a {kind}, b {kind}")
+    with_text = dealt.join(texts.withColumnRenamed("node", "member"), "member")
+    more = with_text.groupBy("band", "bucket", "low", "high").applyInArrow(lambda rows: _block_links(rows, similarity), "a long, b long")
     more = written(more.distinct(), "more_links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    of_copies = signed.join(firsts.select("words_key", "copy_of"), "words_key").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"))
-    placed = of_copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    return placed.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
+    linked = firsts.select("words_key", "node", "first").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_class = linked.groupBy("label").agg(F.min("first").alias("class_first"))
+    return signed.drop("bands"), linked.join(of_class.hint("merge"), "label").select("words_key", "first", "class_first")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, one row per id (the smallest text).
+def _same_id(signed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links between the nodes of an id that has several texts: each to the smallest."""
+    held = signed.where(F.col("doc_id").isNotNull()).select("doc_id", "words_key")
+    several = held.groupBy("doc_id").agg(F.min("words_key").alias("low"), F.max("words_key").alias("high")).where("low < high").drop("high")
+    low = firsts.select(F.col("words_key").alias("low"), F.col("node").alias("b"))
+    met = held.join(several, "doc_id").where("words_key > low").select("words_key", "low").distinct()
+    return met.join(firsts.select("words_key", F.col("node").alias("a")), "words_key").join(low, "low").select("a", "b")
 
-    Rows without id are copies of each other only where their texts are equal; one of those stays.
-    """
-    key, rank = free_name(docs, "text_key"), free_name(docs, "text_rank")
-    gone = classes(docs).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", key).orderBy(text_of())
-    keyed = left.withColumn(key, F.when(F.col("doc_id").isNull(), F.md5(text_of().cast("binary"))))
-    return keyed.withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1).select(*docs.columns)
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest id of the class) and copy_of (the smallest id with the same words), one row per id."""
+    rows, nodes = _classed(docs, similarity)
+    nodes = nodes.select("words_key", F.col("first.doc_id").alias("copy_of"), F.col("class_first.doc_id").alias("class_id"))
+    own = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")
+    return rows.join(nodes, "words_key").groupBy("doc_id", own).agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of")).drop("own")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class: the smallest id (of its texts, and of rows without id, the smallest hash), rows without id after all ids."""
+    some_id, text_hash, number = (free_name(docs, c) for c in ("some_id", "text_hash", "row_number"))
+    _, nodes = _classed(docs, similarity)
+    stay = nodes.select("class_first.*").distinct()
+    stay = stay.select(_some_id(stay).alias(some_id), F.col("text_hash").alias(text_hash))
+    keyed = docs.withColumns({some_id: _some_id(docs), text_hash: _text_hash()})
+    left = keyed.join(stay.hint("merge"), [some_id, text_hash], "left_semi")
+    equal = Window.partitionBy(some_id, text_hash).orderBy(text_hash)
+    return left.withColumn(number, F.row_number().over(equal)).where(F.col(number) == 1).select(*docs.columns)

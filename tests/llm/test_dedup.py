@@ -108,7 +108,7 @@ def brute_classes(rows):
 def test_classes_equal_brute_force(spark):
     rows = near_rows()
     df = near_dedup.classes(frame(spark, [*rows, rows[5]]))
-    assert {r["doc_id"]: r["class_id"] for r in df.collect()} == brute_classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in df.collect()} == brute_classes(rows) | {None: 403}
     assert near_dedup.classes(frame(spark, [])).count() == 0
 
 
@@ -117,7 +117,46 @@ def test_one_document_of_each_class_stays(spark):
     kept = near_dedup.keep_one(frame(spark, [*rows, rows[5], (None, "one two")]))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     ids = [r["doc_id"] for r in kept.collect()]
-    assert Counter(ids) == Counter([*set(brute_classes(rows).values()), None])
+    assert Counter(ids) == Counter(set(brute_classes(rows).values()))
+
+
+def mixed_rows():
+    """Ids with several texts, and rows without an id, whose links go by one text or another."""
+    a, b, c = prose("a", 60), prose("b", 60), prose("c", 60)
+    return [
+        (1, a), (1, b), (2, b + " more"), (1, c), (9, "less " + c), (None, b), (None, b + " less"), (None, prose("d", 60)), (None, prose("d", 60)), (None, "d " + prose("d", 60)),
+        (4, prose("e", 50)), (4, prose("e", 50)), (5, prose("f", 50)), (6, prose("g", 50)), (6, prose("f", 50) + " x"), (None, None), (12, " "), (13, prose("h", 3)), (None, prose("h", 3)),
+    ]
+
+
+def row_classes(rows):
+    """The class of every row: rows of one id and rows of near texts are together."""
+    cache = WordHashes()
+    sets = [near_dedup.shingles((t or "").encode(), cache) for _, t in rows]
+    label = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            near = near_dedup.probability_jaccard(sets[x], sets[y]) >= 0.8 or not len(sets[x][0]) and not len(sets[y][0])
+            if near or rows[x][0] is not None and rows[x][0] == rows[y][0]:
+                label = [label[y] if k == label[x] else k for k in label]
+    return label
+
+
+def test_repeated_and_missing_ids_lose_no_link(spark):
+    rows = mixed_rows()
+    label = row_classes(rows)
+    smallest = {k: min((i for (i, _), n in zip(rows, label, strict=True) if n == k and i is not None), default=None) for k in label}
+    schema = "doc_id long, text string, text_hash string, some_id int, row_number long, node long, words_key string"
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3, "y") for r in rows], schema)
+    found = [tuple(r) for r in near_dedup.classes(df).select("doc_id", "class_id").collect()]
+    named = {(i, smallest[k]) for (i, _), k in zip(rows, label, strict=True) if i is not None}
+    unnamed = {((t or ""), smallest[k]) for (i, t), k in zip(rows, label, strict=True) if i is None}
+    assert Counter(found) == Counter(named) + Counter((None, k) for _, k in unnamed)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    stay = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(stay) == len(set(label)) and Counter(i for i, _ in stay) == Counter(smallest.values())
+    assert len({label[rows.index(r)] for r in stay}) == len(stay)
 
 
 def test_pipeline_dedup_stages_equal_a_plain_chain(spark, sf_dir):
@@ -160,7 +199,7 @@ def test_registers_agree_as_often_as_the_similarity():
 def test_blocks_of_a_bucket_find_what_joins_its_classes(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     rows = near_rows()
-    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()} == brute_classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()} == brute_classes(rows) | {None: 403}
 
 
 EDITS = [(1, "abc"), (2, "para one\npara two\npara three"), (3, None), (5, "ü😀" * 50), (8, prose(8, 300)), (9, prose(9, 40)), (13, ""), (-4, prose(8, 300))]
