@@ -14,12 +14,9 @@ conversation and speaker, put together by ``part``, are the rendering; ``starts_
 it, and the mask counts from the rendering's start.  So no row holds more than ``segment_turns`` turns and no task a
 whole long conversation; the result has as many turns as the dialogue times its speakers.
 
-``rotate`` is the rendering in windows of turn numbers (part = floor(turn / part_turns)), each only for the speakers
-that speak in it and with a mask of its own: no context from one window reaches the next.
-
 Defined results: a null text is empty, a null role is ``unknown``, a null turn counts as 0; equal rows count once;
 different rows with one turn number follow by role, then text; a null conversation id is one conversation; a
-conversation (``rotate``: a part) with system turns only gives no row; an empty table gives none.  Other columns are
+conversation with system turns only gives no row; an empty table gives none.  Other columns are
 not read.
 """
 
@@ -93,11 +90,3 @@ def perspectives(turns: DataFrame, segment_turns: int = PART_TURNS) -> DataFrame
     seen = null_safe_join(placed, segments, ["conv_id", "part"])
     return _rendered(seen, ["conv_id", "part", "speaker", "starts_at"], F.col("starts_at"), "long")
 
-
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, part, speaker, n_turns, text and mask (array of struct start, end) for the speakers of every window."""
-    rows = _turns(turns).withColumn("part", F.floor(F.col("turn") / part_turns).cast("long")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = F.array_distinct(F.transform(F.filter("turns", lambda t: t["role"] != "system"), lambda t: t["role"]))
-    seen = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
-    return _rendered(seen, ["conv_id", "part", "speaker"], F.lit(0), "int")

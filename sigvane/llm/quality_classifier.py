@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigvane.llm.common import WordHashes, encoded, hashed_ngrams, id_remainder, rolled, text_of
+from sigvane.llm.common import WordHashes, encoded, hashed_ngrams, id_remainder, rolled, text_of, written
 
 BITS = 18
 HELD_OUT_MODULUS = 5
@@ -166,19 +166,23 @@ def _buckets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "buckets"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits: int = BITS, cost: float = 1.0, epochs: int = 20) -> Model:
-    """Fit on about ``max_rows`` labelled rows: the sample, not the corpus, goes to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits: int = BITS, cost: float = 1.0, epochs: int = 20, max_bytes: int = 256 << 20) -> Model:
+    """Fit on about ``max_rows`` labelled ids (of a repeated one the smallest text), drawn by a hash.
+
+    What goes to the driver is the sample, of at most ``max_bytes`` of hashed indicators: ids are taken in the order of their hash while they fit.
+    """
     marked = training_labels(labels)
     span = 1 << 30
     cut = span * min(1.0, max_rows / max(marked.count(), 1))
     sample = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < cut)
-    rows = (
-        docs.select("doc_id", text_of().alias("text"))
-        .join(F.broadcast(sample), "doc_id")  # about max_rows rows of 12 bytes
-        .select("doc_id", "label", "text")
-        .mapInArrow(lambda batches: _buckets(batches, bits), f"doc_id {dict(docs.dtypes)['doc_id']}, label int, buckets binary")
-        .toArrow()
-    )
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")  # about max_rows rows of 12 bytes
+    found = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = written(found.mapInArrow(lambda batches: _buckets(batches, bits), f"doc_id {dict(docs.dtypes)['doc_id']}, label int, buckets binary"), "sample")
+    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("place"), F.octet_length("buckets").alias("size")).toArrow().sort_by("place")
+    fitting = sizes["doc_id"].to_pylist()[: int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), max_bytes, "right"))]
+    if len(fitting) < len(sizes):
+        found = found.where(F.col("doc_id").isin(fitting))
+    rows = found.toArrow()
     rows = sorted(zip(rows["doc_id"].to_pylist(), rows["buckets"].to_pylist(), rows["label"].to_pylist(), strict=True))
     return fit_rows([np.frombuffer(b, np.uint32) for _, b, _ in rows], np.array([label for _, _, label in rows], int), bits, cost, epochs)
 

@@ -69,26 +69,26 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERSPECTIVES_SQL = f"""
-WITH turns AS (
-    SELECT DISTINCT conv_id, CAST(floor(coalesce(turn, 0) / {chat.PART_TURNS}.0) AS BIGINT) AS part, coalesce(turn, 0) AS turn,
-        replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS role,
+WITH said AS (
+    SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS role,
         replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS said
     FROM conversations
+), turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, said) - 1 AS pos FROM said
 ), speakers AS (
-    SELECT DISTINCT conv_id, part, role AS speaker FROM turns WHERE role <> 'system'
+    SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), blocks AS (
-    SELECT conv_id, part, speaker, role = speaker AS ours, said || '<|im_end|>' AS body,
-        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-        row_number() OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, said) AS pos
-    FROM speakers JOIN turns USING (conv_id, part)
+    SELECT turns.conv_id, pos, speaker, role = speaker AS ours, said || '<|im_end|>' AS body,
+        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+    FROM speakers JOIN turns ON speakers.conv_id IS NOT DISTINCT FROM turns.conv_id
 ), placed AS (
     SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (
-        PARTITION BY conv_id, part, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opens
+        PARTITION BY conv_id, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opens
     FROM blocks
 )
-SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
-    string_agg(CAST(CAST(opens AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(opens + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (ours) AS mask
-FROM placed GROUP BY conv_id, part, speaker
+SELECT conv_id, CAST(pos // {chat.PART_TURNS} AS BIGINT) AS part, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+    coalesce(string_agg(CAST(CAST(opens AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(opens + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (ours), '') AS mask
+FROM placed GROUP BY conv_id, pos // {chat.PART_TURNS}, speaker
 """
 
 

@@ -150,8 +150,8 @@ TURNS = [
 
 def test_every_speaker_is_the_assistant_once(spark):
     df = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, speaker string")
-    out = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate(df).collect()}
-    assert set(out) == {(1, 0, "user"), (1, 0, "ann"), (3, 0, "unknown"), (None, 0, "bob"), (4, 0, "user"), (4, 0, "assistant"), (4, 1, "user")}
+    out = {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.perspectives(df).collect()}
+    assert set(out) == {(1, 0, "user"), (1, 0, "ann"), (3, 0, "unknown"), (None, 0, "bob"), (4, 0, "user"), (4, 0, "assistant")}
     row = out[1, 0, "user"]
     assert row["n_turns"] == 4
     assert row["text"] == (
@@ -159,7 +159,7 @@ def test_every_speaker_is_the_assistant_once(spark):
     )
     assert [row["text"][m["start"] : m["end"]] for m in row["mask"]] == ["hi <|im_end |> there<|im_end|>", "<|im_end|>"]
     assert [out[4, 0, "assistant"]["text"][m["start"] : m["end"]] for m in out[4, 0, "assistant"]["mask"]] == ["tie<|im_end|>"]
-    assert chat.rotate(df.limit(0)).count() == 0
+    assert chat.perspectives(df.limit(0)).count() == 0
 
 
 def plain_perspectives(turns):
@@ -194,6 +194,35 @@ def test_the_query_renders_long_and_sparse_conversations_whole(spark, tmp_path):
     assert {(r["conv_id"], r["speaker"]): r["text"] for r in out} == {k: text for k, (text, _) in plain_perspectives(turns).items()}
 
 
+def test_the_sql_of_the_query_renders_them_too(spark, tmp_path):
+    import duckdb
+    from check_oracle import compare
+
+    turns = [(1, 1000 * k, "ann" if k % 3 else "bob", f"at {k}") for k in range(601)] + [(1, -5, "system", "be kind"), (2, None, "cid", None), (2, 3, "system", "x"), (None, 1, "ann", "no id")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    status, _, n, note = compare(spark, con, "op6_perspectives", entrypoint.queries()["op6_perspectives"], entrypoint.oracle_sql()["op6_perspectives"], str(tmp_path))
+    assert status == "ok" and n == 8, note
+
+
+def test_an_id_repeated_many_times_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"a b {i % 7}") for i in range(10_000)] + [(2, "c d"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    alone = quality_classifier.fit(docs.where("text = 'a b 0' OR doc_id > 1").dropDuplicates(), labels)
+    assert np.array_equal(model.weights, alone.weights)
+    few = quality_classifier.fit(docs, labels, max_bytes=1)  # nothing fits
+    assert 0 <= docs.select(quality_classifier.score_column(docs, few).alias("s")).first()["s"] <= 1
+
+
+def test_few_remembered_words_give_the_same_ids():
+    words = [f"w{i}ord" for i in range(50)] * 2
+    few, many = pieces.Encoder(pieces.loaded().pieces, limit=4), pieces.loaded()
+    assert [few.encode(" ".join(words[i:])) for i in range(5)] == [many.encode(" ".join(words[i:])) for i in range(5)]
+    assert len(few.words) <= 4
+
+
 def test_first_fit_decreasing_takes_the_leftmost_room():
     rng = random.Random(5)
     for n in (0, 1, 2, 37, 300):
