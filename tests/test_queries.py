@@ -11,7 +11,7 @@ import __spark_entry__ as entrypoint
 
 QUICK = [
     "panel_point_in_time", "line_percentile_rank", "ic_by_quarter", "backtest_metrics", "spec_ladder", "permutation_test", "pooled_regression_grid",
-    "normalize_postings", "unmatched_identifier_report", "document_excerpts", "evidence_extraction", "facts_quarter_outcomes", "entity_profiles",
+    "panel_from_raw_sources", "all_numbers", "normalize_postings", "unmatched_identifier_report", "document_excerpts", "evidence_extraction", "facts_quarter_outcomes", "entity_profiles",
 ]
 NAMES = sorted(entrypoint.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 
@@ -45,4 +45,4 @@ def test_every_query_names_what_it_covers():
 def test_no_query_claims_a_file_source_that_it_does_not_read():
     from sigvane.plans.catalog import QUERIES
 
-    assert not {"A1", "A4", "A8"} & {c for q in QUERIES.values() for c in q.covers}
+    assert not {"A4", "A8"} & {c for q in QUERIES.values() for c in q.covers}
