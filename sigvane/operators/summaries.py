@@ -88,13 +88,15 @@ def mean_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def high_minus_low(df: DataFrame, score: str, value: str, high: Sequence[float] = (4, 5), low: Sequence[float] = (1, 2)) -> DataFrame:
-    """Difference of means of two score groups with Welch's t."""
+def high_minus_low(
+    df: DataFrame, score: str, value: str, high: Sequence[float] = (4, 5), low: Sequence[float] = (1, 2), by: Sequence[str] = ()
+) -> DataFrame:
+    """Difference of means of two score groups with Welch's t, for each value of ``by``."""
 
     def pick(values: Sequence[float]) -> Column:
         return F.when(F.col(score).isin(list(values)), F.col(value))
 
-    stats = df.agg(
+    stats = df.groupBy(*by).agg(
         *[
             agg(pick(v)).alias(f"_{name}_{side}")
             for side, v in (("hi", high), ("lo", low))
@@ -103,7 +105,7 @@ def high_minus_low(df: DataFrame, score: str, value: str, high: Sequence[float]
     )
     diff = F.col("_m_hi") - F.col("_m_lo")
     error = F.sqrt(F.try_divide("_v_hi", "_n_hi") + F.try_divide("_v_lo", "_n_lo"))
-    return stats.select(diff.alias("diff"), F.try_divide(diff, error).alias("t"), F.col("_n_hi").alias("n_hi"), F.col("_n_lo").alias("n_lo"))
+    return stats.select(*by, diff.alias("diff"), F.try_divide(diff, error).alias("t"), F.col("_n_hi").alias("n_hi"), F.col("_n_lo").alias("n_lo"))
 
 
 def quantile_sort(df: DataFrame, score: str, value: str, ties: Sequence[str], bins: int = 5) -> DataFrame:

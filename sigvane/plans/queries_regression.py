@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
+from sigvane.operators import all_numbers as numbers
 from sigvane.operators import ic, ols
 from sigvane.plans import bindings as B
 from sigvane.plans import sql_text as S
 from sigvane.plans.queries_panel import rounded, rounded_sql
 from sigvane.plans.queries_signals import count
-from sigvane.plans.registry import query
+from sigvane.plans.registry import QUERIES, query
 
 SIGNALS = K.CROSS_SECTION_SIGNALS
 OUTCOMES = [K.PRIMARY_OUTCOME, *K.SECONDARY_OUTCOMES]
@@ -456,3 +457,54 @@ def entity_rate_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ic.spearman(rates.join(other, "company_id"), []).select(count("n_obs"), *rounded("ic"), "status")
 
 
+def _block_sql(block: str, key: str, statistics: str, rows: str) -> str:
+    names = [x.strip() for x in statistics.split(",")]
+    return f"""SELECT sample, '{block}' AS block, CAST({key} AS VARCHAR) AS key, UNNEST([{", ".join(f"'{x}'" for x in names)}]) AS statistic,
+        UNNEST([{", ".join(f"CAST({x} AS DOUBLE)" for x in names)}]) AS value FROM ({rows})"""
+
+
+def _registered(name: str) -> str:
+    return QUERIES[name].sql
+
+
+_COUNTED = [*dict.fromkeys([*numbers.COVERAGE, *OUTCOMES, "op_margin_delta_yoy", "fwd_ret_4m", "prior_rev_growth_yoy"])]
+_SORTED = f"""WITH {B.BASE_SQL}, rows AS (SELECT sample, maturity_index AS s, {{0}} AS y, company_id FROM base WHERE maturity_index IS NOT NULL AND {{0}} IS NOT NULL),
+    q AS (SELECT sample, y, {S.quantile_label("s", "company_id", "sample")} AS quantile FROM rows)
+    SELECT sample, quantile, avg(y) AS mean, count(*) AS n FROM q GROUP BY 1, 2"""
+_TRIO = [K.PRIMARY_OUTCOME, "op_margin_delta_yoy", "fwd_ret_4m"]
+ALL_NUMBERS_SQL = " UNION ALL ".join(
+    [
+        _block_sql("ladder", "signal || '/' || dv || '/' || spec", "n, coef, se, p", _registered("spec_ladder")),
+        _block_sql("premium", "'all others'", "n, coef, se, p", _registered("group_premium_all_others")),
+        _block_sql("premium", f"'{K.CATEGORIES[3]}'", "n, coef, se, p", _registered("group_premium_one_category")),
+        _block_sql("within_category", "category", "n, coef, se, p", _registered("within_category_regression")),
+        _block_sql("complete_case", "signal", "n, coef, se, p", _registered("complete_case_regression")),
+        _block_sql("placebo", "'name length'", "n, coef, se, p", _registered("placebo_regression")),
+        _block_sql("leave_one_out", "left_out", "n, coef, se, p", _registered("leave_one_sector_out")),
+        _block_sql("leave_one_out_summary", "worst_sector", "worst_coef, worst_p, n_significant, n_sectors", _registered("leave_one_sector_out_summary")),
+        _block_sql("permutation", "'conc'", "n, obs_coef, p, n_perm, n_ge", _registered("permutation_test")),
+        _block_sql(
+            "rank_correlation", "signal || '/' || outcome", "n, rho, p",
+            f"""WITH {B.BASE_SQL}, long AS ({S.pairs("base", ["sample"], SIGNALS, _TRIO)}), {S.spearman_groups("long", "sample, signal, outcome", 10)}
+            SELECT sample, signal, outcome, n_obs AS n, ic AS rho, {S.correlation_pvalue("ic", "n_obs")} AS p FROM ics""",
+        ),
+        _block_sql("score_bins", "CAST(conc AS INTEGER)", "mean, n", f"WITH {B.BASE_SQL} SELECT sample, conc, avg(rev_growth_yoy) AS mean, count(*) AS n FROM base WHERE conc IS NOT NULL AND rev_growth_yoy IS NOT NULL GROUP BY 1, 2"),
+        _block_sql(
+            "high_minus_low", "'conc'", "diff, t, n_hi, n_lo",
+            f"""WITH {B.BASE_SQL}, s AS (SELECT sample, avg(rev_growth_yoy) FILTER (conc IN (4, 5)) AS mh, avg(rev_growth_yoy) FILTER (conc IN (1, 2)) AS ml,
+              var_samp(rev_growth_yoy) FILTER (conc IN (4, 5)) AS vh, var_samp(rev_growth_yoy) FILTER (conc IN (1, 2)) AS vl,
+              count(rev_growth_yoy) FILTER (conc IN (4, 5)) AS n_hi, count(rev_growth_yoy) FILTER (conc IN (1, 2)) AS n_lo FROM base GROUP BY 1)
+            SELECT sample, mh - ml AS diff, (mh - ml) / sqrt(vh / n_hi + vl / n_lo) AS t, n_hi, n_lo FROM s""",
+        ),
+        _block_sql("category_return", "category", "mean, n", f"WITH {B.BASE_SQL} SELECT sample, category, avg(fwd_ret_4m) AS mean, count(*) AS n FROM base WHERE category IS NOT NULL AND fwd_ret_4m IS NOT NULL GROUP BY 1, 2"),
+        _block_sql("coverage", "'rows'", ", ".join(["total", *_COUNTED]), f"WITH {B.BASE_SQL} SELECT sample, count(*) AS total, {', '.join(f'count({c}) AS {c}' for c in _COUNTED)} FROM base GROUP BY 1"),
+        *[_block_sql("quantile_means", f"'{y}/' || quantile", "mean, n", _SORTED.format(y)) for y in (K.PRIMARY_OUTCOME, "fwd_ret_4m")],
+    ]
+)
+
+
+@query("all_numbers", "C15 E14 E15 E16 E17 F16 F19 F20 F21 F22 F23 F24 F25 F26 F27", f"SELECT sample, block, key, statistic, round(value, 6) AS value FROM ({ALL_NUMBERS_SQL})")
+def all_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both samples; the company's name is its ticker, since supplier names all have the same length."""
+    named = base(spark, sf_dir).withColumn("company_name", F.col("ticker"))
+    return numbers.all_numbers(named, "company_id", n_perm=_PERMUTATIONS).select(*numbers.SCHEMA[:4], *rounded("value"))

@@ -292,3 +292,36 @@ def test_total_products_of_shifted_values(spark):
     r = ols._totals(cells, ["sample"], ["x", "y"]).first()
     expected = np.cov(x, y, bias=True) * 400
     assert (r["_t_x_x"], r["_t_x_y"], r["_t_y_y"]) == pytest.approx((expected[0, 0], expected[0, 1], expected[1, 1]), rel=1e-6)
+
+
+def test_all_numbers_from_one_table_equal_each_regression_alone(spark):
+    from sigvane.operators import all_numbers
+
+    random.seed(11)
+    some = lambda v, share=0.05: None if random.random() < share else v
+    rows_in = []
+    for i in range(260):
+        signals = [some(float(random.randint(1, 5))) for _ in K.CROSS_SECTION_SIGNALS]
+        rows_in.append((
+            random.choice(["full", "excluded"]), f"c{i}", "n" * random.randint(1, 9), some(random.choice("stuv")), some(random.choice(K.CATEGORIES)),
+            *signals, some(random.random()), some(random.random()), some(random.random()), some(random.random()), some(random.random()),
+        ))
+    outcomes = list(dict.fromkeys([K.PRIMARY_OUTCOME, *K.SECONDARY_OUTCOMES, "fwd_ret_4m", "log_mktcap", "prior_rev_growth_yoy"]))
+    numbers_in = [*K.CROSS_SECTION_SIGNALS, *outcomes][: len(rows_in[0]) - 5]
+    schema = "sample string, company_id string, company_name string, sector string, category string, " + ", ".join(f"{c} double" for c in numbers_in)
+    base = spark.createDataFrame([r[: 5 + len(numbers_in)] for r in rows_in], schema)
+    reported = ["conc", "inv"]
+    fits = all_numbers.regressions(base, K.CROSS_SECTION_SIGNALS, reported, "conc", K.CATEGORIES[0], K.CATEGORIES[3])
+    got = {(r["sample"], r["block"], r["key"]): (r["n"], r["coef"], r["se"]) for r in fits.collect()}
+    alone = {
+        "ladder": (ols.spec_ladder(base), lambda r: f"{r['signal']}/{r['dv']}/{r['spec']}"),
+        "within_category": (ols.within_category(base), lambda r: r["category"]),
+        "complete_case": (ols.complete_case(base, K.CROSS_SECTION_SIGNALS, reported), lambda r: r["signal"]),
+        "placebo": (ols.placebo(base), lambda r: "name length"),
+        "premium": (ols.group_premium(base, K.CATEGORIES[0]), lambda r: "all others"),
+    }
+    expected = {(r["sample"], block, key(r)): (r["n"], r["coef"], r["se"]) for block, (df, key) in alone.items() for r in df.collect()}
+    expected |= {(r["sample"], "premium", K.CATEGORIES[3]): (r["n"], r["coef"], r["se"]) for r in ols.group_premium(base, K.CATEGORIES[0], K.CATEGORIES[3]).collect()}
+    assert set(got) == set(expected) and len(got) > 60
+    for k, (n, coef, se) in expected.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(coef, rel=1e-9, abs=1e-12) and got[k][2] == pytest.approx(se, rel=1e-9, abs=1e-12), k
