@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,15 +207,15 @@ def stalled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     "K6 H12 B29",
     f"""WITH {_SERIES}, shares AS (SELECT ticker, arg_max(parts, period_end) AS n FROM q WHERE period_end <= DATE '{_T0}' + 45 GROUP BY 1),
     first_day AS (SELECT min(period_end) AS d FROM q WHERE period_end > DATE '{_T0}'),
-    price AS (SELECT ticker, net / 10000 AS p FROM q WHERE period_end = (SELECT d FROM first_day) AND ticker NOT LIKE '%7'),
+    price AS (SELECT ticker, CASE WHEN parts % 7 <> 0 THEN net / 10000 END AS p FROM q WHERE period_end = (SELECT d FROM first_day)),
     m AS (SELECT s.ticker, s.n * p.p AS own, c.s_acctbal AS spare FROM shares s LEFT JOIN price p ON p.ticker = s.ticker JOIN supplier c ON 'S' || c.s_suppkey = s.ticker)
     SELECT ticker, round(coalesce(own, nullif(spare, 0)), 4) AS mktcap_t0, CASE WHEN own IS NOT NULL THEN 'sec_shares_x_jan_price' WHEN spare <> 0 THEN 'fallback_current' END AS mktcap_source FROM m""",
 )
 def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = B.entity_quarters(spark, sf_dir)
-    prices = q.where(~F.col("company_id").endswith("7")).select(
-        F.concat(F.lit("S"), "company_id").alias("ticker"), F.col("period_end").alias("price_date"), (F.col("net") / F.lit(10000.0)).alias("adjusted_close")
-    )
+    # Some closes are missing, which leaves the fallback.
+    close = F.when(F.col("parts") % 7 != 0, F.col("net") / F.lit(10000.0))
+    prices = q.select(F.concat(F.lit("S"), "company_id").alias("ticker"), F.col("period_end").alias("price_date"), close.alias("adjusted_close"))
     # A table-wide entry date needs every ticker's dates.
     fallback = B.companies(spark, sf_dir).select("ticker", "market_cap")
     return facts.market_caps(nested_facts(spark, sf_dir), prices, fallback, _T0).select("ticker", *rounded("mktcap_t0", places=4), "mktcap_source")
@@ -223,7 +225,10 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score history as page versions with JSON content; early quarters are old pages without scores."""
+    """Score history as page versions with JSON content.
+
+    Pages before 1998, the newest ones of every fourth entity and all of every fifth are pages whose content has no scores.
+    """
     s = B.scores(spark, sf_dir).withColumn("year", F.year("snapshot_date"))
 
     def dimension(column: str) -> Column:
@@ -238,20 +243,23 @@ def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             evidence.alias("evidence"), F.array(F.lit("gap")).alias("missingEvidence"), subs.alias("subDimensions"),
         )
 
+    key = F.col("company_id").cast("int")
+    scored = (F.col("year") >= 1998) & ~((F.col("year") >= 2001) & (key % 4 == 0)) & (key % 5 != 1)
     scores = F.struct(
         (F.col("ai_adoption_score") + 0.5).cast("string").alias("maturityIndex"), F.lit("stage").alias("maturityStage"), F.col("snapshot_date").cast("string").alias("assessedAt"),
         dimension("ai_adoption_score").alias("adoption"), dimension("ai_fluency_score").alias("proficiency"), dimension("ai_impact_score").alias("impact"),
     )
-    content = F.to_json(F.struct(F.when(F.col("year") >= 1998, scores).alias("aiScores"), F.array(F.lit("app"), F.lit("tool")).alias("aiAppsUsed")))
+    content = F.to_json(F.struct(F.when(scored, scores).alias("aiScores"), F.array(F.lit("app"), F.lit("tool")).alias("aiAppsUsed")))
     version = (F.col("year") * 4 + F.quarter("snapshot_date")).cast("int")
-    raw = s.where("year < 2001").select("company_id", version.alias("version"), F.col("snapshot_date").cast("string").alias("created_at"), content.alias("json"))
+    raw = s.select("company_id", version.alias("version"), F.col("snapshot_date").cast("string").alias("created_at"), content.alias("json"))
     return raw.select("company_id", "version", "created_at", F.from_json("json", universe.CONTENT_SCHEMA).alias("content"))
 
 
 _PAGES = f"""{B.ENTITY_QUARTERS_SQL}, {B.SCORES_SQL},
 last_scores AS (SELECT company_id, arg_max(ai_adoption_score, snapshot_date) AS a, arg_max(ai_fluency_score, snapshot_date) AS f, arg_max(ai_impact_score, snapshot_date) AS i,
-                       max(snapshot_date) AS d, count(*) AS scored FROM scores WHERE year(snapshot_date) BETWEEN 1998 AND 2000 GROUP BY 1),
-page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date) * 4 + quarter(snapshot_date)) AS max_version FROM scores WHERE year(snapshot_date) < 2001 GROUP BY 1)"""
+                       max(snapshot_date) AS d, count(*) AS scored FROM scores WHERE year(snapshot_date) >= 1998
+                       AND NOT (year(snapshot_date) >= 2001 AND CAST(company_id AS INTEGER) % 4 = 0) AND CAST(company_id AS INTEGER) % 5 <> 1 GROUP BY 1),
+page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date) * 4 + quarter(snapshot_date)) AS max_version FROM scores GROUP BY 1)"""
 
 
 @query(
@@ -259,11 +267,12 @@ page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date)
     "B33 E8 H4 D9",
     f"""WITH {_PAGES}
     SELECT company_id, year(d) * 4 + quarter(d) AS page_version, n_pages, CAST(a + 0.5 AS DOUBLE) AS maturity_index, CAST(a AS DOUBLE) AS adoption_score, CAST(f AS DOUBLE) AS proficiency_score,
-           CASE WHEN a >= 4 THEN 'high' ELSE 'low' END AS adoption_label, a AS adoption_n_evidence, 1 AS impact_n_missing_evidence,
+           CASE WHEN a >= 4 THEN 'high' WHEN a IS NOT NULL THEN 'low' END AS adoption_label, a AS adoption_n_evidence, CASE WHEN a IS NOT NULL THEN 1 END AS impact_n_missing_evidence,
            CASE WHEN i <> 3 THEN CAST(i AS DOUBLE) END AS "sub_leadershipDepth", CAST(NULL AS DOUBLE) AS "sub_repeatability",
            a // 3 + f // 3 + i // 3 AS evidence_sec, (a + 2) // 3 + (f + 2) // 3 + (i + 2) // 3 AS evidence_news,
-           (a + 1) // 3 + (f + 1) // 3 + (i + 1) // 3 AS evidence_other, 2 AS n_ai_apps_used, 0 AS n_initiatives
-    FROM last_scores JOIN page_counts USING (company_id)""",
+           (a + 1) // 3 + (f + 1) // 3 + (i + 1) // 3 AS evidence_other, CASE WHEN a IS NOT NULL THEN 2 END AS n_ai_apps_used,
+           CASE WHEN a IS NOT NULL THEN 0 END AS n_initiatives, max_version
+    FROM page_counts LEFT JOIN last_scores USING (company_id)""",
 )
 def score_pages_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = score_pages(spark, sf_dir)
@@ -271,7 +280,7 @@ def score_pages_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = universe.scored_entities(entities, pages)
     return rows.select(
         "company_id", "page_version", "n_pages", "maturity_index", "adoption_score", "proficiency_score", "adoption_label", "adoption_n_evidence",
-        "impact_n_missing_evidence", "sub_leadershipDepth", "sub_repeatability", "evidence_sec", "evidence_news", "evidence_other", "n_ai_apps_used", "n_initiatives",
+        "impact_n_missing_evidence", "sub_leadershipDepth", "sub_repeatability", "evidence_sec", "evidence_news", "evidence_other", "n_ai_apps_used", "n_initiatives", "max_version",
     )
 
 
@@ -285,21 +294,16 @@ def _duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _late_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of every fifth entity only, so the others fall back to their own creation time."""
-    return score_pages(spark, sf_dir).where(F.col("company_id").cast("int") % 5 == 0)
-
-
 _DEDUPE = f"""WITH {_PAGES}, e AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey AS ord, CASE WHEN s_nationkey = 3 THEN '{K.TEST_ENTITY_NAME}' ELSE 'N' || s_nationkey END AS name,
-         coalesce(CASE WHEN s_suppkey % 5 = 0 THEN CAST(l.d AS VARCHAR) END, '19' || (s_suppkey % 90 + 10)) AS recent
+         coalesce(CAST(l.d AS VARCHAR), '19' || (s_suppkey % 90 + 10)) AS recent
   FROM supplier LEFT JOIN last_scores l ON l.company_id = CAST(s_suppkey AS VARCHAR)),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY recent DESC, ord) AS k, first_value(id) OVER (PARTITION BY name ORDER BY recent DESC, ord) AS kept_id FROM e)"""
 
 
 @query("entity_dedup_kept", "H5 C18", f"{_DEDUPE} SELECT id AS company_id, name FROM r WHERE k = 1 AND name <> '{K.TEST_ENTITY_NAME}'")
 def entity_dedup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = universe.dedupe_entities(_duplicate_entities(spark, sf_dir), _late_pages(spark, sf_dir))
+    kept, _ = universe.dedupe_entities(_duplicate_entities(spark, sf_dir), score_pages(spark, sf_dir))
     return kept.select("company_id", "name")
 
 
@@ -310,7 +314,7 @@ def entity_dedup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'drop_test_row', name, id, NULL FROM r WHERE name = '{K.TEST_ENTITY_NAME}'""",
 )
 def entity_dedup_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = universe.dedupe_entities(_duplicate_entities(spark, sf_dir), _late_pages(spark, sf_dir))
+    _, log = universe.dedupe_entities(_duplicate_entities(spark, sf_dir), score_pages(spark, sf_dir))
     return log
 
 
@@ -340,8 +344,10 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("string").alias("company_id"), shown.alias("name"), F.col("p_type").alias("sector"))
 
 
-_EXACT_ONLY = r"""n AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS company_id, p_type AS sector, p_partkey % 12 AS k, lower(replace(p_name || ' ' || p_brand, '-', ' ')) AS norm FROM part WHERE p_partkey % 3 = 0),
+_EXACT = r"""shown AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS company_id, p_name || ' ' || p_brand AS name, p_partkey % 12 AS k FROM part),
+n AS (
+  SELECT company_id, regexp_replace(lower(replace(CASE k WHEN 3 THEN substr(name, 1, 4) || substr(name, 4) WHEN 9 THEN 'Unlisted ' || name ELSE name END, '-', ' ')), ' +', ' ', 'g') AS norm FROM shown),
 a AS (SELECT lower(p_name || ' ' || p_brand) AS norm, min(p_partkey) AS pk FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
 b AS (SELECT lower(p_name || ' ' || p_brand) AS norm, min(p_partkey) AS pk FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)"""
 
@@ -349,30 +355,83 @@ b AS (SELECT lower(p_name || ' ' || p_brand) AS norm, min(p_partkey) AS pk FROM
 @query(
     "entity_resolution_exact",
     "D10 H6",
-    f"""WITH {_EXACT_ONLY} SELECT n.company_id, CASE WHEN a.pk IS NOT NULL THEN 'P' || a.pk ELSE 'R' || b.pk END AS ticker,
-        CASE WHEN a.pk IS NOT NULL THEN 'member_exact' ELSE 'registry_exact' END AS match_method
-    FROM n LEFT JOIN a USING (norm) LEFT JOIN b USING (norm) WHERE n.k NOT IN (3, 9) AND (a.pk IS NOT NULL OR b.pk IS NOT NULL)""",
+    f"""WITH {_EXACT} SELECT n.company_id, CASE WHEN a.pk IS NOT NULL THEN 'P' || a.pk WHEN b.pk IS NOT NULL THEN 'R' || b.pk END AS ticker,
+        CASE WHEN a.pk IS NOT NULL THEN 'member_exact' WHEN b.pk IS NOT NULL THEN 'registry_exact' ELSE 'other' END AS match_method
+    FROM n LEFT JOIN a USING (norm) LEFT JOIN b USING (norm)""",
 )
 def entity_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The thirds and the exact rows are those of the SQL; entity_resolution_full keeps every part and row.
-    third = _covered(spark, sf_dir).where(F.col("company_id").cast("int") % 3 == 0)
-    rows = identity.resolve_entities(third, _members(spark, sf_dir), _registry(spark, sf_dir), {}, {})
-    return rows.where(F.col("match_method").endswith("_exact") & ~(F.col("company_id").cast("int") % 12).isin(3, 9)).select("company_id", "ticker", "match_method")
+    """Every part; which similar name a misspelt one is given is not said here, since SQL has no such ratio."""
+    rows = identity.resolve_entities(_covered(spark, sf_dir), _members(spark, sf_dir), _registry(spark, sf_dir), {}, {})
+    exact = F.col("match_method").endswith("_exact")
+    return rows.select("company_id", F.when(exact, F.col("ticker")).alias("ticker"), F.when(exact, F.col("match_method")).otherwise("other").alias("match_method"))
 
 
-@query("entity_resolution_full", "D10 D11 D12 I5")
-def entity_resolution_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = _members(spark, sf_dir)
-    rows = identity.resolve_entities(
-        _covered(spark, sf_dir), members, _registry(spark, sf_dir), {"Unlisted small ring Brand#2": "private"}, {"Unlisted red bolt Brand#1": "P2"}
+def _known_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Covered entities, members and registry whose matches are known by construction.
+
+    Six parts in a row share a name of 32 hexadecimal digits of a hash, so two names are never alike.  A name is held by
+    members, registry or both (twice each); entities show it with a suffix, with a digit doubled or left out, or show a name of nobody's.
+    """
+    part = B.table(spark, sf_dir, "part").select("p_partkey", "p_type", (F.floor(F.col("p_partkey") / 6)).alias("j"), (F.col("p_partkey") % 6).alias("k"))
+    key, j, k = F.col("p_partkey").cast("string"), F.col("j"), F.col("k")
+    name = F.md5(j.cast("string").cast("binary"))
+    members = part.where(k.isin(0, 1) & (j % 3 != 1)).select(
+        F.concat(name, F.lit(", Inc.")).alias("member_name"), F.concat(F.lit("P"), key).alias("ticker"), F.lpad(key, 10, "0").alias("cik"), F.col("p_type").alias("gics_sector"), F.col("p_partkey").alias("ord")
     )
-    return identity.flag_universe_duplicates(identity.add_uncovered_members(rows, members))
+    registry = part.where(k.isin(2, 3) & (j % 3 != 2)).select(
+        F.concat(F.upper(name), F.lit(" CORP")).alias("title"), F.concat(F.lit("R"), key).alias("ticker"), F.lpad(key, 10, "0").alias("cik"), F.col("p_partkey").alias("ord")
+    )
+    shown = (
+        F.when(k == 2, F.concat(F.substring(name, 1, 4), F.substring(name, 4, 32)))
+        .when(k == 3, F.substring(name, 1, 31))
+        .when(k == 4, F.concat(F.lit("Unlisted "), F.md5(F.concat(F.lit("u"), key).cast("binary"))))
+        .when(k == 1, F.concat(F.upper(name), F.lit(" Group")))
+        .otherwise(name)
+    )
+    return part.select(key.alias("company_id"), shown.alias("name"), F.col("p_type").alias("sector")), members, registry
+
+
+_HELD_PRIVATELY, _MAPPED = [hashlib.md5(x).hexdigest() for x in (b"3", b"u10")]
+_PRIVATE, _MANUAL = {_HELD_PRIVATELY: "subsidiary"}, {f"Unlisted {_MAPPED}": "P12"}
+_KNOWN = f"""parts AS (SELECT p_partkey, p_type, p_partkey // 6 AS j, p_partkey % 6 AS k, md5(CAST(p_partkey // 6 AS VARCHAR)) AS name FROM part),
+member_of AS (SELECT j, min(p_partkey) AS pk FROM parts WHERE k IN (0, 1) AND j % 3 <> 1 GROUP BY 1),
+registry_of AS (SELECT j, min(p_partkey) AS pk FROM parts WHERE k IN (2, 3) AND j % 3 <> 2 GROUP BY 1),
+shown AS (SELECT *, CASE k WHEN 2 THEN substr(name, 1, 4) || substr(name, 4) WHEN 3 THEN substr(name, 1, 31) WHEN 4 THEN 'Unlisted ' || md5('u' || p_partkey)
+                    WHEN 1 THEN upper(name) || ' Group' ELSE name END AS said FROM parts),
+resolved AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS company_id, said AS name, true AS in_coverage,
+         CASE WHEN said = '{_HELD_PRIVATELY}' THEN 'private:subsidiary' WHEN said = 'Unlisted {_MAPPED}' THEN 'manual' WHEN k = 4 OR m.pk IS NULL AND r.pk IS NULL THEN 'unmatched'
+              ELSE CASE WHEN m.pk IS NOT NULL THEN 'member' ELSE 'registry' END || CASE WHEN k IN (2, 3) THEN '_fuzzy:' || shown.name ELSE '_exact' END END AS match_method,
+         CASE WHEN said = '{_HELD_PRIVATELY}' THEN NULL WHEN said = 'Unlisted {_MAPPED}' THEN 'P12' WHEN k <> 4 THEN coalesce('P' || m.pk, 'R' || r.pk) END AS ticker
+  FROM shown LEFT JOIN member_of m USING (j) LEFT JOIN registry_of r USING (j)),
+universe AS (
+  SELECT * FROM resolved UNION ALL
+  SELECT NULL, name || ', Inc.', false, 'member_fill_in', 'P' || p_partkey FROM parts WHERE k IN (0, 1) AND j % 3 <> 1 AND 'P' || p_partkey NOT IN (SELECT ticker FROM resolved WHERE ticker IS NOT NULL))"""
+
+
+@query(
+    "entity_resolution_full",
+    "D10 D11 D12 G10 H6 I5",
+    f"""WITH {_KNOWN} SELECT company_id, name, CAST(in_coverage AS INTEGER) AS in_coverage, match_method, ticker, CAST(coalesce(starts_with(ticker, 'P'), false) AS INTEGER) AS in_members,
+        CAST(ticker IS NOT NULL AND count(*) OVER (PARTITION BY ticker) > 1 AS INTEGER) AS ticker_dup FROM universe""",
+)
+def entity_resolution_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered, members, registry = _known_lists(spark, sf_dir)
+    rows = identity.resolve_entities(covered, members, registry, _PRIVATE, _MANUAL)
+    flagged = identity.flag_universe_duplicates(identity.add_uncovered_members(rows, members))
+    flags = [F.col(c).cast("int").alias(c) for c in ("in_coverage", "in_members", "ticker_dup")]
+    return flagged.select("company_id", "name", "match_method", "ticker", *flags)
 
 
-@query("universe_match_counts", "E27 D11")
+@query(
+    "universe_match_counts",
+    "E27 D11",
+    f"""WITH {_KNOWN} SELECT split_part(match_method, ':', 1) AS match_method, count(*) AS entities,
+        count(*) FILTER (starts_with(ticker, 'P')) AS covered_members FROM resolved GROUP BY 1""",
+)
 def universe_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identity.resolve_entities(_covered(spark, sf_dir), _members(spark, sf_dir), _registry(spark, sf_dir), {}, {})
-    return identity.match_method_counts(rows)
+    covered, members, registry = _known_lists(spark, sf_dir)
+    return identity.match_method_counts(identity.resolve_entities(covered, members, registry, _PRIVATE, _MANUAL))
 
 
 @query(

@@ -298,12 +298,11 @@ def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "backtest_small_periods",
     "F28",
-    f"""WITH {B.PANEL_SQL} SELECT quarter, count(*) AS n, 'not enough observations for 60 quantiles' AS warning FROM panel
-        WHERE log_market_cap IS NOT NULL AND future_revenue_growth_qoq IS NOT NULL AND sector = 'ASIA' GROUP BY 1 HAVING count(*) < 60""",
+    f"""WITH {B.PANEL_SQL} SELECT quarter, count(*) AS n, 'not enough observations for 100 quantiles' AS warning FROM panel
+        WHERE log_market_cap IS NOT NULL AND future_revenue_growth_qoq IS NOT NULL GROUP BY 1 HAVING count(*) < 100""",
 )
 def backtest_small_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = B.panel(spark, sf_dir).where(F.col("sector") == "ASIA")
-    return backtest.small_periods(panel, "log_market_cap", "future_revenue_growth_qoq", quantiles=60).select(
+    return backtest.small_periods(B.panel(spark, sf_dir), "log_market_cap", "future_revenue_growth_qoq", quantiles=100).select(
         "quarter", count("n"), "warning"
     )
 

@@ -76,12 +76,12 @@ def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as postings: the source is the employer, the first 40 characters the title."""
+    """Documents as postings: the source is the employer, the first line the title."""
     d = B.table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("job_posting_id"),
         F.concat(F.col("source"), F.lit(" ")).alias("ticker"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("lang").alias("department"),
         F.col("text").alias("description"),
         F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")).alias("collected_at"),
@@ -94,7 +94,7 @@ POSTING_WORDS = ["the", "und der", "que", "stupid"]
 _TEXT = r"nullif(trim(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), '')"
 _COLLAPSED = {c: _TEXT.format(c) for c in ("title", "department", "description")}
 POSTINGS_SQL = rf"""raw_postings AS (
-  SELECT CAST(doc_id AS VARCHAR) AS job_posting_id, upper(source) AS ticker, substr(text, 1, 40) AS title, lang AS department, text AS description,
+  SELECT CAST(doc_id AS VARCHAR) AS job_posting_id, upper(source) AS ticker, split_part(text, chr(10), 1) AS title, lang AS department, text AS description,
          CAST('2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS TIMESTAMP) AS collected_at,
          CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_active FROM documents),
 hashed AS (
