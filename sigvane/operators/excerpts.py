@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,22 @@ from sigvane import constants as K
 _HEADING = r"(?iuU)item\s+(\d+a?b?)[.\s]"
 
 
+@cache
+def _letters_like(letter: str) -> str:
+    """The characters that equal ``letter`` when case is ignored: those of the same lower case of the upper case."""
+
+    def folded(c: str) -> str:
+        upper = c.upper() if len(c.upper()) == 1 else c
+        return upper.lower()[0]
+
+    return "".join(c for c in map(chr, range(0x10000)) if folded(c) == folded(letter))
+
+
 def term_pattern(terms: Sequence[str]) -> str:
+    """The terms as whole words; a look at the first letter spares most places the alternatives."""
     word = r"[\p{L}\p{N}_]"
-    return rf"(?iu)(?<!{word})(?:{'|'.join(re.escape(t) for t in terms)})(?!{word})"
+    first = re.escape("".join(sorted({c for t in terms for c in _letters_like(t[0])})))
+    return rf"(?=[{first}])(?<!{word})(?iu:{'|'.join(re.escape(t) for t in terms)})(?!{word})"
 
 
 def hit_spans(documents: DataFrame, text: str, terms: Sequence[str], out: str = "spans") -> DataFrame:
@@ -23,14 +37,15 @@ def hit_spans(documents: DataFrame, text: str, terms: Sequence[str], out: str =
     return _match_spans(documents, text, term_pattern(terms), out)
 
 
-def _match_spans(documents: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
-    """Offsets are running lengths of the pieces between matches and of the matches themselves."""
-    rows = documents.withColumns(
-        {
-            "_gaps": F.transform(F.split(F.col(text), pattern, -1), F.length),
-            "_hits": F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.length),
-        }
+def _match_spans(documents: DataFrame, text: str, pattern: str, out: str, matches: str | None = None) -> DataFrame:
+    """Offsets are running lengths of the pieces between matches and of the matches themselves, which go to ``matches``."""
+    # Nothing is pushed below a generator: a filter on the spans does not search the text again.
+    found = F.struct(
+        F.transform(F.split(F.col(text), pattern, -1), F.length).alias("_gaps"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_matches")
     )
+    rows = documents.select("*", F.explode_outer(F.array(found)).alias("_found")).select("*", "_found._gaps", "_found._matches").drop("_found")
+    rows = rows.withColumn("_hits", F.transform("_matches", F.length))
+    rows = rows.drop("_matches") if matches is None else rows.withColumnRenamed("_matches", matches)
     walk = """aggregate(arrays_zip(slice(_gaps, 1, size(_hits)), _hits),
         named_struct('at', 0, 'spans', CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)),
         (acc, h) -> named_struct(
@@ -55,9 +70,8 @@ def excerpts(
     """
     keep = [c for c in documents.columns if c != text]
     rows = hit_spans(documents, text, terms).where(F.col("spans").isNotNull())
-    rows = _match_spans(rows, text, _HEADING, "_headings").withColumn(
-        "_labels", F.transform(F.regexp_extract_all(F.col(text), F.lit(_HEADING), F.lit(1)), F.lower)
-    )
+    rows = _match_spans(rows, text, _HEADING, "_headings", "_labels")
+    rows = rows.withColumn("_labels", F.transform("_labels", lambda h: F.lower(F.regexp_extract(h, _HEADING, 1))))
     # ``transform(array(x), v -> ...)[0]`` evaluates x once and names it v.  Window ends never decrease, so
     # an island starts where a window clears the one before it.
     windows = f"transform(spans, s -> named_struct('f', greatest(0, s.start - {radius}), 't', least(length(`{text}`), s.end + {radius})))"
@@ -75,7 +89,7 @@ def excerpts(
         rows = rows.withColumn("_n", F.expr(fitting))
         rows = rows.withColumns({"n_dropped": F.size("_chunks") - F.col("_n"), "_chunks": F.slice("_chunks", F.lit(1), F.col("_n"))})
         dropped = ["n_dropped"]
-    flat = rows.select(*keep, *dropped, F.explode("_chunks").alias("_e")).select(*keep, *dropped, "_e.*")
+    flat = rows.select(*keep, *dropped, F.explode_outer("_chunks").alias("_e")).where(F.col("_e").isNotNull()).select(*keep, *dropped, "_e.*")
     heading = F.col("heading")
     names = F.create_map(*[F.lit(x) for pair in K.SECTION_NAMES.items() for x in pair])
     section = F.when(heading.isNull(), "other").otherwise(F.coalesce(F.try_element_at(names, heading), F.concat(F.lit("item_"), heading)))

@@ -145,22 +145,37 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "document_excerpts",
-    "J5 J6 J7",
-    f"""WITH {_HITS}, wide AS (SELECT h.doc_id, greatest(0, s - {K.EXCERPT_RADIUS}) AS s, least(length(text), e + {K.EXCERPT_RADIUS}) AS e, h.s AS hit_at FROM hits h JOIN filings d USING (doc_id)),
+_EXCERPTS = rf"""{_HITS}, wide AS (SELECT h.doc_id, greatest(0, s - {K.EXCERPT_RADIUS}) AS s, least(length(text), e + {K.EXCERPT_RADIUS}) AS e, h.s AS hit_at FROM hits h JOIN filings d USING (doc_id)),
     marked AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY hit_at) THEN 0 ELSE 1 END AS fresh FROM wide),
     islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY hit_at ROWS UNBOUNDED PRECEDING) AS g FROM marked),
-    merged AS (SELECT doc_id, g, min(s) AS s, max(e) AS e FROM islands GROUP BY 1, 2)
-    SELECT doc_id, CAST(g - 1 AS BIGINT) AS excerpt_index, s AS start,
+    merged AS (SELECT doc_id, g, min(s) AS s, max(e) AS e FROM islands GROUP BY 1, 2),
+    excerpts AS (SELECT doc_id, CAST(g - 1 AS BIGINT) AS excerpt_index, s AS start,
            CASE WHEN s >= 25 + 2 * third THEN 'mdna' WHEN s >= 17 + third THEN 'risk_factors' WHEN s >= 7 THEN 'business' ELSE 'other' END AS section,
-           regexp_replace(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM merged JOIN filings USING (doc_id)""",
-)
+           regexp_replace(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '^\s+|\s+$', '', 'g') AS excerpt FROM merged JOIN filings USING (doc_id))"""
+
+
+@query("document_excerpts", "J5 J7", f"WITH {_EXCERPTS} SELECT * FROM excerpts")
 def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = excerpts.excerpts(filings(spark, sf_dir), "text", EXCERPT_TERMS)
     return rows.select("doc_id", count("excerpt_index"), "start", "section", "excerpt")
 
 
+_BUDGET = 3000  # characters; several documents have more in their excerpts
+
+
+@query(
+    "document_excerpts_budget",
+    "J5 J6 J7",
+    f"""WITH {_EXCERPTS}, running AS (SELECT *, sum(length(excerpt)) OVER (PARTITION BY doc_id ORDER BY excerpt_index) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM excerpts),
+    kept AS (SELECT * FROM running WHERE total <= {_BUDGET})
+    SELECT doc_id, excerpt_index, start, section, CAST(length(excerpt) AS BIGINT) AS characters, CAST(n - count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS n_dropped FROM kept""",
+)
+def document_excerpts_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts in order up to a budget of characters; a document whose first one exceeds it has none."""
+    rows = excerpts.excerpts(filings(spark, sf_dir), "text", EXCERPT_TERMS, budget=_BUDGET)
+    return rows.select("doc_id", count("excerpt_index"), "start", "section", F.length("excerpt").cast("long").alias("characters"), count("n_dropped"))
+
+
 @query(
     "verified_quotes",
     "F32",
