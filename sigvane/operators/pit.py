@@ -239,16 +239,17 @@ def build_panel(
             "timing_warning": F.when(late, "score_available_at after prediction_date").otherwise(""),
         }
     )
-    # Written once, so the group means do not walk the timelines again.
-    rows = add_group_excess(materialize(rows), "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q")
-    if strict:
-        rows = rows.where(~F.col("timing_violation"))
-    panel = rows.select(*PANEL_COLUMNS)
+    # Written once, so neither the key test nor the group means walk the timelines again.
+    rows = materialize(rows)
     if unique:
-        repeated = [r["key"] for r in panel_key_violations(panel).limit(5).collect()]
+        judged = rows.where(~F.col("timing_violation")) if strict else rows
+        repeated = [r["key"] for r in panel_key_violations(judged).limit(5).collect()]
         if repeated:
             raise ValueError(f"the panel has more than one row for some companies and quarters, such as {sorted(repeated)}")
-    return panel
+    rows = add_group_excess(rows, "fwd_return_1q", ["sector", "score_quarter"], "fwd_excess_return_1q")
+    if strict:
+        rows = rows.where(~F.col("timing_violation"))
+    return rows.select(*PANEL_COLUMNS)
 
 
 def panel_key_violations(panel: DataFrame) -> DataFrame:
