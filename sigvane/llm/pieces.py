@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -192,9 +193,9 @@ class StreamingViterbi:
 
 
 class Words(dict):
-    """The ids of words, as bytes; up to ``limit`` short ones are remembered."""
+    """The ids of words, as bytes; up to ``limit`` short ones are remembered, and the older half of them forgotten then."""
 
-    def __init__(self, pieces: Pieces, limit: int, short: int = 64):
+    def __init__(self, pieces: Pieces, limit: int, short: int = 24):
         super().__init__()
         self.pieces, self.limit, self.short = pieces, limit, short
 
@@ -206,15 +207,16 @@ class Words(dict):
             ids = array("i", stream.push(word) + stream.finish()).tobytes()
         if len(word) <= self.short:
             if len(self) >= self.limit:
-                self.clear()
+                for old in list(islice(self, self.limit // 2)):
+                    del self[old]
             self[word] = ids
         return ids
 
 
 class Encoder:
-    """Encodes whole texts, word by word where no piece crosses between words."""
+    """Encodes whole texts, word by word where no piece crosses between words; remembered words take about 250 bytes each."""
 
-    def __init__(self, pieces: Pieces, limit: int = 600_000):
+    def __init__(self, pieces: Pieces, limit: int = 400_000):
         self.pieces = pieces
         self.words = Words(pieces, limit)
 
@@ -268,5 +270,17 @@ def decode_column(ids: Column, path: str | None = None) -> Column:
 
 def code_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` of every text and ``decoded``, the text read back from them (under free names)."""
-    ids, decoded = free_name(docs, "ids"), free_name(docs, "decoded")
-    return docs.withColumn(ids, encode_column(F.col("text"), path)).withColumn(decoded, decode_column(F.col(ids), path))
+    ids, decoded, coded = free_name(docs, "ids"), free_name(docs, "decoded"), free_name(docs, "coded")
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both_ways(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = loaded(path)
+        for batch in batches:
+            rows = [encoder.encode(value or "") for value in batch.to_pylist()]
+            ends = np.cumsum([0, *map(len, rows)]) // 4
+            values = np.frombuffer(b"".join(rows), "<i4")
+            texts = pa.array((encoder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)), pa.string(), size=len(rows))
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), texts], names=["ids", "decoded"])
+
+    # One worker for each task does both.
+    return docs.withColumn(coded, both_ways(F.col("text"))).withColumns({ids: F.col(coded)["ids"], decoded: F.col(coded)["decoded"]}).drop(coded)
