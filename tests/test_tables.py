@@ -255,8 +255,9 @@ def test_resolution_order(spark):
     assert got["3"]["in_members"] and got["3"]["cik"] == "0000000002"
 
 
-def test_resolution_queries_cover_every_part(spark):
-    import __spark_entry__ as entrypoint
+def test_resolution_of_part_names_covers_every_part(spark):
+    """The real part names, many of them alike, against brute force; the queries' own names are held by their SQL."""
+    from sigvane.plans import queries_entities as Q
 
     sf_dir = "/root/testdata/sf0.001"
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand").collect()
@@ -279,7 +280,9 @@ def test_resolution_queries_cover_every_part(spark):
         return None, "unmatched"
 
     listed = {"Unlisted small ring Brand#2": (None, "private:private"), "Unlisted red bolt Brand#1": ("P2", "manual")}
-    full = entrypoint.queries()["entity_resolution_full"](spark, sf_dir).collect()
+    inputs = Q._covered(spark, sf_dir), Q._members(spark, sf_dir), Q._registry(spark, sf_dir)
+    resolved = identity.resolve_entities(*inputs, {"Unlisted small ring Brand#2": "private"}, {"Unlisted red bolt Brand#1": "P2"})
+    full = identity.flag_universe_duplicates(identity.add_uncovered_members(resolved, inputs[1])).collect()
     covered = [r for r in full if r["in_coverage"]]
     assert len(covered) == len(parts)
     assert {r["company_id"]: (r["ticker"], r["match_method"]) for r in covered} == {str(k): expected(k, f"{n} {b}", listed) for k, n, b in parts}
@@ -287,7 +290,7 @@ def test_resolution_queries_cover_every_part(spark):
     assert sorted(r["ticker"] for r in full if not r["in_coverage"]) == sorted(f"P{k}" for k, _, _ in parts if k % 2 == 0 and f"P{k}" not in taken)
 
     methods = [(expected(k, f"{n} {b}")) for k, n, b in parts]
-    counts = {r["match_method"]: r["entities"] for r in entrypoint.queries()["universe_match_counts"](spark, sf_dir).collect()}
+    counts = {r["match_method"]: r["entities"] for r in identity.match_method_counts(identity.resolve_entities(*inputs, {}, {})).collect()}
     assert counts == {m: sum(x[1].split(":")[0] == m for x in methods) for m in {x[1].split(":")[0] for x in methods}}
 
 
