@@ -65,6 +65,26 @@ def flatten_scores(pages: DataFrame, content: str = "content") -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != content], *columns)
 
 
+def score_dimensions(pages: DataFrame, content: str = "content") -> DataFrame:
+    """One row per page and score dimension, whatever dimensions the page has; ``content`` is a variant.
+
+    A dimension is an object below ``aiScores``; pages without scores have no rows.  Scores that are no numbers are null.
+    """
+    kept = [c for c in pages.columns if c != content]
+    scores = pages.withColumn("_scores", F.try_variant_get(content, "$.aiScores", "variant")).drop(content)
+    parts = scores.lateralJoin(pages.sparkSession.tvf.variant_explode(F.col("_scores").outer()))
+    dimensions = parts.where(F.schema_of_variant("value").startswith("OBJECT"))
+
+    def entries(name: str) -> Column:
+        return F.coalesce(F.size(F.try_variant_get("value", f"$.{name}", "array<variant>")), F.lit(0))
+
+    return dimensions.select(
+        *kept, F.col("key").alias("dimension"), F.try_variant_get("value", "$.score", "string").try_cast("double").alias("score"),
+        F.try_variant_get("value", "$.label", "string").alias("label"), F.try_variant_get("value", "$.confidence", "string").alias("confidence"),
+        entries("evidence").alias("n_evidence"), entries("missingEvidence").alias("n_missing_evidence"), entries("subDimensions").alias("n_sub_dimensions"),
+    )
+
+
 def best_pages(pages: DataFrame) -> DataFrame:
     """Per entity the highest-version page that has scores."""
     scored = pages.where(F.col("content.aiScores").isNotNull()).withColumn("_v", F.coalesce("version", F.lit(0)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
+from sigvane import runtime
 from sigvane.operators import backtest, cross_section, facts, hiring, identity, pit, profile, universe
 from sigvane.operators.ic import unpivot_pairs
 from sigvane.operators.ordering import prefix_sums
@@ -16,7 +17,7 @@ from sigvane.plans import sql_text as S
 from sigvane.plans.queries_panel import dates, rounded, rounded_sql
 from sigvane.plans.queries_signals import count
 from sigvane.plans.registry import query
-from sigvane.sources import readers
+from sigvane.sources import readers, sinks
 
 # --- quarterly facts ---------------------------------------------------------------------------------
 
@@ -224,8 +225,8 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- score pages and the universe --------------------------------------------------------------------
 
 
-def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score history as page versions with JSON content.
+def raw_score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score history as page versions with JSON content, which has a dimension that no schema lists.
 
     Pages before 1998, the newest ones of every fourth entity and all of every fifth are pages whose content has no scores.
     """
@@ -248,10 +249,15 @@ def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.struct(
         (F.col("ai_adoption_score") + 0.5).cast("string").alias("maturityIndex"), F.lit("stage").alias("maturityStage"), F.col("snapshot_date").cast("string").alias("assessedAt"),
         dimension("ai_adoption_score").alias("adoption"), dimension("ai_fluency_score").alias("proficiency"), dimension("ai_impact_score").alias("impact"),
+        dimension("ai_hiring_score").alias("ambition"),
     )
     content = F.to_json(F.struct(F.when(scored, scores).alias("aiScores"), F.array(F.lit("app"), F.lit("tool")).alias("aiAppsUsed")))
     version = (F.col("year") * 4 + F.quarter("snapshot_date")).cast("int")
-    raw = s.select("company_id", version.alias("version"), F.col("snapshot_date").cast("string").alias("created_at"), content.alias("json"))
+    return s.select("company_id", version.alias("version"), F.col("snapshot_date").cast("string").alias("created_at"), content.alias("json"))
+
+
+def score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_score_pages(spark, sf_dir)
     return raw.select("company_id", "version", "created_at", F.from_json("json", universe.CONTENT_SCHEMA).alias("content"))
 
 
@@ -262,20 +268,26 @@ last_scores AS (SELECT company_id, arg_max(ai_adoption_score, snapshot_date) AS
 page_counts AS (SELECT company_id, count(*) AS n_pages, max(year(snapshot_date) * 4 + quarter(snapshot_date)) AS max_version FROM scores GROUP BY 1)"""
 
 
-@query(
-    "score_pages_flattened",
-    "B33 E8 H4 D9",
-    f"""WITH {_PAGES}
+_FLATTENED_SQL = f"""WITH {_PAGES}
     SELECT company_id, year(d) * 4 + quarter(d) AS page_version, n_pages, CAST(a + 0.5 AS DOUBLE) AS maturity_index, CAST(a AS DOUBLE) AS adoption_score, CAST(f AS DOUBLE) AS proficiency_score,
            CASE WHEN a >= 4 THEN 'high' WHEN a IS NOT NULL THEN 'low' END AS adoption_label, a AS adoption_n_evidence, CASE WHEN a IS NOT NULL THEN 1 END AS impact_n_missing_evidence,
            CASE WHEN i <> 3 THEN CAST(i AS DOUBLE) END AS "sub_leadershipDepth", CAST(NULL AS DOUBLE) AS "sub_repeatability",
            a // 3 + f // 3 + i // 3 AS evidence_sec, (a + 2) // 3 + (f + 2) // 3 + (i + 2) // 3 AS evidence_news,
            (a + 1) // 3 + (f + 1) // 3 + (i + 1) // 3 AS evidence_other, CASE WHEN a IS NOT NULL THEN 2 END AS n_ai_apps_used,
            CASE WHEN a IS NOT NULL THEN 0 END AS n_initiatives, max_version
-    FROM page_counts LEFT JOIN last_scores USING (company_id)""",
+    FROM page_counts LEFT JOIN last_scores USING (company_id)"""
+
+
+@query(
+    "score_pages_flattened",
+    "B33 E8 H4 D9",
+    _FLATTENED_SQL,
 )
 def score_pages_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = score_pages(spark, sf_dir)
+    return _flattened(spark, sf_dir, score_pages(spark, sf_dir))
+
+
+def _flattened(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
     entities = B.companies(spark, sf_dir).select("company_id").join(pages.select("company_id").distinct(), "company_id", "left_semi")
     rows = universe.scored_entities(entities, pages)
     return rows.select(
@@ -284,6 +296,39 @@ def score_pages_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> str:
+    """The pages as JSON arrays, their content nested in the array's objects."""
+    raw = raw_score_pages(spark, sf_dir)
+    nested = raw.select("company_id", "version", "created_at", F.parse_json("json").alias("content"))
+    return sinks.write_json_snapshot(nested, runtime.scratch_path(spark, "pages"), ["company_id", "version"], rows_per_file=500)
+
+
+_PAGE_COLUMNS = "company_id string, version int, created_at string"
+
+
+@query("score_pages_from_snapshot", "A8 B33 E8 H4 D9", _FLATTENED_SQL)
+def score_pages_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattened scores of pages that were stored as JSON arrays."""
+    pages = readers.read_json_snapshot(spark, _snapshot(spark, sf_dir), f"{_PAGE_COLUMNS}, content {universe.CONTENT_SCHEMA}")
+    return _flattened(spark, sf_dir, pages)
+
+
+@query(
+    "score_dimensions",
+    "A8 B33",
+    f"""WITH {B.ENTITY_QUARTERS_SQL}, {B.SCORES_SQL},
+    scored AS (SELECT * FROM scores WHERE year(snapshot_date) >= 1998
+               AND NOT (year(snapshot_date) >= 2001 AND CAST(company_id AS INTEGER) % 4 = 0) AND CAST(company_id AS INTEGER) % 5 <> 1),
+    d AS ({" UNION ALL ".join(f"SELECT company_id, snapshot_date, '{n}' AS dimension, {c} AS v FROM scored" for n, c in (("adoption", "ai_adoption_score"), ("proficiency", "ai_fluency_score"), ("impact", "ai_impact_score"), ("ambition", "ai_hiring_score")))})
+    SELECT company_id, year(snapshot_date) * 4 + quarter(snapshot_date) AS version, dimension, CAST(v AS DOUBLE) AS score, CASE WHEN v >= 4 THEN 'high' ELSE 'low' END AS label,
+           'medium' AS confidence, coalesce(v, 0) AS n_evidence, 1 AS n_missing_evidence, 2 AS n_sub_dimensions FROM d""",
+)
+def score_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dimension of every page of the snapshot, listed in a schema or not."""
+    pages = readers.read_json_snapshot(spark, _snapshot(spark, sf_dir), f"{_PAGE_COLUMNS}, content variant")
+    return universe.score_dimensions(pages).drop("created_at")
+
+
 def _duplicate_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers under the name of their nation, so names repeat; one nation is the test entity."""
     s = B.table(spark, sf_dir, "supplier")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
-from sigvane import runtime
+from sigvane import runtime, schemas
 from sigvane.functions import calendar as cal
 from sigvane.functions import numeric as num
 from sigvane.functions import text as tx
@@ -16,7 +16,7 @@ from sigvane.plans import bindings as B
 from sigvane.plans.queries_panel import dates, rounded
 from sigvane.plans.queries_signals import count
 from sigvane.plans.registry import query
-from sigvane.sources import readers, sinks
+from sigvane.sources import ledger, readers, sinks, versions
 
 
 def flag(name: str):
@@ -644,6 +644,58 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+@query(
+    "postings_csv_round_trip",
+    "A4 A6 B21 B30 H2 J1",
+    f"""WITH {POSTINGS_SQL} SELECT job_posting_id, ticker, title, department, CAST(length(description) AS BIGINT) AS description_length, raw_hash,
+        CAST(collected_at AS VARCHAR) AS collected_at, is_active, is_ai_keyword_matched, is_likely_duplicate FROM postings""",
+)
+def postings_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written as CSV, their descriptions with line breaks inside quotes, and loaded again."""
+    path = sinks.write_table(raw_postings(spark, sf_dir), runtime.scratch_path(spark, "postings.csv"))
+    checked = normalize.normalize_postings(readers.read_table(spark, path, multi_line=True), POSTING_WORDS)
+    return checked.rows.select(
+        "job_posting_id", "ticker", "title", "department", F.length("description").cast("long").alias("description_length"), "raw_hash",
+        F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss").alias("collected_at"), flag("is_active"), flag("is_ai_keyword_matched"), flag("is_likely_duplicate"),
+    )
+
+
+def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
+    """(ticker, value): one JSON document a company, with a result per scored quarter.
+
+    The second delivery has companies that the first had not, lacks some that it had and has other titles for a third.
+    """
+    key = F.col("company_id").cast("int")
+    here = key % 5 != 0 if delivery == 1 else key % 7 != 6
+    title = F.concat("score_quarter", F.when((key % 3 == 0) & F.lit(delivery == 2), " again").otherwise(""))
+    day = F.col("snapshot_date").cast("string")
+    result = F.struct(title.alias("title"), F.concat(F.lit("https://jobs.example/"), "company_id", F.lit("/"), day).alias("url"), day.alias("published_date"))
+    ticker = F.concat(F.lit("S"), "company_id").alias("ticker")
+    results = B.scores(spark, sf_dir).where(here).select(ticker, day.alias("day"), result.alias("result"))
+    packed = results.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "result"))), lambda x: x["result"]).alias("results"))
+    return packed.select("ticker", F.to_json(F.struct("ticker", F.concat(F.lit("Company "), "ticker").alias("company"), F.lit("2002").alias("snapshot"), "results")).alias("value"))
+
+
+@query(
+    "search_results_by_key",
+    "A9 A17",
+    f"""WITH {B.ENTITY_QUARTERS_SQL}, {B.SCORES_SQL}, t AS (SELECT *, CAST(company_id AS INTEGER) AS k FROM scores),
+    a AS (SELECT *, CASE WHEN k % 7 = 6 THEN 'deleted' WHEN k % 5 = 0 THEN 'added' WHEN k % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS action FROM t WHERE k % 5 <> 0 OR k % 7 <> 6)
+    SELECT 'S' || company_id AS key, action, CAST(row_number() OVER (PARTITION BY company_id ORDER BY snapshot_date) - 1 AS INTEGER) AS result_index,
+           score_quarter || CASE WHEN action <> 'unchanged' AND k % 3 = 0 THEN ' again' ELSE '' END AS title, CAST(snapshot_date AS VARCHAR) AS published_date FROM a WHERE action <> 'deleted'
+    UNION ALL SELECT DISTINCT 'S' || company_id, action, NULL, NULL, NULL FROM a WHERE action = 'deleted'""",
+)
+def search_results_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of per-key files: the second run parses what is new or changed and keeps the rows of the rest."""
+    root = runtime.scratch_path(spark, "search")
+    for delivery in (1, 2):
+        folder = f"{root}/in/{delivery}"
+        _search_files(spark, sf_dir, delivery).write.partitionBy("ticker").text(folder)
+        log = ledger.refresh(spark, folder, f"{root}/tables", schemas.SEARCH_RESULTS, r"/ticker=([^/]+)/", "*.txt")
+    results = versions.read_current(spark, f"{root}/tables", "rows").select("key", F.posexplode("results").alias("result_index", "_r"))
+    return log.join(results, "key", "left").select("key", "action", "result_index", "_r.title", "_r.published_date")
+
+
 @query(
     "snapshot_latest",
     "A13 A14 A6",

@@ -10,6 +10,7 @@ from sigvane import schemas
 from sigvane.operators import normalize
 from sigvane.operators.extraction import document_errors, document_warnings
 from sigvane.operators.ordering import prefix_sums
+from sigvane.sources.records import read_quoted_csv
 
 LONG_TEXT = 12_000  # characters; longer texts are kept and reported
 
@@ -17,7 +18,7 @@ LONG_TEXT = 12_000  # characters; longer texts are kept and reported
 def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """A .csv or .parquet table; CSV columns are text unless a schema is given, so identifiers keep their zeros.
 
-    CSV files are split among tasks; ``multi_line`` allows line breaks inside quotes, at the price of one task a file.
+    CSV files are split among tasks; ``multi_line`` allows line breaks inside quotes, at the price of a shuffle of the text.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "parquet"):
@@ -25,7 +26,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == "parquet":
         return reader.parquet(path)
-    return reader.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    if multi_line:
+        return read_quoted_csv(spark, path, schema)
+    return reader.option("header", True).option("escape", '"').csv(path)
 
 
 def load_scores(spark: SparkSession, path: str, available_at: str | None = None) -> DataFrame:
@@ -41,7 +44,7 @@ def load_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_postings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Descriptions hold line breaks, so their files are read whole unless the caller knows better."""
+    """Descriptions hold line breaks, so records are glued from lines unless the caller knows better."""
     return normalize.normalize_postings(read_table(spark, path, multi_line=multi_line)).strict("posting file")
 
 
@@ -61,8 +64,11 @@ def read_optional(spark: SparkSession, path: str, schema: str, label: str, missi
 
 
 def read_json_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table stored as one JSON array per file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A table stored as one JSON array per file, also in folders below ``path``.
+
+    A column of type ``variant`` keeps whatever the snapshot holds there.  A file is read by one task, so a large table has many.
+    """
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
 def read_json_files(spark: SparkSession, directory: str, schema: str, glob: str = "*.json") -> DataFrame:

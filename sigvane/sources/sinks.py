@@ -26,6 +26,19 @@ def write_extractions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_json_snapshot(df: DataFrame, path: str, by: list[str], rows_per_file: int = 10_000) -> str:
+    """Write files of one JSON array each, of about ``rows_per_file`` rows; rows go to files by a hash of ``by``.
+
+    ``by`` should tell rows apart, or equal ones share a file.  Null fields are left out.
+    """
+    files = max(1, -(-df.count() // rows_per_file))
+    number = F.pmod(F.xxhash64(*by), F.lit(files)).alias("file")
+    lines = df.select(number, F.to_json(F.struct(*[f"`{c}`" for c in df.columns])).alias("line"))
+    arrays = lines.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("line")), ",\n").alias("value"))
+    arrays.select("file", F.concat(F.lit("["), "value", F.lit("]")).alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    return path
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot: str) -> str:
     """Write one snapshot as a partition; other snapshots stay."""
     tagged = df.withColumn("snapshot", F.lit(snapshot))
