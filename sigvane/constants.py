@@ -129,11 +129,11 @@ SIGNAL_RULES = {
     "ai_productivity_claim": (1, ["productivity", "efficiency", "cost savings", "reduced", "automated"]),
 }
 SIGNAL_NAMES = list(SIGNAL_RULES)
-EXTRACTOR_NAME = "mock-evidence-extractor-v1"
-EXTRACTION_SCHEMA_VERSION = "ai_signal_extraction_schema_v1"
-EXTRACTION_PROMPT_VERSION = "ai_signal_extraction_v1"
-NO_EVIDENCE_NOTE = "No explicit AI adoption evidence found in the source text."
-NULL_SIGNAL_NOTE = "Some signal dimensions were null because evidence was insufficient."
+EXTRACTOR_NAME = "keyword-rules"
+EXTRACTION_SCHEMA_VERSION = "evidence-record-1"
+EXTRACTION_PROMPT_VERSION = "keyword-rules-1"
+NO_EVIDENCE_NOTE = "The text has none of the evidence terms."
+NULL_SIGNAL_NOTE = "Signals without evidence have no score."
 SOURCE_TYPES = ["sec_filing", "earnings_transcript", "job_posting", "news_article", "company_web_page"]
 SOURCE_TYPE_ALIASES = {
     "sec filing": "sec_filing",

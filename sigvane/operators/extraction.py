@@ -59,7 +59,7 @@ def _signal(matched: Column, base: int, has_evidence: Column) -> Column:
             F.when(n > 0, F.least(F.lit(5), n + base)).alias("score"),
             F.when(n > 0, 0.65 + F.least(F.lit(0.25), n * 0.05)).otherwise(0.15).alias("confidence"),
             F.when(n > 0, F.array(F.lit("ev1"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
-            F.when(n > 0, F.concat(F.lit("Matched evidence keywords: "), F.array_join(F.slice(matched, 1, 3), ", "))).alias("rationale"),
+            F.when(n > 0, F.concat(F.lit("the text has the words "), F.array_join(F.slice(matched, 1, 3), ", "))).alias("rationale"),
         )
     )
 

@@ -118,7 +118,7 @@ def stratified_sample(df: DataFrame, id_col: str, bucket: str = "sampling_bucket
     The rank filter is applied before the shuffle too, so a hot bucket sends only its leaders.
     """
     if per_bucket < 0:
-        raise ValueError("per_bucket must be non-negative")
+        raise ValueError("per_bucket is less than zero")
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_available"))
     place = F.row_number().over(Window.partitionBy(bucket).orderBy("_draw", id_col))
@@ -159,6 +159,12 @@ def stratified_pilot(df: DataFrame, score: str, sector: str, tie: str, bands: Se
 # --- requests and replies ----------------------------------------------------------------------------
 
 
+def result_line(title: Column, url: Column, snippet: Column) -> Column:
+    """One result in a request: its number in the batch, title and address, and below them what its text says, if anything."""
+    head = F.concat(F.lit("["), F.col("result_index").cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit(" <"), F.coalesce(url, F.lit("")), F.lit(">"))
+    return F.concat(head, F.when(F.length(tx.strip(snippet)) > 0, F.concat(F.lit("\n    "), snippet)).otherwise(F.lit("")))
+
+
 def request_batches(results: DataFrame, entity: str, order: str, header: Column, body: Column, size: int = 25) -> DataFrame:
     """Results of an entity in groups of ``size``, each rendered as one request text.
 

@@ -34,7 +34,7 @@ def join_on_key(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     q.require_columns(right, [key], "right dataset")
     left, right = _normalized(left, key), _normalized(right, key)
     if key_cardinality(left, right, key) == "many_to_many":
-        raise ValueError(f"Refusing many-to-many join on {key}")
+        raise ValueError(f"{key} repeats on both sides of the join")
     clashes = {c: f"{c}{suffix}" for c in right.columns if c != key and c in left.columns}
     return left.join(right.withColumnsRenamed(clashes), key, how)
 

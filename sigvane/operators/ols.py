@@ -451,7 +451,7 @@ def _fit_cells(controls: list[str], min_obs: int):
             return pd.DataFrame([row], dtype=object)
 
         if n < min_obs:
-            return warn(f"Need at least {min_obs} observations for OLS; got {n}")
+            return warn(f"{n} rows are fewer than the {min_obs} asked for")
         weight = cells["_n"].to_numpy(float)
         names, dummies = ["Intercept"], [np.ones(len(cells))]
         for column, label in (("_fe1", "sector"), ("_fe2", "quarter")):
@@ -462,8 +462,7 @@ def _fit_cells(controls: list[str], min_obs: int):
         names += [signal, *controls]
         if n <= len(names):
             return warn(
-                "Need more observations than model parameters for OLS; "
-                f"got {n} observations and {len(names)} parameters"
+                f"{n} rows cannot settle {len(names)} coefficients"
             )
         means = cells[[f"_m_{v}" for v in variables]].to_numpy(float)
         grand = weight @ means / n

@@ -26,12 +26,12 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
 def require_columns(df: DataFrame, required: Iterable[str], what: str) -> None:
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"{what} is missing required columns: {missing}")
+        raise ValueError(f"{what} lacks the columns {missing}")
 
 
 def require_any_column(df: DataFrame, choices: Sequence[str], what: str) -> None:
     if not any(c in df.columns for c in choices):
-        raise ValueError(f"{what} must include at least one of {' or '.join(choices)}")
+        raise ValueError(f"{what} has none of the columns {', '.join(choices)}")
 
 
 def _text(c: Column) -> Column:

@@ -421,7 +421,7 @@ _FORMULA = " + ".join([K.COMPOSITE, *K.DEFAULT_CONTROLS, "C(sector)", "C(quarter
     "pooled_regression_warnings",
     "F12",
     f"""WITH {B.PANEL_SQL} SELECT '{K.COMPOSITE}' AS signal, 'fwd_return_1q' AS outcome, count(*) AS nobs,
-        'Need at least 1000000 observations for OLS; got ' || count(*) AS warning, 'fwd_return_1q ~ {_FORMULA}' AS formula
+        count(*) || ' rows are fewer than the 1000000 asked for' AS warning, 'fwd_return_1q ~ {_FORMULA}' AS formula
         FROM panel WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [K.COMPOSITE, "fwd_return_1q", "sector", "quarter", *K.DEFAULT_CONTROLS])}""",
 )
 def pooled_regression_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from sigvane.operators import backtest, ic, ordering, robustness
 from sigvane.plans import bindings as B
 from sigvane.plans import sql_text as S
 from sigvane.plans.queries_panel import rounded, rounded_sql
-from sigvane.plans.registry import query
+from sigvane.plans.registry import QUERIES, query
 
 SIGNALS = K.DEFAULT_SIGNALS
 OUTCOMES = K.IC_OUTCOMES
@@ -405,6 +405,15 @@ def lag_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROXIES = ["filing_length", "source_document_count"]
 
 
+def _disclosing_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with two measures of how much an entity discloses."""
+    lengths = B.entity_quarters(spark, sf_dir).select(
+        "company_id", F.col("period_end").alias("snapshot_date"), F.col("lines").alias("filing_length"),
+        F.col("parts").alias("source_document_count"),
+    )
+    return B.panel(spark, sf_dir).join(lengths, ["company_id", "snapshot_date"])
+
+
 @query(
     "disclosure_bias_proxy",
     "F10",
@@ -415,12 +424,7 @@ _PROXIES = ["filing_length", "source_document_count"]
     SELECT 'disclosure_bias_proxy' AS diagnostic, '{K.COMPOSITE}' AS score, signal AS proxy, round(ic, 6) AS correlation, n_obs, status FROM ics""",
 )
 def disclosure_bias_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = B.entity_quarters(spark, sf_dir).select(
-        "company_id", F.col("period_end").alias("snapshot_date"), F.col("lines").alias("filing_length"),
-        F.col("parts").alias("source_document_count"),
-    )
-    panel = B.panel(spark, sf_dir).join(lengths, ["company_id", "snapshot_date"])
-    result = robustness.disclosure_bias_proxy(panel)
+    result = robustness.disclosure_bias_proxy(_disclosing_panel(spark, sf_dir))
     return result.select("diagnostic", "score", "proxy", *rounded("correlation"), count("n_obs"), "status")
 
 
@@ -435,3 +439,29 @@ def disclosure_bias_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robustness_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = robustness.robustness_suite(B.panel(spark, sf_dir), ["company_id", "score_quarter"])
     return robustness.diagnostic_counts(suite).select("diagnostic", count("rows"))
+
+
+def _part(name: str, extra: str = "") -> str:
+    return f"SELECT {extra}* FROM ({QUERIES[name].sql})"
+
+
+_NOTHING_EXTRACTED = "SELECT 'llm_extraction_reliability' AS diagnostic, 'availability' AS metric, 'llm_extractions_unavailable' AS status"
+
+
+@query(
+    "robustness_suite",
+    "F11 I2",
+    " UNION ALL BY NAME ".join(
+        [_part("sector_neutral_ic_mean"), _part("size_bucket_ic"), _part("missingness_diagnostics", "'missingness_diagnostics' AS diagnostic, "), _part("lag_sensitivity"), _part("disclosure_bias_proxy"), _NOTHING_EXTRACTED]
+    ),
+)
+def robustness_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the six diagnostics, in one table."""
+    suite = robustness.robustness_suite(_disclosing_panel(spark, sf_dir), ["company_id", "score_quarter"])
+    columns = []
+    for name, kind in suite.dtypes:
+        if kind == "double":
+            columns += rounded(name)
+        else:
+            columns.append(F.col(name).cast({"boolean": "int", "int": "long"}.get(kind, kind)).alias(name))
+    return suite.select(*columns)

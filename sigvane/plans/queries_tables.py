@@ -711,6 +711,18 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows")).withColumn("missing_tables", F.lit(len(missing)))
 
 
+@query(
+    "ordered_output",
+    "H1 A6",
+    "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS position FROM lineitem",
+)
+def ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stored by date: where every one stands in the files."""
+    path = runtime.scratch_path(spark, "ordered.parquet")
+    index = sinks.write_ordered(B.table(spark, sf_dir, "lineitem"), path, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return sinks.read_ordered(spark, path, index).select("l_orderkey", "l_linenumber", "position")
+
+
 @query(
     "row_count_manifest",
     "A16",

@@ -226,6 +226,27 @@ def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", count("batch"), count("results"), F.md5("request").alias("request"))
 
 
+@query(
+    "request_batches_of_pages",
+    "J8",
+    r"""WITH t AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title,
+             trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS snippet FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS p FROM t),
+    l AS (SELECT host, p // 20 AS batch, p % 20 AS i, '[' || (p % 20) || '] ' || title || ' <' || url || '>' || CASE WHEN length(snippet) > 0 THEN chr(10) || '    ' || snippet ELSE '' END AS body FROM r)
+    SELECT host, batch, count(*) AS results, md5('PAGES OF ' || host || chr(10) || chr(10) || 'RESULTS:' || chr(10) || string_agg(body, chr(10) ORDER BY i)) AS request FROM l GROUP BY 1, 2""",
+)
+def request_batches_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a host as results with title, address and text, twenty to a request."""
+    pages = B.table(spark, sf_dir, "pages")
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
+    results = pages.select(
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), "page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), text.alias("snippet")
+    )
+    body = hiring.result_line(F.col("title"), F.col("url"), F.col("snippet"))
+    rows = hiring.request_batches(results, "host", "page_id", F.concat(F.lit("PAGES OF "), F.col("host")), body, size=20)
+    return rows.select("host", count("batch"), count("results"), F.md5("request").alias("request"))
+
+
 @query(
     "model_replies",
     "J9 J10",

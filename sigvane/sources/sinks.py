@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,27 @@ def write_extractions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Write Parquet files that follow ``order`` (nulls last) by name and inside, and return their index.
+
+    The index has a row per file: its name, the position of its first row, its rows, and the first and last key.
+    Rows are sorted by ranges of the keys, so no task holds more than its range.
+    """
+    df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).write.mode("overwrite").parquet(path)
+    place, key = F.col("_metadata.row_index"), F.struct(*order)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path).select(F.col("_metadata.file_name").alias("file"), place.alias("_place"), key.alias("_key"))
+    files = stored.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min_by("_key", "_place").alias("first_key"), F.max_by("_key", "_place").alias("last_key"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    return files.withColumn("first_position", F.coalesce(F.sum("rows").over(before), F.lit(0)) + 1)
+
+
+def read_ordered(spark: SparkSession, path: str, index: DataFrame, position: str = "position") -> DataFrame:
+    """The rows of ``write_ordered`` with their 1-based position in the whole order."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    placed = rows.join(index.select(F.col("file").alias("_file"), "first_position"), "_file")
+    return placed.withColumn(position, F.col("first_position") + F.col("_place")).drop("_file", "_place", "first_position")
+
+
 def write_json_snapshot(df: DataFrame, path: str, by: list[str], rows_per_file: int = 10_000) -> str:
     """Write files of one JSON array each, of about ``rows_per_file`` rows; rows go to files by a hash of ``by``.
 

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from sigvane.operators import universe
+from sigvane.operators import hiring, universe
 from sigvane.sources import ledger, readers, sinks, versions
 from sigvane.sources.records import quoted_records, read_quoted_csv
 
@@ -85,6 +85,33 @@ def test_json_arrays_come_back(spark, tmp_path):
     assert readers.read_json_snapshot(spark, empty, schema).count() == 0
 
 
+def test_files_follow_the_order(spark, tmp_path):
+    values = [(v, i) for i, v in enumerate([5, 3, None, 9, 3, 1, None, 7] * 40)]
+    df = spark.createDataFrame(values, "v int, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        path = str(tmp_path / "o.parquet")
+        index = sinks.write_ordered(df, path, ["v", "i"]).orderBy("first_position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_key = lambda v, i: (v is None, v or 0, i)
+    ends = [by_key(*k) for r in index for k in (r["first_key"], r["last_key"])]
+    assert len(index) > 1 and ends == sorted(ends) and sum(r["rows"] for r in index) == len(values)
+    index = spark.createDataFrame([(r["file"], r["first_position"]) for r in index], "file string, first_position long")
+    placed = sinks.read_ordered(spark, path, index).orderBy("position").collect()
+    assert [(r["v"], r["i"]) for r in placed] == sorted(values, key=lambda x: by_key(*x))
+    assert [r["position"] for r in placed] == list(range(1, len(values) + 1))
+    empty = sinks.write_ordered(df.where("i < 0"), str(tmp_path / "e.parquet"), ["v"])
+    assert empty.count() == 0
+
+
+def test_result_lines(spark):
+    df = spark.createDataFrame([("h", 1, "T", "u", "text"), ("h", 2, None, None, " "), ("h", 3, "U", "w", None)], "host string, n int, title string, url string, body string")
+    line = hiring.result_line(F.col("title"), F.col("url"), F.col("body"))
+    got = rows(hiring.request_batches(df, "host", "n", F.col("host"), line, size=2), "batch")
+    assert [r["request"] for r in got] == ["h\n\nRESULTS:\n[0] T <u>\n    text\n[1]  <>", "h\n\nRESULTS:\n[0] U <w>"]
+
+
 def test_dimensions_of_any_name(spark):
     pages = [
         (1, '{"aiScores": {"maturityIndex": "3", "adoption": {"score": "4", "label": "high", "evidence": [{"a": 1}, 2]}, "new one": {"score": 2.5, "confidence": "low"}}}'),

@@ -220,8 +220,8 @@ def test_pooled_regression_with_collinear_controls(spark):
 def test_pooled_regression_warnings(spark):
     table, warnings = ols.pooled_regressions(regression_panel(spark, 2), [K.COMPOSITE], ["fwd_return_1q"])
     assert table.isEmpty()
-    assert rows(warnings)[0]["warning"] == "Need at least 10 observations for OLS; got 4"
-    with pytest.raises(ValueError, match="Need at least 5"):
+    assert rows(warnings)[0]["warning"] == "4 rows are fewer than the 10 asked for"
+    with pytest.raises(ValueError, match="fewer than the 5 asked for"):
         ols.baseline_regression(regression_panel(spark, 2), K.COMPOSITE, "fwd_return_1q")
 
 

@@ -42,7 +42,7 @@ def test_price_errors(spark):
     assert {r["check"] for r in rows(checked.violations)} == {"adjusted_close_not_positive", "duplicate_price_record", "price_date_unparsable", "adjusted_close_not_numeric"}
     with pytest.raises(ValueError, match="adjusted_close_not_positive"):
         checked.strict()
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         normalize.normalize_prices(frame(spark, [{"ticker": "A"}]))
     with pytest.raises(ValueError, match="at least one of"):
         normalize.normalize_prices(frame(spark, [{"price_date": "2025-01-02", "adjusted_close": "1"}]))

@@ -87,7 +87,7 @@ def test_extraction(spark):
     assert text[span["start_char"]:span["end_char"]] == span["text"]
     scores = first["signal_scores"]
     assert scores["ai_strategy_specificity"]["score"] == 4 and scores["ai_strategy_specificity"]["confidence"] == pytest.approx(0.75)
-    assert scores["ai_strategy_specificity"]["rationale"] == "Matched evidence keywords: roadmap, deployed"
+    assert scores["ai_strategy_specificity"]["rationale"] == "the text has the words roadmap, deployed"
     assert scores["ai_workforce_training"]["score"] is None and scores["ai_workforce_training"]["confidence"] == 0.15
     assert first["source_type"] == "news_article" and first["ticker"] == "AAA"
     assert second["evidence"] == [] and second["limitations"] == [K.NO_EVIDENCE_NOTE, K.NULL_SIGNAL_NOTE]
