@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigvane import constants as K
+from sigvane.functions import permute
 from sigvane.functions.tails import t_critical, t_two_sided, z_pvalue
 from sigvane.operators.ordering import (
     add_percentile_ranks,
@@ -376,8 +377,8 @@ def permutation_test(
     """Two-sided permutation p-value of the full-spec coefficient, per sample.
 
     By Frisch-Waugh a replicate needs only sums of the shuffled signal against the outcome residual
-    and the centred controls.  Replicate orderings are range-partitioned on (replicate, hash), so a
-    replicate is never sorted in one task.
+    and the centred controls.  The row whose signal a row gets is computed (``functions.permute``), so no replicate is
+    sorted: rows times replicates are shuffled once, to meet their signals.
     """
     y, spec = K.PRIMARY_OUTCOME, LADDER[3]
     variables = [*spec.regressors, y]
@@ -389,21 +390,20 @@ def permutation_test(
     solved = materialize(_solve_specs(totals, [spec, controls], variables, y))
     per_cell = null_safe_join(
         cells.select("sample", "_g", "_n", *[f"_m_{v}" for v in variables]),
-        solved.select("sample", "n", F.col("_s0.beta")[0].alias("_observed"), F.col("_s1.beta").alias("_b")),
+        solved.select("sample", F.col("n").cast("long").alias("_rows"), F.col("_s1.beta").alias("_b")),
         ["sample"],
     )
     enriched = attach_by_key(rows, per_cell, ["sample", "_g"])
     z = [F.col(c) - F.col(f"_m_{c}") for c in _CONTROLS]
     residual = F.col(y) - F.col(f"_m_{y}") - F.col("_b")[0] * z[0] - F.col("_b")[1] * z[1]
     fixed = enriched.select(
-        "sample", id_col, "_g", "_n", F.col("x").alias("_x"), residual.alias("_r"), z[0].alias("_z1"), z[1].alias("_z2")
+        "sample", id_col, "_g", "_rows", F.col("x").alias("_x"), residual.alias("_r"), z[0].alias("_z1"), z[1].alias("_z2")
     )
-    fixed = prefix_sums(fixed, ["sample"], [id_col], before="_slot")
-    replicas = fixed.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("_rep"))
-    shuffle = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_rep").cast("string"), F.col(id_col).cast("string")))
-    drawn = replicas.select("sample", "_rep", "_x", id_col, shuffle.alias("_h"))
-    drawn = prefix_sums(drawn, ["sample", "_rep"], ["_h", id_col], before="_slot").select("sample", "_rep", "_slot", F.col("_x").alias("_xp"))
-    seated = replicas.drop("_x").join(drawn, ["sample", "_rep", "_slot"])
+    fixed = materialize(prefix_sums(fixed, ["sample"], [id_col], before="_slot"))
+    spread = fixed.drop("_x", id_col).repartition("sample", "_slot")  # few rows make many
+    replicas = spread.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    taken = replicas.withColumn("_slot", permute.permuted(F.col("_slot").cast("long"), F.col("_rows"), F.col("_rep"), seed)).drop("_rows")
+    seated = taken.join(fixed.select("sample", "_slot", F.col("_x").alias("_xp")), ["sample", "_slot"])
     xp = F.col("_xp")
     by_group = seated.groupBy("sample", "_rep", "_g").agg(
         F.sum(xp * F.col("_r")).alias("_xr"), F.sum(xp * F.col("_z1")).alias("_x1"), F.sum(xp * F.col("_z2")).alias("_x2"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
+from sigvane.functions import permute
 from sigvane.operators import all_numbers as numbers
 from sigvane.operators import ic, ols
 from sigvane.plans import bindings as B
@@ -260,17 +261,31 @@ _PERM_ROWS = f"""{B.BASE_SQL}, {_ranks_sql(["conc"], ["company_id", "sector", "r
 obs AS (SELECT sample, company_id, sector, x, rev_growth_yoy AS y, log_mktcap, prior_rev_growth_yoy FROM ranked
         WHERE {_COMPLETE} AND rev_growth_yoy IS NOT NULL)"""
 _PERMUTATIONS = 1000
+_KEY = {"k": "CAST('0x' || substr({h}, 1, 12) AS BIGINT)", "a": f"CAST('0x' || substr({{h}}, 13, 8) AS BIGINT) % {permute.PRIME}",
+        "b": f"CAST('0x' || substr({{h}}, 21, 8) AS BIGINT) % {permute.PRIME}", "c": "CAST('0x' || substr({h}, 29, 4) AS BIGINT)"}
+
+
+def _permuted_sql() -> str:
+    """Every slot of every replicate with the slot that it takes its signal from, round by round."""
+    walk = "SELECT slots.sample, slots.slot, slots.slot AS s, rows, rep, keys FROM slots JOIN sizes USING (sample) CROSS JOIN replicates"
+    for r in range(1, permute.ROUNDS + 1):
+        k = f"keys[{r}]"
+        inner = f"SELECT *, ({k}.k % rows - s + rows) % rows AS m, (greatest(s, m) % {permute.PRIME} * {k}.a + {k}.b) % {permute.PRIME} AS h FROM ({walk})"
+        walk = f"SELECT * EXCLUDE (m, h) REPLACE (CASE WHEN (h * h + {k}.c) % {permute.PRIME} % 2 = 1 THEN m ELSE s END AS s) FROM ({inner})"
+    return walk
 
 
 @query(
     "permutation_test",
     "F25",
     f"""WITH {_PERM_ROWS}, {hc3_sql("fit", "obs", ["sample"], "sector", "y", ["x", *_CONTROLS])},
-    slots AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY company_id) AS slot FROM obs),
-    reps AS (SELECT sample, rep, x, row_number() OVER (PARTITION BY sample, rep ORDER BY md5('12345:' || rep || ':' || company_id), company_id) AS slot
-             FROM obs, (SELECT unnest(range(1, {_PERMUTATIONS + 1})) AS rep)),
-    shuffled AS (SELECT s.sample, r.rep, s.sector, r.x, s.y, s.log_mktcap, s.prior_rev_growth_yoy
-                 FROM slots s JOIN reps r ON s.sample = r.sample AND s.slot = r.slot),
+    slots AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY company_id) - 1 AS slot FROM obs),
+    sizes AS (SELECT sample, count(*) AS rows FROM obs GROUP BY 1),
+    replicates AS (SELECT rep, list_transform(range(1, {permute.ROUNDS + 1}), lambda r: {{{", ".join(f"'{n}': " + t.format(h="md5('12345:' || rep || ':' || r)") for n, t in _KEY.items())}}}) AS keys
+                   FROM (SELECT unnest(range(1, {_PERMUTATIONS + 1})) AS rep)),
+    reps AS ({_permuted_sql()}),
+    shuffled AS (SELECT s.sample, r.rep, s.sector, t.x, s.y, s.log_mktcap, s.prior_rev_growth_yoy
+                 FROM reps r JOIN slots s ON s.sample = r.sample AND s.slot = r.slot JOIN slots t ON t.sample = r.sample AND t.slot = r.s),
     {hc3_sql("perm", "shuffled", ["sample", "rep"], "sector", "y", ["x", *_CONTROLS])}
     SELECT f.sample, max(f.n) AS n, round(max(f.coef), 6) AS obs_coef, {_PERMUTATIONS} AS n_perm,
            count(CASE WHEN abs(p.coef) >= abs(f.coef) THEN 1 END) AS n_ge,

@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from sigvane import constants as K
-from sigvane.functions import tails
+from sigvane.functions import permute, tails
 from sigvane.operators import backtest, ic, ols, ordering, robustness, summaries
 
 
@@ -256,6 +257,26 @@ def cross_section(spark, effect, n=90):
     return spark.createDataFrame(data, "sample string, ticker string, sector string, conc double, rev_growth_yoy double, log_mktcap double, prior_rev_growth_yoy double")
 
 
+def test_permuted_places_are_a_bijection_and_spread_evenly(spark):
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 7, 64, 101)], "n long")
+    slots = sizes.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("x"))
+    both = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("rep"))
+    got = {}
+    for r in both.select("n", "x", "rep", permute.permuted(F.col("x"), F.col("n"), F.col("rep"), 7).alias("to")).collect():
+        got.setdefault((r["n"], r["rep"]), {})[r["x"]] = r["to"]
+    assert len(got) == 6 * 200
+    assert all(sorted(places.values()) == list(range(n)) for (n, _), places in got.items())
+    orders = {tuple(got[3, rep][x] for x in range(3)) for rep in range(1, 201)}
+    assert len(orders) == 6  # all of them
+    ends = np.array([[got[64, rep][x] for x in range(64)] for rep in range(1, 201)])
+    where = np.array([np.bincount(ends[:, x] // 16, minlength=4) for x in range(64)])
+    assert abs(where / 200 - 0.25).max() < 0.16  # five standard errors
+    assert abs(np.corrcoef(np.arange(64 * 200) % 64, ends.ravel())[0, 1]) < 0.05
+    neighbours = ((ends[:, 1:] - ends[:, :-1]) % 64 == 1).mean()
+    assert neighbours == pytest.approx(1 / 63, abs=0.006)
+    assert len({tuple(got[64, rep][x] for x in range(64)) for rep in range(1, 201)}) == 200
+
+
 def test_permutation_strong_and_null(spark):
     strong = rows(ols.permutation_test(cross_section(spark, 1.0), "ticker", n_perm=60))[0]
     null = rows(ols.permutation_test(cross_section(spark, 0.0), "ticker", n_perm=60))[0]
