@@ -1,14 +1,15 @@
 """Ranks, quantile labels and exact quantiles that never put a whole group into one task.
 
 A window over ``sector`` or ``quarter`` would sort a third of the table in one task when one sector
-holds a third of the rows.  Everything here is built from ``prefix_sums`` instead: rows are
+holds a third of the rows.  Ranks and labels are built from ``prefix_sums`` instead: rows are
 range-partitioned on (group, value), each range is summed on its own, and only the per-range totals
-(one row per group and range) are scanned in order.
+(one row per group and range) are scanned in order.  Quantiles need a few places of the order only and are
+narrowed down by counting into bins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,14 +150,82 @@ def add_quantile_label(
     return ordered.withColumn(out, F.when(enough, label)).drop("_usable", "_position", "_size")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Linearly interpolated exact quantiles, one row per group, one column per named probability."""
-    table = value_ranks(df, by, value)
+SELECTION_BINS = 4096
+SELECTION_ROWS = 65_536
+
+
+def _magnitude_bin(value: Column) -> Column:
+    """A whole number that grows with ``value``: sixteen bins to an octave on both sides of zero, NaN last."""
+    sign, end = F.signum(value).cast("int"), 1 << 20
+    size = (F.floor((F.log2(F.abs(value)) + 1100) * 16) + 1).cast("int")
+    return F.when(F.isnan(value), end + 1).when(F.abs(value) == float("inf"), sign * end).when(value == 0, 0).otherwise(sign * size)
+
+
+def selected_values(
+    df: DataFrame, by: Sequence[str], value: str, places: Callable[[Column], Sequence[Column]], stored: bool = False
+) -> DataFrame:
+    """The values at some places of each group's order, found without sorting the rows.
+
+    ``places`` turns a group's number of non-null values into 0-based places.  Rows come back as (group, value as
+    double, rows ``before`` it, its ``count``, the group's ``total``), one per distinct value at a wanted place; groups
+    without values are left out.
+
+    Rows are counted into bins by magnitude (at most 70 000 a group, summed map-side) and only those in a bin with
+    a wanted place are read on; the input is never shuffled as a whole.  A bin of more than ``SELECTION_ROWS`` rows
+    is cut into ``SELECTION_BINS`` between its least and its greatest value, which a double's 53 bits allow a few times.
+    The (group, value) pairs are written once, so that all passes see the same numbers; ``stored`` says that
+    ``df`` is a plain table and needs no copy.
+    """
+    by = list(by)
+
+    def wanted(last: Column) -> Column:
+        return reduce(Column.__or__, [(p >= F.col("before")) & (p <= last) for p in places(F.col("total"))])
+
+    def placed(counts: DataFrame, order: str) -> DataFrame:
+        inside = Window.partitionBy(*by, "_parent").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("_parent") + F.coalesce(F.sum("count").over(inside), F.lit(0))
+        return counts.withColumn("before", start).where(wanted(F.col("before") + F.col("count") - 1))
+
+    numbers = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = (numbers if stored else runtime.written(numbers, "numbers")).select(
+        "*", F.lit(0).cast("long").alias("_parent"), _magnitude_bin(F.col("_v")).alias("_bin"), F.lit(None).cast("long").alias("total")
+    )
+    whole = F.sum("count").over(Window.partitionBy(*(by or [F.lit(0)])))
+    found, largest = [], SELECTION_ROWS + 1
+    while largest > SELECTION_ROWS:
+        bins = rows.groupBy(*by, "_parent", "_bin").agg(
+            F.count(F.lit(1)).alias("count"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.max("total").alias("total")
+        )
+        bins = runtime.written(placed(bins.withColumn("total", F.coalesce("total", whole)), "_bin"), "bins")
+        found.append(bins.where("_least = _most").select(*by, F.col("_least").alias(value), "before", "count", "total"))
+        several = bins.where("_least < _most")
+        largest = several.agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+        if largest:
+            inside = null_safe_join(rows.drop("total"), several.drop("count"), [*by, "_parent", "_bin"])
+            share = (F.col("_v") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+            finer = F.least(F.floor(share * SELECTION_BINS), F.lit(SELECTION_BINS - 1)).cast("int")
+            rows = runtime.written(inside.select(*by, "_v", F.col("before").alias("_parent"), finer.alias("_bin"), "total"), "narrowed")
+    if largest:
+        counts = rows.groupBy(*by, "_parent", "_v", "total").agg(F.count(F.lit(1)).alias("count"))
+        found.append(placed(counts, "_v").select(*by, F.col("_v").alias(value), "before", "count", "total"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float], stored: bool = False) -> DataFrame:
+    """Linearly interpolated exact quantiles, one row per group, one column per named probability.
+
+    See ``selected_values`` for ``stored``.
+    """
+
+    def sides(p: float, total: Column) -> list[Column]:
+        position = F.lit(p) * (total - 1)
+        return [F.floor(position), F.ceil(position)]
+
+    table = selected_values(df, by, value, lambda total: [x for p in probabilities.values() for x in sides(p, total)], stored)
     last = F.col("before") + F.col("count") - 1
     picks = []
     for name, p in probabilities.items():
-        position = F.lit(p) * (F.col("total") - 1)
-        for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+        for side, index in zip(("lo", "hi"), sides(p, F.col("total")), strict=True):
             here = (index >= F.col("before")) & (index <= last)
             picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{side}"))
     grouped = table.groupBy(*by).agg(F.max("total").alias("_n"), *picks)

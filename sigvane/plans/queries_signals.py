@@ -47,7 +47,7 @@ def line_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = B.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    found = ordering.exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    found = ordering.exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, stored=True)
     return found.select("l_returnflag", *rounded("p01", "p50", "p99"))
 
 

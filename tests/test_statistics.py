@@ -61,6 +61,46 @@ def test_exact_quantiles_interpolate(spark):
     assert [got["a"], got["b"], got["c"]] == pytest.approx(list(np.quantile(xs, [0.1, 0.5, 0.99])))
 
 
+@pytest.mark.parametrize(("most", "bins"), [(65_536, 4096), (3, 4), (1, 64)])
+def test_selected_values_equal_a_sort(spark, monkeypatch, most, bins):
+    """Groups of every shape: one hot, a null key, close neighbours, wide spans, both signs, NaN and infinite values."""
+    monkeypatch.setattr(ordering, "SELECTION_ROWS", most)
+    monkeypatch.setattr(ordering, "SELECTION_BINS", bins)
+    random.seed(3)
+    near = [1.0 + random.randint(0, 40) * 2.0**-52 for _ in range(90)]
+    groups = {
+        "hot": [random.gauss(0, 100) for _ in range(400)],
+        None: [random.choice([0.0, -0.0, 5e-324, -5e-324, 1.0]) for _ in range(40)],
+        "near": near,
+        "wide": [random.choice([-1, 1]) * 10.0 ** random.randint(-300, 300) for _ in range(60)],
+        "ends": [math.inf, -math.inf, math.nan, 1.7e308, -1.7e308, 0.0],
+        "one": [7.0],
+        "same": [2.5] * 30,
+    }
+    data = [(g, x) for g, xs in groups.items() for x in [*xs, None]] + [("nothing", None)]
+    random.shuffle(data)
+    df = spark.createDataFrame(data, "g string, x double")
+
+    def places(total):
+        return [F.floor(total / 4), total - 1, F.lit(0)]
+
+    got = rows(ordering.selected_values(df, ["g"], "x", places))
+    assert {r["g"] for r in got} == set(groups)
+    for g, xs in groups.items():
+        known = sorted(xs, key=lambda x: (math.isnan(x), x))
+        mine = [r for r in got if r["g"] == g]
+        assert {str(r["x"] + 0.0) for r in mine} == {str(known[p] + 0.0) for p in (len(xs) // 4, len(xs) - 1, 0)}
+        for r in mine:
+            same = [i for i, x in enumerate(known) if x == r["x"] or (math.isnan(x) and math.isnan(r["x"]))]
+            assert (r["before"], r["count"], r["total"]) == (same[0], len(same), len(xs))
+
+
+def test_quantiles_of_no_rows(spark):
+    empty = values(spark, []).withColumn("g", F.lit("a"))
+    assert rows(ordering.exact_quantiles(empty, ["g"], "x", {"m": 0.5})) == []
+    assert rows(ordering.exact_quantiles(empty, ["g"], "x", {"m": 0.5}, stored=True)) == []
+
+
 def test_winsorize(spark):
     xs = [float(v) for v in range(1, 102)] + [math.inf, -math.inf]
     df = values(spark, xs).selectExpr("'full' AS sample", "id", "x")
