@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigvane import constants as K
 from sigvane.functions.numeric import safe_ratio, safe_return
-from sigvane.operators.pit import nearest_within
-from sigvane.runtime import materialize
+from sigvane.operators.pit import nearest_looks
 
 
 def _items(taxonomy: str, concept: str, unit: str | None = None) -> Column:
@@ -28,18 +27,24 @@ def quarterly_series(facts: DataFrame, concepts: Sequence[str], taxonomy: str =
         "ticker", "concept", "pos", F.col("item.val").alias("val"),
         *[F.col(f"item.{d}").try_cast("date").alias(d) for d in ("start", "end", "filed")],
     )
-    quarterly = dated.where(F.datediff("end", "start").between(70, 100))
+    # All that follows goes by ticker, so the rows are dealt once; a ticker has a few hundred.
+    quarterly = dated.where(F.datediff("end", "start").between(70, 100)).repartition("ticker")
     first = F.min_by(F.struct("val", "filed"), F.struct("filed", "pos")).alias("_f")
     return quarterly.groupBy("ticker", "concept", "end").agg(first).select("ticker", "concept", "end", "_f.val", "_f.filed")
 
 
+def _with_preferred(series: DataFrame, concepts: Sequence[str], min_periods: int = 4) -> DataFrame:
+    """Add ``_preferred``: per ticker the first of the concepts with enough periods, else the last one of the list."""
+    listed = F.array(*[F.lit(c) for c in concepts])
+    place = F.nullif(F.array_position(listed, F.col("concept")), F.lit(0))
+    counted = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("ticker", "concept")))
+    enough = F.min(F.when(F.col("_n") >= min_periods, place)).over(Window.partitionBy("ticker"))
+    return counted.withColumn("_place", F.coalesce(enough, F.lit(len(concepts))).cast("int")).withColumn("_preferred", F.element_at(listed, F.col("_place"))).drop("_n", "_place")
+
+
 def preferred_series(series: DataFrame, concepts: Sequence[str], min_periods: int = 4) -> DataFrame:
     """Per ticker the first concept with enough periods, else the last one of the list."""
-    place = F.array_position(F.array(*[F.lit(c) for c in concepts]), F.col("concept"))
-    counts = series.groupBy("ticker", "concept").agg(F.count(F.lit(1)).alias("n"))
-    enough = F.min(F.when(F.col("n") >= min_periods, place))
-    chosen = counts.groupBy("ticker").agg(F.element_at(F.array(*[F.lit(c) for c in concepts]), F.coalesce(enough, F.lit(len(concepts))).cast("int")).alias("concept"))
-    return series.join(chosen, ["ticker", "concept"]).drop("concept")
+    return _with_preferred(series, concepts, min_periods).where("concept = _preferred").drop("concept", "_preferred")
 
 
 def latest_value(facts: DataFrame, concept: str, taxonomy: str = "dei") -> DataFrame:
@@ -60,21 +65,18 @@ def shares_near(facts: DataFrame, t0: str, days: int = 45) -> DataFrame:
 
 def quarter_outcomes(facts: DataFrame, t0: str, concepts: Sequence[str] = K.REVENUE_CONCEPTS) -> DataFrame:
     """The first quarter ending after ``t0`` with its growth, margin and margin changes, and headcount."""
-    # Written once: five lookups read the extracted series, none of them the nested facts again.
-    series = materialize(quarterly_series(facts, [*concepts, K.OPERATING_INCOME]))
-    income = series.where(F.col("concept") == K.OPERATING_INCOME).drop("concept")
-    revenue = materialize(preferred_series(series.where(F.col("concept") != K.OPERATING_INCOME), concepts))
-    after = revenue.where(F.col("end") > F.lit(t0).cast("date"))
-    target = after.groupBy("ticker").agg(F.min_by(F.struct("end", "val", "filed"), "end").alias("_q")).select(
-        "ticker", F.col("_q.end").alias("q_end"), F.col("_q.val").alias("rev_q"), F.col("_q.filed").alias("rev_filed"),
-        F.date_sub(F.col("_q.end"), 91).alias("_back1"), F.date_sub(F.col("_q.end"), 365).alias("_back4"),
-    )
-    rows = target
-    for known, at, days, name in (
-        (revenue, "_back1", 21, "prev"), (revenue, "_back4", 21, "yoy"),
-        (income, "q_end", 5, "oq"), (income, "_back1", 21, "oprev"), (income, "_back4", 21, "oyoy"),
-    ):
-        rows = nearest_within(rows, known, ["ticker"], at, "end", days, ["val"], name)
+    series = _with_preferred(quarterly_series(facts, [*concepts, K.OPERATING_INCOME]), concepts)
+    income = F.col("concept") == K.OPERATING_INCOME
+    series = series.where(income | (F.col("concept") == F.col("_preferred"))).withColumn("_what", F.when(income, "income").otherwise("revenue"))
+    later = (F.col("_what") == "revenue") & (F.col("end") > F.lit(t0).cast("date"))
+    series = series.withColumn("_first", F.min(F.when(later, F.col("end"))).over(Window.partitionBy("ticker")))
+    looks = {
+        "prev": ("revenue", 91, 21), "yoy": ("revenue", 365, 21),
+        "oq": ("income", 0, 5), "oprev": ("income", 91, 21), "oyoy": ("income", 365, 21),
+    }
+    start = F.coalesce((F.col("_what") == "revenue") & (F.col("end") == F.col("_first")), F.lit(False))
+    rows = nearest_looks(series, ["ticker"], "_what", "end", ["val", "filed"], start, looks)
+    rows = rows.withColumnsRenamed({"start_end": "q_end", "start_val": "rev_q", "start_filed": "rev_filed"})
     margin = safe_ratio(F.col("oq_val"), F.col("rev_q"))
     rows = rows.select(
         "ticker", "q_end", "rev_q", "rev_filed", F.col("prev_val").alias("rev_prev"), F.col("yoy_val").alias("rev_yoy"),
@@ -91,12 +93,12 @@ def quarter_outcomes(facts: DataFrame, t0: str, concepts: Sequence[str] = K.REVE
 def prior_growth(facts: DataFrame, t0: str, concepts: Sequence[str] = K.REVENUE_CONCEPTS) -> DataFrame:
     """Year-over-year growth of the last quarter ending before ``t0``."""
     revenue = preferred_series(quarterly_series(facts, concepts), concepts)
-    before = revenue.where(F.col("end") < F.lit(t0).cast("date"))
-    last = before.groupBy("ticker").agg(F.max_by("val", "end").alias("_val"), F.max("end").alias("prior_q_end"))
-    last = last.withColumn("_back4", F.date_sub("prior_q_end", 365))
-    rows = nearest_within(last, revenue, ["ticker"], "_back4", "end", 21, ["val"], "yoy")
-    growth = safe_return(F.col("yoy_val"), F.col("_val"))
-    return rows.select("ticker", growth.alias("prior_rev_growth_yoy"), F.when(growth.isNotNull(), F.col("prior_q_end")).alias("prior_q_end"))
+    earlier = F.when(F.col("end") < F.lit(t0).cast("date"), F.col("end"))
+    revenue = revenue.withColumns({"_last": F.max(earlier).over(Window.partitionBy("ticker")), "_what": F.lit("revenue")})
+    start = F.coalesce(F.col("end") == F.col("_last"), F.lit(False))
+    rows = nearest_looks(revenue, ["ticker"], "_what", "end", ["val"], start, {"yoy": ("revenue", 365, 21)})
+    growth = safe_return(F.col("yoy_val"), F.col("start_val"))
+    return rows.select("ticker", growth.alias("prior_rev_growth_yoy"), F.when(growth.isNotNull(), F.col("start_end")).alias("prior_q_end"))
 
 
 def market_caps(facts: DataFrame, prices: DataFrame, fallback: DataFrame, t0: str, fallback_source: str = "fallback_current") -> DataFrame:

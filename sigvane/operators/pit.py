@@ -353,3 +353,41 @@ def stalled_series(prices: DataFrame, requested: DataFrame, days: int = 10) -> D
     return missing.select(F.lit("no_data").alias("issue"), "ticker").unionByName(
         stalled.select(F.concat(F.lit("stops_"), F.col("last_price_date").cast("string")).alias("issue"), "ticker")
     )
+
+
+def nearest_looks(
+    series: DataFrame, keys: list[str], kind: str, date: str, values: list[str], start: Column, looks: dict[str, tuple[str, int, int]]
+) -> DataFrame:
+    """What lay nearest to several days before a start row: one row per key, from one partitioning by the keys.
+
+    ``start`` marks at most one row per key.  A look (kind, days back, tolerance) asks for the row of that kind nearest to
+    the start date less the days, within the tolerance, the earlier on ties; its values come back as
+    ``{name}_{value}``, those of the start row as ``start_{date}`` and ``start_{value}``.  Keys without a start row have no row.
+
+    The looks are put on the time axis beside the rows and read the last row before and the first after them, so rows
+    and looks are never paired.  ``series`` holds one row per key, kind and date.
+    """
+    known = F.struct(F.col(date), *values)
+
+    def event(look: str | None, of_kind: Column, at: Column, row: Column) -> Column:
+        return F.struct(F.lit(look).cast("string").alias("_look"), of_kind.alias("_kind"), at.alias("_at"), row.alias("_row"), (start & F.lit(look is None)).alias("_start"))
+
+    nothing = F.when(F.lit(False), known)
+    asked = F.array(*[event(name, F.lit(k), F.date_sub(date, days), nothing) for name, (k, days, _) in looks.items()])
+    itself = F.array(event(None, F.col(kind), F.col(date), known))
+    events = series.select(*keys, F.explode(F.when(start, F.concat(itself, asked)).otherwise(itself)).alias("_e")).select(*keys, "_e.*")
+
+    axis = Window.partitionBy(*keys, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows_first = F.col("_look").asc_nulls_first()
+    events = events.withColumn("_before", F.last("_row", ignorenulls=True).over(axis.orderBy("_at", rows_first)))
+    events = events.withColumn("_after", F.last("_row", ignorenulls=True).over(axis.orderBy(F.col("_at").desc(), rows_first)))
+    back, ahead = F.datediff("_at", f"_before.{date}"), F.datediff(f"_after.{date}", "_at")
+    limit = F.create_map(*[F.lit(x) for name, (_, _, days) in looks.items() for x in (name, days)])[F.col("_look")]
+    nearest = F.when((back <= limit) & F.coalesce(back <= ahead, F.lit(True)), F.col("_before")).when(ahead <= limit, F.col("_after"))
+    events = events.where("_look IS NOT NULL OR _start").select(*keys, "_look", F.when(F.col("_start"), F.col("_row")).otherwise(nearest).alias("_row"))
+    picks = [F.max(F.when(F.col("_look").isNull(), F.col("_row"))).alias("_start")]
+    picks += [F.max(F.when(F.col("_look") == name, F.col("_row"))).alias(f"_{name}") for name in looks]
+    found = events.groupBy(*keys).agg(*picks)
+    return found.select(
+        *keys, *[F.col(f"_start.{c}").alias(f"start_{c}") for c in (date, *values)], *[F.col(f"_{name}.{v}").alias(f"{name}_{v}") for name in looks for v in values]
+    )

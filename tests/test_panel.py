@@ -1,7 +1,9 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from sigvane import constants as K
 from sigvane.operators import pit
@@ -126,3 +128,34 @@ def test_panel_refuses_repeated_keys(inputs):
         pit.build_panel(companies, twice, prices, reports)
     found = rows(pit.panel_key_violations(pit.build_panel(companies, twice, prices, reports, unique=False)))
     assert [r["detail"] for r in found] == ["2 rows"]
+
+
+def test_looks_equal_brute_force(spark):
+    """Random series with gaps, one kind or no start row missing, ties at equal distance, null values and keys."""
+    random.seed(11)
+    data, day0 = [], date(2020, 1, 1)
+    for key in ["A", "B", "C", "D", "E", None]:
+        for kind in ("x", "y") if key != "D" else ("x",):
+            for day in sorted(random.sample(range(900), random.choice([1, 12, 60, 200]))):
+                data.append((key, kind, day0 + timedelta(days=day), random.choice([None, float(day)])))
+    data += [("tie", "x", day0 + timedelta(days=d), float(d)) for d in (0, 20, 50, 60, 64, 100)]
+    series = spark.createDataFrame(data, "k string, kind string, day date, v double")
+    begin = {k: max((d for key, kind, d, _ in data if key == k and kind == "x"), default=None) for k in {r[0] for r in data} - {"E"}}
+    first = spark.createDataFrame(list(begin.items()), "b_k string, begin date")
+    marked = series.join(first, F.col("k").eqNullSafe(F.col("b_k")), "left")
+    start = F.coalesce((F.col("kind") == "x") & (F.col("day") == F.col("begin")), F.lit(False))
+    looks = {"near": ("x", 38, 21), "far": ("x", 300, 30), "other": ("y", 0, 5), "back": ("y", 90, 400), "self": ("x", 0, 0)}
+    got = {r["k"]: r for r in rows(pit.nearest_looks(marked, ["k"], "kind", "day", ["v"], start, looks))}
+    assert set(got) == set(begin)
+    for k, r in got.items():
+        assert r["start_day"] == begin[k]
+        for name, (kind, days, tolerance) in looks.items():
+            at = begin[k] - timedelta(days=days)
+            best = min(((abs((d - at).days), d, v) for key, what, d, v in data if key == k and what == kind and abs((d - at).days) <= tolerance), default=(0, None, None))
+            assert r[f"{name}_v"] == best[2], (k, name)
+    assert got["tie"]["near_v"] == 60.0
+
+
+def test_looks_of_no_rows(spark):
+    none = spark.createDataFrame([], "k string, kind string, day date, v double")
+    assert rows(pit.nearest_looks(none, ["k"], "kind", "day", ["v"], F.lit(True), {"a": ("x", 1, 1)})) == []
