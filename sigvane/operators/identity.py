@@ -14,7 +14,7 @@ from sigvane import constants as K
 from sigvane.functions import text as tx
 from sigvane.operators import quality as q
 from sigvane.operators.ordering import attach_by_key
-from sigvane.runtime import materialize
+from sigvane.runtime import materialize, written
 
 
 def _normalized(df: DataFrame, key: str) -> DataFrame:
@@ -134,42 +134,62 @@ def similarity(candidate: pd.Series, word: pd.Series) -> pd.Series:
     return pd.Series(scores, dtype=float)
 
 
-def _segments(length: str, cutoff: float) -> dict[str, str]:
-    """SQL for the even split of a string of ``length``: how many edits to survive, how many pieces, how wide.
+SPARE_PIECES = (0, 1, 2, 4)
+_START = "CAST(i * (n div k) + greatest(0, i - (k - n % k)) AS INT)"
+_WIDTH = "CAST(n div k + CASE WHEN i >= k - n % k THEN 1 ELSE 0 END AS INT)"
+
+
+def _edits(length: str, cutoff: float) -> str:
+    """SQL for the edits that a string of ``length`` must survive.
 
     A pair with ratio r has at least r (a + b) / 2 characters in common, so it differs by at most
     (1 - r)(a + b) insertions and deletions, and its longer side by at most (2 - r) / r times the shorter.
-    Cut into one piece more than that, some piece is unchanged in the partner.
     """
     longest = f"floor({length} * {(2 - cutoff) / cutoff!r}D + 1e-9D)"
-    edits = f"CAST(floor(({length} + {longest}) * {1 - cutoff!r}D + 1e-9D) AS INT)"
-    pieces = f"least({edits} + 1, {length})"
-    return {"edits": edits, "pieces": pieces}
+    return f"CAST(floor(({length} + {longest}) * {1 - cutoff!r}D + 1e-9D) AS INT)"
 
 
-def fuzzy_candidates(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
-    """Pairs (word, name) sharing an unchanged piece at a compatible place; complete for the cutoff."""
-    sizes = _segments("n", cutoff)
-    pieces = names.selectExpr("name", "length(name) AS n").where("n > 0").selectExpr("name", "n", f"{sizes['pieces']} AS k")
-    pieces = pieces.selectExpr("name", "n", "k", "explode(sequence(0, k - 1)) AS i")
-    start = "CAST(i * (n div k) + greatest(0, i - (k - n % k)) AS INT)"
-    width = "CAST(n div k + CASE WHEN i >= k - n % k THEN 1 ELSE 0 END AS INT)"
-    pieces = pieces.selectExpr("name", "n", "i", f"substring(name, {start} + 1, {width}) AS piece")
+def name_pieces(names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
+    """Rows (name, n, k, i, piece): the pieces to look each name up by, complete for the cutoff.
 
+    Of d + 1 + s pieces, d edits leave s + 1 unchanged, so any d + 1 of them find every partner.  A name is cut in
+    several ways (``SPARE_PIECES`` for s), each keeps its d + 1 rarest pieces, and the way whose commonest piece is rarest
+    is taken: a word that many names share is then in the spare pieces, and nobody is looked up by it.
+    """
+    cut = names.selectExpr("name", "length(name) AS n").where("n > 0").selectExpr("name", "n", f"{_edits('n', cutoff)} AS d")
+    cut = cut.selectExpr("name", "n", "d", f"explode(array({', '.join(f'd + {1 + s}' for s in SPARE_PIECES)})) AS k")
+    cut = cut.where("k <= n OR k = d + 1").selectExpr("name", "n", "d", "least(k, n) AS k")
+    pieces = cut.selectExpr("name", "n", "d", "k", "explode(sequence(0, k - 1)) AS i").selectExpr("name", "n", "d", "k", "i", f"substring(name, {_START} + 1, {_WIDTH}) AS piece")
+    often = pieces.groupBy("n", "k", "i", "piece").agg(F.count(F.lit(1)).alias("often"))
+    counted = attach_by_key(pieces, often, ["n", "k", "i", "piece"]).repartition("name")
+    ways = counted.groupBy("name", "n", "d", "k").agg(F.array_sort(F.collect_list(F.struct("often", "i", "piece"))).alias("rarest"))
+    ways = ways.selectExpr("name", "n", "k", "slice(rarest, 1, d + 1) AS rarest").selectExpr("*", "element_at(rarest, -1).often AS commonest")
+    best = ways.groupBy("name", "n").agg(F.min_by(F.struct("k", "rarest"), F.struct("commonest", "k")).alias("way"))
+    return best.selectExpr("name", "n", "way.k AS k", "inline(way.rarest)").select("name", "n", "k", "i", "piece")
+
+
+def fuzzy_pairs(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
+    """Pairs (word, name) that share a piece of the name at a compatible place."""
+    pieces = written(name_pieces(names, cutoff), "name_pieces")
     low, high = cutoff / (2 - cutoff), (2 - cutoff) / cutoff
     probes = words.selectExpr("word", "length(word) AS m").where("m > 0")
     probes = probes.selectExpr(
         "word", "m", f"explode(sequence(greatest(1, CAST(ceil(m * {low!r}D - 1e-9D) AS INT)), CAST(floor(m * {high!r}D + 1e-9D) AS INT))) AS n"
     )
-    probes = probes.selectExpr("word", "m", "n", f"{sizes['edits']} AS d", f"{sizes['pieces']} AS k")
+    used = pieces.select("n", "k").distinct()  # a few rows per length of a name
+    probes = probes.join(F.broadcast(used), "n").selectExpr("word", "m", "n", f"{_edits('n', cutoff)} AS d", "k")
     probes = probes.selectExpr("word", "m", "n", "d", "k", "explode(sequence(0, k - 1)) AS i")
-    probes = probes.selectExpr("word", "m", "n", "d", "i", f"{start} AS p", f"{width} AS w").where("m >= w")
-    probes = probes.selectExpr("word", "m", "n", "i", "w", "greatest(0, p - d) AS lo", "least(m - w, p + d) AS hi").where("hi >= lo")
-    probes = probes.selectExpr("word", "n", "i", "explode(sequence(lo, hi)) AS at", "w").selectExpr("word", "n", "i", "substring(word, at + 1, w) AS piece")
-    pairs = probes.distinct().join(pieces, ["n", "i", "piece"]).select("word", "name").distinct()
+    probes = probes.selectExpr("word", "m", "n", "d", "k", "i", f"{_START} AS p", f"{_WIDTH} AS w").where("m >= w")
+    probes = probes.selectExpr("word", "n", "k", "i", "w", "greatest(0, p - d) AS lo", "least(m - w, p + d) AS hi").where("hi >= lo")
+    probes = probes.selectExpr("word", "n", "k", "i", "explode(sequence(lo, hi)) AS at", "w").selectExpr("word", "n", "k", "i", "substring(word, at + 1, w) AS piece")
+    return probes.distinct().join(pieces, ["n", "k", "i", "piece"]).select("word", "name").distinct()
+
+
+def fuzzy_candidates(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
+    """The pairs of ``fuzzy_pairs`` whose edit distance the cutoff allows; complete for it."""
     # The edit distance is at most the number of insertions and deletions the ratio allows.
     allowed = f"CAST(floor((length(word) + length(name)) * {1 - cutoff!r}D + 1e-9D) AS INT)"
-    return pairs.where(f"levenshtein(word, name, {allowed}) >= 0")
+    return fuzzy_pairs(words, names, cutoff).where(f"levenshtein(word, name, {allowed}) >= 0")
 
 
 def fuzzy_match(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:

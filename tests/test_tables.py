@@ -1,4 +1,6 @@
+import difflib
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -216,6 +218,25 @@ def brute_force_match(words, names, cutoff):
     return {w: m[0] for w in words if (m := difflib.get_close_matches(w, names, n=1, cutoff=cutoff))}
 
 
+def test_a_common_word_in_names_costs_no_pairs(spark):
+    """Names that begin alike are found by their other letters, and every partner of brute force is."""
+    rng = random.Random(12)
+    names = sorted({"holding" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=13)) for _ in range(500)})
+    words = []
+    for name in rng.sample(names, 60):
+        at, letter = rng.randrange(len(name)), rng.choice("qxz")
+        words += [name, name[:at] + letter + name[at + 1 :], name[:at] + name[at + 1 :], name[:at] + letter + name[at:]]
+    words = sorted(set(words))
+    left, right = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "name string")
+    near = {(w, n) for w in words for n in names if difflib.SequenceMatcher(None, n, w).ratio() >= 0.92}
+    proposed = {tuple(r) for r in identity.fuzzy_pairs(left, right).collect()}
+    assert near <= proposed and len(near) >= 60
+    assert len(proposed) < 20 * len(words)  # a piece of the common word alone would propose all 500 for every word
+    assert near <= {tuple(r) for r in identity.fuzzy_candidates(left, right).collect()}
+    commonest = identity.name_pieces(right).groupBy("n", "k", "i", "piece").count().agg(F.max("count")).first()[0]
+    assert commonest < 60
+
+
 def test_fuzzy_match_finds_what_brute_force_finds(spark):
     import random
 
