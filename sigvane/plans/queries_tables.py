@@ -771,8 +771,6 @@ def stage_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = B.vintage(spark, sf_dir)
     tables = {"vintage": table, "coverage": summaries.coverage(table, _VARIABLES)}
     metadata = sinks.write_outputs(tables, folder, K.CROSS_SECTION_SIGNALS, [K.PRIMARY_OUTCOME], "descriptive only")
-    counts = sinks.manifest({n: readers.read_table(spark, f"{folder}/{n}.parquet") for n in tables})
-    note = metadata.select(F.struct(F.array_join("signals", ",").alias("signals"), "caveat")).scalar()
-    return counts.withColumn("_m", note).select("table", "rows", "_m.signals", "_m.caveat")
+    return metadata.select(F.inline("tables"), F.array_join("signals", ",").alias("signals"), "caveat").select("table", "rows", "signals", "caveat")
 
 

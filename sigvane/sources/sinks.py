@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -77,14 +78,21 @@ def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def write_outputs(tables: Mapping[str, DataFrame], folder: str, signals: list[str], outcomes: list[str], caveat: str, suffix: str = "parquet") -> DataFrame:
-    """Write every table to ``folder`` with a one-row metadata table beside them, and return that row."""
+    """Write every table to ``folder`` with a one-row metadata table beside them, and return that row.
+
+    Its ``tables`` give the rows of each table as they were counted while it was written, so no table is read again.
+    """
+    counts = []
     for name, df in tables.items():
-        write_table(df, f"{folder}/{name}.{suffix}")
+        counted = Observation(f"{name} {uuid.uuid4().hex}")
+        write_table(df.observe(counted, F.count(F.lit(1)).alias("rows")), f"{folder}/{name}.{suffix}")
+        counts.append(F.struct(F.lit(name).alias("table"), F.lit(counted.get["rows"]).cast("long").alias("rows")))
     spark = next(iter(tables.values())).sparkSession
     metadata = spark.range(1).select(
         F.array(*[F.lit(s) for s in signals]).alias("signals"),
         F.array(*[F.lit(o) for o in outcomes]).alias("outcomes"),
         F.lit(caveat).alias("caveat"),
+        F.array(*counts).alias("tables"),
         F.current_timestamp().alias("created_at"),
     )
     metadata.write.mode("overwrite").json(f"{folder}/metadata.json")

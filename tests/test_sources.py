@@ -141,3 +141,14 @@ def test_files_that_come_again(spark, tmp_path):
     with pytest.raises(ValueError, match="key a"):
         run()
     assert versions.read_current(spark, root, "rows").count() == 4
+
+
+@pytest.mark.parametrize("suffix", ["parquet", "csv"])
+def test_outputs_are_counted_while_they_are_written(spark, tmp_path, suffix):
+    some = spark.range(1000).withColumn("g", F.col("id") % 7)
+    tables = {"some": some, "few": some.groupBy("g").count(), "none": some.where("id < 0"), "nothing": spark.createDataFrame([], "a string")}
+    metadata = sinks.write_outputs(tables, str(tmp_path), ["s"], ["o"], "note", suffix)
+    row = metadata.first()
+    assert {t["table"]: t["rows"] for t in row["tables"]} == {"some": 1000, "few": 7, "none": 0, "nothing": 0}
+    assert (row["signals"], row["outcomes"], row["caveat"]) == (["s"], ["o"], "note")
+    assert readers.read_table(spark, f"{tmp_path}/few.{suffix}").count() == 7
