@@ -135,6 +135,7 @@ def similarity(candidate: pd.Series, word: pd.Series) -> pd.Series:
 
 
 SPARE_PIECES = (0, 1, 2, 4)
+RARE_PIECE = 16  # names that may share a piece before other cuts are tried
 _START = "CAST(i * (n div k) + greatest(0, i - (k - n % k)) AS INT)"
 _WIDTH = "CAST(n div k + CASE WHEN i >= k - n % k THEN 1 ELSE 0 END AS INT)"
 
@@ -149,27 +150,45 @@ def _edits(length: str, cutoff: float) -> str:
     return f"CAST(floor(({length} + {longest}) * {1 - cutoff!r}D + 1e-9D) AS INT)"
 
 
+def _cut(names: DataFrame) -> DataFrame:
+    """Rows (name, n, d, k, i, piece) of names that are to be cut into ``k`` pieces."""
+    pieces = names.selectExpr("name", "n", "d", "k", "explode(sequence(0, k - 1)) AS i")
+    return pieces.selectExpr("name", "n", "d", "k", "i", f"substring(name, {_START} + 1, {_WIDTH}) AS piece")
+
+
 def name_pieces(names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
-    """Rows (name, n, k, i, piece): the pieces to look each name up by, complete for the cutoff.
+    """Rows (name, n, k, j, i, piece): the pieces to look each name up by, complete for the cutoff.
 
-    Of d + 1 + s pieces, d edits leave s + 1 unchanged, so any d + 1 of them find every partner.  A name is cut in
+    Of d + 1 + s pieces, d edits leave s + 1 unchanged, so any d + 1 of them find every partner; ``j`` numbers those taken.
+    A name whose d + 1 plain pieces are all rare (``RARE_PIECE``) is looked up by these.  Other names are cut in
     several ways (``SPARE_PIECES`` for s), each keeps its d + 1 rarest pieces, and the way whose commonest piece is rarest
     is taken: a word that many names share is then in the spare pieces, and nobody is looked up by it.
     """
-    cut = names.selectExpr("name", "length(name) AS n").where("n > 0").selectExpr("name", "n", f"{_edits('n', cutoff)} AS d")
-    cut = cut.selectExpr("name", "n", "d", f"explode(array({', '.join(f'd + {1 + s}' for s in SPARE_PIECES)})) AS k")
-    cut = cut.where("k <= n OR k = d + 1").selectExpr("name", "n", "d", "least(k, n) AS k")
-    pieces = cut.selectExpr("name", "n", "d", "k", "explode(sequence(0, k - 1)) AS i").selectExpr("name", "n", "d", "k", "i", f"substring(name, {_START} + 1, {_WIDTH}) AS piece")
-    often = pieces.groupBy("n", "k", "i", "piece").agg(F.count(F.lit(1)).alias("often"))
-    counted = attach_by_key(pieces, often, ["n", "k", "i", "piece"]).repartition("name")
+    sized = names.selectExpr("name", "length(name) AS n").where("n > 0").selectExpr("name", "n", f"{_edits('n', cutoff)} AS d")
+    plain = _cut(sized.selectExpr("*", "least(d + 1, n) AS k"))
+    place = ["n", "k", "i", "piece"]
+    common = written(plain.groupBy(*place).agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > RARE_PIECE).select(*place), "common_pieces")
+    crowded = written(plain.join(common, place, "left_semi").select("name").distinct(), "crowded_names")
+    cut = sized.join(crowded, "name", "left_semi").selectExpr("name", "n", "d", f"explode(array({', '.join(f'd + {1 + s}' for s in SPARE_PIECES)})) AS k")
+    pieces = _cut(cut.where("k <= n OR k = d + 1").selectExpr("name", "n", "d", "least(k, n) AS k"))
+    often = pieces.groupBy(*place).agg(F.count(F.lit(1)).alias("often"))
+    counted = attach_by_key(pieces, often, place).repartition("name")
     ways = counted.groupBy("name", "n", "d", "k").agg(F.array_sort(F.collect_list(F.struct("often", "i", "piece"))).alias("rarest"))
     ways = ways.selectExpr("name", "n", "k", "slice(rarest, 1, d + 1) AS rarest").selectExpr("*", "element_at(rarest, -1).often AS commonest")
     best = ways.groupBy("name", "n").agg(F.min_by(F.struct("k", "rarest"), F.struct("commonest", "k")).alias("way"))
-    return best.selectExpr("name", "n", "way.k AS k", "inline(way.rarest)").select("name", "n", "k", "i", "piece")
+    best = best.selectExpr("name", "n", "way.k AS k", "posexplode(array_sort(transform(way.rarest, x -> struct(x.i AS i, x.piece AS piece)))) AS (j, taken)")
+    alone = plain.join(crowded, "name", "left_anti").selectExpr("name", "n", "k", "i AS j", "i", "piece")
+    return alone.unionByName(best.selectExpr("name", "n", "k", "j", "taken.i AS i", "taken.piece AS piece"))
 
 
-def fuzzy_pairs(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
-    """Pairs (word, name) that share a piece of the name at a compatible place."""
+def _proposals(words: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (word, name) with a piece of the name where edits may have left it; a pair may come more than once.
+
+    A shortest way from a name to a word takes t insertions and deletions at most, with t as odd or even as the lengths'
+    difference.  Let piece j be the first of those taken with no more than j edits up to its end: it is unchanged and has
+    exactly j edits before it and t - j at most behind it.  So it moved by -j, -j + 2, ... or j places, and
+    what is left of the lengths' difference is within t - j.
+    """
     pieces = written(name_pieces(names, cutoff), "name_pieces")
     low, high = cutoff / (2 - cutoff), (2 - cutoff) / cutoff
     probes = words.selectExpr("word", "length(word) AS m").where("m > 0")
@@ -177,19 +196,32 @@ def fuzzy_pairs(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTO
         "word", "m", f"explode(sequence(greatest(1, CAST(ceil(m * {low!r}D - 1e-9D) AS INT)), CAST(floor(m * {high!r}D + 1e-9D) AS INT))) AS n"
     )
     used = pieces.select("n", "k").distinct()  # a few rows per length of a name
-    probes = probes.join(F.broadcast(used), "n").selectExpr("word", "m", "n", f"{_edits('n', cutoff)} AS d", "k")
-    probes = probes.selectExpr("word", "m", "n", "d", "k", "explode(sequence(0, k - 1)) AS i")
-    probes = probes.selectExpr("word", "m", "n", "d", "k", "i", f"{_START} AS p", f"{_WIDTH} AS w").where("m >= w")
-    probes = probes.selectExpr("word", "n", "k", "i", "w", "greatest(0, p - d) AS lo", "least(m - w, p + d) AS hi").where("hi >= lo")
-    probes = probes.selectExpr("word", "n", "k", "i", "explode(sequence(lo, hi)) AS at", "w").selectExpr("word", "n", "k", "i", "substring(word, at + 1, w) AS piece")
-    return probes.distinct().join(pieces, ["n", "k", "i", "piece"]).select("word", "name").distinct()
+    probes = probes.join(F.broadcast(used), "n").selectExpr("*", f"{_edits('n', cutoff)} AS d", f"CAST(floor((m + n) * {1 - cutoff!r}D + 1e-9D) AS INT) AS t")
+    probes = probes.selectExpr("word", "m", "n", "d", "k", "m - n AS more", "t - abs(t - m + n) % 2 AS t").where("t >= abs(more)")
+    probes = probes.selectExpr("*", "explode(sequence(0, k - 1)) AS i").selectExpr("*", f"{_START} AS p", f"{_WIDTH} AS w").where("m >= w")
+    # Before piece i there are i others, of which all but the k - d - 1 spare ones are taken.
+    probes = probes.selectExpr("*", "greatest(0, i - greatest(0, k - d - 1)) AS j0", "CASE WHEN k > d THEN least(i, t) ELSE i END AS j1").where("j0 <= j1")
+    probes = probes.selectExpr("*", "explode(sequence(j0, j1)) AS j")
+    # A name too short for d + 1 pieces has one a character, and each may have moved anywhere.
+    probes = probes.selectExpr("*", "CASE WHEN k > d THEN greatest(-j, more - t + j) ELSE -d END AS lo", "CASE WHEN k > d THEN least(j, more + t - j) ELSE d END AS hi")
+    probes = probes.where("lo <= hi").selectExpr("word", "m", "n", "k", "j", "i", "p", "w", "explode(sequence(lo, hi, CASE WHEN k > d THEN 2 ELSE 1 END)) AS moved")
+    probes = probes.where("p + moved BETWEEN 0 AND m - w").selectExpr("word", "n", "k", "j", "i", "substring(word, p + moved + 1, w) AS piece")
+    return probes.join(pieces, ["n", "k", "j", "i", "piece"]).select("word", "name")
+
+
+def fuzzy_pairs(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
+    """Pairs (word, name) that share a piece of the name at a compatible place."""
+    return _proposals(words, names, cutoff).distinct()
 
 
 def fuzzy_candidates(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
-    """The pairs of ``fuzzy_pairs`` whose edit distance the cutoff allows; complete for it."""
+    """The pairs of ``fuzzy_pairs`` whose edit distance the cutoff allows; complete for it.
+
+    Pairs are judged where they are found, so only those within the distance are shuffled.
+    """
     # The edit distance is at most the number of insertions and deletions the ratio allows.
     allowed = f"CAST(floor((length(word) + length(name)) * {1 - cutoff!r}D + 1e-9D) AS INT)"
-    return fuzzy_pairs(words, names, cutoff).where(f"levenshtein(word, name, {allowed}) >= 0")
+    return _proposals(words, names, cutoff).where(f"levenshtein(word, name, {allowed}) >= 0").distinct()
 
 
 def fuzzy_match(words: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
@@ -254,11 +286,12 @@ def resolve_entities(
 
     open_words = rows.where("private_as IS NULL AND manual_ticker IS NULL AND a_ticker IS NULL AND b_ticker IS NULL")
     words = open_words.select(F.col("norm").alias("word")).distinct()
-    # The tickers are joined to the few matches, not to the entities, whose unmatched rows have no key.
+    # The tickers are joined to the few matches, not to the entities, whose unmatched rows have no key.  The matches are
+    # written, because later steps read the result more than once.
     fuzzy_a = fuzzy_match(words, a.select(F.col("norm").alias("name")), cutoff).selectExpr("word AS norm", "name AS fa")
-    fuzzy_a = fuzzy_a.join(a.selectExpr("norm AS fa", "ticker AS fa_ticker", "cik AS fa_cik", "gics_sector AS fa_sector"), "fa")
+    fuzzy_a = written(fuzzy_a.join(a.selectExpr("norm AS fa", "ticker AS fa_ticker", "cik AS fa_cik", "gics_sector AS fa_sector"), "fa"), "fuzzy_first")
     fuzzy_b = fuzzy_match(words, b.select(F.col("norm").alias("name")), cutoff).selectExpr("word AS norm", "name AS fb")
-    fuzzy_b = fuzzy_b.join(b.selectExpr("norm AS fb", "ticker AS fb_ticker", "cik AS fb_cik"), "fb")
+    fuzzy_b = written(fuzzy_b.join(b.selectExpr("norm AS fb", "ticker AS fb_ticker", "cik AS fb_cik"), "fb"), "fuzzy_second")
     rows = rows.join(fuzzy_a, "norm", "left").join(fuzzy_b, "norm", "left")
 
     def pick(private_v: str, manual_v: str, a_v: str, b_v: str, fa_v: str, fb_v: str, other: str) -> Column:

@@ -237,6 +237,23 @@ def test_a_common_word_in_names_costs_no_pairs(spark):
     assert commonest < 60
 
 
+def test_names_without_a_common_piece_are_cut_one_way(spark):
+    """A few chance copies of a piece do not make every word probe for other cuts."""
+    rng = random.Random(5)
+    names = spark.createDataFrame([(f"{rng.getrandbits(128):032x}",) for _ in range(3000)], "name string")
+    assert [r["k"] for r in identity.name_pieces(names).select("k").distinct().collect()] == [6]
+
+
+def test_moved_pieces_find_every_partner_at_low_cutoffs(spark):
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(60)})
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(60)})
+    left, right = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for cutoff in (0.75, 0.55):
+        near = {(w, n) for w in words for n in names if difflib.SequenceMatcher(None, n, w).ratio() >= cutoff}
+        assert near <= {tuple(r) for r in identity.fuzzy_candidates(left, right, cutoff).collect()}
+
+
 def test_fuzzy_match_finds_what_brute_force_finds(spark):
     import random
 
