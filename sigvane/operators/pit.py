@@ -16,7 +16,7 @@ from sigvane.functions.calendar import quarter_label
 from sigvane.functions.numeric import mean_of, safe_difference, safe_log, safe_ratio, safe_return
 from sigvane.operators.ordering import attach_by_key
 from sigvane.operators.quality import duplicate_violations
-from sigvane.runtime import materialize
+from sigvane.runtime import written
 
 # Order on equal dates: facts dated on the prediction date are known to the score.
 _PRICE, _REPORT_SEEN, _REPORT_END, _SCORE = 0, 1, 2, 3
@@ -185,7 +185,8 @@ def add_group_excess(df: DataFrame, value: str, groups: list[str], out: str) ->
     known = F.col(value).isNotNull()
     for g in groups:
         known = known & F.col(g).isNotNull()
-    means = df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean"))
+    # Written, so that Spark knows how small it is and does not shuffle the rows to meet it.
+    means = written(df.where(known).groupBy(*groups).agg(F.avg(value).alias("_mean")), "means")
     joined = attach_by_key(df, means, groups, unmatched=groups)
     return joined.withColumn(out, F.col(value) - F.col("_mean")).drop("_mean")
 
@@ -240,7 +241,7 @@ def build_panel(
         }
     )
     # Written once, so neither the key test nor the group means walk the timelines again.
-    rows = materialize(rows)
+    rows = written(rows, "panel_rows")
     if unique:
         judged = rows.where(~F.col("timing_violation")) if strict else rows
         repeated = [r["key"] for r in panel_key_violations(judged).limit(5).collect()]

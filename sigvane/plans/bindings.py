@@ -16,6 +16,7 @@ from sigvane.functions.calendar import quarter_end, quarter_label
 from sigvane.operators.ordering import prefix_sums, quantile_label_expr
 from sigvane.operators.pit import build_panel
 
+DEALS = 4
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -27,7 +28,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
     """A stage table, written once per application to the checkpoint folder and shared by later queries."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        _STAGED[key] = runtime.materialize(build(spark, sf_dir))
+        _STAGED[key] = runtime.written(build(spark, sf_dir), name)
     return _STAGED[key]
 
 
@@ -61,30 +62,30 @@ def entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     percent_off = F.round(F.col("l_discount") * 100).cast("long")
-    net = cents * (100 - percent_off)
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            F.col("l_suppkey").cast("string").alias("company_id"),
-            quarter_end(F.col("l_shipdate")).alias("period_end"),
-            "l_partkey",
-            F.col("l_quantity").cast("long").alias("quantity"),
-            cents.alias("cents"),
-            net.alias("net"),
-            F.when(F.col("l_returnflag") == "N", net).otherwise(0).alias("net_n"),
-            percent_off.alias("percent_off"),
-        )
-        .groupBy("company_id", "period_end")
-        .agg(
-            F.sum("quantity").alias("quantity"),
-            F.sum("cents").alias("cents"),
-            F.sum("net").alias("net"),
-            F.sum("net_n").alias("net_n"),
-            F.sum("percent_off").alias("percent_off"),
-            F.count(F.lit(1)).alias("lines"),
-            F.countDistinct("l_partkey").alias("parts"),
-        )
+    # Lines are shuffled once, narrow; all lines of a part go to one deal, so that few partial counts of a quarter are left to add.
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey",
+        quarter_end(F.col("l_shipdate")).alias("period_end"),
+        F.pmod(F.xxhash64("l_partkey"), F.lit(DEALS)).cast("tinyint").alias("deal"),
+        "l_partkey",
+        F.col("l_quantity").cast("long").alias("quantity"),
+        cents.alias("cents"),
+        percent_off.alias("percent_off"),
+        (F.col("l_returnflag") == "N").alias("kept"),
+    )
+    net = F.col("cents") * (100 - F.col("percent_off"))
+    dealt = lines.repartition("l_suppkey", "period_end", "deal").groupBy("l_suppkey", "period_end", "deal").agg(
+        F.sum("quantity").alias("quantity"),
+        F.sum("cents").alias("cents"),
+        F.sum(net).alias("net"),
+        F.sum(F.when(F.col("kept"), net).otherwise(0)).alias("net_n"),
+        F.sum("percent_off").alias("percent_off"),
+        F.count(F.lit(1)).alias("lines"),
+        F.countDistinct("l_partkey").alias("parts"),
     )
+    sums = [F.sum(c).alias(c) for c in ("quantity", "cents", "net", "net_n", "percent_off", "lines", "parts")]
+    totals = dealt.groupBy("l_suppkey", "period_end").agg(*sums)
+    return totals.select(F.col("l_suppkey").cast("string").alias("company_id"), *[c for c in totals.columns if c != "l_suppkey"])
 
 
 ENTITY_QUARTERS_SQL = """lines AS (
@@ -142,14 +143,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("parts").cast("double"),
         F.col("percent_off").cast("double") / F.col("lines").cast("double"),
     ]
-    cells = F.array(*[F.struct(F.lit(n).alias("measure"), m.alias("value")) for n, m in zip(K.SCORE_COLUMNS, measures, strict=True)])
+    cells = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("measure"), m.alias("value")) for i, m in enumerate(measures)])
     long = entity_quarters(spark, sf_dir).select("company_id", "period_end", F.explode(cells).alias("cell"))
     long = long.select("company_id", "period_end", "cell.measure", "cell.value")
     ordered = prefix_sums(long, ["measure", "period_end"], ["value", "company_id"], before="position", total="size")
     label = F.when(F.col("size") >= 5, quantile_label_expr(F.lit(5), F.col("position"), F.col("size")))
     labelled = ordered.withColumn("label", label)
     wide = labelled.groupBy("company_id", "period_end").agg(
-        *[F.max(F.when(F.col("measure") == n, F.col("label"))).alias(n) for n in K.SCORE_COLUMNS]
+        *[F.max(F.when(F.col("measure") == i, F.col("label"))).alias(n) for i, n in enumerate(K.SCORE_COLUMNS)]
     )
     return wide.select(
         "company_id",

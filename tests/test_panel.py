@@ -159,3 +159,31 @@ def test_looks_equal_brute_force(spark):
 def test_looks_of_no_rows(spark):
     none = spark.createDataFrame([], "k string, kind string, day date, v double")
     assert rows(pit.nearest_looks(none, ["k"], "kind", "day", ["v"], F.lit(True), {"a": ("x", 1, 1)})) == []
+
+
+def test_group_means_meet_the_rows_without_a_shuffle(spark, tmp_path):
+    spark.range(1000).selectExpr("CAST(id % 7 AS STRING) AS g", "CAST(id AS DOUBLE) AS v").write.parquet(f"{tmp_path}/t")
+    out = pit.add_group_excess(spark.read.parquet(f"{tmp_path}/t"), "v", ["g"], "e")
+    assert abs(out.agg(F.sum("e")).first()[0]) < 1e-6
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entity_quarters_count_every_part_once(spark, tmp_path):
+    """Lines of one part in several rows, against sums of all lines; the lines are shuffled by less than their parts."""
+    from sigvane.plans import bindings
+
+    rng = random.Random(3)
+    data = [(rng.randrange(3), rng.randrange(12), float(rng.randint(1, 9)), rng.randint(100, 999) / 100, rng.randint(0, 9) / 100, rng.choice("NR"), datetime(2000, rng.randint(1, 6), 5)) for _ in range(400)]
+    names = "l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(data, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    built = bindings._build_entity_quarters(spark, str(tmp_path))
+    expected = {}
+    for supplier, part, quantity, price, discount, flag, day in data:
+        e = expected.setdefault((str(supplier), (day.month - 1) // 3), [0, 0, 0, 0, 0, set()])
+        net = round(price * 100) * (100 - round(discount * 100))
+        for i, v in enumerate((quantity, round(price * 100), net, net if flag == "N" else 0, 1)):
+            e[i] += v
+        e[5].add(part)
+    got = {(r["company_id"], (r["period_end"].month - 1) // 3): [r["quantity"], r["cents"], r["net"], r["net_n"], r["lines"], r["parts"]] for r in built.collect()}
+    assert got == {k: [*e[:5], len(e[5])] for k, e in expected.items()}
+    assert "l_partkey" not in "".join(line for line in built._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line)
