@@ -386,3 +386,32 @@ def test_all_numbers_from_one_table_equal_each_regression_alone(spark):
     assert set(got) == set(expected) and len(got) > 60
     for k, (n, coef, se) in expected.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(coef, rel=1e-9, abs=1e-12) and got[k][2] == pytest.approx(se, rel=1e-9, abs=1e-12), k
+
+
+def test_many_pairs_are_dealt_to_more_tasks_with_the_same_result(spark, monkeypatch):
+    """The rows of a task are exploded into pairs and counted in memory, so their number is bounded."""
+    random.seed(4)
+    data = [(random.choice(["Q1", "Q2", None]), random.choice([1.0, 2.0, None]), random.random(), random.choice([None, random.random()])) for _ in range(300)]
+    panel = spark.createDataFrame(data, "quarter string, s double, a double, b double").coalesce(1)
+    order = ["quarter", "outcome"]
+    plain = rows(ic.ic_by_quarter(panel, ["s"], ["a", "b"]), *order)
+    monkeypatch.setattr(ic, "PAIRS_A_TASK", 10)
+    assert ic._dealt(panel, ["quarter"], ["s"], ["a", "b"]).rdd.getNumPartitions() == 60
+    dealt = rows(ic.ic_by_quarter(panel, ["s"], ["a", "b"]), *order)
+    assert [r["n_obs"] for r in dealt] == [r["n_obs"] for r in plain]
+    assert [r["ic"] for r in dealt] == pytest.approx([r["ic"] for r in plain])
+
+
+def test_rank_correlation_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return v
+
+    data = spark.createDataFrame([("g", float(i), float(-i)) for i in range(20)] + [("h", None, 1.0)], "g string, a double, y double")
+    marked = data.select("g", "y", seen("a").alias("x"))
+    got = {r["g"]: r for r in rows(ic.spearman(marked.select("g", "x", "y"), ["g"]))}
+    assert got["g"]["ic"] == pytest.approx(-1.0) and (got["h"]["n_obs"], got["h"]["status"]) == (0, "too_few_obs")
+    assert read.value <= 2 * 21  # before, every step that needed pairs read the rows again
