@@ -660,6 +660,9 @@ def postings_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FILES_A_TASK = 100
+
+
 def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
     """(ticker, value): one JSON document a company, with a result per scored quarter.
 
@@ -671,7 +674,7 @@ def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
     day = F.col("snapshot_date").cast("string")
     result = F.struct(title.alias("title"), F.concat(F.lit("https://jobs.example/"), "company_id", F.lit("/"), day).alias("url"), day.alias("published_date"))
     ticker = F.concat(F.lit("S"), "company_id").alias("ticker")
-    results = B.scores(spark, sf_dir).where(here).select(ticker, day.alias("day"), result.alias("result"))
+    results = B.staged(spark, sf_dir, "scores", B.scores).where(here).select(ticker, day.alias("day"), result.alias("result"))
     packed = results.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "result"))), lambda x: x["result"]).alias("results"))
     return packed.select("ticker", F.to_json(F.struct("ticker", F.concat(F.lit("Company "), "ticker").alias("company"), F.lit("2002").alias("snapshot"), "results")).alias("value"))
 
@@ -688,9 +691,12 @@ def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
 def search_results_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of per-key files: the second run parses what is new or changed and keeps the rows of the rest."""
     root = runtime.scratch_path(spark, "search")
+    tasks = B.table(spark, sf_dir, "supplier").count() // FILES_A_TASK + 1
     for delivery in (1, 2):
         folder = f"{root}/in/{delivery}"
-        _search_files(spark, sf_dir, delivery).write.partitionBy("ticker").text(folder)
+        # A file takes its time whatever its size, so files are dealt by number; tasks move them into place themselves.
+        files = _search_files(spark, sf_dir, delivery).repartition(tasks, "ticker")
+        files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("ticker").text(folder)
         log = ledger.refresh(spark, folder, f"{root}/tables", schemas.SEARCH_RESULTS, r"/ticker=([^/]+)/", "*.txt")
     results = versions.read_current(spark, f"{root}/tables", "rows").select("key", F.posexplode("results").alias("result_index", "_r"))
     return log.join(results, "key", "left").select("key", "action", "result_index", "_r.title", "_r.published_date")

@@ -152,3 +152,21 @@ def test_outputs_are_counted_while_they_are_written(spark, tmp_path, suffix):
     assert {t["table"]: t["rows"] for t in row["tables"]} == {"some": 1000, "few": 7, "none": 0, "nothing": 0}
     assert (row["signals"], row["outcomes"], row["caveat"]) == (["s"], ["o"], "note")
     assert readers.read_table(spark, f"{tmp_path}/few.{suffix}").count() == 7
+
+
+def test_a_run_opens_every_file_once(spark, tmp_path, monkeypatch):
+    read, files = spark.sparkContext.accumulator(0), ledger._files
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    monkeypatch.setattr(ledger, "_files", lambda *a: files(*a).select("key", seen("text").alias("text")))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"k{i}.json").write_text(f'{{"v": {i}}}')
+    log = ledger.refresh(spark, str(folder), f"{tmp_path}/out", "v int").collect()
+    assert {r["action"] for r in log} == {"added"} and len(log) == 5
+    assert read.value == 5
