@@ -378,7 +378,7 @@ def permutation_test(
 
     By Frisch-Waugh a replicate needs only sums of the shuffled signal against the outcome residual
     and the centred controls.  The row whose signal a row gets is computed (``functions.permute``), so no replicate is
-    sorted: rows times replicates are shuffled once, to meet their signals.
+    sorted: the signals of rows times replicates are shuffled once, in blocks, to meet their rows.
     """
     y, spec = K.PRIMARY_OUTCOME, LADDER[3]
     variables = [*spec.regressors, y]
@@ -399,18 +399,11 @@ def permutation_test(
     fixed = enriched.select(
         "sample", id_col, "_g", "_rows", F.col("x").alias("_x"), residual.alias("_r"), z[0].alias("_z1"), z[1].alias("_z2")
     )
-    fixed = materialize(prefix_sums(fixed, ["sample"], [id_col], before="_slot"))
-    spread = fixed.drop("_x", id_col).repartition("sample", "_slot")  # few rows make many
-    replicas = spread.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    taken = replicas.withColumn("_slot", permute.permuted(F.col("_slot").cast("long"), F.col("_rows"), F.col("_rep"), seed)).drop("_rows")
-    seated = taken.join(fixed.select("sample", "_slot", F.col("_x").alias("_xp")), ["sample", "_slot"])
-    xp = F.col("_xp")
-    by_group = seated.groupBy("sample", "_rep", "_g").agg(
-        F.sum(xp * F.col("_r")).alias("_xr"), F.sum(xp * F.col("_z1")).alias("_x1"), F.sum(xp * F.col("_z2")).alias("_x2"),
-        F.sum(xp * xp).alias("_xx"), F.sum(xp).alias("_sx"), F.count(F.lit(1)).alias("_k"),
-    )
+    fixed = prefix_sums(fixed, ["sample"], [id_col], before="_slot")
+    by_group = permute.shuffled_sums(fixed, "sample", "_slot", "_rows", "_x", ["_r", "_z1", "_z2"], "_g", n_perm, seed)
+    within = F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_n")
     sums = by_group.groupBy("sample", "_rep").agg(
-        *[F.sum(c).alias(c) for c in ("_xr", "_x1", "_x2")], F.sum(F.col("_xx") - F.col("_sx") * F.col("_sx") / F.col("_k")).alias("_xx")
+        F.sum("_by__r").alias("_xr"), F.sum("_by__z1").alias("_x1"), F.sum("_by__z2").alias("_x2"), F.sum(within).alias("_xx")
     )
     inverse = F.col("_s1.inverse")
     solved = solved.select("sample", "n", F.col("_s0.beta")[0].alias("obs_coef"), inverse.alias("_i"))

@@ -317,6 +317,31 @@ def test_permuted_places_are_a_bijection_and_spread_evenly(spark):
     assert len({tuple(got[64, rep][x] for x in range(64)) for rep in range(1, 201)}) == 200
 
 
+def test_shuffled_sums_of_several_blocks(spark):
+    rng = np.random.default_rng(5)
+    sizes, replicates = {"a": 37, "b": 8, "c": 1}, 7
+    data = [(s, i, n, float(rng.normal()), float(rng.normal()), f"g{rng.integers(3)}") for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "sample string, slot long, size long, x double, w double, g string").repartition(5)
+    got = permute.shuffled_sums(df, "sample", "slot", "size", "x", ["w"], "g", replicates, 7, block=8, at_once=3).collect()
+    want = {}
+    for sample, n in sizes.items():
+        part = [r for r in data if r[0] == sample]
+        for rep in range(1, replicates + 1):
+            to = permute.walked(np.arange(n), n, permute.round_keys(7, rep))
+            for r in part:
+                x = part[to[r[1]]][3]
+                want.setdefault((sample, rep, r[5]), []).append((1, x, x * x, x * r[4]))
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["_n"], r["_sum"], r["_squares"], r["_by_w"]) == pytest.approx(tuple(np.sum(want[r["sample"], r["_rep"], r["g"]], axis=0)))
+
+
+def test_permutation_draws_few_rows_by_many_tasks(spark):
+    # By its size in bytes the table is one partition, with all replicates of all rows in its task.
+    plan = ols.permutation_test(cross_section(spark, 1.0), "ticker", n_perm=60)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "_slot#" not in plan
+
+
 def test_permutation_strong_and_null(spark):
     strong = rows(ols.permutation_test(cross_section(spark, 1.0), "ticker", n_perm=60))[0]
     null = rows(ols.permutation_test(cross_section(spark, 0.0), "ticker", n_perm=60))[0]
