@@ -24,7 +24,7 @@ def _column(df: DataFrame, name: str, default: Column | None = None) -> Column:
 
 
 def _bad_parse(df: DataFrame, name: str, parsed: Column, kind: str) -> q.Check:
-    return q.Check(f"{name}_{kind}", ~tx.is_missing(F.col(name)) & parsed.isNull(), F.col(name))
+    return q.Check(f"{name}_{kind}", parsed.isNull() & ~tx.is_missing(F.col(name)), F.col(name))
 
 
 def _missing(name: str, column: Column) -> q.Check:

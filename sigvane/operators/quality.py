@@ -39,7 +39,10 @@ def _text(c: Column) -> Column:
 
 
 def row_violations(df: DataFrame, checks: Sequence[Check], key: Column) -> DataFrame:
-    """All row checks in one scan."""
+    """All row checks in one scan; rows that fail none are dropped by a plain filter before their checks are listed."""
+    suspect = F.lit(False)
+    for c in checks:
+        suspect = suspect | F.coalesce(c.failed, F.lit(False))
     found = F.array(
         *[
             F.when(
@@ -49,7 +52,7 @@ def row_violations(df: DataFrame, checks: Sequence[Check], key: Column) -> DataF
             for c in checks
         ]
     )
-    return df.select(F.explode(F.filter(found, lambda v: v.isNotNull())).alias("_v")).select("_v.*")
+    return df.where(suspect).select(F.explode(F.filter(found, lambda v: v.isNotNull())).alias("_v")).select("_v.*")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], ignore_nulls: bool = False) -> DataFrame:
@@ -79,8 +82,12 @@ def union_violations(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def raise_on(violations: DataFrame, what: str, shown: int = 20) -> None:
-    """Raise when there is any error row, quoting the first few."""
-    errors = violations.where(F.col("severity") == "error").take(shown)
+    """Raise when there is any error row, quoting the first few.
+
+    They are gathered by one job over all partitions; ``take`` would try one, then four, and so on, where there is none to find.
+    """
+    some = violations.where(F.col("severity") == "error").limit(shown)
+    errors = some.agg(F.collect_list(F.struct(*violations.columns)).alias("errors")).first()["errors"]
     if errors:
         listed = "; ".join(f"{v['check']} [{v['key']}] {v['detail']}" for v in errors)
         raise ValueError(f"{what}: {listed}")

@@ -187,3 +187,17 @@ def test_entity_quarters_count_every_part_once(spark, tmp_path):
     got = {(r["company_id"], (r["period_end"].month - 1) // 3): [r["quantity"], r["cents"], r["net"], r["net_n"], r["lines"], r["parts"]] for r in built.collect()}
     assert got == {k: [*e[:5], len(e[5])] for k, e in expected.items()}
     assert "l_partkey" not in "".join(line for line in built._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line)
+
+
+def test_errors_are_gathered_by_one_job(spark):
+    from sigvane.operators import quality
+
+    rows_ = spark.range(4000, numPartitions=16).withColumn("v", F.when(F.col("id") == 3999, -1).otherwise(1))
+    found = quality.row_violations(rows_, [quality.Check("negative", F.col("v") < 0, F.col("v"))], F.col("id"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("errors at once", "")
+    with pytest.raises(ValueError, match=r"odd: negative \[3999\] -1"):
+        quality.raise_on(found, "odd")
+    read = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("errors at once") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(s.numTasks for s in read if s)[-1] == 16
