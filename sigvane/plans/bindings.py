@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from sigvane import constants as K
 from sigvane import runtime
 from sigvane.functions.calendar import quarter_end, quarter_label
-from sigvane.operators.ordering import prefix_sums, quantile_label_expr
+from sigvane.operators.ordering import null_safe_join, prefix_sums, quantile_label_expr
 from sigvane.operators.pit import build_panel
 
-DEALS = 4
+LINES_A_DEAL = 1 << 20
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -59,14 +59,24 @@ def entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "entity_quarters", _build_entity_quarters)
 
 
-def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _deals(lineitem: DataFrame) -> DataFrame:
+    """The suppliers of ``LINES_A_DEAL`` lines or more and over how many deals theirs are spread; written, so that Spark knows how few they are."""
+    deals = F.floor(F.count(F.lit(1)) / LINES_A_DEAL) + 1
+    return runtime.written(lineitem.groupBy("l_suppkey").agg(deals.alias("deals")).where("deals > 1"), "deals")
+
+
+def _dealt_totals(lineitem: DataFrame) -> DataFrame:
+    """Totals per (supplier, quarter, deal).  All lines of a part go to one deal, so partial counts of parts can be added.
+
+    Lines are shuffled once, narrow.  Only a large supplier has several deals: the totals of all others are whole and are not shuffled in parts.
+    """
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     percent_off = F.round(F.col("l_discount") * 100).cast("long")
-    # Lines are shuffled once, narrow; all lines of a part go to one deal, so that few partial counts of a quarter are left to add.
-    lines = table(spark, sf_dir, "lineitem").select(
+    spread = F.pmod(F.xxhash64("l_partkey"), F.coalesce("deals", F.lit(1)))
+    lines = null_safe_join(lineitem, _deals(lineitem), ["l_suppkey"], "left").select(
         "l_suppkey",
         quarter_end(F.col("l_shipdate")).alias("period_end"),
-        F.pmod(F.xxhash64("l_partkey"), F.lit(DEALS)).cast("tinyint").alias("deal"),
+        spread.cast("int").alias("deal"),
         "l_partkey",
         F.col("l_quantity").cast("long").alias("quantity"),
         cents.alias("cents"),
@@ -74,7 +84,7 @@ def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "N").alias("kept"),
     )
     net = F.col("cents") * (100 - F.col("percent_off"))
-    dealt = lines.repartition("l_suppkey", "period_end", "deal").groupBy("l_suppkey", "period_end", "deal").agg(
+    return lines.repartition("l_suppkey", "period_end", "deal").groupBy("l_suppkey", "period_end", "deal").agg(
         F.sum("quantity").alias("quantity"),
         F.sum("cents").alias("cents"),
         F.sum(net).alias("net"),
@@ -83,8 +93,12 @@ def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         F.countDistinct("l_partkey").alias("parts"),
     )
+
+
+def _build_entity_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("quantity", "cents", "net", "net_n", "percent_off", "lines", "parts")]
-    totals = dealt.groupBy("l_suppkey", "period_end").agg(*sums)
+    # By supplier, not by quarter: what readers collect per company then meets in one task before it is shuffled.
+    totals = _dealt_totals(table(spark, sf_dir, "lineitem")).repartition("l_suppkey").groupBy("l_suppkey", "period_end").agg(*sums)
     return totals.select(F.col("l_suppkey").cast("string").alias("company_id"), *[c for c in totals.columns if c != "l_suppkey"])
 
 

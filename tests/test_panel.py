@@ -189,6 +189,31 @@ def test_entity_quarters_count_every_part_once(spark, tmp_path):
     assert "l_partkey" not in "".join(line for line in built._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line)
 
 
+def test_only_lines_of_a_large_supplier_are_dealt(spark, tmp_path, monkeypatch):
+    """Suppliers 0 and null are large: theirs meet again as one row; all others have one row per quarter before the second shuffle."""
+    from sigvane.plans import bindings
+
+    rng = random.Random(4)
+    keys = [0] * 300 + [None] * 120 + [1 + i % 9 for i in range(90)]
+    data = [(k, rng.choice([None, *range(40)]), float(rng.randint(1, 9)), rng.randint(100, 999) / 100, 0.05, rng.choice("NR"), datetime(2000, rng.randint(1, 6), 5)) for k in keys]
+    names = "l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(data, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = {tuple(r) for r in bindings._build_entity_quarters(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(bindings, "LINES_A_DEAL", 50)
+    dealt = bindings._dealt_totals(spark.read.parquet(f"{tmp_path}/lineitem.parquet")).collect()
+    deals = {}
+    for r in dealt:
+        deals.setdefault((r["l_suppkey"], r["period_end"]), []).append(r["deal"])
+    assert all(sorted(d) == [0] for (k, _), d in deals.items() if k)
+    assert all(len(d) > 4 for (k, _), d in deals.items() if k == 0)
+    assert all(1 < len(d) <= 3 for (k, _), d in deals.items() if k is None)
+    built = bindings._build_entity_quarters(spark, str(tmp_path)).collect()
+    assert len(built) == len(whole) == 22 and {tuple(r) for r in built} == whole
+    for r in built:
+        mine = [x for x in data if (None if x[0] is None else str(x[0])) == r["company_id"] and (x[6].month - 1) // 3 == (r["period_end"].month - 1) // 3]
+        assert (r["lines"], r["parts"]) == (len(mine), len({x[1] for x in mine} - {None}))
+
+
 def test_errors_are_gathered_by_one_job(spark):
     from sigvane.operators import quality
 
