@@ -660,9 +660,6 @@ def postings_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FILES_A_TASK = 100
-
-
 def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
     """(ticker, value): one JSON document a company, with a result per scored quarter.
 
@@ -691,12 +688,10 @@ def _search_files(spark: SparkSession, sf_dir: str, delivery: int) -> DataFrame:
 def search_results_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of per-key files: the second run parses what is new or changed and keeps the rows of the rest."""
     root = runtime.scratch_path(spark, "search")
-    tasks = B.table(spark, sf_dir, "supplier").count() // FILES_A_TASK + 1
+    companies = B.table(spark, sf_dir, "supplier").count()
     for delivery in (1, 2):
         folder = f"{root}/in/{delivery}"
-        # A file takes its time whatever its size, so files are dealt by number; tasks move them into place themselves.
-        files = _search_files(spark, sf_dir, delivery).repartition(tasks, "ticker")
-        files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("ticker").text(folder)
+        sinks.write_by_key(_search_files(spark, sf_dir, delivery), folder, "ticker", companies)
         log = ledger.refresh(spark, folder, f"{root}/tables", schemas.SEARCH_RESULTS, r"/ticker=([^/]+)/", "*.txt")
     results = versions.read_current(spark, f"{root}/tables", "rows").select("key", F.posexplode("results").alias("result_index", "_r"))
     return log.join(results, "key", "left").select("key", "action", "result_index", "_r.title", "_r.published_date")

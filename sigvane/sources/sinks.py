@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+FILES_A_TASK = 1000
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+_IN_NAMES = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write as .csv or .parquet by the path's suffix."""
@@ -61,6 +69,40 @@ def write_json_snapshot(df: DataFrame, path: str, by: list[str], rows_per_file:
     return path
 
 
+def _put_files(batches: Iterator[pa.RecordBatch], prefix: str) -> Iterator[pa.RecordBatch]:
+    """A file of the values of every key; equal keys follow each other.  A file is moved into place whole, so a task may run again."""
+    made, own = 0, uuid.uuid4().hex
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, group in itertools.groupby(rows, lambda row: row[0]):
+        folder = prefix + _IN_NAMES.sub(lambda m: f"%{ord(m[0]):02X}", key)
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/.{own}", "wb") as out:
+            out.writelines((value or "").encode() + b"\n" for _, value in group)
+        os.replace(f"{folder}/.{own}", f"{folder}/part-00000.txt")
+        made += 1
+    yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+
+def write_by_key(df: DataFrame, folder: str, key: str, files: int) -> str:
+    """Write the text column beside ``key`` as a file per key, laid out as ``partitionBy(key).text(folder)`` does.
+
+    A file takes its time whatever its size, so about ``files`` of them are dealt by number.  Below ``file:``, which all executors
+    must share, tasks make the files without Hadoop: without its native library it starts a process for the mode of each file and folder.
+    """
+    (text,) = (c for c in df.columns if c != key)
+    tasks = files // FILES_A_TASK + 1
+    if not folder.startswith("file:"):
+        df.repartition(tasks, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(folder)
+        return folder
+    local = re.sub("^file:(//)?(?=/)", "", folder)
+    os.makedirs(local)  # refused where the folder exists
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(_NO_NAME))
+    dealt = df.select(name.alias("key"), text).repartition(tasks, "key").sortWithinPartitions("key")
+    prefix = f"{local}/{key}="
+    dealt.mapInArrow(lambda batches: _put_files(batches, prefix), "files long").agg(F.sum("files")).collect()
+    return folder
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot: str) -> str:
     """Write one snapshot as a partition; other snapshots stay."""
     tagged = df.withColumn("snapshot", F.lit(snapshot))

@@ -1,6 +1,7 @@
 """Files in: CSV records with line breaks, JSON arrays, per-key files that come again."""
 
 import csv
+import gzip
 import io
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from sigvane import runtime
 from sigvane.operators import hiring, universe
 from sigvane.sources import ledger, readers, sinks, versions
 from sigvane.sources.records import quoted_records, read_quoted_csv
@@ -170,3 +172,70 @@ def test_a_run_opens_every_file_once(spark, tmp_path, monkeypatch):
     log = ledger.refresh(spark, str(folder), f"{tmp_path}/out", "v int").collect()
     assert {r["action"] for r in log} == {"added"} and len(log) == 5
     assert read.value == 5
+
+
+def tasks_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    return sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds)
+
+
+def test_files_by_key_lie_as_spark_lays_them(spark, tmp_path):
+    keys = ["a", "b", "b", "x/y", "50%", "k=v", "é ü", "{q}", 'say "hi"', "a\tb", "", None, "..a"]
+    df = spark.createDataFrame([(k, f"{i}\nline {i}" if i else None) for i, k in enumerate(keys)], "k string, value string")
+    plain, local = f"{tmp_path}/spark", f"{tmp_path}/own"
+    sinks.write_by_key(df, plain, "k", len(keys))
+    assert sinks.write_by_key(df, f"file:{local}", "k", len(keys)) == f"file:{local}"
+
+    def lines(folder):
+        files = [p for p in (tmp_path / folder).rglob("*.txt") if p.name[0] != "."]
+        assert len(files) == len({p.parent for p in files}) == len({k or None for k in keys})
+        return {p.parent.name: sorted(p.read_bytes().split(b"\n")) for p in files}
+
+    assert lines("own") == lines("spark")
+    assert not [p for p in (tmp_path / "own").rglob("*") if p.is_file() and not p.name.startswith("part-")]
+    with pytest.raises(FileExistsError):
+        sinks.write_by_key(df, f"file:{local}", "k", len(keys))
+    none = sinks.write_by_key(df.where("false"), f"file:{tmp_path}/none", "k", 0)
+    assert ledger.refresh(spark, none, f"{tmp_path}/out", "v int", r"/k=([^/]+)/", "*.txt").count() == 0
+
+
+def test_texts_are_those_of_the_text_reader(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in {"a": b'{"v": 1}\r\n', "b": b"\xef\xbb\xbf{}", "c": b"\xff\xfe bad \x00", "d": b"", "e f": "é\n\n".encode()}.items():
+        (folder / f"{name}.json").write_bytes(text)
+        (folder / f"{name}.json.gz").write_bytes(gzip.compress(text) if text else b"")
+
+    def texts(glob):
+        return sorted(tuple(r) for r in ledger._files(spark, str(folder), r"([^/]+)\.json(?:\.gz)?$", glob).select("key", F.hex("text")).collect())
+
+    read = spark.read.text(str(folder), wholetext=True, pathGlobFilter="*.json").select(F.hex("value")).collect()
+    assert sorted(t for _, t in texts("*.json")) == sorted(r[0] for r in read) and len(read) == 4
+    assert texts("*.json.gz") == texts("*.json")
+
+
+def test_many_folders_take_few_tasks(spark, tmp_path):
+    df = spark.range(600).selectExpr("concat('S', id) AS k", "concat('{\"v\": ', id, '}') AS value")
+    folder = sinks.write_by_key(df, f"file:{tmp_path}/in", "k", 600)
+    assert not list(tmp_path.rglob("*.crc"))  # Hadoop's; it starts processes for every file
+    confs = {key: spark.conf.get(key, None) for key in ledger.MANY_FILES}
+    logs = []
+    tasks = tasks_of(spark, "refresh", lambda: logs.extend(ledger.refresh(spark, folder, f"{tmp_path}/out", "v int", r"/k=([^/]+)/", "*.txt").collect()))
+    assert {(r["key"], r["action"]) for r in logs} == {(f"S{i}", "added") for i in range(600)} and len(logs) == 600
+    assert tasks < 600
+    assert confs == {key: spark.conf.get(key, None) for key in ledger.MANY_FILES}
+    rows = versions.read_current(spark, f"{tmp_path}/out", "rows").collect()
+    assert {(r["key"], r["v"]) for r in rows} == {(f"S{i}", i) for i in range(600)}
+
+
+def test_settings_hold_inside_only(spark):
+    key = "spark.sql.files.openCostInBytes"
+    with pytest.raises(ZeroDivisionError), runtime.settings(spark, {key: "1m"}):
+        assert spark.conf.get(key) == "1m"
+        1 / 0
+    assert spark.conf.get(key, None) != "1m"
